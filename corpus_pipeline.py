@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coursewatch.llm import decontaminate, langid, mixing, simhash, toxicity
 from coursewatch.llm.common import Scratch, table
 from coursewatch.llm.queries import crc
+from coursewatch.ship import ship
 
 TOXIC = 0.8
 """Score from which the toxicity stage rejects; above the predictor's 0.5, so that clean documents stay."""
@@ -22,18 +23,21 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told without doubt; null, letterless and ambiguous texts go."""
+    ship(spark)
     model = langid.fit(docs.filter(crc("doc_id", 4) != 2))
     return langid.identify(docs, model).filter(~F.col("langid.rejected")).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores under TOXIC."""
+    ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc("doc_id", 5) != 0)
     return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group, once if it is repeated; rows without an id stay."""
+    ship(spark)
     scratch = Scratch(spark)
     found, _ = scratch.write(simhash.near_duplicates(docs, scratch).filter("doc_id is not null"), "groups")
     id_, hash_ = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
@@ -47,11 +51,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    ship(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the target shares of sources, languages and topics, and each document's weight."""
+    ship(spark)
     return mixing.mix(docs, Scratch(spark))
 
 
