@@ -1,2 +1,834 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""The operators bound to the driver's tables, each with its SQL where SQL can say it.
+
+None of the tables holds two observations of the same items, so two nights are
+made of every order: last night lacks those with k % 20 = 3 (they are new
+tonight); tonight lacks k % 20 = 0, moves k % 20 = 1 by two days and rewords
+k % 20 = 2. Dated text is written from date columns and read back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import date_text, dates as D, text as T
+from .operators import diff, resolve
+from .plans import checkin, ledger, reports, slots
+from .scratch import Scratch
+from .sources import html_items, ical, mail, rest_json
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+NY, PT = "America/New_York", "America/Los_Angeles"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- two nights of orders -------------------------------------------------
+
+NIGHTS = """
+o AS (SELECT o_orderkey AS k, 'c' || (o_custkey % 40) AS c, CAST(o_orderdate AS DATE) AS d, md5(CAST(o_orderkey AS VARCHAR))[1:16] || ' ' || md5(CAST(o_orderkey AS VARCHAR))[17:32] AS t FROM orders),
+prev AS (SELECT c AS course_id, k, c || '::' || t AS key, t AS title, d AS start FROM o WHERE k % 20 <> 3),
+cur AS (SELECT c AS course_id, k, c || '::' || t || CASE WHEN k % 20 = 2 THEN ' revised' ELSE '' END AS key,
+  t || CASE WHEN k % 20 = 2 THEN ' revised' ELSE '' END AS title, d + CASE WHEN k % 20 = 1 THEN 2 ELSE 0 END AS start FROM o WHERE k % 20 <> 0),
+ch AS (SELECT coalesce(p.course_id, c.course_id) AS course_id, coalesce(p.key, c.key) AS key, coalesce(p.k, c.k) AS k,
+  CASE WHEN p.key IS NULL THEN 'added' WHEN c.key IS NULL THEN 'missing' WHEN p.start <> c.start THEN 'moved' ELSE 'same' END AS type,
+  CAST(p.start AS VARCHAR) AS before_start, CAST(c.start AS VARCHAR) AS after_start FROM prev p FULL JOIN cur c ON p.course_id = c.course_id AND p.key = c.key)
+"""
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("course_id"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
+
+
+def night(o: DataFrame, title: Column, day: Column) -> DataFrame:
+    start = day.cast("string")
+    return o.select("course_id", T.item_key(F.col("course_id"), T.clean_ascii(title)).alias("key"), title.alias("title"), start.alias("start"), start.alias("end"), F.lit(True).alias("all_day"))
+
+
+def _title() -> Column:
+    """Titles that are alike only if they are one order's."""
+    h = F.md5(F.col("k").cast("string").cast("binary"))
+    return F.concat_ws(" ", F.substring(h, 1, 16), F.substring(h, 17, 16))
+
+
+def nights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o, m = observed(spark, sf_dir), F.col("k") % 20
+    title = _title()
+    prev = night(o.filter(m != 3), title, F.col("d"))
+    cur = night(o.filter(m != 0), F.concat(title, F.when(m == 2, " revised").otherwise("")), F.date_add("d", F.when(m == 1, 2).otherwise(0)))
+    return prev, cur
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.changes(*nights(spark, sf_dir)).select("course_id", "key", "type", F.col("before.start").alias("before_start"), F.col("after.start").alias("after_start"))
+
+
+@query(f"WITH {NIGHTS} SELECT course_id, key, after_start FROM ch WHERE type = 'added'")
+def diff_added(spark, sf_dir):
+    return _changes(spark, sf_dir).filter("type = 'added'").select("course_id", "key", "after_start")
+
+
+@query(f"WITH {NIGHTS} SELECT course_id, key, before_start FROM ch WHERE type = 'missing'")
+def diff_missing(spark, sf_dir):
+    return _changes(spark, sf_dir).filter("type = 'missing'").select("course_id", "key", "before_start")
+
+
+@query(f"WITH {NIGHTS} SELECT course_id, key, before_start, after_start FROM ch WHERE type = 'moved'")
+def diff_moved(spark, sf_dir):
+    return _changes(spark, sf_dir).filter("type = 'moved'").select("course_id", "key", "before_start", "after_start")
+
+
+@query(f"WITH {NIGHTS} SELECT course_id, type, CAST(count(*) AS BIGINT) AS n FROM ch WHERE type <> 'same' GROUP BY ALL")
+def diff_full_counts(spark, sf_dir):
+    return _changes(spark, sf_dir).groupBy("course_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {NIGHTS} SELECT course_id, key, type FROM ch WHERE type <> 'same' AND course_id NOT IN ('c7', 'c8', 'c9')
+UNION ALL SELECT * FROM (VALUES ('c7', NULL, 'unreadable'), ('c8', NULL, 'not_read'), ('c9', NULL, 'unreadable'))""")
+def diff_guarded(spark, sf_dir):
+    """Course c7's read failed, c8 wasn't read, c9's page came empty."""
+    prev, cur = nights(spark, sf_dir)
+    courses = prev.select("course_id").distinct()
+    reads = courses.filter("course_id <> 'c8'").withColumn("status", F.when(F.col("course_id") == "c7", "error").otherwise("ok"))
+    return diff.guarded(prev, cur.filter(~F.col("course_id").isin("c7", "c8", "c9")), reads).select("course_id", "key", "type")
+
+
+@query(f"""WITH {NIGHTS} SELECT coalesce(c.course_id, p.course_id) AS course_id, coalesce(c.key, p.key) AS key, CAST(coalesce(c.start, p.start) AS VARCHAR) AS start
+FROM prev p FULL JOIN cur c ON p.course_id = c.course_id AND p.key = c.key""")
+def diff_partial_upsert(spark, sf_dir):
+    return diff.partial_upsert(*nights(spark, sf_dir)).select("course_id", "key", "start")
+
+
+REWORDS = f"""WITH {NIGHTS}, r AS (SELECT p.* FROM prev p ANTI JOIN cur c ON p.key = c.key), a AS (SELECT c.* FROM cur c ANTI JOIN prev p ON p.key = c.key),
+w AS (SELECT r.course_id, r.key AS removed, a.key AS added, string_split(lower(r.title), ' ') AS x, string_split(lower(a.title), ' ') AS y FROM r JOIN a ON r.course_id = a.course_id AND r.start = a.start),
+s AS (SELECT course_id, removed, added, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS sim FROM w)"""
+
+
+def _reword_sides(spark, sf_dir):
+    prev, cur = nights(spark, sf_dir)
+    on = ["course_id", "key"]
+    return prev.join(cur, on, "left_anti"), cur.join(prev, on, "left_anti")
+
+
+@query(REWORDS + " SELECT course_id, removed, added, round(sim, 6) AS sim FROM s WHERE sim >= 0.55")
+def reword_pairs_jaccard(spark, sf_dir):
+    pairs = diff.reword_pairs(*_reword_sides(spark, sf_dir), score=T.jaccard)
+    return pairs.select("course_id", "removed", "added", F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {NIGHTS} SELECT c AS course_id, c || '::' || t || ' revised' AS added, c || '::' || t AS removed FROM o WHERE k % 20 = 2")
+def reword_greedy(spark, sf_dir):
+    """Ratcliff-Obershelp or Jaccard, then greedy one-to-one; each reworded order finds its own old title."""
+    pairs = diff.reword_pairs(*_reword_sides(spark, sf_dir))
+    return diff.assign(pairs, Scratch(spark)).select("course_id", "added", "removed")
+
+
+@query()
+def reword_similarity(spark, sf_dir):
+    """Similarity of each part's name with its brand and type added; SQL has no Ratcliff-Obershelp."""
+    p = table(spark, sf_dir, "part")
+    a, b = T.slug(F.col("p_name")), T.slug(F.concat_ws(" ", "p_name", "p_type"))
+    return p.select("p_partkey", F.round(T.similarity(a, b), 6).alias("sim"))
+
+
+# --- removals ---------------------------------------------------------------
+
+REMOVALS = """WITH e AS (SELECT DISTINCT user_id AS key, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
+d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events {where}),
+n AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM d), u AS (SELECT DISTINCT e.key FROM e JOIN n USING (day)),
+g AS (SELECT u.key, n.day, n.n, CASE WHEN e.day IS NULL THEN 0 ELSE 1 END AS here FROM u CROSS JOIN n LEFT JOIN e ON e.key = u.key AND e.day = n.day),
+h AS (SELECT *, lag(here, 1) OVER w AS h1, lag(here, 2) OVER w AS h2, lag(day, 1) OVER w AS d1 FROM g WINDOW w AS (PARTITION BY key ORDER BY n))
+SELECT key, CAST(d1 AS VARCHAR) AS first_missing, CAST(day AS VARCHAR) AS confirmed_on FROM h WHERE here = 0 AND h1 = 0 AND h2 = 1"""
+
+
+def _removals(spark, sf_dir, ok: Column):
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    seen = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), "day")
+    found = diff.removals(seen, e.select("day").distinct().filter(ok))
+    return found.select("key", F.col("first_missing").cast("string").alias("first_missing"), F.col("confirmed_on").cast("string").alias("confirmed_on"))
+
+
+@query(REMOVALS.format(where=""))
+def removal_two_reads(spark, sf_dir):
+    return _removals(spark, sf_dir, F.lit(True))
+
+
+@query(REMOVALS.format(where="WHERE day(ts) % 7 <> 0"))
+def removal_failed_reads(spark, sf_dir):
+    """The reads of every seventh day of a month failed; they neither count nor reset."""
+    return _removals(spark, sf_dir, F.dayofmonth("day") % 7 != 0)
+
+
+# --- several sources ----------------------------------------------------------
+
+
+def mentions(spark, sf_dir) -> DataFrame:
+    """Each line of an order as a mention of it: its ship date, timed if it was returned, surer with more items."""
+    x = table(spark, sf_dir, "lineitem")
+    day = F.to_date("l_shipdate").cast("string")
+    timed = F.col("l_returnflag") == "R"
+    start = F.when(timed, F.concat(day, F.lit("T23:59:00-04:00"))).otherwise(day)
+    sure = F.when(F.col("l_quantity") > 25, 0.9).otherwise(0.85)
+    empty = F.array().cast("array<string>")
+    cols = {"start": start, "end": start, "all_day": ~timed, "date_text": day, "confidence": sure, "needs_review": F.lit(False), "review_reason": F.lit(""), "superseded": F.lit(None).cast("string"), "detail": F.lit(""), "sources": F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))), "assumptions": empty}
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", *[c.alias(n) for n, c in cols.items()])
+
+
+ORDERED = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+MENTIONS = """m AS (SELECT *, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, l_returnflag = 'R' AS timed, CASE WHEN l_quantity > 25 THEN 0.9 ELSE 0.85 END AS sure,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem)"""
+
+
+@query(f"""WITH {MENTIONS}, d AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey, day ORDER BY pos) AS pos) FROM m),
+b AS (SELECT l_orderkey, day, timed, sure, row_number() OVER (PARTITION BY l_orderkey, day ORDER BY timed DESC, sure DESC, pos) AS best, count(*) OVER (PARTITION BY l_orderkey, day) AS n FROM d)
+SELECT l_orderkey, day, CASE WHEN timed THEN day || 'T23:59:00-04:00' ELSE day END AS start, CAST(sure AS DOUBLE) AS confidence, CAST(n AS BIGINT) AS n FROM b WHERE best = 1""")
+def merge_sources_sameday(spark, sf_dir):
+    """Mentions of one day: the first of the timed ones, else of the surest, is what stays."""
+    m = mentions(spark, sf_dir).withColumn("day", F.col("date_text"))
+    return resolve.fold(m, ["l_orderkey", "day"], ORDERED).select("l_orderkey", "day", F.col("event.start").alias("start"), F.col("event.confidence").alias("confidence"), F.col("n_mentions").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {MENTIONS}, r AS (SELECT l_orderkey, pos, day, timed, sure, false AS review FROM m WHERE pos = 1
+UNION ALL SELECT r.l_orderkey, m.pos,
+  CASE WHEN r.review OR (r.day = m.day AND ((m.timed AND NOT r.timed) OR (m.timed = r.timed AND m.sure > r.sure))) THEN m.day ELSE r.day END,
+  CASE WHEN r.review OR (r.day = m.day AND ((m.timed AND NOT r.timed) OR (m.timed = r.timed AND m.sure > r.sure))) THEN m.timed ELSE r.timed END,
+  CASE WHEN r.review OR (r.day = m.day AND ((m.timed AND NOT r.timed) OR (m.timed = r.timed AND m.sure > r.sure))) THEN m.sure ELSE r.sure END,
+  NOT r.review AND r.day <> m.day FROM r JOIN m ON m.l_orderkey = r.l_orderkey AND m.pos = r.pos + 1)
+SELECT r.l_orderkey, r.day, r.review AS needs_review FROM r JOIN (SELECT l_orderkey, max(pos) AS pos FROM m GROUP BY 1) USING (l_orderkey, pos)""")
+def merge_disagree_review(spark, sf_dir):
+    """The fold over all mentions of an order: a disagreement makes it one to review, a later clean mention settles it."""
+    found = resolve.fold(mentions(spark, sf_dir), ["l_orderkey"], ORDERED)
+    return found.select("l_orderkey", F.substring("event.start", 1, 10).alias("day"), F.col("event.needs_review").alias("needs_review"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, 's' || l_suppkey AS src FROM lineitem),
+f AS (SELECT l_orderkey, src, min(pos) AS pos FROM s GROUP BY ALL) SELECT l_orderkey, string_agg(src, ',' ORDER BY pos) AS sources FROM f GROUP BY 1""")
+def sources_union_distinct(spark, sf_dir):
+    found = resolve.fold(mentions(spark, sf_dir), ["l_orderkey"], ORDERED)
+    return found.select("l_orderkey", F.array_join("event.sources", ",").alias("sources"))
+
+
+READINGS = """r AS (SELECT o_custkey AS course_id, o_orderkey AS ord, CAST(o_orderdate AS DATE) AS read_at, o_orderstatus <> 'F' AS ok, o_orderpriority[1] = '5' AS part FROM orders),
+g AS (SELECT course_id, bool_or(ok AND NOT part) AS f, bool_or(ok AND part) AS p, min(ord) FILTER (NOT ok AND NOT part) AS failed, max(read_at) FILTER (ok) AS last_ok FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {READINGS} SELECT r.course_id, r.ord AS reading_ord, CASE WHEN f OR p THEN 'ok' WHEN failed IS NOT NULL THEN 'unreadable' ELSE 'not_read' END AS merged_status, (NOT f AND p) AS merged_partial,
+CAST(last_ok AS VARCHAR) AS merged_read_at, coalesce(CASE WHEN f OR p THEN ok ELSE ord = failed END, false) AS used FROM r JOIN g USING (course_id)""")
+def merge_readings_course(spark, sf_dir):
+    """Orders as readings of a customer: F failed, priority 5 partial."""
+    o = table(spark, sf_dir, "orders")
+    r = o.select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("reading_ord"), F.to_date("o_orderdate").cast("string").alias("read_at"), F.when(F.col("o_orderstatus") == "F", "error").otherwise("ok").alias("status"), F.col("o_orderpriority").startswith("5").alias("is_partial"))
+    return resolve.merge_readings(r).select("course_id", "reading_ord", "merged_status", "merged_partial", "merged_read_at", "used")
+
+
+# --- text ---------------------------------------------------------------------
+
+SLUG = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"SELECT p_partkey, {SLUG.format('p_name')} AS slug FROM part")
+def slug_titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug(T.clean_ascii(F.col("p_name"))).alias("slug"))
+
+
+@query(f"SELECT item_id, 'bench::' || {SLUG.format('text')} AS key FROM benchmark")
+def item_key(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.item_key(F.lit("bench"), T.clean_ascii(F.col("text"))).alias("key"))
+
+
+@query()
+def clean_text_docs(spark, sf_dir):
+    """NFKC, folded dashes and quotes, over whole documents; SQL has no NFKC."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+PHRASES = ("Quiz on {0}", "Essay draft", "Read chapter 3", "Homework TBD", "Lab before class", "Talk on Wednesday")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS dated FROM orders""")
+def date_hint_filter(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    text = F.element_at(F.array(F.concat(F.lit("Quiz on "), F.date_format("o_orderdate", "MMM d")), *map(F.lit, PHRASES[1:])), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return o.select("o_orderkey", T.has_date_hint(text).alias("dated"))
+
+
+TITLES = ("Midterm exam", "Final paper", "Final", "Lecture notes", "Lab session 2", "Reading")
+TITLE_SQL = "list_value('Midterm exam', 'Final paper', 'Final', 'Lecture notes', 'Lab session 2', 'Reading')[CAST(p_partkey % 6 AS INT) + 1]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {TITLE_SQL} AS t FROM part), e AS (SELECT *, regexp_matches(t, '(?i)\\b(exam|midterm|quiz|test)\\b') OR (regexp_matches(t, '(?i)^final\\b')
+AND NOT regexp_matches(t, '(?i)^final\\b.*\\b(project|paper|essay|portfolio|presentation|report|draft)\\b')) AS exam FROM t)
+SELECT p_partkey, CASE WHEN exam THEN 'exam' WHEN regexp_matches(t, '(?i)\\b(lecture|class meeting|class session|lab session|recitation|seminar meeting)\\b') THEN 'class' ELSE 'assignment' END AS page,
+CASE WHEN exam THEN 'exam' WHEN regexp_matches(t, '(?i)\\b(lecture|class|lab|recitation|seminar|office hours)\\b') THEN 'class' ELSE 'assignment' END AS feed,
+CASE WHEN regexp_matches(t, '(?i)\\b(exam|midterm|quiz|test|final)\\b') THEN 'exam' ELSE 'announcement' END AS mail FROM e""")
+def kind_classifier(spark, sf_dir):
+    t = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.kind_on_page(t, F.lit("assignments")).alias("page"), T.kind_in_feed(t).alias("feed"), T.kind_in_mail(t).alias("mail"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS s FROM conversations),
+c AS (SELECT conv_id, turn, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM m)
+SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM c WHERE s <> '' GROUP BY ALL""")
+def sentences(spark, sf_dir):
+    all_ = F.filter(F.transform(F.split("text", mail.SENTENCES), T.clean_ascii), lambda s: s != "")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(all_).alias("s"))
+    return c.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations) SELECT conv_id, role, turn, text FROM c WHERE n = 1""")
+def first_by_key(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id", "role").agg(F.min(F.struct("turn", "text")).alias("f")).select("conv_id", "role", "f.turn", "f.text")
+
+
+@query("""WITH x AS (SELECT n_nationkey, lower(n_name) AS n, string_split(lower(n_name), ' ') AS w FROM nation), p AS (SELECT p_partkey, lower(p_name) AS t FROM part)
+SELECT p_partkey, n_nationkey, 1.0::DOUBLE AS score FROM p JOIN x ON contains(t, n)
+UNION ALL SELECT p_partkey, -1, CASE WHEN contains(t, string_split(t, ' ')[1]) THEN 1.0 ELSE 0.0 END::DOUBLE FROM p""")
+def mention_score(spark, sf_dir):
+    """Nations named in part names (every part against the 25 nations, a query set), and each part's first word in its name."""
+    p = table(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("t"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", T.slug(F.col("n_name")).alias("n"))
+    named = p.join(F.broadcast(n), F.contains("t", "n")).select("p_partkey", "n_nationkey", T.mention_score(F.col("n"), F.col("t")).alias("score"))
+    own = p.select("p_partkey", F.lit(-1).alias("n_nationkey"), T.mention_score(F.split("t", " ")[0], F.col("t")).alias("score"))
+    return named.union(own)
+
+
+@query("""WITH m AS (SELECT o_orderkey AS mention_id, o_custkey % 40 AS c, CAST(o_totalprice AS BIGINT) % 7 AS a FROM orders), t AS (SELECT c, x FROM (SELECT DISTINCT o_custkey % 40 AS c FROM orders) CROSS JOIN range(0, 5) r(x)),
+s AS (SELECT mention_id, m.c, x, CASE WHEN x = a THEN 1.0 WHEN x = a - 2 OR (a = 5 AND x <= 1) THEN 0.8 ELSE 0.0 END AS score FROM m JOIN t ON m.c = t.c),
+b AS (SELECT mention_id, c, max(score) AS top FROM s GROUP BY ALL)
+SELECT 'c' || b.c AS course_id, b.mention_id, CAST(top AS DOUBLE) AS score, min('t' || x) AS title, CAST(count(*) AS BIGINT) AS n_best FROM b JOIN s ON s.mention_id = b.mention_id AND s.score = b.top WHERE top >= 0.55 GROUP BY ALL""")
+def title_match_ties(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    course = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("course_id")
+    m = o.select(course, F.col("o_orderkey").alias("mention_id"), (F.col("o_totalprice").cast("decimal(18,2)").cast("double")).alias("_p"), F.round("o_totalprice").cast("long").alias("_r"))
+    m = m.withColumn("a", F.bround("_p").cast("long") % 7)
+    t = o.select(course).distinct().withColumn("x", F.explode(F.array(*map(F.lit, range(5))))).withColumn("title", F.concat(F.lit("t"), F.col("x").cast("string")))
+    score = F.when(F.col("x") == F.col("a"), 1.0).when((F.col("x") == F.col("a") - 2) | ((F.col("a") == 5) & (F.col("x") <= 1)), 0.8).otherwise(0.0)
+    return resolve.match_titles(m, t, score).select("course_id", "mention_id", "score", "title", "n_best")
+
+
+@query("SELECT page_id, rtrim(regexp_replace(u, '([?&])(sid|session|token|_t)=[^&]*', '\\1', 'g'), '?&') AS url FROM (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'sid=' || page_id AS u FROM pages)")
+def url_clean(spark, sf_dir):
+    u = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("sid="), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_url(u).alias("url"))
+
+
+# --- dates ------------------------------------------------------------------------
+
+DAY = "CAST(o_orderdate AS DATE)"
+
+
+def dated(spark, sf_dir, text: Column, posted: Column | None = None) -> DataFrame:
+    """Orders with a phrase made of their date, read on the day before, and the phrase parsed."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    o = o.withColumns({"phrase": text, "seen": F.date_sub("d", 1), "tz": F.lit(NY)})
+    if posted is not None:
+        o = o.withColumn("posted", posted)
+    return date_text.parse(o, "phrase", "seen", "tz", "posted" if posted is not None else None)
+
+
+def _start(df: DataFrame, *more) -> DataFrame:
+    return df.select("o_orderkey", F.col("parsed.start").alias("start"), *more)
+
+
+SAME_DAY = f"SELECT o_orderkey, CAST({DAY} AS VARCHAR) AS start, {{0}}::DOUBLE AS confidence FROM orders"
+SURE = "parsed.confidence"
+
+
+@query(SAME_DAY.format("0.85"))
+def date_parse_md(spark, sf_dir):
+    return _start(dated(spark, sf_dir, F.concat(F.lit("due "), F.date_format("d", "MMMM d"))), SURE)
+
+
+@query(SAME_DAY.format("0.9"))
+def date_parse_iso(spark, sf_dir):
+    return _start(dated(spark, sf_dir, F.concat(F.lit("due "), F.date_format("d", "yyyy-MM-dd"))), SURE)
+
+
+@query(SAME_DAY.format("0.9"))
+def date_parse_numeric(spark, sf_dir):
+    return _start(dated(spark, sf_dir, F.date_format("d", "M/d/yyyy")), SURE)
+
+
+@query(SAME_DAY.format("0.9"))
+def date_parse_dm(spark, sf_dir):
+    return _start(dated(spark, sf_dir, F.concat(F.date_format("d", "d"), F.lit(" of "), F.date_format("d", "MMMM yyyy"))), SURE)
+
+
+YEARS = """c AS (SELECT o_orderkey, o_shift, ref, y, try_cast(y || '-' || lpad(CAST(month(d) AS VARCHAR), 2, '0') || '-' || lpad(CAST(day(d) AS VARCHAR), 2, '0') AS DATE) AS x
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 500 - 250 AS o_shift, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 500 - 250 AS INT) AS ref FROM orders), unnest([year(ref) - 1, year(ref), year(ref) + 1]) AS u(y))"""
+
+
+@query(f"WITH {YEARS} SELECT o_orderkey, CAST(coalesce(min(x) FILTER (x >= ref - 60), max(x)) AS VARCHAR) AS day FROM c GROUP BY 1")
+def date_year_window(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    ref = F.date_add("d", (F.col("o_orderkey") % 500 - 250).cast("int"))
+    return o.select("o_orderkey", D.infer_year(F.month("d"), F.dayofmonth("d"), ref).cast("string").alias("day"))
+
+
+@query(f"SELECT o_orderkey, CAST({DAY} AS VARCHAR) AS start, CAST(CASE WHEN day({DAY}) <= 26 THEN {DAY} + 2 ELSE {DAY} END AS VARCHAR) AS \"end\" FROM orders")
+def date_range_tail(spark, sf_dir):
+    tail = F.when(F.dayofmonth("d") <= 26, F.concat(F.lit(" to "), (F.dayofmonth("d") + 2).cast("string"))).otherwise("")
+    return _start(dated(spark, sf_dir, F.concat(F.date_format("d", "MMM d"), tail)), F.col("parsed.end").alias("end"))
+
+
+@query(f"SELECT o_orderkey, CAST({DAY} + 3 AS VARCHAR) AS start, CAST({DAY} AS VARCHAR) AS superseded, 0.75::DOUBLE AS confidence FROM orders")
+def date_inline_change(spark, sf_dir):
+    phrase = F.concat(F.lit("moved from "), F.date_format("d", "MMM d"), F.lit(" to "), F.date_format(F.date_add("d", 3), "MMM d"))
+    return _start(dated(spark, sf_dir, phrase), F.col("parsed.superseded").alias("superseded"), SURE)
+
+
+@query(f"SELECT o_orderkey, CAST({DAY} + CAST(CASE WHEN (4 - (isodow({DAY}) - 1) + 7) % 7 = 0 THEN 7 ELSE (4 - (isodow({DAY}) - 1) + 7) % 7 END AS INT) AS VARCHAR) AS start, CAST({DAY} + 1 AS VARCHAR) AS tomorrow FROM orders")
+def date_weekday_relative(spark, sf_dir):
+    found = dated(spark, sf_dir, F.lit("due Friday"), F.col("d"))
+    again = date_text.parse(found.withColumn("friday", F.col("parsed.start")).drop("parsed").withColumn("phrase", F.lit("tomorrow")), "phrase", "seen", "tz", "posted")
+    return again.select("o_orderkey", F.col("friday").alias("start"), F.col("parsed.start").alias("tomorrow"))
+
+
+@query(f"SELECT o_orderkey, isodow({DAY}) <> 1 AS needs_review, CASE WHEN isodow({DAY}) <> 1 THEN 0.3 ELSE 0.9 END::DOUBLE AS confidence FROM orders")
+def date_weekday_conflict(spark, sf_dir):
+    return dated(spark, sf_dir, F.concat(F.lit("Monday "), F.date_format("d", "MMM d"))).select("o_orderkey", F.col("parsed.needs_review").alias("needs_review"), SURE)
+
+
+VAGUE = ("TBD", "week of Oct 5", "end of the semester", "finals week", "midterm week", "every Tuesday", "before class", "soon")
+REASONS = ("date is TBD/TBA", "'week of' names a week, not a day", "vague period, not a date", "'finals week' without a date", "'midterm week' without a date", "recurring schedule; one-off events only", "relative to a class meeting, no date given", "no date found")
+REASON_SQL = ", ".join("'" + r.replace("'", "''") + "'" for r in REASONS)
+
+
+@query(f"SELECT o_orderkey, list_value({REASON_SQL})[CAST(o_orderkey % 8 AS INT) + 1] AS reason FROM orders")
+def date_review_phrases(spark, sf_dir):
+    phrase = F.element_at(F.array(*map(F.lit, VAGUE)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return dated(spark, sf_dir, phrase).filter("parsed.needs_review").select("o_orderkey", F.col("parsed.reason").alias("reason"))
+
+
+@query(f"""SELECT o_orderkey, CAST(epoch(timezone('{NY}', {DAY} + INTERVAL '23:59' HOUR TO MINUTE)) AS BIGINT) AS local_s,
+CAST(epoch(timezone('{PT}', {DAY} + INTERVAL '23:59' HOUR TO MINUTE)) AS BIGINT) AS pacific_s FROM orders""".replace("INTERVAL '23:59' HOUR TO MINUTE", "INTERVAL 1439 MINUTE"))
+def date_time_tz(spark, sf_dir):
+    """11:59 PM in the course's zone and in a stated one, as instants."""
+    day = F.date_format("d", "MMM d, yyyy")
+    one = dated(spark, sf_dir, F.concat(day, F.lit(" at 11:59 PM"))).select("o_orderkey", F.unix_timestamp(F.to_timestamp("parsed.start")).alias("local_s"))
+    two = dated(spark, sf_dir, F.concat(day, F.lit(" 11:59 pm PT"))).select("o_orderkey", F.unix_timestamp(F.to_timestamp("parsed.start")).alias("pacific_s"))
+    return one.join(two, "o_orderkey")
+
+
+FLAGS = {"explicit_year": 2, "weekday": 3, "changed": 5, "several": 7, "timed": 11, "zoned": 13}
+
+
+@query("""SELECT o_orderkey, CAST(round(least(0.98, 0.85 + CASE WHEN o_orderkey % 2 = 0 THEN 0.05 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 0.05 ELSE 0 END - CASE WHEN o_orderkey % 5 = 0 THEN 0.1 ELSE 0 END
+- CASE WHEN o_orderkey % 7 = 0 THEN 0.1 ELSE 0 END + CASE WHEN o_orderkey % 11 = 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN 0.1 ELSE 0.05 END ELSE 0 END), 2) AS DOUBLE) AS confidence FROM orders""")
+def date_confidence(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.confidence(**{k: F.col("o_orderkey") % m == 0 for k, m in FLAGS.items()}).alias("confidence"))
+
+
+@query(f"SELECT event_id, strftime(timezone('{NY}', ts AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S') || '-05:00' AS start FROM events")
+def exact_ts_to_course_tz(spark, sf_dir):
+    """All events are in January, when New York is five hours behind."""
+    return table(spark, sf_dir, "events").select("event_id", D.iso_local(F.col("ts").cast("timestamp"), F.lit(NY)).alias("start"))
+
+
+@query(f"SELECT o_orderkey, CAST({DAY} + 1 AS VARCHAR) AS exclusive, CAST({DAY} AS VARCHAR) AS inclusive FROM orders")
+def exclusive_end(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    after = D.exclusive_end(F.col("d"))
+    return o.select("o_orderkey", after.cast("string").alias("exclusive"), D.inclusive_end(F.col("d"), after).cast("string").alias("inclusive"))
+
+
+# --- plan, gate, commit -------------------------------------------------------------
+
+CHANGED = f"""{NIGHTS}, x AS (SELECT course_id, key, key AS before_key, CASE type WHEN 'missing' THEN 'removed' ELSE type END AS type, coalesce(after_start, before_start) AS start FROM ch
+WHERE type <> 'same' AND NOT (type IN ('added', 'missing') AND k % 20 = 2)
+UNION ALL SELECT c, c || '::' || t || ' revised', c || '::' || t, 'reworded', CAST(d AS VARCHAR) FROM o WHERE k % 20 = 2),
+led AS (SELECT c || '::' || t AS key, 'evt-' || k AS event_id FROM o WHERE k % 2 = 0),
+ops AS (SELECT x.course_id, x.key, x.type, x.start, CASE WHEN type = 'removed' THEN 'delete' WHEN coalesce(a.event_id, b.event_id) IS NOT NULL THEN 'update' ELSE 'create' END AS op,
+CASE WHEN type = 'removed' THEN a.event_id ELSE coalesce(a.event_id, b.event_id) END AS event_id, CASE WHEN type = 'reworded' THEN before_key END AS replaces_key
+FROM x LEFT JOIN led a ON a.key = x.key LEFT JOIN led b ON b.key = x.before_key WHERE type <> 'removed' OR a.event_id IS NOT NULL)"""
+
+
+def changed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Tonight's changes with rewordings told apart, and a ledger that has the even orders."""
+    prev, cur = nights(spark, sf_dir)
+    scratch = Scratch(spark)
+    on = ["course_id", "key"]
+    removed, added = prev.join(cur, on, "left_anti"), cur.join(prev, on, "left_anti")
+    paired, _ = scratch.write(diff.assign(diff.reword_pairs(removed, added), scratch), "reworded")
+    moved = diff.changes(prev, cur).filter("type = 'moved'").select("course_id", "key", F.col("key").alias("before_key"), "type", F.col("after.start").alias("start"))
+    new = added.join(paired.select("course_id", F.col("added").alias("key")), on, "left_anti").select("course_id", "key", F.col("key").alias("before_key"), F.lit("added").alias("type"), "start")
+    gone = removed.join(paired.select("course_id", F.col("removed").alias("key")), on, "left_anti").select("course_id", "key", F.col("key").alias("before_key"), F.lit("removed").alias("type"), "start")
+    renamed = added.join(paired.withColumnRenamed("added", "key"), on).select("course_id", "key", F.col("removed").alias("before_key"), F.lit("reworded").alias("type"), "start")
+    o = observed(spark, sf_dir).filter("k % 2 = 0")
+    ledger_ = o.select(F.concat_ws("::", "course_id", _title()).alias("key"), F.concat(F.lit("evt-"), F.col("k").cast("string")).alias("event_id"))
+    return moved.unionByName(new).unionByName(gone).unionByName(renamed), ledger_
+
+
+@query(f"WITH {CHANGED} SELECT course_id, key, type, op, event_id, replaces_key FROM ops")
+def plan_ops(spark, sf_dir):
+    return ledger.build_plan(*changed(spark, sf_dir)).select("course_id", "key", "type", "op", "event_id", "replaces_key")
+
+
+GATE_SQL = """CASE WHEN course_id = 'c7' THEN 'course unreadable' WHEN op IN ('update', 'delete') AND event_id IS NULL THEN 'no event id'
+WHEN op = 'delete' AND n_del > 2 AND 2 * n_del >= greatest(n_belief, 1) THEN 'mass deletion' WHEN op = 'delete' THEN ''
+WHEN CAST(start AS DATE) < DATE '1998-01-01' - 120 THEN 'too far past' WHEN CAST(start AS DATE) > DATE '1998-01-01' + 400 THEN 'too far ahead' ELSE '' END"""
+
+
+def _gated(spark, sf_dir):
+    ops = ledger.build_plan(*changed(spark, sf_dir))
+    prev, _ = nights(spark, sf_dir)
+    n = prev.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_belief"))
+    ops = ops.join(n, "course_id", "left").withColumns({"course_state": F.when(F.col("course_id") == "c7", "unreadable"), "has_change": F.lit(True), "needs_review": F.lit(False), "confidence": F.lit(0.9), "confirmed": F.lit(True), "start_day": F.to_date("start")})
+    return ops.withColumn("block_reason", ledger.block_reason(F.lit("1998-01-01").cast("date")))
+
+
+@query(f"""WITH {CHANGED}, n AS (SELECT course_id, count(*) AS n_belief FROM prev GROUP BY 1), g AS (SELECT ops.*, n_belief, count(*) FILTER (op = 'delete') OVER (PARTITION BY course_id) AS n_del FROM ops LEFT JOIN n USING (course_id))
+SELECT key, op, {GATE_SQL} AS block_reason FROM g""")
+def gate_reasons(spark, sf_dir):
+    return _gated(spark, sf_dir).select("key", "op", "block_reason")
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus = 'F' AS del FROM orders), n AS (SELECT *, count(*) FILTER (del) OVER (PARTITION BY c) AS d, count(*) OVER (PARTITION BY c) AS b FROM o)
+SELECT k, CASE WHEN del AND d > 2 AND 2 * d >= b THEN 'mass deletion' ELSE '' END AS block_reason FROM n""")
+def gate_mass_delete(spark, sf_dir):
+    """A customer's orders as a course's events, those of status F up for deletion."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("update").alias("op"))
+    n = o.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_belief"))
+    true = F.lit(True)
+    rows = o.join(n, "course_id").withColumns({"course_state": F.lit("ok"), "has_change": true, "needs_review": ~true, "confidence": F.lit(0.9), "event_id": F.lit("e"), "confirmed": true, "start_day": F.lit("1998-01-01").cast("date")})
+    return rows.select("k", ledger.block_reason(F.lit("1998-01-01").cast("date")).alias("block_reason"))
+
+
+RESULTS = "res AS (SELECT key, op, CASE WHEN length(key) % 9 = 0 THEN 'failed' ELSE 'ok' END AS status, coalesce(event_id, 'new-' || key) AS event_id FROM ops)"
+
+
+def _results(ops: DataFrame) -> DataFrame:
+    return ops.select("key", "op", F.when(F.length("key") % 9 == 0, "failed").otherwise("ok").alias("status"), F.coalesce("event_id", F.concat(F.lit("new-"), F.col("key"))).alias("event_id"))
+
+
+@query(f"""WITH {CHANGED}, {RESULTS}, done AS (SELECT ops.key, ops.op, replaces_key, res.event_id FROM ops JOIN res ON res.key = ops.key AND res.op = ops.op WHERE status = 'ok'),
+gone AS (SELECT key FROM done WHERE op = 'delete' UNION SELECT replaces_key FROM done WHERE replaces_key IS NOT NULL), kept AS (SELECT * FROM led ANTI JOIN gone USING (key))
+SELECT coalesce(d.key, k.key) AS key, coalesce(d.event_id, k.event_id) AS event_id FROM kept k FULL JOIN (SELECT * FROM done WHERE op <> 'delete') d ON d.key = k.key""")
+def commit_ledger(spark, sf_dir):
+    changes, old = changed(spark, sf_dir)
+    ops = ledger.build_plan(changes, old)
+    return ledger.apply_to_ledger(old, ops, _results(ops))
+
+
+@query(f"""WITH {CHANGED}, {RESULTS}, bad AS (SELECT ops.* FROM ops JOIN res ON res.key = ops.key AND res.op = ops.op WHERE status <> 'ok'), held AS (SELECT key FROM bad UNION SELECT replaces_key FROM bad WHERE replaces_key IS NOT NULL)
+SELECT key, title, CAST(start AS VARCHAR) AS start FROM cur WHERE key NOT IN (SELECT key FROM held) UNION ALL SELECT key, title, CAST(start AS VARCHAR) FROM prev WHERE key IN (SELECT key FROM held)""")
+def commit_belief(spark, sf_dir):
+    """Operations whose key has a length divisible by 9 failed; their items, and those they replace, stay as they were."""
+    ops = ledger.build_plan(*changed(spark, sf_dir)).withColumn("block_reason", F.lit(""))
+    prev, cur = nights(spark, sf_dir)
+    held, _ = Scratch(spark).write(ledger.held_keys(ops, _results(ops)), "held")
+    return ledger.commit_belief(prev, cur, held).select("key", "title", "start")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, event_id FROM e WHERE n = 1""")
+def partial_last_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    r = e.select(F.lit("run").alias("run_id"), F.col("user_id").alias("key"), F.col("event_type").alias("op"), F.struct("ts", "event_id").alias("seq"), "event_id")
+    return ledger.last_results(r).select(F.col("key").alias("user_id"), F.col("op").alias("event_type"), "event_id")
+
+
+@query("""WITH b AS (SELECT o_orderkey AS key, o_orderstatus AS t, o_orderkey % 3 = 0 AS resolved FROM orders WHERE o_orderkey % 4 <> 0), s AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS t FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT coalesce(b.key, s.key) AS key, coalesce(s.t, b.t) AS date_text, CASE WHEN b.key IS NULL THEN '2024-01-02' ELSE '2024-01-01' END AS first_seen, CASE WHEN s.key IS NULL THEN '2024-01-01' ELSE '2024-01-02' END AS last_seen,
+coalesce(b.resolved AND NOT (s.key IS NOT NULL AND s.t <> b.t), false) AS resolved, CASE WHEN b.resolved AND s.t <> b.t THEN '2024-01-02' END AS reopened_at FROM b FULL JOIN s ON b.key = s.key""")
+def review_bucket_merge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("t"))
+    none = F.lit(None).cast("string")
+    bucket = o.filter("key % 4 <> 0").select("key", F.col("t").alias("date_text"), F.lit("2024-01-01").alias("first_seen"), F.lit("2024-01-01").alias("last_seen"), (F.col("key") % 3 == 0).alias("resolved"), none.alias("reopened_at"))
+    seen = o.filter("key % 7 <> 0").select("key", F.when(F.col("key") % 5 == 0, "X").otherwise(F.col("t")).alias("date_text"))
+    return ledger.merge_review(bucket, seen, F.lit("2024-01-02"))
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type AS kind, user_id AS key FROM events WHERE ts < TIMESTAMP '2024-01-10'), r AS (SELECT event_type AS kind, user_id AS key, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT r.kind, r.key, event_id FROM r ANTI JOIN k ON k.kind = r.kind AND k.key = r.key WHERE n = 1""")
+def track_insert_if_absent(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("key"), "event_id", "ts")
+    split = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz").cast(dict(e.dtypes)["ts"])
+    return ledger.insert_if_absent(e.filter(split), e.filter(~split), ["ts", "event_id"]).select("kind", "key", "event_id")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Exam: ' WHEN 1 THEN '' ELSE 'Due: ' END || 'Order ' || o_orderkey || ' (' || o_orderpriority || ')' AS summary, CASE o_orderkey % 3 WHEN 1 THEN '7' ELSE '11' END AS color FROM orders")
+def op_summary(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("exam"), F.lit("class"), F.lit("assignment")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.summary(kind, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.col("o_orderpriority")).alias("summary"), ledger.color(kind).alias("color"))
+
+
+@query("SELECT s_suppkey, 'Source: ' || s_name || chr(10) || 'Assumption: balance' || chr(10) || 'Confidence: 0.85' || chr(10) || 'key: ' || s_suppkey AS description FROM supplier")
+def op_description(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", ledger.description(F.array("s_name"), F.array(F.lit("balance")), F.lit(0.85), F.col("s_suppkey").cast("string")).alias("description"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n, o_orderstatus AS s FROM orders) SELECT k AS key, CASE s WHEN 'O' THEN 'create' WHEN 'F' THEN 'update' ELSE 'delete' END AS op,
+CASE WHEN s = 'O' THEN 'evt-' || (1000 + n - 1) ELSE 'evt-' || (k % 100) END AS event_id, CASE WHEN s = 'O' OR k % 100 < 50 THEN 'ok' ELSE 'failed' END AS status FROM o""")
+def calendar_apply(spark, sf_dir):
+    """A calendar that knows events 0 to 49 answers creations with ids from 1000 on."""
+    o = table(spark, sf_dir, "orders")
+    op = F.when(F.col("o_orderstatus") == "O", "create").when(F.col("o_orderstatus") == "F", "update").otherwise("delete")
+    ops = o.select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("op_ord"), op.alias("op"), F.concat(F.lit("evt-"), (F.col("o_orderkey") % 100).cast("string")).alias("event_id"))
+    return ledger.create_events(ops, spark.range(50).select(F.concat(F.lit("evt-"), F.col("id").cast("string")).alias("event_id")), 1000)
+
+
+# --- reports -----------------------------------------------------------------------------
+
+
+def _belief(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start_day"))
+
+
+@query(f"SELECT o_orderkey, CAST({DAY} AS VARCHAR) AS day FROM orders WHERE {DAY} BETWEEN DATE '1998-01-01' AND DATE '1998-01-01' + 49")
+def digest_upcoming(spark, sf_dir):
+    return reports.upcoming(_belief(spark, sf_dir), F.lit("1998-01-01").cast("date")).select("o_orderkey", F.col("start_day").cast("string").alias("day"))
+
+
+@query(f"SELECT o_orderkey, CAST({DAY} AS VARCHAR) AS day FROM orders WHERE {DAY} BETWEEN DATE '1998-01-01' - 49 AND DATE '1998-01-01'")
+def digest_recent(spark, sf_dir):
+    return reports.recent(_belief(spark, sf_dir), F.lit("1998-01-01").cast("date")).select("o_orderkey", F.col("start_day").cast("string").alias("day"))
+
+
+CHANGE_LOG = """l AS (SELECT user_id AS course_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, CASE event_type WHEN 'click' THEN 'moved' WHEN 'signup' THEN 'added' ELSE 'reworded' END AS type FROM events),
+v AS (SELECT l.course_id, CAST(count(*) FILTER (type = 'moved') AS BIGINT) AS n_moved, CAST(count(*) AS BIGINT) AS n_changes FROM l JOIN (SELECT course_id, min(run_id) AS f FROM l GROUP BY 1) USING (course_id) WHERE NOT (type = 'added' AND run_id = f) GROUP BY 1)"""
+
+
+def _log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("course_id"), F.to_date("ts").cast("string").alias("run_id"), F.when(F.col("event_type") == "click", "moved").when(F.col("event_type") == "signup", "added").otherwise("reworded").alias("type"))
+
+
+@query(f"WITH {CHANGE_LOG} SELECT * FROM v")
+def digest_volatility(spark, sf_dir):
+    return reports.volatility(_log(spark, sf_dir))
+
+
+@query(f"WITH {CHANGE_LOG} SELECT * FROM v ORDER BY n_moved DESC, n_changes DESC, course_id LIMIT 1")
+def most_volatile(spark, sf_dir):
+    return reports.most_volatile(reports.volatility(_log(spark, sf_dir)))
+
+
+@query(f"WITH {CHANGE_LOG} SELECT course_id, type, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY ROLLUP (course_id, type)")
+def volatility_rollup(spark, sf_dir):
+    return _log(spark, sf_dir).rollup("course_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+SEARCH = "WITH r AS (SELECT p_partkey, CASE WHEN 'part::' || p_partkey = '{0}' THEN 1 WHEN lower(p_name) = lower('{0}') THEN 2 WHEN contains(lower(p_name), lower('{0}')) OR contains('part::' || p_partkey, lower('{0}')) THEN 3 END AS rung FROM part) SELECT p_partkey, CAST(rung AS INT) AS rung FROM r WHERE rung = (SELECT min(rung) FROM r)"
+
+
+@query(f"SELECT * FROM ({SEARCH.format('part::17')}) UNION ALL SELECT * FROM ({SEARCH.format('Green')})")
+def why_search_ladder(spark, sf_dir):
+    b = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("key"))
+    return reports.search(b, "part::17").select("p_partkey", "rung").union(reports.search(b, "Green").select("p_partkey", "rung"))
+
+
+@query("""SELECT DISTINCT event_id, c.c_custkey AS item FROM events e JOIN customer c ON e.user_id = c.c_custkey OR e.event_id % 997 = c.c_custkey OR e.event_id % 499 = c.c_custkey""")
+def item_history(spark, sf_dir):
+    """Events as changes that name a customer as their key, or before, or after."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), (F.col("event_id") % 997).alias("before_key"), (F.col("event_id") % 499).alias("after_key"))
+    return reports.item_history(e, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))).select("event_id", "item")
+
+
+NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+@query(f"""WITH h AS (SELECT o_orderkey, sha1(unhex('{NAMESPACE}') || encode('run|moved|' || o_orderkey)) AS h FROM orders) SELECT o_orderkey,
+h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17:17]), 1) || h[18:20] || '-' || h[21:32] AS uuid FROM h""")
+def episode_uuid(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", reports.uuid5(NAMESPACE, F.concat(F.lit("run|moved|"), F.col("o_orderkey").cast("string"))).alias("uuid"))
+
+
+@query("SELECT r_name AS course_id, CAST(count(*) AS BIGINT) AS n, string_agg(n_name, ',' ORDER BY n_name) AS titles FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def episode_json(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    b = n.select(F.col("r_name").alias("course_id"), F.lit("2024-01-01").alias("start"), F.col("n_name").alias("title"), F.lit("exam").alias("kind"), F.lit("2024-01-01").alias("end"), F.lit(True).alias("all_day"))
+    items = F.from_json("body", "id string, items array<struct<title:string>>")["items"]
+    return reports.snapshot_json(b).select("course_id", F.size(items).cast("long").alias("n"), F.array_join(F.transform(items, lambda x: x["title"]), ",").alias("titles"))
+
+
+@query(f"""WITH {NIGHTS} SELECT key, CASE type WHEN 'moved' THEN 'In ' || course_id || ' the exam ''' || key || ''' moved from ' || before_start || ' to ' || after_start || ', seen on 2024-01-02.'
+WHEN 'added' THEN 'In ' || course_id || ' a new exam ''' || key || ''' is scheduled for ' || after_start || ', first seen on 2024-01-02.' ELSE 'In ' || course_id || ' the exam ''' || key || ''' of ' || before_start || ' was removed, confirmed on 2024-01-02.' END AS body FROM ch WHERE type <> 'same'""")
+def episode_text(spark, sf_dir):
+    c = _changes(spark, sf_dir)
+    kind = F.when(F.col("type") == "missing", "removed").otherwise(F.col("type"))
+    return c.select("key", reports.episode_body(F.col("course_id"), F.lit("exam"), kind, F.col("key"), F.col("before_start"), F.col("after_start"), F.lit("2024-01-02")).alias("body"))
+
+
+@query("SELECT item_id, substr(sha1(text), 1, 12) AS hash FROM benchmark")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", reports.content_hash(F.col("text")).alias("hash"))
+
+
+@query("""SELECT user_id AS course_id, event_type AS concept, CAST(arg_max(event_id % 4, (ts, event_id)) AS BIGINT) AS score, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")
+def mastery_latest(spark, sf_dir):
+    return _mastery(spark, sf_dir).select("course_id", "concept", "score", "n")
+
+
+def _mastery(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("course_id"), F.col("event_type").alias("concept"), F.col("ts").alias("at"), F.col("event_id").alias("pos"), (F.col("event_id") % 4).alias("score"))
+    return reports.mastery_latest(reports.valid_scores(e))
+
+
+@query("""WITH l AS (SELECT user_id AS course_id, event_type AS concept, CAST(arg_max(event_id % 4, (ts, event_id)) AS BIGINT) AS score FROM events GROUP BY ALL) SELECT * FROM l WHERE score < 2""")
+def mastery_weak(spark, sf_dir):
+    return reports.weak(_mastery(spark, sf_dir)).select("course_id", "concept", "score")
+
+
+# --- slots ---------------------------------------------------------------------------------
+
+EXAMS = """x AS (SELECT n_nationkey AS course_id, e, DATE '2024-01-15' + CAST(40 * (e + 1) + n_nationkey AS INT) AS exam_day FROM nation, range(0, 3) r(e)),
+s AS (SELECT course_id, e AS seg, coalesce(lag(exam_day) OVER (PARTITION BY course_id ORDER BY e) + 1, DATE '2024-01-15') AS a, exam_day - 1 AS b FROM x),
+d AS (SELECT course_id, seg, CAST(day AS DATE) AS day FROM s, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) u(day) WHERE isodow(day) IN (1, 3)),
+z AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY day) AS n, row_number() OVER (PARTITION BY course_id, seg ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY course_id, seg) AS size FROM d)"""
+
+
+def _slots(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("course_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("e"))
+    start = F.lit("2024-01-15").cast("date")
+    x = n.select("course_id", F.concat(F.lit("Exam "), F.col("e").cast("string")).alias("title"), F.date_add(start, 40 * (F.col("e") + 1) + F.col("course_id")).alias("exam_day"))
+    return slots.numbered(slots.session_slots(slots.segments(x, start), [0, 2]))
+
+
+@query(f"WITH {EXAMS} SELECT course_id, CAST(seg AS INT) AS seg, CAST(day AS VARCHAR) AS day, CAST(n AS INT) AS n, (size > 1 AND k = size - 1) AS is_review FROM z")
+def session_slots(spark, sf_dir):
+    return _slots(spark, sf_dir).select("course_id", "seg", F.col("day").cast("string").alias("day"), "n", "is_review")
+
+
+@query(f"""WITH {EXAMS}, g AS (SELECT DISTINCT course_id, seg, size FROM z), r AS (SELECT *, CAST(round_even(37 * size / CAST(sum(size) OVER (PARTITION BY course_id) AS DOUBLE), 0) AS BIGINT) AS x, max(seg) OVER (PARTITION BY course_id) AS l FROM g)
+SELECT course_id, CAST(seg AS INT) AS seg, CAST(CASE WHEN seg = l THEN 37 - coalesce(sum(x) OVER (PARTITION BY course_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE x END AS BIGINT) AS share FROM r""")
+def topic_shares(spark, sf_dir):
+    sizes = _slots(spark, sf_dir).groupBy("course_id", "seg").agg(F.first("size").alias("size"))
+    return slots.shares(sizes, F.lit(37).cast("long")).select("course_id", "seg", F.col("share").cast("long").alias("share"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS m FROM part) SELECT p_partkey, CAST(least(11, i * 12 // m) AS BIGINT) AS slot FROM p""")
+def topic_spread(spark, sf_dir):
+    by = Window.partitionBy("p_brand")
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.row_number().over(by.orderBy("p_partkey")) - 1).alias("i"), F.count(F.lit(1)).over(by).alias("m"))
+    return p.select("p_partkey", slots.topic_slot(F.col("i"), F.lit(12), F.col("m")).cast("long").alias("slot"))
+
+
+# --- check-in --------------------------------------------------------------------------------
+
+NOW_SQL = "date_part('hour', ts) * 60 + date_part('minute', ts)"
+
+
+def _at(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.withColumns({"day": F.to_date("ts"), "minute": F.hour("ts") * 60 + F.minute("ts")})
+
+
+@query(f"""SELECT event_id, CASE WHEN isodow(ts) IN (6, 7) THEN NULL WHEN event_type = 'signup' THEN 'all_clear' WHEN {NOW_SQL} >= 1290 + 90 THEN 'missed' WHEN {NOW_SQL} >= 1290 THEN 'remind' ELSE 'wait' END AS action FROM events""")
+def checkin_action(spark, sf_dir):
+    """Each event as a moment at which the planner runs: due 21:30 on weekdays, 90 minutes' grace."""
+    scheduled = F.array_contains(F.array(*map(F.lit, checkin.DAYS[:5])), checkin.day_name(F.col("day")))
+    return _at(spark, sf_dir).select("event_id", checkin.action(F.col("minute"), checkin.minutes(F.lit("21:30")), F.lit(90), F.col("event_type") == "signup", scheduled).alias("action"))
+
+
+SENT = """sent AS (SELECT 'missed:' || CAST(ts AS DATE) || ':' || user_id || ':' || event_id AS key, CASE event_type WHEN 'click' THEN 'missed' WHEN 'error' THEN 'clear' ELSE 'share' END AS kind, CAST(user_id AS VARCHAR) AS "to", CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CAST(ts AS DATE) AS day FROM events)"""
+
+
+def _sent(spark, sf_dir):
+    e = _at(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "click", "missed").when(F.col("event_type") == "error", "clear").otherwise("share")
+    return e.select(F.concat_ws(":", F.lit("missed"), F.col("day").cast("string"), F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("key"), kind.alias("kind"), F.col("user_id").cast("string").alias("to"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("ok").alias("status"), "day")
+
+
+@query(f"""WITH {SENT}, c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS contact FROM events) SELECT contact, 'clear:2024-01-10:' || contact AS key FROM c WHERE contact IN (SELECT "to" FROM sent WHERE status = 'ok' AND kind = 'missed' AND day = DATE '2024-01-10')""")
+def checkin_allclear(spark, sf_dir):
+    contacts = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("contact")).distinct()
+    return checkin.all_clears(contacts, _sent(spark, sf_dir), F.lit("2024-01-10").cast("date"))
+
+
+@query(f"""WITH {SENT}, m AS (SELECT DISTINCT 'share:2024-W02:' || user_id AS key, 'share' AS kind, CAST(user_id AS VARCHAR) AS "to" FROM events), u AS (SELECT "to", count(*) AS n FROM sent WHERE status = 'ok' AND kind <> 'clear' AND day = DATE '2024-01-10' GROUP BY 1)
+SELECT m.key, m.kind, m."to", CASE WHEN coalesce(n, 0) >= 2 THEN 'daily cap reached for ' || m."to" END AS blocked FROM m LEFT JOIN u ON u."to" = m."to" """)
+def daily_cap(spark, sf_dir):
+    u = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("to")).distinct()
+    messages = u.select(F.concat(F.lit("share:2024-W02:"), F.col("to")).alias("key"), F.lit("share").alias("kind"), "to")
+    return checkin.gated(messages, _sent(spark, sf_dir), F.lit("2024-01-10").cast("date"))
+
+
+@query("SELECT o_orderkey, 'share:' || isoyear(o_orderdate) || '-W' || lpad(CAST(week(o_orderdate) AS VARCHAR), 2, '0') || ':' || o_custkey AS key FROM orders")
+def weekly_share_key(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", checkin.share_key(F.to_date("o_orderdate"), F.col("o_custkey").cast("string")).alias("key"))
+
+
+@query(f"SELECT event_id, ({NOW_SQL} >= 1320 OR {NOW_SQL} < 420) AS overnight, ({NOW_SQL} >= 780 AND {NOW_SQL} < 840) AS midday FROM events")
+def quiet_hours(spark, sf_dir):
+    quiet = lambda a, b: checkin.in_quiet_hours(F.col("minute"), checkin.minutes(F.lit(a)), checkin.minutes(F.lit(b)))
+    return _at(spark, sf_dir).select("event_id", quiet("22:00", "07:00").alias("overnight"), quiet("13:00", "14:00").alias("midday"))
+
+
+@query("""WITH e AS (SELECT user_id AS person, CAST(ts AS DATE) AS day, event_id AS "at" FROM events WHERE event_type = 'signup' AND CAST(ts AS DATE) <= DATE '2024-01-15') SELECT person, CAST(max(day) AS VARCHAR) AS day, arg_max("at", (day, "at")) AS "at" FROM e GROUP BY 1""")
+def last_checkin_before(spark, sf_dir):
+    c = _at(spark, sf_dir).filter("event_type = 'signup'").select(F.col("user_id").alias("person"), "day", F.col("event_id").alias("at"))
+    return checkin.last_checkin(c, F.lit("2024-01-15").cast("date")).select("person", F.col("day").cast("string").alias("day"), "at")
+
+
+# --- sources ------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links FROM pages""")
+def html_title_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"))
+
+
+@query()
+def html_visible_text(spark, sf_dir):
+    """Text of each page outside scripts, styles and navigation; SQL has no tolerant parser."""
+    return table(spark, sf_dir, "pages").select("page_id", html_items.visible(F.col("html")).alias("text"))
+
+
+@query(f"SELECT o_orderkey, 'Homework ' || o_orderkey AS title, CAST({DAY} AS VARCHAR) AS date_text, 'https://x.test/a?id=' || o_orderkey AS url, 'assignment' AS kind FROM orders")
+def html_items_rendered(spark, sf_dir):
+    """A page for each order, written and read back; its menu and head hold dates that don't count."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
+    key = F.col("o_orderkey").cast("string")
+    page = F.concat(F.lit('<html><body><nav><li>Oct 1</li></nav><h2>Assignments</h2><ul><li class="assignment"><a class="title" href="/a?id='), key, F.lit("&sid=zz9\">Homework "), key, F.lit('</a><p>note<span class="due">'), F.col("day"), F.lit('</span></li></ul><footer>Generated 2020-01-01</footer></body></html>'))
+    found = o.withColumn("r", html_items.items_of(page, F.lit("https://x.test/p"))).select("o_orderkey", F.lit("https://x.test/p").alias("source_url"), F.explode("r.items").alias("i")).select("o_orderkey", "source_url", "i.*")
+    return html_items.finish(found).select("o_orderkey", "title", "date_text", "url", "kind")
+
+
+@query("""SELECT event_id AS title_id, 'assignment' AS kind, 'due ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date_text FROM events WHERE event_type <> 'error'
+UNION ALL SELECT CAST(json_extract(props, '$.k') AS BIGINT), 'other', '2024-02-01 to 2024-02-01' FROM events WHERE event_type = 'error'""")
+def rest_json_items(spark, sf_dir):
+    """Events as assignments, errors among them as all-day calendar events titled by their JSON."""
+    e = table(spark, sf_dir, "events").withColumn("course_id", F.lit("c"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    none = F.lit(None).cast("string")
+    a = e.filter("event_type <> 'error'").select("course_id", F.concat(F.lit("HW "), F.col("event_id").cast("string")).alias("name"), stamp.alias("due_at"), none.alias("html_url"), F.lit(True).alias("published"))
+    n = spark.createDataFrame([], "course_id string, " + rest_json.ANNOUNCEMENT)
+    v = e.filter("event_type = 'error'").select("course_id", F.concat(F.lit("Day "), F.get_json_object("props", "$.k")).alias("title"), stamp.alias("start_at"), none.alias("end_at"), F.lit(True).alias("all_day"), F.lit("2024-02-01").alias("all_day_date"), none.alias("html_url"), none.alias("description"))
+    return rest_json.items(a, n, v).select(F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("title_id"), "kind", "date_text")
+
+
+@query(f"SELECT event_id, 'Quiz ' || event_id AS title, 'exam' AS kind, strftime(timezone('{NY}', date_trunc('second', ts) AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S') || '-05:00' AS start FROM events")
+def ical_decode(spark, sf_dir):
+    """A feed for each event, with a folded line and a decorated summary, decoded."""
+    e = table(spark, sf_dir, "events")
+    key = F.col("event_id").cast("string")
+    feed = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:Quiz "), key, F.lit(" - D\r\n ue\r\nDTSTART:"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    found = ical.items(e.select(key.alias("course_id"), F.lit("u").alias("source_url"), F.lit(NY).alias("timezone"), feed.alias("text")))
+    return found.select(F.col("course_id").cast("long").alias("event_id"), "title", "kind", "start")
+
+
+@query(f"SELECT o_orderkey, 'Homework ' || o_orderkey % 10 AS title, 'announcement' AS kind, CAST({DAY} AS VARCHAR) AS posted_at FROM orders")
+def mail_items(spark, sf_dir):
+    """A mail for each order that moves one of ten known items, parsed and matched."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("course_id"))
+    name = F.concat(F.lit("Homework "), (F.col("o_orderkey") % 10).cast("string"))
+    raw = F.concat(F.lit("Subject: Re: [X] news\r\nFrom: p@x.test\r\nDate: "), F.date_format("d", "dd MMM yyyy"), F.lit(" 10:00:00 +0000\r\nContent-Type: text/plain\r\n\r\nHello all.\n\n"), name, F.lit(" is moved from Oct 14 to Oct 16. See you.\r\n")).cast("binary")
+    mails = o.withColumn("p", mail.parsed(raw)).select("course_id", F.col("o_orderkey").alias("mail_id"), "p.subject", "p.sent", "p.body")
+    return mail.items(mails, o.select("course_id", name.alias("title"))).select(F.col("mail_id").alias("o_orderkey"), "title", "kind", "posted_at")
