@@ -1,14 +1,12 @@
-"""What the operators of this package share: scratch tables, bounded samples, let-binding."""
+"""What the operators of this package share: bounded samples, let-binding."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch  # noqa: F401 - the operators' tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,51 +27,6 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own.
-
-    Only where neither is set (a single machine, as in tests) a temporary one is made.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        where = own.get()
-    if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coursewatch-"))
-        where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage, in the shared folder.
-
-    A table is re-read from storage after the loss of any executor, and unlike
-    a checkpoint of an RDD it is computed once and keeps its statistics.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/coursewatch-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self.drop, self.root)
-
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
-
-    def write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, path: str) -> None:
-        try:
-            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may have ended; the folder is temporary
-            pass
-
-
 def bounded_sample(df: DataFrame, group: str, key: Column, n: int, seed: int) -> DataFrame:
     """About ``n`` rows of each value of ``group``, all of them where there are fewer.
 
