@@ -8,6 +8,9 @@ by a hash of its id, so the kept tokens have the target shares on average.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,27 +27,27 @@ TOLERANCE = 1e-4
 SEED = 23
 MISSING = "(none)"
 
-TOPICS = (
-    # name, pattern; the first that occurs wins
-    ("legal", r"(?i)licen[sc]e|copyright|all rights reserved"),
-    ("contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}|\+\d{1,3} \(?\d"),
-    ("table", r" \| [^\n|]* \| "),
-    ("code", r"[A-Za-z_]\w* = [\"']|[{};]\n"),
-)
-
-
 def topic(text: Column) -> Column:
-    """What kind of text it is, by pattern; 'prose' for the rest and for null."""
-    case = None
-    for name, pattern in TOPICS:
-        case = (F if case is None else case).when(text.rlike(pattern), F.lit(name))
-    return case.otherwise(F.lit("prose"))
+    """What kind of text it is; 'prose' for the rest and for null. The first kind that holds wins.
+
+    Plain substrings are looked for first: a pattern runs only where its rarest
+    character occurs.
+    """
+    low = F.lower(text)
+    has = lambda c, *parts: F.coalesce(reduce(or_, (F.contains(c, F.lit(p)) for p in parts)), F.lit(False))
+    return (
+        F.when(has(low, "license", "licence", "copyright", "all rights reserved"), "legal")
+        .when(has(text, "@") & text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), "contact")
+        .when(has(text, " (") & has(text, "+") & text.rlike(r"\+\d{1,3} \(?\d"), "contact")
+        .when(has(text, " | ") & text.rlike(r" \| [^\n|]* \| "), "table")
+        .when(has(text, ' = "', " = '", "{\n", "}\n", ";\n"), "code")
+        .otherwise("prose")
+    )
 
 
 def n_tokens(text: Column) -> Column:
-    """Words, 1 at least, so that an empty document can be kept too."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.greatest(F.size(F.split(bare, r"\s+")), F.lit(1)).cast("double")
+    """Pieces between spaces and line ends, 1 at least, so that an empty document can be kept too."""
+    return F.size(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), " ")).cast("double")
 
 
 def axis(name: str) -> Column:
