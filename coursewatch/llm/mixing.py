@@ -40,14 +40,14 @@ def topic(text: Column) -> Column:
         .when(has(text, "@") & text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), "contact")
         .when(has(text, " (") & has(text, "+") & text.rlike(r"\+\d{1,3} \(?\d"), "contact")
         .when(has(text, " | ") & text.rlike(r" \| [^\n|]* \| "), "table")
-        .when(has(text, ' = "', " = '", "{\n", "}\n", ";\n"), "code")
+        .when(has(text, ' = "', " = '") & text.rlike(r"[A-Za-z_]\w* = [\"']") | has(text, "{\n", "}\n", ";\n"), "code")
         .otherwise("prose")
     )
 
 
 def n_tokens(text: Column) -> Column:
-    """Pieces between spaces and line ends, 1 at least, so that an empty document can be kept too."""
-    return F.size(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), " ")).cast("double")
+    """Words, 1 at least, so that an empty document can be kept too."""
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("double")
 
 
 def axis(name: str) -> Column:
