@@ -109,6 +109,35 @@ class Model:
         return score
 
 
+def _common_features(words: list[str], texts_of: np.ndarray, part: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and owners, by owner, of the features that enough texts have; and how many each word has in all."""
+    counts, per_word = np.zeros(1 << BITS), np.zeros(len(words), np.float32)
+    for lo in range(0, len(words), part):
+        bucket, owner = subwords(words[lo : lo + part])
+        counts += np.bincount(bucket, texts_of[lo + owner], 1 << BITS)
+        per_word[lo : lo + part] = np.bincount(owner, minlength=len(words[lo : lo + part]))
+    kept = []
+    for lo in range(0, len(words), part):
+        bucket, owner = subwords(words[lo : lo + part])
+        common = counts[bucket] >= LEAST_TEXTS
+        bucket, owner = bucket[common], owner[common]
+        order = np.argsort(owner, kind="stable")
+        kept.append((bucket[order].astype(np.int32), (owner[order] + lo).astype(np.int32)))
+    return np.concatenate([b for b, _ in kept]), np.concatenate([o for _, o in kept]), per_word[:, None]
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, part: int = 1 << 17) -> np.ndarray:
+    """np.add.reduceat(rows[index], starts) without all of rows[index] at once."""
+    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    ends = np.append(starts[1:], len(index))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + part, side="right")))
+        out[lo:hi] = np.add.reduceat(rows[index[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo])
+        lo = hi
+    return out
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     """Full-batch Adam over embeddings and softmax together. Without both labels, the model always says their share."""
     rng = np.random.default_rng(seed)
@@ -118,29 +147,30 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     if len(y) == 0 or y.min() == y.max() or not any(map(words_of, texts)):
         return Model(np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2), np.float32), prior)
     index: dict[str, int] = {}
-    docs = [[index.setdefault(w, len(index)) for w in words_of(t)] or [index.setdefault("", len(index))] for t in texts]
-    bucket, owner = subwords(list(index))
-    by_owner = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[by_owner], owner[by_owner]
-    per_word = np.bincount(owner, minlength=len(index)).astype(np.float32)[:, None]
-    texts_of = np.bincount(np.fromiter((w for d in docs for w in set(d)), np.int64), minlength=len(index))
-    common = np.bincount(bucket, texts_of[owner], 1 << BITS) >= LEAST_TEXTS
-    bucket, owner = bucket[common[bucket]], owner[common[bucket]]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)] or [index.setdefault("", len(index))], np.int32) for t in texts]
+    vocabulary = list(index)
+    texts_of = np.zeros(len(index), np.int64)
+    for d in docs:
+        texts_of[np.unique(d)] += 1
+    bucket, owner, per_word = _common_features(vocabulary, texts_of)
     rich, own_at = np.unique(owner, return_index=True)  # words with a feature that is learned
     used, local = np.unique(bucket, return_inverse=True)
-    by_bucket = np.argsort(local, kind="stable")
+    local = local.astype(np.int32)
+    by_bucket = np.argsort(local, kind="stable").astype(np.int32)
     bucket_at = np.searchsorted(local[by_bucket], np.arange(len(used)))
-    tokens = np.concatenate([np.asarray(d, np.int64) for d in docs])
+    bucket_owner = owner[by_bucket]
+    tokens = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     first = np.cumsum(lengths) - lengths
     passage = np.concatenate([np.arange(f, f + n, PASSAGE) for f, n in zip(first, lengths, strict=True)])
     per_passage = np.diff(np.append(passage, len(tokens))).astype(np.float32)[:, None]
     doc_of = np.searchsorted(first, passage, side="right") - 1
     doc_at = np.searchsorted(doc_of, np.arange(len(docs)))
-    passage_of = np.repeat(np.arange(len(passage)), per_passage[:, 0].astype(np.int64))
     by_word = np.argsort(tokens, kind="stable")
     seen = np.bincount(tokens, minlength=len(index))
     word_at = np.cumsum(seen) - seen
+    passage_by_word = np.repeat(np.arange(len(passage), dtype=np.int32), per_passage[:, 0].astype(np.int64))[by_word]
+    del docs, by_bucket, by_word, vocabulary, index
     weight = np.where(y == 1, TOXIC_WEIGHT / y.sum(), (1 - TOXIC_WEIGHT) / (1 - y).sum()).astype(np.float32)
 
     E = (rng.standard_normal((len(used), DIM)) * 0.1).astype(np.float32)
@@ -148,9 +178,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     b = np.zeros(2, np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (E, U, b)]
     for step in range(1, STEPS + 1):
-        W = np.zeros((len(index), DIM), np.float32)
-        W[rich] = np.add.reduceat(E[local], own_at) / per_word[rich]
-        V = np.add.reduceat(W[tokens], passage) / per_passage
+        W = np.zeros((len(per_word), DIM), np.float32)
+        W[rich] = _sums(E, local, own_at) / per_word[rich]
+        V = _sums(W, tokens, passage) / per_passage
         z = V @ U + b
         d = z[:, 1] - z[:, 0]
         sharp = 0.5 * 16 ** min(1.0, 1.5 * step / STEPS)
@@ -162,8 +192,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         gd = (weight * (p - y))[doc_of] * a * (1 + sharp * (d - pooled[doc_of]))
         gz = np.stack([-gd, gd], 1).astype(np.float32)
         gV = gz @ U.T / per_passage
-        gW = np.add.reduceat(gV[passage_of[by_word]], word_at) / per_word
-        gE = np.add.reduceat(gW[owner[by_bucket]], bucket_at) + DECAY * E / len(docs)
+        gW = _sums(gV, passage_by_word, word_at) / per_word
+        gE = _sums(gW, bucket_owner, bucket_at) + DECAY * E / len(lengths)
         for param, grad, (m, v) in zip((E, U, b), (gE, V.T @ gz, gz.sum(0)), state, strict=True):
             m *= 0.9
             m += 0.1 * grad
