@@ -18,8 +18,8 @@ def removal_counter(reads: DataFrame) -> DataFrame:
     """reads: a stream of (key, day, present), one row for each successful read of a believed key, to confirmed removals.
 
     State can't see silence, so absences come as rows. A key that is seen
-    starts anew, a second row of a day doesn't count, and a confirmed key's
-    state goes.
+    starts anew and its state goes, a second row of a day doesn't count, and a
+    confirmed key isn't confirmed again before it is seen.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,11 +29,10 @@ def removal_counter(reads: DataFrame) -> DataFrame:
         for day, present in rows:
             if present:
                 count, first, last = 0, None, None
-            elif last is None or date.fromisoformat(last) < day:
+            elif count < CONFIRMATIONS and (last is None or date.fromisoformat(last) < day):
                 count, first, last = count + 1, first or day.isoformat(), day.isoformat()
                 if count == CONFIRMATIONS:
                     done.append((key[0], date.fromisoformat(first), day))
-                    count, first, last = 0, None, None
         if count:
             state.update((count, first, last))
         elif state.exists:
