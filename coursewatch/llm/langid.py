@@ -36,9 +36,12 @@ _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> str:
-    """Lower-cased words of letters, one space between and around; empty without a letter."""
+    """Lower-cased words of letters, one space between and around; empty without a letter.
+
+    Numerals such as ½ and ² count as parts of words but aren't letters.
+    """
     words = _NO_LETTER.sub(" ", text.lower()).strip()
-    return f" {words} " if words else ""
+    return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
 @dataclass

@@ -48,6 +48,7 @@ def test_langid(spark, hard, empty):
     out = {r.doc_id: r.langid for r in langid.identify(hard, langid.Model({"en": b" the cat of word ", "fr": b" le chat de mot "})).collect()}
     assert [out[k].lang_pred for k in (1, 2, 3, 8)] == ["und"] * 4 and all(out[k].rejected for k in (1, 2, 3, 8))
     assert out[7].lang_pred == "en" and not out[7].rejected
+    assert langid.letters("½ ² 12 ①") == "" and langid.letters("½x") == " ½x "
     assert langid.identify(empty, langid.fit(empty)).count() == 0
     assert {r.langid.lang_pred for r in langid.identify(hard, langid.fit(empty)).collect()} == {"und"}
 
