@@ -2,10 +2,11 @@
 
 A word is the mean of the vectors of its character n-grams and of itself, so a
 misspelling that training never saw shares most vectors with the word. A
-passage of a few words is the mean of its words; the softmax over it gives the
-passage's probability, and a text is as toxic as its worst passage, since a
-mean over a long text would drown one insult. Training weighs passages of a
-text by a softmax that sharpens from the mean to the worst one.
+passage of a few words is the mean of its words, and the linear layer gives its
+difference of logits. A text has the mean of its few worst passages: a mean
+over all of a long text would drown insults, the worst alone would make one
+odd word of a clean text count as much as many of a toxic one. The softmax
+over it is the text's score.
 """
 
 from __future__ import annotations
@@ -27,11 +28,16 @@ SAMPLE_CHARS = 3000
 BITS = 17
 DIM = 8
 NGRAMS = (3, 4, 5)
-PASSAGE = 8
+PASSAGE = 2
+WORST = 3
+"""So many passages, the worst ones, decide (all of a text with fewer)."""
 STEPS = 80
+WARM_STEPS = 8
+"""The first steps weigh all passages of a text, worse ones more: what is worst isn't known yet."""
+WARM_SHARPNESS = 0.5
 RATE = 0.1
 DECAY = 1e-3
-LEAST_TEXTS = 3
+LEAST_TEXTS = 8
 """Features seen in fewer training texts stay zero: they would be learned by heart."""
 TOXIC_WEIGHT = 0.2
 """Share of the loss that toxic texts have, whatever their share of the sample."""
@@ -102,7 +108,8 @@ class Model:
                 if d:
                     x = np.fromiter(map(cache.__getitem__, d), np.float64, len(d))
                     at = np.arange(0, len(d), PASSAGE)
-                    z += float((np.add.reduceat(x, at) / np.diff(np.append(at, len(d)))).max())
+                    passages = np.add.reduceat(x, at) / np.diff(np.append(at, len(d)))
+                    z += float((np.partition(passages, -WORST)[-WORST:] if len(passages) > WORST else passages).mean())
                 out[i] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             return out
 
@@ -138,6 +145,18 @@ def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, part: int = 1
     return out
 
 
+def _share(d: np.ndarray, doc_of: np.ndarray, doc_at: np.ndarray, warm: bool) -> tuple[np.ndarray, float]:
+    """What each passage counts for in its text, and how sharply that depends on d."""
+    if warm:
+        a = np.exp(WARM_SHARPNESS * (d - np.maximum.reduceat(d, doc_at)[doc_of]))
+        return a / np.add.reduceat(a, doc_at)[doc_of], WARM_SHARPNESS
+    a = np.zeros(len(d), np.float32)
+    rank = np.arange(len(d)) - doc_at[doc_of]
+    size = np.diff(np.append(doc_at, len(d)))[doc_of]
+    a[np.lexsort((-d, doc_of))] = (rank < WORST) / np.minimum(WORST, size)
+    return a, 0.0
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     """Full-batch Adam over embeddings and softmax together. Without both labels, the model always says their share."""
     rng = np.random.default_rng(seed)
@@ -183,10 +202,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         V = _sums(W, tokens, passage) / per_passage
         z = V @ U + b
         d = z[:, 1] - z[:, 0]
-        sharp = 0.5 * 16 ** min(1.0, 1.5 * step / STEPS)
-        top = np.maximum.reduceat(d, doc_at)
-        a = np.exp(sharp * (d - top[doc_of]))
-        a /= np.add.reduceat(a, doc_at)[doc_of]
+        a, sharp = _share(d, doc_of, doc_at, step <= WARM_STEPS)
         pooled = np.add.reduceat(a * d, doc_at)
         p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
         gd = (weight * (p - y))[doc_of] * a * (1 + sharp * (d - pooled[doc_of]))
