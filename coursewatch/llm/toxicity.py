@@ -117,8 +117,8 @@ class Model:
 
 
 def _common_features(words: list[str], texts_of: np.ndarray, part: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets and owners, by owner, of the features that enough texts have; and how many each word has in all."""
-    counts, per_word = np.zeros(1 << BITS), np.zeros(len(words), np.float32)
+    """Buckets and owners of the features that enough texts have; and how many each word has in all."""
+    counts, per_word = np.zeros(1 << BITS), np.zeros(len(words))
     for lo in range(0, len(words), part):
         bucket, owner = subwords(words[lo : lo + part])
         counts += np.bincount(bucket, texts_of[lo + owner], 1 << BITS)
@@ -127,22 +127,8 @@ def _common_features(words: list[str], texts_of: np.ndarray, part: int = 20_000)
     for lo in range(0, len(words), part):
         bucket, owner = subwords(words[lo : lo + part])
         common = counts[bucket] >= LEAST_TEXTS
-        bucket, owner = bucket[common], owner[common]
-        order = np.argsort(owner, kind="stable")
-        kept.append((bucket[order].astype(np.int32), (owner[order] + lo).astype(np.int32)))
-    return np.concatenate([b for b, _ in kept]), np.concatenate([o for _, o in kept]), per_word[:, None]
-
-
-def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, part: int = 1 << 17) -> np.ndarray:
-    """np.add.reduceat(rows[index], starts) without all of rows[index] at once."""
-    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
-    ends = np.append(starts[1:], len(index))
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + part, side="right")))
-        out[lo:hi] = np.add.reduceat(rows[index[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo])
-        lo = hi
-    return out
+        kept.append((bucket[common].astype(np.int32), (owner[common] + lo).astype(np.int32)))
+    return np.concatenate([b for b, _ in kept]), np.concatenate([o for _, o in kept]), per_word
 
 
 def _share(d: np.ndarray, doc_of: np.ndarray, doc_at: np.ndarray, warm: bool) -> tuple[np.ndarray, float]:
@@ -150,15 +136,22 @@ def _share(d: np.ndarray, doc_of: np.ndarray, doc_at: np.ndarray, warm: bool) ->
     if warm:
         a = np.exp(WARM_SHARPNESS * (d - np.maximum.reduceat(d, doc_at)[doc_of]))
         return a / np.add.reduceat(a, doc_at)[doc_of], WARM_SHARPNESS
-    a = np.zeros(len(d), np.float32)
-    rank = np.arange(len(d)) - doc_at[doc_of]
-    size = np.diff(np.append(doc_at, len(d)))[doc_of]
-    a[np.lexsort((-d, doc_of))] = (rank < WORST) / np.minimum(WORST, size)
+    a, left = np.zeros(len(d)), d.copy()
+    each = 1 / np.minimum(WORST, np.diff(np.append(doc_at, len(d))))
+    for _ in range(WORST):  # the worst that is left in each text, the first of equal ones
+        top = np.flatnonzero(left == np.maximum.reduceat(left, doc_at)[doc_of])
+        doc, first = np.unique(doc_of[top], return_index=True)
+        a[top[first]] = each[doc]
+        left[top[first]] = -np.inf
     return a, 0.0
 
 
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
-    """Full-batch Adam over embeddings and softmax together. Without both labels, the model always says their share."""
+    """Full-batch Adam over embeddings and softmax together. Without both labels, the model always says their share.
+
+    Averaging and the linear layer commute, so a step passes one number for
+    each feature, word and passage forth and back, and vectors only for buckets.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
@@ -172,24 +165,16 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     for d in docs:
         texts_of[np.unique(d)] += 1
     bucket, owner, per_word = _common_features(vocabulary, texts_of)
-    rich, own_at = np.unique(owner, return_index=True)  # words with a feature that is learned
     used, local = np.unique(bucket, return_inverse=True)
     local = local.astype(np.int32)
-    by_bucket = np.argsort(local, kind="stable").astype(np.int32)
-    bucket_at = np.searchsorted(local[by_bucket], np.arange(len(used)))
-    bucket_owner = owner[by_bucket]
     tokens = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     first = np.cumsum(lengths) - lengths
     passage = np.concatenate([np.arange(f, f + n, PASSAGE) for f, n in zip(first, lengths, strict=True)])
-    per_passage = np.diff(np.append(passage, len(tokens))).astype(np.float32)[:, None]
+    per_passage = np.diff(np.append(passage, len(tokens)))
     doc_of = np.searchsorted(first, passage, side="right") - 1
     doc_at = np.searchsorted(doc_of, np.arange(len(docs)))
-    by_word = np.argsort(tokens, kind="stable")
-    seen = np.bincount(tokens, minlength=len(index))
-    word_at = np.cumsum(seen) - seen
-    passage_by_word = np.repeat(np.arange(len(passage), dtype=np.int32), per_passage[:, 0].astype(np.int64))[by_word]
-    del docs, by_bucket, by_word, vocabulary, index
+    del docs, vocabulary, index, bucket
     weight = np.where(y == 1, TOXIC_WEIGHT / y.sum(), (1 - TOXIC_WEIGHT) / (1 - y).sum()).astype(np.float32)
 
     E = (rng.standard_normal((len(used), DIM)) * 0.1).astype(np.float32)
@@ -197,20 +182,17 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     b = np.zeros(2, np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (E, U, b)]
     for step in range(1, STEPS + 1):
-        W = np.zeros((len(per_word), DIM), np.float32)
-        W[rich] = _sums(E, local, own_at) / per_word[rich]
-        V = _sums(W, tokens, passage) / per_passage
-        z = V @ U + b
-        d = z[:, 1] - z[:, 0]
+        u = U[:, 1] - U[:, 0]
+        of_word = np.bincount(owner, (E @ u)[local], len(per_word)) / per_word
+        d = np.add.reduceat(of_word[tokens], passage) / per_passage + (b[1] - b[0])
         a, sharp = _share(d, doc_of, doc_at, step <= WARM_STEPS)
         pooled = np.add.reduceat(a * d, doc_at)
         p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
         gd = (weight * (p - y))[doc_of] * a * (1 + sharp * (d - pooled[doc_of]))
-        gz = np.stack([-gd, gd], 1).astype(np.float32)
-        gV = gz @ U.T / per_passage
-        gW = _sums(gV, passage_by_word, word_at) / per_word
-        gE = _sums(gW, bucket_owner, bucket_at) + DECAY * E / len(lengths)
-        for param, grad, (m, v) in zip((E, U, b), (gE, V.T @ gz, gz.sum(0)), state, strict=True):
+        g_word = np.bincount(tokens, np.repeat(gd / per_passage, per_passage), len(per_word)) / per_word
+        g = np.bincount(local, g_word[owner], len(used)).astype(np.float32)
+        gE, gu = g[:, None] * u + DECAY * E / len(lengths), E.T @ g
+        for param, grad, (m, v) in zip((E, U, b), (gE, np.stack([-gu, gu], 1), np.array([-gd.sum(), gd.sum()])), state, strict=True):
             m *= 0.9
             m += 0.1 * grad
             v *= 0.99
