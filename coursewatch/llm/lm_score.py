@@ -5,16 +5,20 @@ position-wise embeddings of the neighbours are summed, go through tanh, and a
 two-level softmax (class, word in class) gives the token's probability. The
 logarithms, summed over a text, are its pseudo-likelihood.
 
-The vocabulary is counted over all texts. The network is trained in numpy on
-all partitions at once: each starts from the shared weights, learns from its
-own texts, and the weights are averaged by tokens, ROUNDS times. Every text
-takes part; of its tokens every STRIDE-th is a target in a round.
+The vocabulary is counted over all texts and grows with them: every word of
+LEAST_COUNT or more, and for the other words every piece of up to PIECE
+characters of LEAST_COUNT or more; what no piece covers is spelled in bytes, so
+no two words have the same tokens. The network is trained in numpy on all
+partitions at once: each starts from the shared weights, learns from its own
+texts, and each row of the weights is averaged by how often it was used,
+ROUNDS times. Every token is a target in exactly one round.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -30,17 +34,22 @@ WINDOW = 3
 DIM = 16
 CLASSES = 32
 VOCAB = CLASSES * CLASSES
-RARE = 64
-"""Ids that words outside the vocabulary share by hash; id 0 is the edge of a text."""
+"""Size of a network that isn't given one; id 0 is the edge of a text."""
+LEAST_COUNT = 500
+PIECE = 4
 ROUNDS = 2
-STRIDE = 16
+STRIDE = ROUNDS
 BATCH = 8192
 RATE = 0.2
 COUNTED_WORDS = 300_000
+CACHE_WORDS = 200_000
 BLOCK_FLOATS = 4096
 SALTS = 16
 
 _OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
+_START, _INNER = " ", "\t"
+"""Mark the pieces that begin a word and those within it; no word holds white space."""
+_BYTES = [f"\n{b:02x}" for b in range(256)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,14 +57,52 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Ids(dict):
-    """Id of each word; words outside the vocabulary are hashed and not kept."""
+    """Id of each word and piece; a word that has none starts with the id of the bare start mark."""
 
     def __missing__(self, word: str) -> int:
-        return VOCAB - RARE + zlib.crc32(word.encode("utf-8", "surrogatepass")) % RARE
+        return self[_START]
+
+    def spelled(self, word: str) -> list[int]:
+        """The word's own id, or those of its pieces, the longest first from the left."""
+        if word in self:
+            return [self[word]]
+        out, at, mark = [], 0, _START
+        while at < len(word):
+            for n in range(min(PIECE, len(word) - at), 0, -1):
+                if (piece := mark + word[at : at + n]) in self:
+                    out.append(self[piece])
+                    at += n
+                    break
+            else:
+                if mark == _START:
+                    out.append(self[_START])
+                else:
+                    out += [self[_BYTES[b]] for b in word[at].encode("utf-8", "surrogatepass")]
+                    at += 1
+            mark = _INNER
+        return out
+
+
+class Encoded(dict):
+    """The bytes of each word's ids, kept up to a bound."""
+
+    def __init__(self, ids: Ids):
+        super().__init__()
+        self.ids, self.dtype = ids, id_type(len(ids) + 1)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[word] = x = np.array(self.ids.spelled(word), self.dtype).tobytes()
+        return x
+
+
+def id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
 
 def vocabulary(docs: DataFrame, scratch: Scratch) -> list[str]:
-    """The most frequent words of all texts; counted per task, summed by Spark."""
+    """Words and pieces of LEAST_COUNT or more in all texts, then the start mark and the bytes; counted per task, summed by Spark."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -63,17 +110,37 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> list[str]:
             for t in b.column(0).to_pylist():
                 c.update(words_of(t))
                 if len(c) > COUNTED_WORDS:
-                    yield pa.RecordBatch.from_pydict({"word": list(c), "n": list(c.values())})
+                    yield _counts(c)
+                    c.clear()
+        yield _counts(c)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: dict = defaultdict(int)
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for at in range(len(w)):
+                    mark = _INNER if at else _START
+                    for end in range(at + 1, min(at + PIECE, len(w)) + 1):
+                        c[mark + w[at:end]] += n
+                if len(c) > COUNTED_WORDS:
+                    yield _counts(c)
                     c.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+        yield _counts(c)
+
+    schema = "word string, n long"
+    counts, _ = scratch.write(docs.select("text").mapInArrow(counted, schema).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    parts = counts.filter(F.col("n") < LEAST_COUNT).mapInArrow(pieces, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    kept = counts.union(parts).filter(F.col("n") >= LEAST_COUNT)
+    return [r["word"] for r in sorted(kept.collect(), key=lambda r: (-r["n"], r["word"]))] + [_START, *_BYTES]
 
-    counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCAB - RARE - 1).collect()]
+
+def _counts(c: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
 
 @dataclass
 class Network:
-    """embed: offsets x VOCAB x DIM; hidden: DIM; to_class: DIM + 1 rows; to_word: CLASSES x (DIM + 1) x CLASSES."""
+    """embed: offsets x size x DIM; hidden: DIM; to_class: DIM + 1 rows; to_word: classes x (DIM + 1) x words in a class."""
 
     embed: np.ndarray
     hidden: np.ndarray
@@ -81,21 +148,27 @@ class Network:
     to_word: np.ndarray
 
     @classmethod
-    def fresh(cls, seed: int = 1) -> Network:
+    def fresh(cls, seed: int = 1, size: int = VOCAB) -> Network:
         rng = np.random.default_rng(seed)
+        width = math.isqrt(size - 1) + 1
         some = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        return cls(some(len(_OFFSETS), VOCAB, DIM), np.zeros(DIM, np.float32), some(DIM + 1, CLASSES), some(CLASSES, DIM + 1, CLASSES))
+        return cls(some(len(_OFFSETS), size, DIM), np.zeros(DIM, np.float32), some(DIM + 1, width), some(width, DIM + 1, width))
+
+    def copy(self) -> Network:
+        return Network(*(getattr(self, f.name).copy() for f in fields(self)))
+
+    @property
+    def width(self) -> int:
+        return self.to_word.shape[2]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
+    def rows(self) -> list[np.ndarray]:
+        """Each weight array as rows that are averaged apart: of embed one for each id, of to_word one for each class."""
+        return [self.embed.transpose(1, 0, 2).reshape(self.embed.shape[1], -1), self.hidden[None], self.to_class.reshape(1, -1), self.to_word.reshape(len(self.to_word), -1)]
 
-    def with_flat(self, x: np.ndarray) -> Network:
-        out, at = [], 0
-        for f in fields(self):
-            p = getattr(self, f.name)
-            out.append(x[at : at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
-        return Network(*out)
+    def with_rows(self, rows: list[np.ndarray]) -> Network:
+        offsets, size, dim = self.embed.shape
+        embed = np.ascontiguousarray(rows[0].reshape(size, offsets, dim).transpose(1, 0, 2))
+        return Network(embed, rows[1].reshape(self.hidden.shape), rows[2].reshape(self.to_class.shape), rows[3].reshape(self.to_word.shape))
 
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         total = np.tile(self.hidden, (len(at), 1))
@@ -110,17 +183,17 @@ class Network:
             part = at[lo : lo + BATCH]
             h = self._hidden(ids, part)
             target = ids[part].astype(np.int64)
-            cls = target // CLASSES
+            cls = target // self.width
             z = h @ self.to_class[:-1] + self.to_class[-1]
             z -= z.max(1, keepdims=True)
             lp = z[np.arange(len(part)), cls] - np.log(np.exp(z).sum(1))
             order = np.argsort(cls, kind="stable")
-            cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            cut = np.searchsorted(cls[order], np.arange(self.width + 1))
             for c in np.flatnonzero(np.diff(cut)):
                 i = order[cut[c] : cut[c + 1]]
                 y = h[i] @ self.to_word[c, :-1] + self.to_word[c, -1]
                 y -= y.max(1, keepdims=True)
-                lp[i] += y[np.arange(len(i)), target[i] % CLASSES] - np.log(np.exp(y).sum(1))
+                lp[i] += y[np.arange(len(i)), target[i] % self.width] - np.log(np.exp(y).sum(1))
             out[lo : lo + BATCH] = lp
         return out
 
@@ -129,42 +202,48 @@ class Network:
         h = self._hidden(ids, at)
         h1 = np.concatenate([h, np.ones((len(at), 1), np.float32)], 1)
         target = ids[at].astype(np.int64)
-        cls = target // CLASSES
+        cls = target // self.width
+        scale = np.float32(1 / len(at))
+        s_embed, s_hidden, s_class, s_word = squares
+
+        def step(grad: np.ndarray, s: np.ndarray) -> np.ndarray:
+            grad = grad * scale
+            s += grad * grad
+            return RATE * grad / (np.sqrt(s) + 1e-6)
+
         z = h1 @ self.to_class
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
         z[np.arange(len(at)), cls] -= 1
         gh = z @ self.to_class[:-1].T
-        g_class, g_word = h1.T @ z, np.zeros_like(self.to_word)
+        self.to_class -= step(h1.T @ z, s_class)
         order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        cut = np.searchsorted(cls[order], np.arange(self.width + 1))
         for c in np.flatnonzero(np.diff(cut)):
             i = order[cut[c] : cut[c + 1]]
             y = h1[i] @ self.to_word[c]
             y = np.exp(y - y.max(1, keepdims=True))
             y /= y.sum(1, keepdims=True)
-            y[np.arange(len(i)), target[i] % CLASSES] -= 1
-            g_word[c] = h1[i].T @ y
+            y[np.arange(len(i)), target[i] % self.width] -= 1
             gh[i] += y @ self.to_word[c, :-1].T
+            self.to_word[c] -= step(h1[i].T @ y, s_word[c])
         g = (gh * (1 - h * h)).astype(np.float32)
-        g_embed = np.zeros_like(self.embed)
         for k, o in enumerate(_OFFSETS):
             near = ids[at + o]
             order = np.argsort(near, kind="stable")
-            seen, first = np.unique(near[order], return_index=True)
-            g_embed[k][seen] = np.add.reduceat(g[order], first)
-        scale = np.float32(1 / len(at))
-        for p, s, grad in zip((self.embed, self.hidden, self.to_class, self.to_word), squares, (g_embed, g.sum(0), g_class, g_word), strict=True):
-            grad = grad * scale
-            s += grad * grad
-            p -= RATE * grad / (np.sqrt(s) + 1e-6)
+            near = near[order]
+            first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+            seen, s = near[first], s_embed[k][near[first]]
+            self.embed[k][seen] -= step(np.add.reduceat(g[order], first), s)
+            s_embed[k][seen] = s
+        self.hidden -= step(g.sum(0), s_hidden)
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids with edges between the texts; positions of the tokens; where each text's tokens begin."""
     size = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(size) - size
-    ids = np.zeros(int(size.sum()) + WINDOW * (len(texts) + 1), np.uint16)
+    ids = np.zeros(int(size.sum()) + WINDOW * (len(texts) + 1), max((t.dtype for t in texts), key=lambda d: d.itemsize, default=np.dtype(np.uint16)))
     at = np.arange(int(size.sum())) + WINDOW * (np.repeat(np.arange(len(texts)), size) + 1)
     if len(at):
         ids[at] = np.concatenate(texts)
@@ -172,44 +251,55 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def train(encoded: DataFrame, start: Network) -> Network:
-    """ROUNDS rounds of training on every partition and averaging by targets."""
+    """ROUNDS rounds of training on every partition; each row of the weights is averaged by its uses."""
     spark, net = encoded.sparkSession, start
+    dtype, schema = id_type(net.embed.shape[1]), "part int, at int, salt int, n binary, x binary"
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net)
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            own = shared.value.with_flat(shared.value.flat())
-            squares, n, kept = [np.full_like(getattr(own, f.name), 1e-6) for f in fields(own)], 0, []
+            own = shared.value.copy()
+            squares, kept = [np.full_like(getattr(own, f.name), 1e-6) for f in fields(own)], []
+            size, width = own.embed.shape[1], own.width
+            near, classes = np.zeros(size, np.int64), np.zeros(width, np.int64)
             for b in batches:
                 for lo in range(0, b.num_rows, 512):
-                    texts = [np.frombuffer(x, np.uint16) for x in b.column("ids").slice(lo, 512).to_pylist()]
+                    texts = [np.frombuffer(x, dtype) for x in b.column("ids").slice(lo, 512).to_pylist()]
                     ids, at, first = joined(texts)
                     shift = np.repeat([zlib.crc32(t.tobytes()) for t in texts], [len(t) for t in texts])
                     at = at[(np.arange(len(at)) - np.repeat(first, [len(t) for t in texts]) + shift) % STRIDE == r * (STRIDE // ROUNDS)]
+                    for o in _OFFSETS:
+                        near += np.bincount(ids[at + o], minlength=size)
+                    classes += np.bincount(ids[at] // width, minlength=width)
                     kept.append((ids, at))
                     if sum(len(k[1]) for k in kept) >= BATCH:
-                        n += _step(own, kept, squares)
+                        _step(own, kept, squares)
                         kept = []
-            n += _step(own, kept, squares)
-            if n:
-                flat = own.flat()
-                cuts = range(0, len(flat), BLOCK_FLOATS)
-                salt = zlib.crc32(flat.tobytes()) % SALTS
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(cuts)), pa.int32()), "salt": pa.array([salt] * len(cuts), pa.int32()), "n": pa.array([n] * len(cuts), pa.int64()), "x": pa.array([flat[c : c + BLOCK_FLOATS].tobytes() for c in cuts], pa.binary())})
-
-        def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(pdf["x"], pdf["n"], strict=True))
-            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "n": [pdf["n"].sum()], "x": [total.tobytes()]})
-
-        rows = encoded.select("ids").mapInArrow(local, "block int, salt int, n long, x binary").groupBy("block", "salt").applyInPandas(added, "block int, n long, x binary").collect()
-        flat, weight = np.zeros(net.flat().size), np.zeros(net.flat().size)
-        for row in sorted(rows, key=lambda x: (x["block"], bytes(x["x"]))):
-            x = np.frombuffer(row["x"], np.float64)
-            where = slice(row["block"] * BLOCK_FLOATS, row["block"] * BLOCK_FLOATS + len(x))
-            flat[where] += x
-            weight[where] += row["n"]
-        if rows:
-            net = net.with_flat(flat / weight)
+            _step(own, kept, squares)
+            if n := int(classes.sum()):
+                salt = int(near[:4096].sum() * 31 + classes.argmax()) % SALTS
+                for part, (x, uses) in enumerate(zip(own.rows(), (near, np.array([n]), np.array([n]), classes), strict=True)):
+                    high = max(1, BLOCK_FLOATS // x.shape[1])
+                    cuts = [c for c in range(0, len(x), high) if uses[c : c + high].any()]
+                    for lo in range(0, len(cuts), 256):
+                        some = cuts[lo : lo + 256]
+                        yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([salt] * len(some), pa.int32()), pa.array([uses[c : c + high].tobytes() for c in some], pa.binary()), pa.array([x[c : c + high].tobytes() for c in some], pa.binary())], names=["part", "at", "salt", "n", "x"])
+
+        def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+            total, uses = 0.0, 0
+            for x, n in sorted(zip(pdf["x"], pdf["n"], strict=True)):
+                n = np.frombuffer(n, np.int64)
+                total, uses = total + np.frombuffer(x, np.float32).reshape(len(n), -1).astype(np.float64) * n[:, None], uses + n
+            mean = (total / np.maximum(uses, 1)[:, None]).astype(np.float32)
+            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "at": [pdf["at"].iloc[0]], "salt": [0], "n": [uses.tobytes()], "x": [mean.tobytes()]})
+
+        blocks = encoded.select("ids").mapInArrow(local, schema).groupBy("part", "at", "salt").applyInPandas(averaged, schema)
+        rows = [x.copy() for x in net.rows()]
+        for b in blocks.groupBy("part", "at").applyInPandas(averaged, schema).collect():
+            n = np.frombuffer(b["n"], np.int64)
+            used, x = np.flatnonzero(n), np.frombuffer(b["x"], np.float32).reshape(len(n), -1)
+            rows[b["part"]][b["at"] + used] = x[used]
+        net = net.with_rows(rows)
     return net
 
 
@@ -227,32 +317,37 @@ def _step(net: Network, kept: list, squares: list) -> int:
 def score(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, sum_logprob, mean_logprob) of each row of ``docs``, whole texts.
 
-    Null, empty and wordless texts have 0 words, sum 0 and a null mean.
-    Repeated rows get equal scores; a null key is kept; an empty table gives an
-    empty table; other columns aren't read.
+    Null, empty and wordless texts have 0 words, sum 0 and a null mean; the sum
+    is over the pieces of words too, the mean is a word's. Repeated rows get
+    equal scores; a null key is kept; an empty table gives an empty table;
+    other columns aren't read.
     """
     docs = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     spark = docs.sparkSession
-    ids = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(vocabulary(docs, scratch))})
+    known = vocabulary(docs, scratch)
+    dtype = id_type(len(known) + 1)
+    ids = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(known)})
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Ids(ids.value)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of = Encoded(Ids(ids.value))
         for texts in batches:
-            yield pd.Series([np.fromiter(map(of.__getitem__, w), np.uint16, len(w)).tobytes() for w in map(words_of, texts)])
+            words = [words_of(t) for t in texts]
+            yield pd.DataFrame({"n_words": np.array([len(w) for w in words], np.int64), "ids": [b"".join(map(of.__getitem__, w)) for w in words]})
 
-    encoded, _ = scratch.write(docs.select(key, F.pandas_udf(encode, "binary")("text").alias("ids")), "ids")
-    model = spark.sparkContext.broadcast(train(encoded, Network.fresh()))
+    encoded = docs.select(key, F.pandas_udf(encode, "n_words long, ids binary").asNondeterministic()("text").alias("e")).select(key, "e.n_words", "e.ids")
+    encoded, _ = scratch.write(encoded, "ids")
+    model = spark.sparkContext.broadcast(train(encoded, Network.fresh(size=len(known) + 1)))
 
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for all_ in batches:
-            out = []
+            out = [np.zeros(0)]
             for lo in range(0, len(all_), 256):
-                texts = [np.frombuffer(x, np.uint16) for x in all_.iloc[lo : lo + 256]]
+                texts = [np.frombuffer(x, dtype) for x in all_.iloc[lo : lo + 256]]
                 words, at, start = joined(texts)
                 sums = np.concatenate([[0], np.cumsum(model.value.log_probs(words, at), dtype=np.float64)])
                 size = np.array([len(t) for t in texts], np.int64)
-                out.append(pd.DataFrame({"n_words": size, "sum_logprob": sums[start + size] - sums[start]}))
-            yield pd.concat(out) if out else pd.DataFrame({"n_words": pd.Series([], dtype="int64"), "sum_logprob": pd.Series([], dtype="float64")})
+                out.append(sums[start + size] - sums[start])
+            yield pd.Series(np.concatenate(out))
 
-    s = encoded.select(key, F.pandas_udf(scored, "n_words long, sum_logprob double").asNondeterministic()("ids").alias("s"))
-    return s.select(key, "s.n_words", "s.sum_logprob", F.when(F.col("s.n_words") > 0, F.col("s.sum_logprob") / F.col("s.n_words")).alias("mean_logprob"))
+    s = encoded.select(key, "n_words", F.pandas_udf(scored, "double").asNondeterministic()("ids").alias("sum_logprob"))
+    return s.select(key, "n_words", "sum_logprob", F.when(F.col("n_words") > 0, F.col("sum_logprob") / F.col("n_words")).alias("mean_logprob"))

@@ -106,6 +106,22 @@ def test_lm_training_lowers_loss(spark):
     assert net.log_probs(ids, at).mean() > before + 0.3
 
 
+def test_lm_every_token_is_a_target_and_no_words_share_ids(spark, monkeypatch):
+    """Before: 2 of 16 tokens taught, and words outside 959 shared 64 ids."""
+    assert lm_score.STRIDE == lm_score.ROUNDS
+    monkeypatch.setattr(lm_score, "LEAST_COUNT", 3)
+    common = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    docs = spark.createDataFrame([(k, " ".join(common)) for k in range(3)], "doc_id long, text string")
+    assert not set(common) - set(lm_score.vocabulary(docs, Scratch(spark)))
+    twice = docs.union(spark.createDataFrame([(k, " ".join(w + "x" for w in common)) for k in range(3)], docs.schema))
+    known = lm_score.vocabulary(twice, Scratch(spark))
+    assert len(known) > 1200 + 256
+    ids = lm_score.Ids({w: i + 1 for i, w in enumerate(known)})
+    odd = ["wabq", "qwab", "wab日", "日wab", "zz", "zzz", "\ud800", "waa", *(f"q{k}" for k in range(500))]
+    assert len({tuple(ids.spelled(w)) for w in odd}) == len(odd)
+    assert all(0 < i <= len(known) for w in odd for i in ids.spelled(w))
+
+
 def fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
