@@ -4,7 +4,7 @@ A mask keeps some tokens of a short span and ignores the others, so a
 substituted token in an ignored place doesn't break the match. Hashes of the
 kept tokens of every span of the benchmark items are joined with those of the
 training texts; around each hit the two token sequences are compared without
-gaps, and the stretch with the best score decides.
+gaps, and any stretch that is long and equal enough decides.
 """
 
 from __future__ import annotations
@@ -158,15 +158,35 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return lo + begin, end - begin, int(same[begin:end].sum())
 
 
+def fullest(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+    """Like overlap(): of all stretches of MIN_IDENTITY the one with most equal tokens, then the shortest, then the first."""
+    lo, hi = max(0, diagonal), min(len(doc), len(item) + diagonal)
+    same = np.concatenate([[0], np.cumsum(doc[lo:hi] == item[lo - diagonal : hi - diagonal])])
+    score = same - MIN_IDENTITY * np.arange(len(same))
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score)  # the first place from which the identity holds
+    end = int((same - same[begin]).argmax())
+    found, n = int(begin[end]), int(same[end] - same[begin[end]])
+    ends = np.searchsorted(same, same[found:] + n)
+    starts = np.arange(found, len(same))[ends < len(same)]
+    ends = ends[ends < len(same)]
+    k = int((ends - starts).argmin())
+    return lo + int(starts[k]), int(ends[k] - starts[k]), n
+
+
 def enough(aligned: int, equal: int, item_size: int) -> bool:
     return equal >= min(MIN_TOKENS, np.ceil(MIN_SHARE * item_size)) and equal >= MIN_IDENTITY * aligned
 
 
 def _verify(docs: pd.Series, items: pd.Series, diagonals: pd.Series) -> pd.DataFrame:
+    """Accepted if any stretch on any diagonal is enough(); best-scored stretches that are enough are reported before others."""
     out = []
     for d, i, all_ in zip(docs, items, diagonals, strict=True):
-        best = max((overlap(d, i, int(g)) for g in all_), key=lambda o: (o[2], -o[1], -o[0]))
-        out.append((*best, bool(enough(best[1], best[2], len(i)))))
+        for stretch in (overlap, fullest):
+            found = [stretch(d, i, int(g)) for g in all_]
+            accepted = [o for o in found if enough(o[1], o[2], len(i))]
+            if accepted:
+                break
+        out.append((*max(accepted or found, key=lambda o: (o[2], -o[1], -o[0])), bool(accepted)))
     return pd.DataFrame(out, columns=["start", "aligned", "equal", "accepted"])
 
 
@@ -177,8 +197,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     words are one, named by the smallest id. Items shorter than the shortest
     mask, null and empty items and texts never match; rows of equal doc_id and
     text are reported once; ``text_hash`` tells rows of one doc_id apart. Of
-    several overlaps with an item the one with most equal tokens is reported,
-    then the shortest, then the last. Empty tables give an empty table.
+    several overlaps with an item the accepted one with most equal tokens is
+    reported, then the shortest, then the first; stretches of the best score
+    come before others. Empty tables give an empty table.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")

@@ -283,6 +283,27 @@ def test_decontamination(spark, hard, empty):
     assert decontaminate.remove_contaminated(hard, bench.filter("false"), Scratch(spark)).count() == len(HARD)
 
 
+def test_any_qualifying_stretch_is_accepted():
+    """Before, only the stretch of the best score was tested: items of 200 tokens with a quarter substituted were missed."""
+    rng, item = np.random.default_rng(5), np.arange(200)
+    long_ = pd.Series([np.where(rng.permutation(200) < 50, -1, item) for _ in range(100)])
+    got = decontaminate._verify(long_, pd.Series([item] * 100), pd.Series([[0]] * 100))
+    assert got["accepted"].all()
+    some = 0
+    for size, share in [(40, 0.3), (60, 0.28), (30, 0.4)] * 20:
+        item, k = np.arange(size), rng.integers(-5, 6)
+        doc = np.where(rng.random(size + 10) < share, -1, np.arange(size + 10) + k)
+        cut = [(b, e) for b in range(max(0, -k), size + 10) for e in range(b + 1, min(size + 10, size - k) + 1)]
+        hold = [(int((doc[b:e] >= 0).sum()), b - e, -b) for b, e in cut if decontaminate.enough(e - b, int((doc[b:e] >= 0).sum()), size)]
+        row = decontaminate._verify(pd.Series([doc]), pd.Series([item]), pd.Series([[-k, -k + 1]])).iloc[0]
+        assert row.accepted == bool(hold)
+        if hold:
+            start, aligned, equal = decontaminate.fullest(doc, item, -k)
+            assert (equal, -aligned, -start) == max(hold)
+            some += 1
+    assert 0 < some < 60
+
+
 def test_decontamination_beyond_the_exact_bound(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = lambda: {(r.doc_id, r.item_id, r.equal) for r in decontaminate.contamination(docs, bench, Scratch(spark)).collect()}
