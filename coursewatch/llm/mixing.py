@@ -23,22 +23,21 @@ BUDGET = 0.6
 """Share of all tokens to keep."""
 ROUNDS = 24
 ROUNDS_A_TABLE = 4
-TOLERANCE = 1e-4
 SEED = 23
 MISSING = "(none)"
 
 def topic(text: Column) -> Column:
     """What kind of text it is; 'prose' for the rest and for null. The first kind that holds wins.
 
-    Plain substrings are looked for first: a pattern runs only where its rarest
-    character occurs.
+    Plain substrings are looked for first: a pattern runs only where a character
+    that each of its matches holds occurs.
     """
     low = F.lower(text)
     has = lambda c, *parts: F.coalesce(reduce(or_, (F.contains(c, F.lit(p)) for p in parts)), F.lit(False))
     return (
         F.when(has(low, "license", "licence", "copyright", "all rights reserved"), "legal")
         .when(has(text, "@") & text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), "contact")
-        .when(has(text, " (") & has(text, "+") & text.rlike(r"\+\d{1,3} \(?\d"), "contact")
+        .when(has(text, "+") & text.rlike(r"\+\d{1,3} \(?\d"), "contact")
         .when(has(text, " | ") & text.rlike(r" \| [^\n|]* \| "), "table")
         .when(has(text, ' = "', " = '") & text.rlike(r"[A-Za-z_]\w* = [\"']") | has(text, "{\n", "}\n", ";\n"), "code")
         .otherwise("prose")
@@ -70,8 +69,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, budg
         cells = cells.join(targets[a].withColumnRenamed("share", f"share_{a}"), a)
     now, path = scratch.write(cells.withColumn("w", F.col("t") * budget), "cells")
     scale = {a: total * budget / (now.groupBy(a).agg(F.first(f"share_{a}").alias("x")).agg(F.sum("x")).first()[0] or 1.0) for a in AXES}
-    off = None
-    for at in range(0, ROUNDS, ROUNDS_A_TABLE):
+    for _ in range(0, ROUNDS, ROUNDS_A_TABLE):
         for _ in range(ROUNDS_A_TABLE):
             for a in AXES:
                 # a window over cells, not a join with their sums: joining a table with itself doubles the plan each time
@@ -80,9 +78,6 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, budg
         now, old = scratch.write(now, "raked"), path
         now, path = now
         scratch.drop(old)
-        before, off = off, now.agg(F.sum("w")).first()[0]
-        if before is not None and abs(off - before) <= TOLERANCE * max(off, 1.0):
-            break
     return now
 
 

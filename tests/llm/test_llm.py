@@ -202,6 +202,13 @@ def test_mixing_meets_targets(spark, empty, hard):
     assert all(0 < r.probability <= 1 for r in kept)
 
 
+def test_topic_of_a_telephone_number_without_a_bracket(spark):
+    """Before, a text without ' (' was never searched for one."""
+    texts = ["call +49 30 1234567", "call +49 (30) 1234567", "1 + 2", "plain"]
+    got = {r.text: r.t for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.topic(F.col("text")).alias("t")).collect()}
+    assert [got[t] for t in texts] == ["contact", "contact", "prose", "prose"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a", "same"), (1, None, "same"), (1, None, "same"), (4, "http://b\r\nX: y", None), (5, "c", ""), (6, "d", "é" * 300_000), (None, "e", "nul")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
