@@ -23,14 +23,17 @@ from .common import Scratch
 
 MASKS = ("111011", "1001111", "11100011", "11000001011")
 """Five tokens kept in each. Of passages of 16 tokens, a fifth of them substituted at random, these hit 98 %."""
+SHORTEST = min(map(len, MASKS))
 MIN_TOKENS = 12
 """Equal tokens that an overlap has at least, or MIN_SHARE of a shorter item."""
 MIN_SHARE = 0.8
 MIN_IDENTITY = 0.75
 MISMATCH = 2
 """What a substituted token costs; an equal one earns 1."""
-EXACT_SEEDS = 2_000_000
-"""Up to that many seeds of the benchmark go to the executors whole (16 MB), else only a bitmap of fixed size; the join decides either way."""
+EXACT_SEEDS = 1_000_000
+"""Up to that many (seed, item, place) of the benchmark go to the executors whole (20 MB), else only a bitmap of fixed size, and the join with them is salted."""
+SALTS = 32
+FEW_BITS, MANY_BITS = 24, 27
 CACHE_WORDS = 250_000
 
 _WORD = re.compile(r"[^\W_]+").findall
@@ -52,9 +55,9 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each mask, its span and the hash of each span of ``tokens``."""
-    for k, mask in enumerate(MASKS):
+def seeds(tokens: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
+    """For each mask, its span and the hash of each span of ``tokens``; for each size in ``short``, those of all runs of that size."""
+    for k, mask in [*enumerate(MASKS), *((100 + n, "1" * n) for n in short)]:
         n = len(tokens) - len(mask) + 1
         if n <= 0:
             continue
@@ -69,24 +72,26 @@ def seeds(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Hashes()
     for b in batches:
-        yield pa.RecordBatch.from_pydict({"item_id": b.column("item_id"), "tokens": pa.array([words.of(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([words.of(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["item_id", "tokens"])
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of an item: of all masks, or of the whole item if it is shorter than they are."""
     for b in batches:
-        for item, tokens in zip(b.column("item_id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-            for _, h in seeds(np.array(tokens, np.int64).view(np.uint64)):
-                yield pa.RecordBatch.from_pydict({"seed": pa.array(h.view(np.int64)), "item_id": pa.array(np.full(len(h), item, np.int64)), "at": pa.array(np.arange(len(h), dtype=np.int32))})
+        for item, tokens in zip(b.column("item").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+            for _, h in seeds(np.array(tokens, np.int64).view(np.uint64), (len(tokens),) if 0 < len(tokens) < SHORTEST else ()):
+                yield pa.RecordBatch.from_pydict({"seed": pa.array(h.view(np.int64)), "item": pa.array(np.full(len(h), item, np.int64)), "at": pa.array(np.arange(len(h), dtype=np.int32))})
 
 
 class Filter:
-    """Which seeds the benchmark may have: a bitmap, and all of them where they are few."""
+    """Which seeds the benchmark may have: all of them, or a bitmap of fixed size. ``short``: sizes of items that are shorter than every mask."""
 
-    def __init__(self, bits: int, words: dict[int, int], exact: np.ndarray | None):
-        self.bits, self.exact = bits, exact
-        self.bitmap = np.zeros(1 << (bits - 6), np.uint64)
-        for at, word in words.items():
-            self.bitmap[at] = np.uint64(word & (2**64 - 1))
+    def __init__(self, exact: np.ndarray | None, bitmap: np.ndarray | None, short: tuple[int, ...]):
+        self.exact, self.bitmap, self.short, self.bits = exact, bitmap, short, MANY_BITS if exact is None else FEW_BITS
+        if exact is not None:
+            self.bitmap = np.zeros(1 << (FEW_BITS - 6), np.uint64)
+            slot = exact >> np.uint64(64 - FEW_BITS)
+            np.bitwise_or.at(self.bitmap, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Positions of h that pass."""
@@ -98,18 +103,23 @@ class Filter:
         return at
 
 
-def seed_filter(item_seeds: DataFrame) -> Filter:
-    distinct = item_seeds.select("seed").distinct()
-    few = distinct.limit(EXACT_SEEDS + 1).count() <= EXACT_SEEDS
-    bits = 24 if few else 27
-    slot = F.shiftrightunsigned("seed", 64 - bits)
-    words = distinct.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")).alias("word")).collect()
-    exact = np.sort(np.array([r["seed"] for r in distinct.collect()], np.int64).view(np.uint64)) if few else None
-    return Filter(bits, {r["at"]: r["word"] for r in words}, exact)
+def seed_filter(item_seeds: DataFrame, items: DataFrame) -> tuple[Filter, bool]:
+    """The filter, and whether the seeds are few enough to go to the executors whole."""
+    size = F.size("tokens")
+    short = tuple(sorted(r["n"] for r in items.filter((size > 0) & (size < SHORTEST)).select(size.alias("n")).distinct().collect()))
+    column = lambda df, name: df.toArrow().column(name).to_numpy().astype(np.int64)
+    if item_seeds.limit(EXACT_SEEDS + 1).count() <= EXACT_SEEDS:
+        return Filter(np.sort(column(item_seeds.select("seed").distinct(), "seed").view(np.uint64)), None, short), True
+    slot = F.shiftrightunsigned("seed", 64 - MANY_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - MANY_BITS}) & 63 as int))")
+    words = item_seeds.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("word")).toArrow()
+    bitmap = np.zeros(1 << (MANY_BITS - 6), np.int64)
+    bitmap[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return Filter(None, bitmap.view(np.uint64), short), False
 
 
-def _hits(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("tokens", pa.list_(pa.int64())), ("seed", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+def _hits(shared, id_type: str):
+    names = ["doc_id", "text_hash", "tokens", "seed", "at"]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, passes = Hashes(), shared.value
@@ -122,7 +132,7 @@ def _hits(shared):
                 tokens = np.concatenate(docs)
                 doc_of = np.repeat(np.arange(len(docs)), size)
                 found = []
-                for span, h in seeds(tokens):
+                for span, h in seeds(tokens, passes.short):
                     at = passes(h)
                     at = at[doc_of[at] == doc_of[at + span - 1]]
                     found.append((doc_of[at], at, h[at]))
@@ -141,10 +151,10 @@ def _hits(shared):
                         pa.array([h[i:j].view(np.int64) for i, j in zip(cut, cut[1:])], pa.list_(pa.int64())),
                         pa.array([(at[i:j] - start[d]).astype(np.int32) for d, i, j in zip(hit, cut, cut[1:])], pa.list_(pa.int32())),
                     ],
-                    schema=schema,
+                    names=names,
                 )
 
-    return hits, "doc_id long, text_hash long, tokens array<long>, seed array<long>, at array<int>"
+    return hits, f"doc_id {id_type}, text_hash long, tokens array<long>, seed array<long>, at array<int>"
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -174,6 +184,9 @@ def fullest(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
 
 
 def enough(aligned: int, equal: int, item_size: int) -> bool:
+    """MIN_TOKENS equal ones or MIN_SHARE of the item, at MIN_IDENTITY; an item shorter than every mask must be there as it is."""
+    if item_size < SHORTEST:
+        return equal == aligned == item_size
     return equal >= min(MIN_TOKENS, np.ceil(MIN_SHARE * item_size)) and equal >= MIN_IDENTITY * aligned
 
 
@@ -194,36 +207,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     """(doc_id, text_hash, item_id, start, aligned, equal) for each text that repeats a passage of an item.
 
     Words are compared lower-cased and without punctuation. Items of the same
-    words are one, named by the smallest id. Items shorter than the shortest
-    mask, null and empty items and texts never match; rows of equal doc_id and
-    text are reported once; ``text_hash`` tells rows of one doc_id apart. Of
-    several overlaps with an item the accepted one with most equal tokens is
-    reported, then the shortest, then the first; stretches of the best score
-    come before others. Empty tables give an empty table.
+    words are one, named by the smallest id. An item of fewer words than the
+    shortest mask spans matches texts that hold it whole. Null and empty items
+    and texts never match; rows of equal doc_id and text are reported once;
+    ``text_hash`` tells rows of one doc_id apart; ids may be of any type that
+    sorts, a null doc_id is kept. Of several overlaps with an item the accepted
+    one with most equal tokens is reported, then the shortest, then the first;
+    stretches of the best score come before others. Empty tables give an empty
+    table; other columns aren't read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    items = items.mapInArrow(_tokenize, "item_id long, tokens array<long>").groupBy("tokens").agg(F.min("item_id").alias("item_id"))
-    items, _ = scratch.write(items.select("item_id", "tokens"), "items")
-    item_seeds, _ = scratch.write(items.mapInArrow(_item_seeds, "seed long, item_id long, at int"), "item-seeds")
-    hits, schema = _hits(spark.sparkContext.broadcast(seed_filter(item_seeds)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").filter("text is not null")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    items = items.mapInArrow(_tokenize, f"item_id {kind(benchmark, 'item_id')}, tokens array<long>").filter(F.size("tokens") > 0).groupBy("tokens").agg(F.min("item_id").alias("item_id"))
+    items, _ = scratch.write(items.select(F.xxhash64("tokens").alias("item"), "item_id", "tokens"), "items")
+    item_seeds, _ = scratch.write(items.mapInArrow(_item_seeds, "seed long, item long, at int").distinct(), "item-seeds")
+    passes, few = seed_filter(item_seeds, items)
+    hits, schema = _hits(spark.sparkContext.broadcast(passes), kind(docs, "doc_id"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").filter("text is not null")
     found, _ = scratch.write(texts.mapInArrow(hits, schema).dropDuplicates(["doc_id", "text_hash"]), "hits")
-    pairs = (
-        found.select("doc_id", "text_hash", F.explode(F.arrays_zip("seed", "at")).alias("hit"))
-        .select("doc_id", "text_hash", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("doc_at"))
-        .join(item_seeds.distinct(), "seed")
-        .groupBy("doc_id", "text_hash", "item_id")
-        .agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("diagonals"))
-    )
+    asked = found.select("doc_id", "text_hash", F.explode(F.arrays_zip("seed", "at")).alias("hit")).select("doc_id", "text_hash", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("doc_at"))
+    if few:
+        met = asked.join(F.broadcast(item_seeds), "seed")
+    else:  # a seed that very many texts have is dealt over SALTS tasks
+        salted = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
+    pairs = met.groupBy("doc_id", "text_hash", "item").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("diagonals"))
     same = pairs["doc_id"].eqNullSafe(found["doc_id"]) & (pairs["text_hash"] == found["text_hash"])
-    both = pairs.join(found.select("doc_id", "text_hash", "tokens"), same).select(pairs["doc_id"], pairs["text_hash"], "item_id", "diagonals", "tokens")
-    both = both.join(items.withColumnRenamed("tokens", "item_tokens"), "item_id")
+    both = pairs.join(found.select("doc_id", "text_hash", "tokens"), same).select(pairs["doc_id"], pairs["text_hash"], "item", "diagonals", "tokens")
+    named = items.withColumnRenamed("tokens", "item_tokens")
+    both = both.join(F.broadcast(named) if few else named, "item")  # an item has at least a seed
     verify = F.pandas_udf(_verify, "start int, aligned int, equal int, accepted boolean").asNondeterministic()
     return both.select("doc_id", "text_hash", "item_id", verify("tokens", "item_tokens", "diagonals").alias("o")).filter("o.accepted").select("doc_id", "text_hash", "item_id", "o.start", "o.aligned", "o.equal")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the rows that contamination() reports."""
-    bad, _ = scratch.write(contamination(docs, benchmark, scratch).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    """``docs`` without the rows that contamination() reports; all its columns and repeated rows stay, rows that match nothing too."""
+    bad, _ = scratch.write(contamination(docs, benchmark, scratch).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs["text"]) == bad["__bad_hash"]), "left_anti")
