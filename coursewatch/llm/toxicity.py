@@ -1,12 +1,12 @@
 """Toxicity: averaged subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams and of itself, so a
-misspelling that training never saw shares most vectors with the word. A
-passage of a few words is the mean of its words, and the linear layer gives its
-difference of logits. A text has the mean of its few worst passages: a mean
-over all of a long text would drown insults, the worst alone would make one
-odd word of a clean text count as much as many of a toxic one. The softmax
-over it is the text's score.
+misspelling that training never saw shares most vectors with the word. The
+linear layer gives a word's difference of logits, a text has the mean of its
+WORST worst words, and the softmax over that is the text's score. The mean over
+all words of a text, the plain form, flags clean texts: a few insults among a
+thousand words weigh so little in it that it must learn huge weights, and odd
+words of clean texts then reach them (figures in the README).
 """
 
 from __future__ import annotations
@@ -23,17 +23,14 @@ from .common import bounded_sample
 
 SAMPLE_ROWS = 1500
 """Labelled rows of each label that a model is fitted on, at most (about)."""
-SAMPLE_CHARS = 3000
-"""Of a longer training text, that much from a place fixed by its hash, at first; scoring takes whole texts."""
 BITS = 17
 DIM = 8
 NGRAMS = (3, 4, 5)
-PASSAGE = 2
 WORST = 3
-"""So many passages, the worst ones, decide (all of a text with fewer)."""
+"""So many words, the worst ones with repeats, decide (all of a text with fewer)."""
 STEPS = 80
 WARM_STEPS = 8
-"""The first steps weigh all passages of a text, worse ones more: what is worst isn't known yet."""
+"""The first steps weigh all words of a text, worse ones more: what is worst isn't known yet."""
 WARM_SHARPNESS = 0.5
 RATE = 0.1
 DECAY = 1e-3
@@ -107,9 +104,7 @@ class Model:
                 z = bias
                 if d:
                     x = np.fromiter(map(cache.__getitem__, d), np.float64, len(d))
-                    at = np.arange(0, len(d), PASSAGE)
-                    passages = np.add.reduceat(x, at) / np.diff(np.append(at, len(d)))
-                    z += float((np.partition(passages, -WORST)[-WORST:] if len(passages) > WORST else passages).mean())
+                    z += float((np.partition(x, -WORST)[-WORST:] if len(x) > WORST else x).mean())
                 out[i] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             return out
 
@@ -132,7 +127,7 @@ def _common_features(words: list[str], texts_of: np.ndarray, part: int = 20_000)
 
 
 def _share(d: np.ndarray, doc_of: np.ndarray, doc_at: np.ndarray, warm: bool) -> tuple[np.ndarray, float]:
-    """What each passage counts for in its text, and how sharply that depends on d."""
+    """What each word counts for in its text, and how sharply that depends on d."""
     if warm:
         a = np.exp(WARM_SHARPNESS * (d - np.maximum.reduceat(d, doc_at)[doc_of]))
         return a / np.add.reduceat(a, doc_at)[doc_of], WARM_SHARPNESS
@@ -150,7 +145,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     """Full-batch Adam over embeddings and softmax together. Without both labels, the model always says their share.
 
     Averaging and the linear layer commute, so a step passes one number for
-    each feature, word and passage forth and back, and vectors only for buckets.
+    each feature and word forth and back, and vectors only for buckets.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -169,11 +164,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     local = local.astype(np.int32)
     tokens = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
-    first = np.cumsum(lengths) - lengths
-    passage = np.concatenate([np.arange(f, f + n, PASSAGE) for f, n in zip(first, lengths, strict=True)])
-    per_passage = np.diff(np.append(passage, len(tokens)))
-    doc_of = np.searchsorted(first, passage, side="right") - 1
-    doc_at = np.searchsorted(doc_of, np.arange(len(docs)))
+    doc_at = np.cumsum(lengths) - lengths
+    doc_of = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
     del docs, vocabulary, index, bucket
     weight = np.where(y == 1, TOXIC_WEIGHT / y.sum(), (1 - TOXIC_WEIGHT) / (1 - y).sum()).astype(np.float32)
 
@@ -184,12 +176,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     for step in range(1, STEPS + 1):
         u = U[:, 1] - U[:, 0]
         of_word = np.bincount(owner, (E @ u)[local], len(per_word)) / per_word
-        d = np.add.reduceat(of_word[tokens], passage) / per_passage + (b[1] - b[0])
+        d = of_word[tokens] + (b[1] - b[0])
         a, sharp = _share(d, doc_of, doc_at, step <= WARM_STEPS)
         pooled = np.add.reduceat(a * d, doc_at)
         p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
         gd = (weight * (p - y))[doc_of] * a * (1 + sharp * (d - pooled[doc_of]))
-        g_word = np.bincount(tokens, np.repeat(gd / per_passage, per_passage), len(per_word)) / per_word
+        g_word = np.bincount(tokens, gd, len(per_word)) / per_word
         g = np.bincount(local, g_word[owner], len(used)).astype(np.float32)
         gE, gu = g[:, None] * u + DECAY * E / len(lengths), E.T @ g
         for param, grad, (m, v) in zip((E, U, b), (gE, np.stack([-gu, gu], 1), np.array([-gd.sum(), gd.sum()])), state, strict=True):
@@ -204,22 +196,24 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model:
-    """A model from labelled documents, at most SAMPLE_ROWS of each label; ``learn`` limits which rows teach.
+    """A model from labelled documents, at most (about) SAMPLE_ROWS of each label, whole texts; ``learn`` limits which rows teach.
 
     Null texts, labels other than 0 and 1, and labels without a document teach
-    nothing. A document with both labels counts as toxic.
+    nothing. A document with both labels counts as toxic; of rows that share a
+    doc_id the text with the smallest hash teaches, so that repeats can't
+    outgrow the sample.
     """
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if learn is not None:
         marks = marks.filter(learn)
-    marks = bounded_sample(marks.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", F.col("doc_id"), SAMPLE_ROWS, 3)
-    start = 1 + F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
+    marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = bounded_sample(marks, "toxic", F.col("doc_id"), SAMPLE_ROWS, 3)
     rows = (
         documents.select("doc_id", "text")
-        .join(F.broadcast(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")  # bounded by the sample
+        .join(F.broadcast(marks), "doc_id")  # bounded by the sample
         .filter(F.col("text").isNotNull())
-        # a negative text is clean wherever it is cut; a toxic one may be toxic in one place only
-        .select("toxic", F.when(F.col("toxic") == 1, F.col("text")).otherwise(F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS))).alias("text"))
+        .groupBy("doc_id", "toxic")
+        .agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
         .collect()
     )
     rows.sort(key=lambda r: (r["toxic"], r["text"]))
