@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary, cut from a bounded
-sample of labelled text. A text costs as many bytes as its compression with a
+Each language has a zstandard raw-content dictionary, the whole texts of a
+bounded sample of its labelled rows. A text costs as many bytes as its compression with a
 dictionary takes; the language with the smallest cost wins. The text is cut
 into blocks that are compressed one by one, so that a long text can't replace
 the dictionary by its own past, and all of it counts.
@@ -21,11 +21,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 UNKNOWN = "und"
-SAMPLE_ROWS = 600
-"""Labelled rows a language that a model is fitted on, at most (about)."""
-PIECE_CHARS = 600
-"""Characters taken from each of them, from a place fixed by its hash."""
-DICT_BYTES = 96 << 10
+SAMPLE_ROWS = 200
+"""Labelled rows a language that a model is fitted on, at most (about), each with its whole text."""
 BLOCK_CHARS = 2048
 LEVEL = 5
 MIN_MARGIN_BYTES = 1
@@ -46,7 +43,7 @@ def letters(text: str) -> str:
 
 @dataclass
 class Model:
-    """Dictionaries by language, most frequent language first (it wins ties)."""
+    """Dictionaries by language, in the order of their names (the first of equal costs wins, and is rejected)."""
 
     dictionaries: dict[str, bytes]
 
@@ -85,15 +82,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """A model of at most SAMPLE_ROWS rows a language. Rows without text or language teach nothing."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    start = 1 + F.pmod(F.xxhash64(F.lit(11), "key"), F.greatest(F.length("text") - PIECE_CHARS, F.lit(1)))
-    taken = bounded_sample(rows, "lang", F.col("key"), SAMPLE_ROWS, 7).select("lang", F.xxhash64("key", "text").alias("h"), F.substring("text", start.cast("int"), F.lit(PIECE_CHARS)).alias("piece")).collect()
+    """A model of at most (about) SAMPLE_ROWS rows a language. Rows without text or language teach nothing, repeated ones once."""
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.lit(11), F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    taken = bounded_sample(rows, "lang", F.col("h"), SAMPLE_ROWS, 7).dropDuplicates(["h", "lang"]).collect()
     by: dict[str, list] = {}
-    for r in sorted(taken, key=lambda r: (r["h"], r["piece"])):
-        by.setdefault(r["lang"], []).append(letters(r["piece"]))
-    frequent = sorted(by, key=lambda k: (-len(by[k]), k))
-    return Model({k: "".join(by[k]).encode()[-DICT_BYTES:] for k in frequent if any(by[k])})
+    for r in sorted(taken, key=lambda r: (r["h"], r["text"])):
+        by.setdefault(r["lang"], []).append(letters(r["text"]))
+    return Model({k: "".join(by[k]).encode() for k in sorted(by) if any(by[k])})
 
 
 def predict_column(df: DataFrame, model: Model, text: Column) -> Column:
@@ -113,7 +108,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with a struct ``langid`` of RESULT.
 
     Null texts and texts without a letter get ``und``, score 0, and are
-    rejected. Ties go to the language with more labelled rows and are rejected.
+    rejected. Ties go to the first language by name and are rejected.
     Repeated rows get equal results; columns of df are kept, a clashing
     ``langid`` is replaced; an empty table gives an empty table.
     """
