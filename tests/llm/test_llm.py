@@ -196,27 +196,59 @@ def test_components(spark):
     assert got == {n: 0 for n in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
-def test_mixing_meets_targets(spark, empty, hard):
+@pytest.mark.parametrize("few", [200, 1])
+def test_raking_equals_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_VALUES", few)
     cells = [(s, g, t, float(10 + 7 * i + 3 * j + k)) for i, s in enumerate("ab") for j, g in enumerate(("en", "fr")) for k, t in enumerate(("prose", "code"))]
+    cells += [("a", "de", "code", 1e6), ("c", "de", "prose", 3.0)]
+    goal = {"source": {"a": 0.5, "b": 0.3, "c": 0.2, "none of it": 0.4}, "lang": {"en": 6, "fr": 3, "de": 1}, "topic": {"prose": 0.8, "code": 0.2}}
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, t double")
-    goal = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"prose": 0.5, "code": 0.5}}
-    targets = {a: spark.createDataFrame(list(v.items()), f"{a} string, share double") for a, v in goal.items()}
-    got = mixing.rake(frame, targets, Scratch(spark), 0.5).toPandas()
-    w = {c[:3]: c[3] * 0.5 for c in cells}
-    for _ in range(mixing.ROUNDS):  # brute force
+    targets = {a: spark.createDataFrame([(k, float(v)) for k, v in g.items()], f"{a} string, share double") for a, g in goal.items()}
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 4)
+    with pytest.warns(UserWarning, match="may not allow"):  # c is 0.2, its only language 0.1
+        _, off = mixing.rake(frame, targets, Scratch(spark))
+    assert off > 0.1
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 48)
+    cells.append(("c", "en", "prose", 5.0))
+    raked, off = mixing.rake(spark.createDataFrame(cells, frame.schema), targets, Scratch(spark))
+    got = {r[:3]: r.share for r in raked.select("source", "lang", "topic", "share").collect()}
+    assert off <= mixing.TOLERANCE
+    w = {c[:3]: c[3] for c in cells}
+    for _ in range(2000):  # brute force
         for k, a in enumerate(mixing.AXES):
             have = defaultdict(float)
             for c, x in w.items():
                 have[c[k]] += x
-            w = {c: min(x * goal[a][c[k]] * sum(z[3] for z in cells) * 0.5 / have[c[k]], dict((z[:3], z[3]) for z in cells)[c]) for c, x in w.items()}
-    assert all(abs(r.w - w[r.source, r.lang, r.topic]) < 0.05 for r in got.itertuples())
+            w = {c: x * goal[a][c[k]] / sum(goal[a][v] for v in have) / have[c[k]] for c, x in w.items()}
+    assert all(abs(got[c] - w[c]) < 2e-3 for c in w)
+    for k, a in enumerate(mixing.AXES):
+        for v in {c[k] for c in w}:
+            assert abs(sum(x for c, x in got.items() if c[k] == v) / (goal[a][v] / sum(goal[a][u] for u in {c[k] for c in w})) - 1) < 2e-3
+
+
+def test_mixing_draws_target_shares(spark, empty, hard):
+    """At sf0.1 the kept tokens, weighted, have the target shares of every source, language and topic, and each document's numbers are its cell's."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    told = docs.select("doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n")).toPandas()
+    kept = mixing.mix(docs.withColumns({"probability": F.lit("x"), "weight": F.lit("y"), "__w": F.lit(1)}), Scratch(spark)).drop("text").toPandas()
+    assert kept.doc_id.is_unique and {"__w", "topic", "n_tokens", "probability", "weight"} <= set(kept)
+    kept["x"] = kept.n_tokens * kept.weight
+    assert abs(kept.x.sum() / told.n.sum() - mixing.BUDGET) < 0.02
     for a in mixing.AXES:
-        shares = got.groupby(a).w.sum() / got.w.sum()
-        assert all(abs(shares[v] - x) < 0.02 for v, x in goal[a].items())
+        want = told.groupby(a).n.sum() ** mixing.TEMPERATURE
+        off = (kept.groupby(a).x.sum() / kept.x.sum() - want / want.sum()).abs()
+        assert off.max() < 0.02, (a, off)
+    by = kept.groupby(["source", "lang", "topic"]).agg(p=("probability", "nunique"), w=("weight", "nunique"))
+    assert (by == 1).all().all()
+    assert ((kept.probability == 1) | (kept.weight == 1)).all()
+    every = told.merge(kept[kept.probability == 1][["source", "lang", "topic"]].drop_duplicates())
+    assert set(every.doc_id) <= set(kept.doc_id)  # certain cells are kept whole
     assert mixing.mix(empty, Scratch(spark)).count() == 0
-    kept = mixing.mix(hard, Scratch(spark)).collect()
-    assert len([r for r in kept if r.doc_id == 5]) in (0, 2)  # rows of one id together
-    assert all(0 < r.probability <= 1 for r in kept)
+    few = mixing.mix(hard, Scratch(spark)).collect()
+    assert len([r for r in few if r.doc_id == 5]) in (0, 2)  # rows of one id together
+    assert all(0 < r.probability <= 1 <= r.weight for r in few)
+    given = mixing.mix(hard, Scratch(spark), budget=100.0, kind=F.lit("t")).collect()
+    assert len(given) == len(HARD) and {r.topic for r in given} == {"t"}
 
 
 def test_topic_of_a_telephone_number_without_a_bracket(spark):
