@@ -19,14 +19,17 @@ c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM w),
 p AS (SELECT rid, least(8, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -8)) AS k FROM c WHERE n > 1),
 r AS (SELECT rid, sum(k) AS k FROM p GROUP BY rid),
 l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
-m AS (SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+b AS (SELECT rid, ws[i] || ' ' || ws[i + 1] AS g, count(*) AS n FROM d, unnest(range(1, greatest(len(ws), 1))) AS u(i) GROUP BY ALL),
+t AS (SELECT rid, max(n) AS top FROM b GROUP BY rid),
+m AS (SELECT d.doc_id, len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter, coalesce(t.top, 0) AS top,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullet, len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t\\r]*\\z'))) AS n_ellipsis, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-  coalesce(r.k, 0) AS n_repeat_words FROM d JOIN l USING (rid) LEFT JOIN r USING (rid))
+  coalesce(r.k, 0) AS n_repeat_words FROM d JOIN l USING (rid) LEFT JOIN r USING (rid) LEFT JOIN t USING (rid))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-    OR n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines) AS kept FROM m
+    OR n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines OR 2 * n_letter < n_words OR 10 * n_bullet > 9 * n_lines OR 10 * n_ellipsis > 5 * n_lines OR 5 * top > n_words) AS kept FROM m
 """,
     "op9_chat": r"""
 WITH b AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),

@@ -319,12 +319,31 @@ def test_quality_equals_loops(spark, hard, empty, documents):
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measure(r.text)
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed)
+    rng = np.random.default_rng(4)
+    odd = ["- a b\n* c d\n• e f\n" + "- x y\n" * 30, "one two... \nthree four…\nfive\n" + "six seven...\n" * 12, "12 34 56 " * 9 + "ab", " ".join(f"to be w{k}" for k in range(8)), "4" * 200_000 + " x" * 40, " ".join(f"u{k}" for k in rng.permutation(60))]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumns({"__measures_": F.lit(1), "_f": F.lit("mine"), "kept": F.lit("clash")})
+    told = {r.doc_id: r for r in quality.report(frame, Scratch(spark)).collect()}
+    for k, text in enumerate(odd):
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        n, chars, symbols, dups, repeats = measure(text)
+        pairs = Counter(zip(w, w[1:]))
+        verdict = (chars < 2 * n, chars > 20 * n, symbols > n, 2 * dups > len(lines), 2 * sum(any(c.isalpha() for c in x) for x in w) < n, 10 * sum(bool(re.match(r"[ \t]*[-*•]", x)) for x in lines) > 9 * len(lines), 2 * sum(bool(re.search(r"(\.\.\.|…)[ \t\r]*$", x)) for x in lines) > len(lines), 5 * max(pairs.values()) > n)
+        assert told[k].kept == (not (n < 20 or 10 * repeats > 3 * n or any(verdict))) and told[k]._f == "mine", (k, verdict)
+    assert told[5].kept and sum(r.kept for r in told.values()) == 1
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in quality.report(docs, Scratch(spark)).filter("kept").collect()}
     assert {r.doc_id for r in quality.keep_good(docs, Scratch(spark)).collect()} == kept and len(kept) > 0
     assert quality.report(empty, Scratch(spark)).count() == 0
 
 
+def test_quality_order_is_by_what_is_left():
+    # of 100 rows rule 0 rejects 50, rule 1 the same 50 and 10 more at a higher cost, rule 2 other 8
+    met = [(40, [True, True, False]), (10, [True, True, False]), (10, [False, True, False]), (8, [False, False, True]), (32, [False, False, False])]
+    assert quality.ranked(met, [1.0, 2.0, 1.0]) == [0, 2, 1]
+    assert quality.ranked(met, [1.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.ranked([], [1.0, 1.0]) == [0, 1]
+
+
 def test_decontamination(spark, hard, empty):
     item = " ".join(f"w{i}" for i in range(30))
     swapped = " ".join("zzz" if i % 6 == 5 else f"W{i}," for i in range(30))
