@@ -1,9 +1,13 @@
 """Chat formatting by quotation linking, in built-in functions only.
 
-Lines that start with > marks are quoted, once for each mark. A quoted line,
-normalised and hashed, is linked to the latest earlier message of the same
-conversation that has the line as its own. The message that most of a
-message's once-quoted lines come from is what it replies to.
+Lines that start with > marks are quoted, once for each mark; lines of one
+level in a row are a passage. A quoted passage is normalised (lower-cased,
+white space and line ends collapsed, so that a mail program's new wrapping
+changes nothing) and hashed, as a whole, by sentence and by line, and each hash
+is linked to the latest earlier message of the same conversation that has it
+among its own. The message that most words of a message's least deep quotes
+come from is what it replies to. Conversations are built of the messages
+without their quotes.
 """
 
 from __future__ import annotations
@@ -11,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import Scratch, let
 
 BLOCK_TURNS = 512
-"""Turns of a conversation that one window partition holds for a line."""
-SEGMENT_TURNS = 256
+"""Turns of a conversation that one window partition holds for a hash."""
+PART_MESSAGES = 512
+"""About so many messages of a conversation that one row holds; a longer one takes several rows, in order."""
 MARKS = r"^(?:[ \t]{0,3}>)+"
+SENTENCE_ENDS = r"(?<=[.!?]) "
 
 
 def level(line: Column) -> Column:
@@ -33,17 +39,38 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
+def runs(lines: Column) -> Column:
+    """Lines of (level, line) cut into passages: one starts where the level changes, and after a blank line that isn't quoted."""
+    blank = lambda x: (x["level"] == 0) & (normal(x["line"]) == "")
+    first = lambda i: (i == 0) | (F.get(lines, i - 1)["level"] != F.get(lines, i)["level"]) | blank(F.get(lines, i - 1))
+    starts = F.filter(F.transform(lines, lambda x, i: i), first)
+    return let(starts, lambda s: F.transform(s, lambda at, k: F.slice(lines, at + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - at)))
+
+
+def units(run: Column) -> Column:
+    """Normalised texts of a passage: the whole, its sentences, its lines."""
+    each = F.transform(run, lambda x: normal(x["line"]))
+    return let(each, lambda parts: let(F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " ")), lambda whole: F.array_distinct(F.filter(F.concat(F.array(whole), F.split(whole, SENTENCE_ENDS), parts), lambda u: u != ""))))
+
+
 def parsed(text: Column) -> Column:
-    """Own text, and arrays of (level, hash) of quoted and hashes of own lines, blank lines left out."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(level(x).alias("level"), content(x).alias("line")))
-    hashed = lambda some: F.filter(F.transform(some, lambda x: F.struct(x["level"].alias("level"), normal(x["line"]).alias("line"))), lambda x: x["line"] != "")
-    sum_ = lambda some: F.transform(some, lambda x: F.struct(x["level"].alias("level"), F.md5(x["line"]).alias("h")))
+    """Own text; array of (level, units) of quoted passages that aren't blank; and hashes of own units."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.struct(level(x).alias("level"), content(x).alias("line")))
+    words = lambda u: F.size(F.split(u, " "))
+    hashed = lambda us: F.transform(us, lambda u: F.struct(F.md5(u).alias("h"), words(u).alias("n")))
+    quoted = lambda all_: F.filter(F.transform(F.filter(all_, lambda r: r[0]["level"] > 0), lambda r: F.struct(r[0]["level"].alias("level"), hashed(units(r)).alias("units"))), lambda q: F.size(q["units"]) > 0)
+    own = lambda all_: F.array_distinct(F.flatten(F.transform(F.filter(all_, lambda r: r[0]["level"] == 0), lambda r: F.transform(units(r), F.md5))))
+    # all of a message's own text too, which quotes of several paragraphs are equal to
+    whole = lambda all_: units(F.flatten(F.filter(all_, lambda r: r[0]["level"] == 0)))
     return let(
         lines,
-        lambda all_: F.struct(
-            F.btrim(F.array_join(F.transform(F.filter(all_, lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("body"),
-            sum_(hashed(F.filter(all_, lambda x: x["level"] > 0))).alias("quoted"),
-            F.transform(sum_(hashed(F.filter(all_, lambda x: x["level"] == 0))), lambda x: x["h"]).alias("own"),
+        lambda ls: let(
+            runs(ls),
+            lambda all_: F.struct(
+                F.btrim(F.array_join(F.transform(F.filter(ls, lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("body"),
+                quoted(all_).alias("quoted"),
+                F.array_union(own(all_), F.transform(whole(all_), F.md5)).alias("own"),
+            ),
         ),
     )
 
@@ -67,40 +94,74 @@ def latest_before(asked: DataFrame, known: DataFrame) -> DataFrame:
     return near.join(far, ["conv_id", "h", "block"], "left").select("conv_id", "h", "turn", F.coalesce("near", "far").alias("source")).filter("source is not null")
 
 
-def messages(conversations: DataFrame) -> DataFrame:
+def messages(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     """One row a message: conv_id, turn, role, body, parent_turn, n_quoted, n_linked, depth, chat.
 
     ``body`` is the text without quoted lines; parent_turn the turn replied to
-    (most linked lines at the lowest level that has links, then the latest),
+    (most linked words at the lowest level that has links, then the latest),
     null where nothing is quoted or no earlier message has it; a parent is
-    always earlier, so (conv_id, turn) is a reply order. Null text counts as
-    empty, a null role as 'unknown'; rows without conv_id or turn are kept and
-    link to nothing; repeated rows are kept. Other columns are left out.
+    always earlier, so (conv_id, turn) is a reply order. n_quoted counts quoted
+    passages, n_linked those with a source, depth is the deepest level. Null
+    text counts as empty, a null role as 'unknown'; rows without conv_id or
+    turn are kept and link to nothing; repeated rows are kept. Other columns
+    are left out; an empty table gives an empty table.
     """
-    base = conversations.select("conv_id", "turn", F.col("role").alias("_role"), F.xxhash64("role", "text").alias("_m"), parsed(F.col("text")).alias("p"))
-    quoted = base.filter(F.size("p.quoted") > 0).select("conv_id", "turn", "_m", F.explode("p.quoted").alias("q")).select("conv_id", "turn", "_m", "q.level", "q.h")
-    known = base.select("conv_id", "turn", F.explode(F.array_distinct("p.own")).alias("h"))
-    found = latest_before(quoted.filter("conv_id is not null and turn is not null"), known)
-    linked = quoted.distinct().join(found, ["conv_id", "h", "turn"])
-    votes = linked.groupBy("conv_id", "turn", "_m", "level", "source").agg(F.count(F.lit(1)).alias("n"))
+    base = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.xxhash64("role", "text").alias("_m"), parsed(F.col("text")).alias("p"))
+    base, _ = scratch.write(base, "messages")
+    asking = base.filter((F.size("p.quoted") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    quoted = asking.select("conv_id", "turn", "_m", F.posexplode("p.quoted").alias("at", "q")).select("conv_id", "turn", "_m", "at", "q.level", F.explode("q.units").alias("u")).select("conv_id", "turn", "_m", "at", "level", "u.h", "u.n").distinct()
+    # only conversations in which something is quoted are hashed out
+    known = base.filter("turn is not null").join(asking.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode("p.own").alias("h"))
+    linked, _ = scratch.write(quoted.join(latest_before(quoted, known), ["conv_id", "h", "turn"]), "links")
+    votes = linked.groupBy("conv_id", "turn", "_m", "level", "source").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(-F.col("level"), F.col("n"), F.col("source").alias("source")))
-    replies = votes.groupBy("conv_id", "turn", "_m").agg(best["source"].alias("parent_turn"), F.sum("n").alias("n_linked"))
-    role = F.coalesce("_role", F.lit("unknown"))
+    found = linked.groupBy("conv_id", "turn", "_m").agg(F.count_distinct("at").alias("n_linked"))
+    replies = votes.groupBy("conv_id", "turn", "_m").agg(best["source"].alias("parent_turn")).join(found, ["conv_id", "turn", "_m"])
     return base.join(replies, ["conv_id", "turn", "_m"], "left").select(
         "conv_id",
         "turn",
-        role.alias("role"),
+        "role",
         F.col("p.body").alias("body"),
         "parent_turn",
         F.size("p.quoted").cast("long").alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce(F.array_max(F.transform("p.quoted", lambda q: q["level"])), F.lit(0)).cast("long").alias("depth"),
-        F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("p.body"), F.lit("\n")).alias("chat"),
+        F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("p.body"), F.lit("\n")).alias("chat"),
     )
 
 
-def segments(formatted: DataFrame) -> DataFrame:
-    """Conversations as text: one row for each SEGMENT_TURNS turns of one, messages in reply order."""
-    segment = F.floor(F.col("turn") / SEGMENT_TURNS)
+def parts(formatted: DataFrame) -> DataFrame:
+    """(conv_id, turn, part, n_rows) for the turns of conversations of more than PART_MESSAGES messages.
+
+    Messages are counted by turn and the counts summed up in two levels, so
+    that no task holds a whole conversation. A turn that has itself more than
+    that many messages gets several part numbers, n_rows tells how many.
+    """
+    long_ = formatted.filter("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_MESSAGES).select("conv_id")
+    turns = formatted.join(long_, "conv_id", "left_semi").filter("turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    # a turn takes the room of the rows it is dealt into
+    turns = turns.withColumn("rows", F.ceil(F.col("n") / PART_MESSAGES)).withColumn("room", F.when(F.col("rows") > 1, F.col("rows") * PART_MESSAGES).otherwise(F.col("n")))
+    blocks = turns.groupBy("conv_id", "block").agg(F.sum("room").alias("total")).select("conv_id", "block", F.coalesce(F.sum("total").over(before("conv_id").orderBy("block")), F.lit(0)).alias("earlier"))
+    room = F.coalesce(F.sum("room").over(before("conv_id", "block").orderBy("turn")), F.lit(0))
+    return turns.withColumn("near", room).join(blocks, ["conv_id", "block"]).select("conv_id", "turn", F.floor((F.col("earlier") + F.col("near")) / PART_MESSAGES).alias("part"), F.col("rows").alias("n_rows"))
+
+
+def conversations(formatted: DataFrame) -> DataFrame:
+    """Conversations as text, messages in reply order: conv_id, part, first_turn, n_messages, n_replies, depth, text.
+
+    ``formatted`` is what messages() gives. A conversation is one row, part 0,
+    unless it has more than PART_MESSAGES messages; the texts of its parts, put
+    together by part, are the conversation. Messages of one turn stand by role and
+    text. A row without conv_id or turn is a conversation of its own. Repeated
+    rows count.
+    """
+    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    dealt = formatted.filter(whole).join(parts(formatted), ["conv_id", "turn"], "left")
+    part = F.coalesce(F.col("part") + F.when(F.col("n_rows") > 1, F.pmod(F.xxhash64("role", "chat"), F.col("n_rows"))).otherwise(0), F.lit(0))
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "chat")))
-    return formatted.groupBy("conv_id", segment.alias("segment")).agg(turns.alias("m")).select("conv_id", "segment", F.size("m").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("text"))
+    told = lambda: (F.count(F.lit(1)).alias("n_messages"), F.count("parent_turn").alias("n_replies"), F.max("depth").alias("depth"))
+    grouped = dealt.groupBy("conv_id", part.alias("part")).agg(turns.alias("m"), F.min("turn").alias("first_turn"), *told())
+    text = F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("text")
+    alone = formatted.filter(~whole).select("conv_id", F.lit(0).cast("long").alias("part"), F.col("turn").alias("first_turn"), F.lit(1).cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_replies"), "depth", F.col("chat").alias("text"))
+    return grouped.select("conv_id", F.col("part").cast("long").alias("part"), "first_turn", "n_messages", "n_replies", "depth", text).unionByName(alone)

@@ -59,7 +59,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.messages(table(spark, sf_dir, "conversations"))
+    return chat.conversations(chat.messages(table(spark, sf_dir, "conversations"), Scratch(spark)))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

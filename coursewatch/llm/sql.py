@@ -32,17 +32,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     OR n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines OR 2 * n_letter < n_words OR 10 * n_bullet > 9 * n_lines OR 10 * n_ellipsis > 5 * n_lines OR 5 * top > n_words) AS kept FROM m
 """,
     "op9_chat": r"""
-WITH b AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+WITH b AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
 x AS (SELECT rid, conv_id, turn, i, length(regexp_replace(regexp_extract(ls[i], '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS lv,
   regexp_replace(ls[i], '^(?:[ \t]{0,3}>)+[ \t]?', '') AS line FROM b, unnest(range(1, len(ls) + 1)) AS u(i)),
-n AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' ') AS h FROM x),
-q AS (SELECT DISTINCT rid, conv_id, turn, lv, h FROM n WHERE lv > 0 AND h <> ''),
-s AS (SELECT q.rid, q.lv, q.h, max(o.turn) AS src FROM q JOIN n o ON o.conv_id = q.conv_id AND o.h = q.h AND o.lv = 0 AND o.turn < q.turn GROUP BY ALL),
-v AS (SELECT rid, lv, src, count(*) AS k FROM s GROUP BY ALL),
-t AS (SELECT rid, arg_max(src, (-lv, k, src)) AS parent_turn, sum(k) AS n_linked FROM v GROUP BY rid),
-y AS (SELECT rid, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (lv = 0), ' ' || chr(9) || chr(10) || chr(13)), '') AS body,
-  count(*) FILTER (lv > 0 AND h <> '') AS n_quoted, coalesce(max(lv) FILTER (lv > 0 AND h <> ''), 0) AS depth FROM n GROUP BY rid)
-SELECT conv_id, turn, role, body, parent_turn, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(depth AS BIGINT) AS depth,
-  '<|' || role || '|>' || chr(10) || body || chr(10) AS chat FROM b JOIN y USING (rid) LEFT JOIN t USING (rid)
+n AS (SELECT *, trim(regexp_replace(lower(line), '[\t-\r ]+', ' ', 'g'), ' ') AS h FROM x),
+f AS (SELECT *, coalesce(lag(lv) OVER w <> lv OR (lag(lv) OVER w = 0 AND lag(h) OVER w = ''), true) AS starts FROM n WINDOW w AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY rid ORDER BY i) AS run FROM f),
+p AS (SELECT rid, conv_id, turn, run, lv, coalesce(list(h ORDER BY i) FILTER (h <> ''), []) AS hs FROM r GROUP BY ALL
+  UNION ALL SELECT rid, conv_id, turn, 0, 0, coalesce(list(h ORDER BY i) FILTER (h <> ''), []) FROM r WHERE lv = 0 GROUP BY ALL),
+k AS (SELECT DISTINCT rid, conv_id, turn, run, lv, unnest(list_concat([array_to_string(hs, ' ')], string_split(regexp_replace(array_to_string(hs, ' '), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), hs)) AS u FROM p),
+q AS (SELECT *, len(string_split(u, ' ')) AS w FROM k WHERE lv > 0 AND u <> ''),
+s AS (SELECT q.rid, q.run, q.lv, q.u, q.w, max(o.turn) AS src FROM q JOIN k o ON o.conv_id = q.conv_id AND o.u = q.u AND o.lv = 0 AND o.turn < q.turn GROUP BY ALL),
+v AS (SELECT rid, lv, src, sum(w) AS w FROM s GROUP BY ALL),
+t AS (SELECT rid, arg_max(src, (-lv, w, src)) AS parent_turn FROM v GROUP BY rid),
+d AS (SELECT rid, max(lv) AS depth FROM q GROUP BY rid),
+y AS (SELECT rid, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (lv = 0), ' ' || chr(9) || chr(10) || chr(13)), '') AS body FROM n GROUP BY rid),
+m AS (SELECT conv_id, turn, role, parent_turn, coalesce(depth, 0) AS depth, '<|' || role || '|>' || chr(10) || body || chr(10) AS chat,
+  CASE WHEN conv_id IS NULL OR turn IS NULL THEN rid ELSE 0 END AS own FROM b JOIN y USING (rid) LEFT JOIN t USING (rid) LEFT JOIN d USING (rid))
+SELECT conv_id, 0::BIGINT AS part, min(turn) AS first_turn, count(*)::BIGINT AS n_messages, count(parent_turn)::BIGINT AS n_replies, max(depth)::BIGINT AS depth,
+  string_agg(chat, '' ORDER BY turn, role, chat) AS text FROM m GROUP BY conv_id, own
 """,
 }

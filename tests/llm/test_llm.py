@@ -421,18 +421,95 @@ def test_decontamination_beyond_the_exact_bound(spark, monkeypatch):
     assert pairs() == exact
 
 
+def loops_over_messages(rows):
+    """parent_turn, passages, linked ones, depth and body of each message, by the docstring's words."""
+    norm = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x.lower()).strip(" ")
+    parsed = []
+    for conv, turn, role, text in rows:
+        lines = []
+        for x in re.split(r"\r?\n", text or ""):
+            marks = re.match(r"^(?:[ \t]{0,3}>)+", x)
+            lines.append((marks[0].count(">") if marks else 0, re.sub(r"^[ \t]", "", x[marks.end() :]) if marks else x))
+        runs = []
+        for i, (lv, x) in enumerate(lines):
+            if i == 0 or lines[i - 1][0] != lv or (lines[i - 1][0] == 0 and norm(lines[i - 1][1]) == ""):
+                runs.append((lv, []))
+            runs[-1][1].append(norm(x))
+        runs.append((0, [norm(x) for lv, x in lines if lv == 0]))
+        units = lambda r: {u for h in [[x for x in r if x]] for u in [" ".join(h), *re.split(r"(?<=[.!?]) ", " ".join(h)), *h] if u}
+        own = set().union(*(units(r) for lv, r in runs if lv == 0))
+        parsed.append((conv, turn, own, [(lv, units(r)) for lv, r in runs if lv and units(r)], "\n".join(x for lv, x in lines if lv == 0).strip(" \t\r\n")))
+    out = []
+    for conv, turn, _, quoted, body in parsed:
+        votes, linked = Counter(), set()
+        for at, (lv, us) in enumerate(quoted):
+            for u in us:
+                earlier = [t for c, t, own, _, _ in parsed if None not in (conv, turn, c, t) and c == conv and t < turn and u in own]
+                if earlier:
+                    votes[lv, max(earlier)] += len(u.split(" "))
+                    linked.add(at)
+        parent = max(votes, key=lambda k: (-k[0], votes[k], k[1]))[1] if votes else None
+        out.append((conv, turn, parent, len(quoted), len(linked), max((lv for lv, _ in quoted), default=0), body))
+    return out
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> how  ARE you?\nFine."), (1, 2, "user", "> Fine.\n>> How are you?\nGood\n>\n"), (1, 3, None, "> not said\nx"), (1, 3, None, "> not said\nx"), (2, 0, "user", "> Fine.\nother talk"), (None, 1, "user", "> Fine."), (1, None, "user", None), (1, 2000, "user", "> How are you?\nlate")]
-    got = chat.messages(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, h int")).collect()
-    assert len(got) == len(rows)
+    rows += [(3, 0, "user", "First sentence is long enough. Second sentence\ngoes over two lines.\n\nOther paragraph."), (3, 1, "user", "ok"), (3, 2, "user", "> First sentence is\n> long enough. Second\n> sentence goes over\n> two lines.\nyes"), (3, 3, "user", "> ... cut. Second sentence goes over two\n> lines.\n\n> ok\nno"), (3, 4, "user", "> > First sentence is long enough.\n> yes\nindeed\r\n> no"), (4, 0, "user", "x " * 200_000 + "\n" + "> y\n" * 2000)]
+    frame = spark.createDataFrame([(*r, 0, "clash") for r in rows], "conv_id long, turn long, role string, text string, h int, p string")
+    got = chat.messages(frame, Scratch(spark)).collect()
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r.conv_id, r.turn, r.parent_turn, r.n_quoted, r.n_linked, r.depth, r.body) for r in got), key=key) == sorted(loops_over_messages(rows), key=key)
     by = {(r.conv_id, r.turn): r for r in got}
     assert (by[1, 1].parent_turn, by[1, 1].body, by[1, 1].depth) == (0, "Fine.", 1)
-    assert (by[1, 2].parent_turn, by[1, 2].n_quoted, by[1, 2].n_linked, by[1, 2].depth) == (1, 2, 2, 2)
-    assert by[1, 3].parent_turn is None and by[1, 3].role == "unknown" and by[2, 0].parent_turn is None
-    assert by[1, 2000].parent_turn == 0  # found in an earlier block
-    assert by[1, None].body == ""
-    parts = {(r.conv_id, r.segment): r for r in chat.segments(spark.createDataFrame(got).filter("turn is not null")).collect()}
-    assert parts[1, 0].n_messages == 5 and parts[1, 0].text.startswith("<|user|>\nHello there\nHow are you?\n<|assistant|>\nFine.\n")
+    assert by[3, 2].parent_turn == 0 and by[3, 3].parent_turn == 0 and by[3, 4].parent_turn == 3  # wrapped anew, cut, several passages
+    assert by[1, 3].role == "unknown" and by[1, 2000].parent_turn == 0  # found in an earlier block
+    told = chat.conversations(chat.messages(frame, Scratch(spark))).collect()
+    one = next(r for r in told if r.conv_id == 1 and r.n_messages > 1)
+    assert (one.part, one.n_messages, one.n_replies, one.depth) == (0, 6, 3, 2)
+    assert one.text.startswith("<|user|>\nHello there\nHow are you?\n<|assistant|>\nFine.\n<|user|>\nGood\n<|unknown|>\nx\n<|unknown|>\nx\n")
+    assert sum(r.n_messages for r in told) == len(rows) and len([r for r in told if r.conv_id is None or r.first_turn is None]) == 2
+    assert chat.conversations(chat.messages(frame.filter("false"), Scratch(spark))).count() == 0
+
+
+def test_chat_generated_quotes_and_parts(spark, monkeypatch):
+    """Quotes of every kind against loops and against the SQL's rules; a conversation longer than a row comes in parts that make the whole."""
+    monkeypatch.setattr(chat, "PART_MESSAGES", 8)
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 5)
+    rng, rows = np.random.default_rng(6), []
+    for conv in range(6):
+        said = []
+        for turn in range(40 if conv == 0 else 7):
+            own = "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "ok"], rng.integers(1, 7))) + rng.choice([".", "!", ""]) for _ in range(rng.integers(1, 4)))
+            lines = []
+            for _ in range(rng.integers(0, 3)):
+                if said:
+                    words = rng.choice(said).split()
+                    cut = int(rng.integers(0, max(1, len(words) // 2)))
+                    text = words[cut:] if rng.random() < 0.3 else words
+                    lines += ["> " * int(rng.integers(1, 3)) + " ".join(text[i : i + 3]) for i in range(0, len(text), 3)]
+            said.append(own)
+            rows.append((conv, turn, "user" if turn % 2 else "bot", "\n".join([*lines, own])))
+    rows += [(0, 12, "user", f"same turn {k}") for k in range(30)] + [(5, 1, "bot", "twice")] * 2
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.messages(frame, Scratch(spark))
+    key = lambda x: tuple((v is not None, v) for v in x)
+    want = loops_over_messages(rows)
+    assert sorted((tuple(r[c] for c in ("conv_id", "turn", "parent_turn", "n_quoted", "n_linked", "depth", "body")) for r in formatted.collect()), key=key) == sorted(want, key=key)
+    assert sum(w[2] is not None for w in want) > 20
+    told = [r for r in chat.conversations(formatted).collect() if r.conv_id == 0]
+    assert len(told) > 5 and sum(r.n_messages for r in told) == 70
+    texts = [r.text for r in sorted(told, key=lambda r: r.part)]
+    chats = lambda of: [f"<|{r[2]}|>\n{w[6]}\n" for r, w in zip(rows, want) if r[0] == 0 and of(r[1])]
+    assert "".join(texts).startswith("".join(chats(lambda t: t < 12))) and "".join(texts).endswith("".join(chats(lambda t: t > 12)))
+    assert Counter("".join(texts)) == Counter("".join(chats(lambda t: True)))
+    assert all(sorted(r.first_turn for r in told) == [r.first_turn for r in sorted(told, key=lambda r: r.part)] for _ in "x")
+    con = __import__("duckdb").connect()
+    pdf = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841 - read by DuckDB
+    sql = con.execute(queries.ORACLE["op9_chat"].replace("FROM conversations", "FROM pdf")).fetchall()
+    monkeypatch.undo()
+    again = chat.conversations(chat.messages(frame, Scratch(spark))).select("conv_id", "part", "first_turn", "n_messages", "n_replies", "depth", "text").collect()
+    assert sorted(tuple(r) for r in again) == sorted(sql)
 
 
 def test_pipeline_stages(spark, documents):
