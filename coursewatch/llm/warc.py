@@ -143,6 +143,28 @@ class Records:
             self.tail = self.inflate.unconsumed_tail
         return b"".join(parts)
 
+    def http_head(self) -> bytes:
+        """The block's HTTP head with its empty line; what follows isn't read or inflated. Empty if the block has none."""
+        data = self.data if self.packed else b""
+        if not self.packed:
+            self.file.seek(self.start)
+        while (cut := data.find(b"\r\n\r\n")) < 0 and len(data) < self.length:
+            if not self.packed:
+                more = self.file.read(min(1024, self.length - len(data)))
+            elif self.skip and not self.inflate.eof:
+                part = self.tail or self.file.read(1024)
+                more = self.inflate.decompress(part, 4096)
+                self.tail = self.inflate.unconsumed_tail
+                if not more and part:
+                    continue
+            else:
+                more = b""
+            if not more:
+                break
+            data += more
+        cut = data.find(b"\r\n\r\n", 0, self.length)
+        return data[: cut + 4] if cut >= 0 else b""
+
     def body(self) -> bytes:
         if self.packed:
             return (self._inflate_rest() if self.skip else self.data)[: self.length]
@@ -150,6 +172,10 @@ class Records:
         return self.file.read(self.length)
 
 
+def _archives(store: fs.FileSystem, where: str) -> list[fs.FileInfo]:
+    return [i for i in store.get_file_info(fs.FileSelector(where, recursive=True)) if i.is_file and i.path.endswith((".warc", ".warc.gz")) and "/_temporary" not in i.path]
+
+
 @dataclass
 class Files(InputPartition):
     files: list[str]
@@ -173,7 +199,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, where = open_fs(self.path)
-        found = [i for i in store.get_file_info(fs.FileSelector(where, recursive=True)) if i.is_file and i.path.endswith((".warc", ".warc.gz")) and "/_temporary" not in i.path]
+        found = _archives(store, where)
         plan, held, size = [], [], 0
         for i in sorted(found, key=lambda i: i.path):
             if held and size + i.size > PARTITION_BYTES:
@@ -204,18 +230,17 @@ class WarcReader(DataSourceReader):
 
     def _content(self, row: dict, found: dict[str, str], records: Records) -> dict:
         """Length and, if asked for, bytes of the payload; an HTTP message's head is cut off."""
-        http = found.get("content-type", "").startswith("application/http")
-        if not self.payload and not http:
-            return {"payload_bytes": records.length, "payload": None}
-        block = records.body()
-        head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
-        size = len(payload)
-        if row["record_type"] == "revisit":
+        http, revisit = found.get("content-type", "").startswith("application/http"), row["record_type"] == "revisit"
+        if not http:
+            return {"payload_bytes": records.length, "payload": records.body() if self.payload else None}
+        if revisit or not self.payload:
+            head = records.http_head()
             sizes = [int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()]
-            size, payload = sizes[0] if sizes else None, None
-        elif self.payload and row["payload_digest"] and row["payload_digest"] != digest(payload):
+            return {"payload_bytes": (sizes[0] if sizes else None) if revisit else records.length - len(head), "payload": None}
+        payload = records.body().partition(b"\r\n\r\n")[2]
+        if row["payload_digest"] and row["payload_digest"] != digest(payload):
             raise ValueError(f"payload of {row['record_id']} doesn't match its digest")
-        return {"payload_bytes": size, "payload": payload if self.payload else None}
+        return {"payload_bytes": len(payload), "payload": payload}
 
 
 def _value(name: str, raw: str | None) -> str | None:
@@ -230,13 +255,13 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Tasks write under _temporary; only files of tasks that Spark commits are moved into place, so a retried task leaves no double."""
+    """Tasks write under _temporary; only files of tasks that Spark commits are moved into place, so a retried task leaves no double.
+
+    What is overwritten goes when all that replaces it is written.
+    """
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.packed, self.job = options["path"].rstrip("/"), options.get("compression", "gzip") == "gzip", uuid.uuid4().hex
-        store, where = open_fs(self.path)
-        if overwrite and store.get_file_info(where).type != fs.FileType.NotFound:
-            store.delete_dir(where)
+        self.path, self.packed, self.job, self.overwrite = options["path"].rstrip("/"), options.get("compression", "gzip") == "gzip", uuid.uuid4().hex, overwrite
 
     def write(self, rows):
         store, where = open_fs(self.path)
@@ -257,6 +282,9 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages):
         store, where = open_fs(self.path)
         store.create_dir(where, recursive=True)
+        old = _archives(store, where) if self.overwrite else []
+        for f in old:
+            store.delete_file(f.path)
         for m in messages:
             for f in m.files if m else []:
                 store.move(f, f"{where}/part-{posixpath.basename(f)}")
@@ -310,32 +338,41 @@ def archive(pages, path: str, compression: str = "gzip") -> None:
     from pyspark.sql import functions as F
 
     register(pages.sparkSession)
-    # the digest is a column of its own, so that the join sorts 32 bytes and not payloads
-    rows = pages.select("page_id", F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
-    digests = pages.select("page_id", base32_sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("payload_digest"))
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    digests = pages.select("page_id", base32_sha1(payload).alias("payload_digest"))
     firsts = digests.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("payload_digest", "first")
+    again = digests.join(firsts, "payload_digest").filter("first < page_id").distinct()
+    # joined by page and digest: a payload that very many pages have is dealt over as many tasks as its pages are
+    rows = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    joined = rows.filter("page_id is not null").join(again, ["page_id", "payload_digest"], "left")
+    joined = joined.unionByName(rows.filter("page_id is null").withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
     uri = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
-    again = F.col("first") < F.col("page_id")
-    out = rows.join(firsts, "payload_digest", "left").select(
+    revisit = F.col("first").isNotNull()
+    out = joined.select(
         uri(F.col("page_id")).alias("record_id"),
-        F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
+        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         "target_uri",
         F.lit(DATE).alias("record_date"),
-        F.when(again, uri(F.col("first"))).alias("refers_to"),
+        F.when(revisit, uri(F.col("first"))).alias("refers_to"),
         "payload_digest",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(again, F.lit(None)).otherwise(F.col("payload")).alias("payload"),
+        F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"),
     )
     out.write.format("warc").mode("append").option("compression", compression).save(path)
 
 
 def round_trip(pages, path: str):
-    """Archive the pages at ``path`` and read back what the archives say: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archive the pages at ``path`` and read back what the archives say: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Both readings push their record type down: responses are read with their
+    payloads, which must match their digests, revisits by their heads alone.
+    """
     from pyspark.sql import functions as F
 
     archive(pages, path)
-    read = pages.sparkSession.read.format("warc").load(path)
+    read = pages.sparkSession.read.format("warc")
+    responses = read.load(path).filter("record_type = 'response'").drop("payload")
+    revisits = pages.sparkSession.read.format("warc").option("payload", "false").load(path).filter("record_type = 'revisit'").drop("payload")
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     id_ = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    return read.select(id_("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_("refers_to").alias("refers_to"))
+    return responses.unionByName(revisits).select(id_("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_("refers_to").alias("refers_to"))

@@ -276,9 +276,44 @@ def test_warc_round_trip(spark, tmp_path):
         bare = spark.read.format("warc").option("payload", "false").option("record_type", "response").load(path)
         assert bare.count() == 5 and bare.filter("payload is not null").count() == 0
         assert sorted(r.payload_bytes for r in bare.collect()) == [0, 3, 4, 4, 600_000]
+    path = str(tmp_path / "gzip")
+    other = pages.filter("page_id = 6").select(F.lit("urn:x").alias("record_id"), F.lit("response").alias("record_type"), "url", F.encode("html", "UTF-8").alias("payload"))
+    other = other.select("record_id", "record_type", F.col("url").alias("target_uri"), *[F.lit(None).cast("string").alias(c) for c in ("record_date", "refers_to", "payload_digest")], F.lit(None).cast("long").alias("payload_bytes"), "payload")
+    fails = other.withColumn("record_type", F.raise_error(F.lit("stop")))
+    with pytest.raises(Exception, match="stop"):
+        fails.write.format("warc").mode("overwrite").save(path)
+    assert spark.read.format("warc").load(path).count() == len(rows)  # a failed overwrite leaves what was there
+    other.write.format("warc").mode("overwrite").save(path)
+    assert [r.record_id for r in spark.read.format("warc").load(path).collect()] == ["urn:x"]
     assert warc.round_trip(pages.filter("false"), str(tmp_path / "none-at-all")).count() == 0
 
 
+def test_skipped_payloads_are_not_decoded(spark, tmp_path):
+    """Without payloads only heads are read: rubbish in a payload is no error, and few bytes of a file are touched."""
+    import io
+
+    payload = np.random.default_rng(1).bytes(3_000_000)
+    row = type("Row", (), dict(record_id="urn:a", record_type="response", target_uri=None, record_date=None, refers_to=None, payload_digest=None, payload_bytes=None, payload=payload))
+    for packed in (True, False):
+        data = warc.member(warc.record(row)) if packed else warc.record(row)
+        broken = data[:100_000] + bytes(len(data) - 100_000 - 12) + data[-12:]
+
+        class Counted(io.BytesIO):
+            taken = 0
+
+            def read(self, n=-1):
+                out = super().read(n)
+                self.taken += len(out)
+                return out
+
+        f = Counted(broken)
+        records = warc.Records(f, packed)
+        found = records.headers()
+        got = warc.WarcReader({"path": "x", "payload": "false"})._content({"record_type": "response"}, found, records)
+        assert got == {"payload_bytes": len(payload), "payload": None} and f.taken < 20_000
+        assert records.headers() is None
+
+
 def test_foreign_gzip_members(spark, tmp_path):
     import gzip
 
