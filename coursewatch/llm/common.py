@@ -40,3 +40,18 @@ def bounded_sample(df: DataFrame, group: str, key: Column, n: int, seed: int) ->
         if value is not None:
             share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, n / size))).otherwise(share)
     return df.filter(unit_hash(seed, key) < share)
+
+
+HOT_ROWS = 10_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` with ``small``, which has one row a key, and in ``n`` how many rows of ``big`` have it; ``n`` is left out.
+
+    Keys with over HOT_ROWS rows are joined apart, so that none fills a task.
+    They are at most a HOT_ROWS-th of big's rows: Spark broadcasts them while
+    they are under its size limit, and splits skewed partitions beyond.
+    """
+    hot = small.filter(F.col("n") > HOT_ROWS).drop("n")
+    cold = small.filter(F.col("n") <= HOT_ROWS).drop("n")
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import HOT_ROWS, Scratch, join_hot
 
 MAX_ROUNDS = 60
 
@@ -27,15 +27,20 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
             break
         before = stats
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least, least_path = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "least")
+        large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         large, large_path = scratch.write(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, own_path = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        linked = _with_least(large, least).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after, after_path = scratch.write(linked.union(least.select("u", F.col("m").alias("v"))).distinct(), "star")
-        scratch.drop(large_path)
-        scratch.drop(path)
+        for p in (least_path, large_path, own_path, path):
+            scratch.drop(p)
         now, path = after, after_path
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    most = least.agg(F.max("n")).first()[0] or 0
+    return join_hot(edges, least, "u") if most > HOT_ROWS else edges.join(least.drop("n"), "u")

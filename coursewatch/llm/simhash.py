@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 from .components import components
 
 SHINGLE = 4
@@ -160,13 +160,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     """
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     printed, _ = scratch.write(with_fingerprint(texts).select("key", "text_hash", "fp"), "fingerprints")
-    nodes, _ = scratch.write(printed.groupBy("fp").agg(F.min("key").alias("node")).filter("node is not null"), "nodes")
+    nodes, _ = scratch.write(printed.groupBy("fp").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     byte = lambda i: F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255))
     posting = F.explode(F.array(*[sum((byte(p) * F.lit(1 << 8 * k) for k, p in enumerate(t)), F.lit(n << 24).cast("long")) for n, t in enumerate(TRIPLES)]))
-    entries = nodes.select(posting.alias("key"), "fp", "node")
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = entries.join(sizes, "key").select("key", "fp", "node", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(1), "fp"), blocks).cast("int").alias("own"))
+    entries = nodes.filter("node is not null").select(posting.alias("key"), "fp", "node")
+    # only postings of more than a block are looked up: at most a BLOCK-th of the entries
+    large, _ = scratch.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large-postings")
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
+    met = entries.join(large, "key", "left").select("key", "fp", "node", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(1), "fp"), blocks).cast("int").alias("own"))
     # a row of block x goes to the pairs of blocks (x, x), (x, y) and (y, x)
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = met.select("key", "fp", "node", "own", pairs).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "fp", "node")
@@ -174,5 +175,5 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     sorted_ = dealt.select(*cast).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     edges = sorted_.mapInArrow(_links, "a long, b long")
     found = components(edges, scratch)
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return printed.join(classes, "fp", "left").select(F.col("key").alias(key), "text_hash", "fp", "component")
+    classes, _ = scratch.write(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n"), "classes")
+    return join_hot(printed, classes, "fp").select(F.col("key").alias(key), "text_hash", "fp", "component")

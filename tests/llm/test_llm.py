@@ -190,6 +190,19 @@ def test_dense_postings_are_cut_into_blocks(spark, monkeypatch):
     assert got == smallest(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from coursewatch.llm import common, components as module
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(module, "HOT_ROWS", 5)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 40)] + [(500, 501), (501, 502)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {n: 0 for e in edges[:78] for n in e} | {n: 500 for n in (500, 501, 502)}
+    docs = spark.createDataFrame([(i, "same text of many documents") for i in range(20)] + [(30, "another text"), (31, "another text"), (None, "")], "doc_id long, text string")
+    rows = simhash.near_duplicates(docs, Scratch(spark)).collect()
+    assert Counter(r.component for r in rows) == {0: 20, 30: 2, None: 1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
