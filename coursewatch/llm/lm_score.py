@@ -5,10 +5,13 @@ position-wise embeddings of the neighbours are summed, go through tanh, and a
 two-level softmax (class, word in class) gives the token's probability. The
 logarithms, summed over a text, are its pseudo-likelihood.
 
-The vocabulary is counted over all texts and grows with them: every word of
-LEAST_COUNT or more, and for the other words every piece of up to PIECE
-characters of LEAST_COUNT or more; what no piece covers is spelled in bytes, so
-no two words have the same tokens. The network is trained in numpy on all
+Every word that occurs at least sqrt(N) times among all N words has a token of
+its own, so the vocabulary follows the corpus' counts and has sqrt(N) words at
+most. Any other word has the token of its longest prefix (up to PREFIX
+characters) that so many of the other words share, and what follows the prefix
+is spelled byte by byte, with probabilities counted over all such words. So no
+two words are scored alike for want of a token, and a word's probability is the
+network's times its spelling's. The network is trained in numpy on all
 partitions at once: each starts from the shared weights, learns from its own
 texts, and each row of the weights is averaged by how often it was used,
 ROUNDS times. Every token is a target in exactly one round.
@@ -25,6 +28,7 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,9 @@ DIM = 16
 CLASSES = 32
 VOCAB = CLASSES * CLASSES
 """Size of a network that isn't given one; id 0 is the edge of a text."""
-LEAST_COUNT = 500
-PIECE = 4
+LEAST_COUNT = 20
+"""No word or prefix of fewer occurrences has a token, also in a small corpus."""
+PREFIX = 3
 ROUNDS = 2
 STRIDE = ROUNDS
 BATCH = 8192
@@ -44,65 +49,73 @@ RATE = 0.2
 COUNTED_WORDS = 300_000
 CACHE_WORDS = 200_000
 BLOCK_FLOATS = 4096
-SALTS = 16
+FAN_IN = 16
+"""Blocks of weights that are averaged in one group; more partitions make more levels."""
 
 _OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
-_START, _INNER = " ", "\t"
-"""Mark the pieces that begin a word and those within it; no word holds white space."""
-_BYTES = [f"\n{b:02x}" for b in range(256)]
+_START = " "
+"""Marks prefixes; no word holds white space. Alone it is the token of words without a known prefix."""
+_TOKEN = np.dtype([("id", "<u4"), ("spelled", "<f8")])
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-class Ids(dict):
-    """Id of each word and piece; a word that has none starts with the id of the bare start mark."""
-
-    def __missing__(self, word: str) -> int:
-        return self[_START]
-
-    def spelled(self, word: str) -> list[int]:
-        """The word's own id, or those of its pieces, the longest first from the left."""
-        if word in self:
-            return [self[word]]
-        out, at, mark = [], 0, _START
-        while at < len(word):
-            for n in range(min(PIECE, len(word) - at), 0, -1):
-                if (piece := mark + word[at : at + n]) in self:
-                    out.append(self[piece])
-                    at += n
-                    break
-            else:
-                if mark == _START:
-                    out.append(self[_START])
-                else:
-                    out += [self[_BYTES[b]] for b in word[at].encode("utf-8", "surrogatepass")]
-                    at += 1
-            mark = _INNER
-        return out
+class Speller:
+    """Logarithms of the probabilities of each byte after each other; 0 begins and ends what is spelled."""
+
+    def __init__(self, counts: np.ndarray):
+        self.table = np.log((counts + 1) / (counts.sum(1, keepdims=True) + 256))
+
+    def __call__(self, rests: list[bytes]) -> np.ndarray:
+        """Of each string, whose first byte is given, with the end."""
+        size = np.fromiter(map(len, rests), np.int64, len(rests))
+        start = np.cumsum(size + 1) - size - 1
+        codes = np.frombuffer(b"\0".join(rests) + b"\0", np.uint8)
+        steps = self.table[codes[:-1], codes[1:]]
+        steps[start[1:] - 1] = 0  # from an end to the next string
+        return np.add.reduceat(steps, start) if len(rests) else np.zeros(0)
+
+
+def token_of(word: str, ids: dict[str, int]) -> tuple[int, bytes]:
+    """A word's id, and what is left to spell: the last byte of its prefix and the rest; nothing for words with an id."""
+    if word in ids:
+        return ids[word], b""
+    for n in range(min(PREFIX, len(word)), 0, -1):
+        if (i := ids.get(_START + word[:n])) is not None:
+            return i, word[:n].encode("utf-8", "surrogatepass")[-1:] + word[n:].encode("utf-8", "surrogatepass")
+    return ids[_START], b"\0" + word.encode("utf-8", "surrogatepass")
 
 
-class Encoded(dict):
-    """The bytes of each word's ids, kept up to a bound."""
+class Tokens(dict):
+    """_TOKEN of each word as bytes, kept up to a bound; spelling is worked out for many words at once."""
 
-    def __init__(self, ids: Ids):
+    def __init__(self, ids: dict[str, int], speller: Speller):
         super().__init__()
-        self.ids, self.dtype = ids, id_type(len(ids) + 1)
+        self.ids, self.speller = ids, speller
 
-    def __missing__(self, word: str) -> bytes:
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[word] = x = np.array(self.ids.spelled(word), self.dtype).tobytes()
-        return x
+        fresh = [w for w in set().union(*texts) if w not in self]
+        if fresh:
+            found = np.zeros(len(fresh), _TOKEN)
+            ids, rests = zip(*[token_of(w, self.ids) for w in fresh], strict=True)
+            found["id"] = ids
+            at = np.flatnonzero(np.fromiter(map(len, rests), np.int64, len(rests)))
+            found["spelled"][at] = self.speller([rests[k] for k in at])
+            raw = found.tobytes()
+            self.update((w, raw[k : k + _TOKEN.itemsize]) for w, k in zip(fresh, range(0, len(raw), _TOKEN.itemsize), strict=True))
+        return [np.frombuffer(b"".join(map(self.__getitem__, t)), _TOKEN) for t in texts]
 
 
 def id_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def vocabulary(docs: DataFrame, scratch: Scratch) -> list[str]:
-    """Words and pieces of LEAST_COUNT or more in all texts, then the start mark and the bytes; counted per task, summed by Spark."""
+def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[list[str], Speller]:
+    """Tokens by falling counts, the bare start mark last, and the speller; counted per task, summed by Spark."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -114,24 +127,39 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> list[str]:
                     c.clear()
         yield _counts(c)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: dict = defaultdict(int)
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for at in range(len(w)):
-                    mark = _INNER if at else _START
-                    for end in range(at + 1, min(at + PIECE, len(w)) + 1):
-                        c[mark + w[at:end]] += n
-                if len(c) > COUNTED_WORDS:
-                    yield _counts(c)
-                    c.clear()
+                for end in range(1, min(PREFIX, len(w)) + 1):
+                    c[_START + w[:end]] += n
         yield _counts(c)
 
     schema = "word string, n long"
     counts, _ = scratch.write(docs.select("text").mapInArrow(counted, schema).groupBy("word").agg(F.sum("n").alias("n")), "words")
-    parts = counts.filter(F.col("n") < LEAST_COUNT).mapInArrow(pieces, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    kept = counts.union(parts).filter(F.col("n") >= LEAST_COUNT)
-    return [r["word"] for r in sorted(kept.collect(), key=lambda r: (-r["n"], r["word"]))] + [_START, *_BYTES]
+    least = max(LEAST_COUNT, math.isqrt(counts.agg(F.sum("n")).first()[0] or 0))
+    rare = counts.filter(F.col("n") < least)
+    parts = rare.mapInArrow(prefixes, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    kept = counts.union(parts).filter(F.col("n") >= least)  # of each kind sqrt(N) at most, times PREFIX for prefixes
+    known = [r["word"] for r in sorted(kept.collect(), key=lambda r: (-r["n"], r["word"]))] + [_START]
+    ids = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(known)})
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.float64)
+        for b in batches:
+            rests = [token_of(w, ids.value)[1] for w in b.column(0).to_pylist()]
+            size = np.fromiter(map(len, rests), np.int64, len(rests))
+            codes = np.frombuffer(b"\0".join(rests) + b"\0", np.uint8).astype(np.int64)
+            weight = np.repeat(b.column(1).to_numpy().astype(np.float64), size + 1)
+            weight[np.cumsum(size + 1) - 1] = 0
+            total += np.bincount((codes[:-1] << 8) | codes[1:], weight[:-1], 1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"step": pa.array(at, pa.int64()), "n": pa.array(total[at].astype(np.int64))})
+
+    pairs = np.zeros(1 << 16)
+    for r in rare.mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():  # 65,536 at most
+        pairs[r["step"]] = r["n"]
+    return known, Speller(pairs.reshape(256, 256))
 
 
 def _counts(c: dict) -> pa.RecordBatch:
@@ -252,8 +280,8 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def train(encoded: DataFrame, start: Network) -> Network:
     """ROUNDS rounds of training on every partition; each row of the weights is averaged by its uses."""
-    spark, net = encoded.sparkSession, start
-    dtype, schema = id_type(net.embed.shape[1]), "part int, at int, salt int, n binary, x binary"
+    spark, net, tasks = encoded.sparkSession, start, encoded.rdd.getNumPartitions()
+    dtype, schema = id_type(net.embed.shape[1]), "part int, at int, branch int, n binary, x binary"
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net)
 
@@ -277,13 +305,13 @@ def train(encoded: DataFrame, start: Network) -> Network:
                         kept = []
             _step(own, kept, squares)
             if n := int(classes.sum()):
-                salt = int(near[:4096].sum() * 31 + classes.argmax()) % SALTS
+                branch = (TaskContext.get().partitionId() if TaskContext.get() else 0) // FAN_IN
                 for part, (x, uses) in enumerate(zip(own.rows(), (near, np.array([n]), np.array([n]), classes), strict=True)):
                     high = max(1, BLOCK_FLOATS // x.shape[1])
                     cuts = [c for c in range(0, len(x), high) if uses[c : c + high].any()]
                     for lo in range(0, len(cuts), 256):
                         some = cuts[lo : lo + 256]
-                        yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([salt] * len(some), pa.int32()), pa.array([uses[c : c + high].tobytes() for c in some], pa.binary()), pa.array([x[c : c + high].tobytes() for c in some], pa.binary())], names=["part", "at", "salt", "n", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([branch] * len(some), pa.int32()), pa.array([uses[c : c + high].tobytes() for c in some], pa.binary()), pa.array([x[c : c + high].tobytes() for c in some], pa.binary())], names=["part", "at", "branch", "n", "x"])
 
         def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
             total, uses = 0.0, 0
@@ -291,11 +319,13 @@ def train(encoded: DataFrame, start: Network) -> Network:
                 n = np.frombuffer(n, np.int64)
                 total, uses = total + np.frombuffer(x, np.float32).reshape(len(n), -1).astype(np.float64) * n[:, None], uses + n
             mean = (total / np.maximum(uses, 1)[:, None]).astype(np.float32)
-            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "at": [pdf["at"].iloc[0]], "salt": [0], "n": [uses.tobytes()], "x": [mean.tobytes()]})
+            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "at": [pdf["at"].iloc[0]], "branch": [pdf["branch"].iloc[0] // FAN_IN], "n": [uses.tobytes()], "x": [mean.tobytes()]})
 
-        blocks = encoded.select("ids").mapInArrow(local, schema).groupBy("part", "at", "salt").applyInPandas(averaged, schema)
+        blocks = encoded.select("ids").mapInArrow(local, schema)
+        for _ in range(max(1, math.ceil(math.log(max(2, tasks), FAN_IN)))):  # a tree of fixed fan-in
+            blocks = blocks.groupBy("part", "at", "branch").applyInPandas(averaged, schema)
         rows = [x.copy() for x in net.rows()]
-        for b in blocks.groupBy("part", "at").applyInPandas(averaged, schema).collect():
+        for b in blocks.collect():  # the weights, once
             n = np.frombuffer(b["n"], np.int64)
             used, x = np.flatnonzero(n), np.frombuffer(b["x"], np.float32).reshape(len(n), -1)
             rows[b["part"]][b["at"] + used] = x[used]
@@ -317,24 +347,27 @@ def _step(net: Network, kept: list, squares: list) -> int:
 def score(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, sum_logprob, mean_logprob) of each row of ``docs``, whole texts.
 
-    Null, empty and wordless texts have 0 words, sum 0 and a null mean; the sum
-    is over the pieces of words too, the mean is a word's. Repeated rows get
-    equal scores; a null key is kept; an empty table gives an empty table;
+    Null, empty and wordless texts have 0 words, sum 0 and a null mean, which
+    is a word's. Repeated rows get equal scores; columns named alike are no
+    matter; a null key is kept; an empty table gives an empty table;
     other columns aren't read.
     """
     docs = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     spark = docs.sparkSession
-    known = vocabulary(docs, scratch)
+    known, speller = vocabulary(docs, scratch)
     dtype = id_type(len(known) + 1)
-    ids = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(known)})
+    shared = spark.sparkContext.broadcast(({w: i + 1 for i, w in enumerate(known)}, speller))
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = Encoded(Ids(ids.value))
+        tokens = Tokens(*shared.value)
         for texts in batches:
-            words = [words_of(t) for t in texts]
-            yield pd.DataFrame({"n_words": np.array([len(w) for w in words], np.int64), "ids": [b"".join(map(of.__getitem__, w)) for w in words]})
+            for lo in range(0, max(1, len(texts)), 256):
+                found = tokens.of([words_of(t) for t in texts.iloc[lo : lo + 256]])
+                done = pd.DataFrame({"n_words": np.array([len(x) for x in found], np.int64), "spelled": np.array([x["spelled"].sum() for x in found], np.float64), "ids": [x["id"].astype(dtype).tobytes() for x in found]})
+                whole = done if lo == 0 else pd.concat([whole, done], ignore_index=True)
+            yield whole
 
-    encoded = docs.select(key, F.pandas_udf(encode, "n_words long, ids binary").asNondeterministic()("text").alias("e")).select(key, "e.n_words", "e.ids")
+    encoded = docs.select(key, F.pandas_udf(encode, "n_words long, spelled double, ids binary").asNondeterministic()("text").alias("e")).select(key, "e.n_words", "e.spelled", "e.ids")
     encoded, _ = scratch.write(encoded, "ids")
     model = spark.sparkContext.broadcast(train(encoded, Network.fresh(size=len(known) + 1)))
 
@@ -349,5 +382,5 @@ def score(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc
                 out.append(sums[start + size] - sums[start])
             yield pd.Series(np.concatenate(out))
 
-    s = encoded.select(key, "n_words", F.pandas_udf(scored, "double").asNondeterministic()("ids").alias("sum_logprob"))
+    s = encoded.select(key, "n_words", (F.pandas_udf(scored, "double").asNondeterministic()("ids") + F.col("spelled")).alias("sum_logprob"))
     return s.select(key, "n_words", "sum_logprob", F.when(F.col("n_words") > 0, F.col("sum_logprob") / F.col("n_words")).alias("mean_logprob"))

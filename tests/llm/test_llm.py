@@ -110,33 +110,84 @@ def test_lm_score_equals_loops(spark, hard, empty):
     assert lm_score.score(empty, Scratch(spark)).count() == 0
 
 
-def test_lm_training_lowers_loss(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    words = {w: i + 1 for i, w in enumerate(lm_score.vocabulary(docs, Scratch(spark)))}
-    texts = [np.array([lm_score.Ids(words)[w] for w in lm_score.words_of(r.text)], np.uint16) for r in docs.collect()]
-    net = lm_score.Network.fresh()
+def test_lm_query_equals_loops(spark, monkeypatch):
+    """Counts, tokens, spelling and sums of whole documents, written out; only the trained weights are taken as they are."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    nets = []
+    trained = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: nets.append(trained(*a)) or nets[-1])
+    got = {r.doc_id: r for r in queries.op2_lm_score(spark, SF).collect()}
+    net = nets[0]
+    counts = Counter(w for t in docs.text for w in (t or "").lower().split())
+    least = max(lm_score.LEAST_COUNT, int(sum(counts.values()) ** 0.5))
+    own = {w: n for w, n in counts.items() if n >= least}
+    prefixes = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            for k in (1, 2, 3)[: len(w)]:
+                prefixes[" " + w[:k]] += n
+    known = own | {p: n for p, n in prefixes.items() if n >= least}
+    ids = {w: i + 1 for i, w in enumerate(sorted(known, key=lambda w: (-known[w], w)) + [" "])}
+    assert net.embed.shape[1] == len(ids) + 1 and len(own) <= sum(counts.values()) / least
+
+    def token(w):
+        if w in own:
+            return ids[w], b""
+        k = next((k for k in (3, 2, 1) if k <= len(w) and " " + w[:k] in ids), 0)
+        return (ids[" " + w[:k]], w[:k].encode()[-1:] + w[k:].encode() + b"\0") if k else (ids[" "], b"\0" + w.encode() + b"\0")
+
+    steps = Counter()
+    for w, n in counts.items():
+        r = token(w)[1]
+        for x, y in zip(r, r[1:]):
+            steps[x, y] += n
+    after = Counter()
+    for (x, _), n in steps.items():
+        after[x] += n
+    spelled = lambda r: sum(np.log((steps[x, y] + 1) / (after[x] + 256)) for x, y in zip(r, r[1:]))
+    soft = lambda z: z - np.log(np.exp(z).sum())
+    assert set(got) == set(docs.doc_id)
+    for d, t in list(zip(docs.doc_id, docs.text))[:25]:
+        tokens = [token(w) for w in (t or "").lower().split()]
+        line = [0] * lm_score.WINDOW + [i for i, _ in tokens] + [0] * lm_score.WINDOW
+        total = sum(spelled(r) for _, r in tokens)
+        for p in range(lm_score.WINDOW, lm_score.WINDOW + len(tokens)):
+            h = np.tanh(net.hidden + sum(net.embed[j][line[p + o]] for j, o in enumerate(lm_score._OFFSETS)))
+            c, w = divmod(line[p], net.width)
+            total += soft(h @ net.to_class[:-1] + net.to_class[-1])[c] + soft(h @ net.to_word[c, :-1] + net.to_word[c, -1])[w]
+        assert got[d].n_words == len(tokens) and abs(got[d].sum_logprob - total) < 1e-3 * max(1, abs(total)), d
+
+
+def test_lm_training_learns_from_every_token(spark):
+    """Rounds split the targets without rest, training raises the likelihood, and averages over partitions are by uses."""
+    assert lm_score.STRIDE == lm_score.ROUNDS
+    rng = np.random.default_rng(3)
+    texts = [np.tile(np.array([1, 2, 3, 4, 5], np.uint16), 60)[: 200 + k] for k in range(120)] + [rng.integers(1, 9, 50).astype(np.uint16) for _ in range(40)]
+    frame = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary").repartition(40)  # over two levels of averaging
+    start = lm_score.Network.fresh(size=10)
     ids, at, _ = lm_score.joined(texts)
-    before = net.log_probs(ids, at).mean()
-    squares = [np.full_like(p, 1e-6) for p in (net.embed, net.hidden, net.to_class, net.to_word)]
-    for _ in range(5):
-        lm_score._step(net, [(ids, at)], squares)
+    before = start.log_probs(ids, at).mean()
+    net = lm_score.train(frame, start)
     assert net.log_probs(ids, at).mean() > before + 0.3
-
-
-def test_lm_every_token_is_a_target_and_no_words_share_ids(spark, monkeypatch):
-    """Before: 2 of 16 tokens taught, and words outside 959 shared 64 ids."""
-    assert lm_score.STRIDE == lm_score.ROUNDS
-    monkeypatch.setattr(lm_score, "LEAST_COUNT", 3)
-    common = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
-    docs = spark.createDataFrame([(k, " ".join(common)) for k in range(3)], "doc_id long, text string")
-    assert not set(common) - set(lm_score.vocabulary(docs, Scratch(spark)))
-    twice = docs.union(spark.createDataFrame([(k, " ".join(w + "x" for w in common)) for k in range(3)], docs.schema))
-    known = lm_score.vocabulary(twice, Scratch(spark))
-    assert len(known) > 1200 + 256
-    ids = lm_score.Ids({w: i + 1 for i, w in enumerate(known)})
-    odd = ["wabq", "qwab", "wab日", "日wab", "zz", "zzz", "\ud800", "waa", *(f"q{k}" for k in range(500))]
-    assert len({tuple(ids.spelled(w)) for w in odd}) == len(odd)
-    assert all(0 < i <= len(known) for w in odd for i in ids.spelled(w))
+    one = lm_score.train(frame.coalesce(1), start)
+    assert one.log_probs(ids, at).mean() > before + 0.3
+    unused = [k for k in range(10) if k not in {0, *range(1, 9)}]
+    assert all(np.array_equal(net.embed[:, k], start.embed[:, k]) for k in unused)
+
+
+def test_lm_words_share_no_score(spark):
+    ids = {w: i + 1 for i, w in enumerate(["word", " wor", " w", " "])}
+    rng = np.random.default_rng(1)
+    speller = lm_score.Speller(rng.integers(0, 50, (256, 256)))
+    odd = ["word", "words", "wor", "worn", "w", "wx", "x", "zz", "日本", "\ud800", "wo", "q" * 1000, *(f"q{k}" for k in range(300))]
+    tokens = lm_score.Tokens(ids, speller)
+    found = tokens.of([odd, [], odd[:3]])
+    assert [len(x) for x in found] == [len(odd), 0, 3] and len({bytes(x) for x in found[0]}) == len(odd)
+    assert found[0]["spelled"][0] == 0 and (found[0]["spelled"][1:] < 0).all() and np.array_equal(found[0][:3], found[2])
+    for w, x in zip(odd[1:], found[0][1:]):
+        rest = lm_score.token_of(w, ids)[1] + b"\0"
+        assert abs(x["spelled"] - sum(speller.table[a, b] for a, b in zip(rest, rest[1:]))) < 1e-6
+    assert abs(np.exp(speller.table).sum(1) - 1).max() < 1e-9
 
 
 def fingerprint(text):
