@@ -43,18 +43,19 @@ _FOLD = {ord(d): "-" for d in DASHES} | {ord(a): b for a, b in zip(CURLY, STRAIG
 
 
 def clean_text(c: Column) -> Column:
-    """clean() of each string; ASCII strings, which NFKC leaves alone, take the built-in way."""
+    """clean() of each string; ASCII strings, which NFKC leaves alone, take the built-in way and never meet Python."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield b.map(clean, na_action=None)
 
-    return F.pandas_udf(run, "string")(c)
+    ascii_ = F.coalesce(c, F.lit("")).rlike(r"^[\x00-\x7F]*\z")
+    return F.when(ascii_, clean_ascii(c)).otherwise(F.pandas_udf(run, "string")(F.when(~ascii_, c)))
 
 
 def clean_ascii(c: Column) -> Column:
     """clean() for text known to be ASCII, built in."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x1c-\x1f]+", " "))
 
 
 def slug(cleaned: Column) -> Column:

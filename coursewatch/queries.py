@@ -793,11 +793,14 @@ def html_visible_text(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, 'Homework ' || o_orderkey AS title, CAST({DAY} AS VARCHAR) AS date_text, 'https://x.test/a?id=' || o_orderkey AS url, 'assignment' AS kind FROM orders")
 def html_items_rendered(spark, sf_dir):
-    """A page for each order, written and read back; its menu and head hold dates that don't count."""
+    """A page for each order, written and read back; dates in its menu, its foot and what its items say of themselves don't count."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
     key = F.col("o_orderkey").cast("string")
-    page = F.concat(F.lit('<html><body><nav><li>Oct 1</li></nav><h2>Assignments</h2><ul><li class="assignment"><a class="title" href="/a?id='), key, F.lit("&sid=zz9\">Homework "), key, F.lit('</a><p>note<span class="due">'), F.col("day"), F.lit('</span></li></ul><footer>Generated 2020-01-01</footer></body></html>'))
-    found = o.withColumn("r", html_items.items_of(page, F.lit("https://x.test/p"))).select("o_orderkey", F.lit("https://x.test/p").alias("source_url"), F.explode("r.items").alias("i")).select("o_orderkey", "source_url", "i.*")
+    parts = (
+        F.lit('<html><body><nav><li>Oct 1</li></nav><h2>Assignments</h2><ul><li class="assignment"><span class="generated">Generated Sep 5</span><a class="title" href="/a?id='), key, F.lit('&sid=zz9"><i class="session">s77</i> Homework '), key,
+        F.lit('</a><p>note<span class="due"><em class="timestamp">read 2021-05-05</em>'), F.col("day"), F.lit("</span></li></ul><footer>Generated 2020-01-01</footer></body></html>"),
+    )
+    found = o.withColumn("r", html_items.items_of(F.concat(*parts))).select("o_orderkey", F.lit("https://x.test/p").alias("source_url"), F.explode("r.items").alias("i")).select("o_orderkey", "source_url", "i.*")
     return html_items.finish(found).select("o_orderkey", "title", "date_text", "url", "kind")
 
 
@@ -830,5 +833,5 @@ def mail_items(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("course_id"))
     name = F.concat(F.lit("Homework "), (F.col("o_orderkey") % 10).cast("string"))
     raw = F.concat(F.lit("Subject: Re: [X] news\r\nFrom: p@x.test\r\nDate: "), F.date_format("d", "dd MMM yyyy"), F.lit(" 10:00:00 +0000\r\nContent-Type: text/plain\r\n\r\nHello all.\n\n"), name, F.lit(" is moved from Oct 14 to Oct 16. See you.\r\n")).cast("binary")
-    mails = o.withColumn("p", mail.parsed(raw)).select("course_id", F.col("o_orderkey").alias("mail_id"), "p.subject", "p.sent", "p.body")
+    mails = o.withColumn("p", mail.parsed(raw)).select("course_id", F.col("o_orderkey").alias("mail_id"), "p.subject", "p.sender", "p.sent", "p.body", "p.message_id")
     return mail.items(mails, o.select("course_id", name.alias("title"))).select(F.col("mail_id").alias("o_orderkey"), "title", "kind", "posted_at")

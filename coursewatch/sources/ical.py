@@ -16,10 +16,14 @@ def status(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("BEGIN:VCALENDAR")), "ok").when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("error")
 
 
+def _rest(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def components(text: Column) -> Column:
     """The bodies of VEVENTs, continuation lines joined."""
     unfolded = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n[ \t]", "")
-    return F.transform(F.slice(F.split(unfolded, "BEGIN:VEVENT\n"), 2, 1 << 20), lambda x: F.split(x, "\nEND:VEVENT")[0])
+    return F.transform(_rest(F.split(unfolded, "BEGIN:VEVENT\n")), lambda x: F.split(x, "\nEND:VEVENT")[0])
 
 
 def prop(body: Column, name: str) -> Column:
