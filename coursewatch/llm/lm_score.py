@@ -24,6 +24,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,9 @@ ROUNDS = 2
 STRIDE = ROUNDS
 BATCH = 8192
 RATE = 0.2
+LOGIT = 40
+"""Bound of logits, so that none overflows."""
 COUNTED_WORDS = 300_000
-CACHE_WORDS = 200_000
 BLOCK_FLOATS = 4096
 FAN_IN = 16
 """Blocks of weights that are averaged in one group; more partitions make more levels."""
@@ -68,46 +70,61 @@ class Speller:
     def __init__(self, counts: np.ndarray):
         self.table = np.log((counts + 1) / (counts.sum(1, keepdims=True) + 256))
 
-    def __call__(self, rests: list[bytes]) -> np.ndarray:
-        """Of each string, whose first byte is given, with the end."""
-        size = np.fromiter(map(len, rests), np.int64, len(rests))
-        start = np.cumsum(size + 1) - size - 1
-        codes = np.frombuffer(b"\0".join(rests) + b"\0", np.uint8)
-        steps = self.table[codes[:-1], codes[1:]]
-        steps[start[1:] - 1] = 0  # from an end to the next string
-        return np.add.reduceat(steps, start) if len(rests) else np.zeros(0)
-
 
 def token_of(word: str, ids: dict[str, int]) -> tuple[int, bytes]:
     """A word's id, and what is left to spell: the last byte of its prefix and the rest; nothing for words with an id."""
-    if word in ids:
-        return ids[word], b""
+    if (own := ids.get(word)) is not None:
+        return own, b""
+    marked, raw = _START + word, word.encode("utf-8", "surrogatepass")
+    plain = len(raw) == len(word)
     for n in range(min(PREFIX, len(word)), 0, -1):
-        if (i := ids.get(_START + word[:n])) is not None:
-            return i, word[:n].encode("utf-8", "surrogatepass")[-1:] + word[n:].encode("utf-8", "surrogatepass")
-    return ids[_START], b"\0" + word.encode("utf-8", "surrogatepass")
+        if (i := ids.get(marked[: n + 1])) is not None:
+            return i, raw[(n if plain else len(word[:n].encode("utf-8", "surrogatepass"))) - 1 :]
+    return ids[_START], b"\0" + raw
 
 
-class Tokens(dict):
-    """_TOKEN of each word as bytes, kept up to a bound; spelling is worked out for many words at once."""
+class Tokens:
+    """token_of() with its spelling for many words at once: prefixes and bytes are looked up in arrays, nothing is kept between calls."""
 
     def __init__(self, ids: dict[str, int], speller: Speller):
-        super().__init__()
-        self.ids, self.speller = ids, speller
+        self.ids, self.table = ids, speller.table.ravel()
+        # prefixes by their code points, the longest first
+        known = [(w[1:], i) for w, i in ids.items() if w.startswith(_START) and len(w) > 1]
+        self.prefixes = []
+        for n in range(PREFIX, 0, -1):
+            keys = sorted((sum(ord(c) << 21 * (PREFIX - 1 - k) for k, c in enumerate(p)), i) for p, i in known if len(p) == n)
+            self.prefixes.append((n, np.array([k for k, _ in keys] or [-1], np.int64), np.array([i for _, i in keys] or [0], np.int64)))
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        fresh = [w for w in set().union(*texts) if w not in self]
-        if fresh:
-            found = np.zeros(len(fresh), _TOKEN)
-            ids, rests = zip(*[token_of(w, self.ids) for w in fresh], strict=True)
-            found["id"] = ids
-            at = np.flatnonzero(np.fromiter(map(len, rests), np.int64, len(rests)))
-            found["spelled"][at] = self.speller([rests[k] for k in at])
-            raw = found.tobytes()
-            self.update((w, raw[k : k + _TOKEN.itemsize]) for w, k in zip(fresh, range(0, len(raw), _TOKEN.itemsize), strict=True))
-        return [np.frombuffer(b"".join(map(self.__getitem__, t)), _TOKEN) for t in texts]
+        """_TOKEN of each word of each text."""
+        words = [w for t in texts for w in t]
+        found = np.zeros(len(words), _TOKEN)
+        found["id"] = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
+        at = np.flatnonzero(found["id"] == 0)
+        if len(at):
+            found["id"][at], found["spelled"][at] = self._spelled([words[k] for k in at.tolist()])
+        return np.split(found, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
+
+    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size + 1) - size  # in characters, a 0 before each word
+        text = "\0" + "\0".join(words) + "\0"
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        stop = np.cumsum(width) - 1  # last byte of each character
+        code = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
+        steps = np.append(self.table[(code[:-1] << 8) | code[1:]], 0.0)  # from each byte to the next
+        ids, length = np.full(len(words), self.ids[_START], np.int64), np.zeros(len(words), np.int64)
+        left = np.arange(len(words))
+        for n, keys, values in self.prefixes:
+            left = left[size[left] >= n] if n > 1 else np.flatnonzero(length == 0)
+            key = sum(points[start[left] + k] << 21 * (PREFIX - 1 - k) for k in range(n))
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            ids[left[hit]], length[left[hit]] = values[place[hit]], n
+            left = np.flatnonzero(length == 0)
+        spans = np.stack([stop[start - 1 + length], stop[start + size]], 1).ravel()
+        return ids, np.add.reduceat(steps, spans)[::2]
 
 
 def id_type(size: int) -> type:
@@ -206,31 +223,32 @@ class Network:
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Logarithm of each target's probability; ids has WINDOW edges at either end."""
-        out = np.empty(len(at), np.float32)
+        out, ones = np.empty(len(at), np.float32), np.ones(self.width, np.float32)
         for lo in range(0, len(at), BATCH):
-            part = at[lo : lo + BATCH]
-            h = self._hidden(ids, part)
-            target = ids[part].astype(np.int64)
-            cls = target // self.width
-            z = h @ self.to_class[:-1] + self.to_class[-1]
-            z -= z.max(1, keepdims=True)
-            lp = z[np.arange(len(part)), cls] - np.log(np.exp(z).sum(1))
-            order = np.argsort(cls, kind="stable")
-            cut = np.searchsorted(cls[order], np.arange(self.width + 1))
+            h, cls, word, order, cut = self._by_class(ids, at[lo : lo + BATCH])
+            z = np.clip(h @ self.to_class, -LOGIT, LOGIT)
+            lp = z[np.arange(len(h)), cls] - np.log(np.exp(z) @ ones)
             for c in np.flatnonzero(np.diff(cut)):
-                i = order[cut[c] : cut[c + 1]]
-                y = h[i] @ self.to_word[c, :-1] + self.to_word[c, -1]
-                y -= y.max(1, keepdims=True)
-                lp[i] += y[np.arange(len(i)), target[i] % self.width] - np.log(np.exp(y).sum(1))
-            out[lo : lo + BATCH] = lp
+                i = slice(cut[c], cut[c + 1])
+                y = np.clip(h[i] @ self.to_word[c], -LOGIT, LOGIT)
+                lp[i] += y[np.arange(len(y)), word[i]] - np.log(np.exp(y) @ ones)
+            out[lo + order] = lp
         return out
 
-    def learn(self, ids: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One Adagrad step on the targets."""
-        h = self._hidden(ids, at)
-        h1 = np.concatenate([h, np.ones((len(at), 1), np.float32)], 1)
+    def _by_class(self, ids: np.ndarray, at: np.ndarray) -> tuple:
+        """Hidden values with a one, classes, words in their class, in order of class; the order; where each class begins."""
         target = ids[at].astype(np.int64)
         cls = target // self.width
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        h = np.ones((len(at), DIM + 1), np.float32)
+        h[:, :-1] = self._hidden(ids, at[order])
+        cls = cls[order]
+        return h, cls, target[order] % self.width, order, np.searchsorted(cls, np.arange(self.width + 1))
+
+    def learn(self, ids: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
+        """One Adagrad step on the targets."""
+        h1, cls, word, order, cut = self._by_class(ids, at)
+        at, ones = at[order], np.ones(self.width, np.float32)
         scale = np.float32(1 / len(at))
         s_embed, s_hidden, s_class, s_word = squares
 
@@ -239,22 +257,19 @@ class Network:
             s += grad * grad
             return RATE * grad / (np.sqrt(s) + 1e-6)
 
-        z = h1 @ self.to_class
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
+        z = np.exp(np.clip(h1 @ self.to_class, -LOGIT, LOGIT))
+        z /= (z @ ones)[:, None]
         z[np.arange(len(at)), cls] -= 1
         gh = z @ self.to_class[:-1].T
         self.to_class -= step(h1.T @ z, s_class)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.width + 1))
         for c in np.flatnonzero(np.diff(cut)):
-            i = order[cut[c] : cut[c + 1]]
-            y = h1[i] @ self.to_word[c]
-            y = np.exp(y - y.max(1, keepdims=True))
-            y /= y.sum(1, keepdims=True)
-            y[np.arange(len(i)), target[i] % self.width] -= 1
+            i = slice(cut[c], cut[c + 1])
+            y = np.exp(np.clip(h1[i] @ self.to_word[c], -LOGIT, LOGIT))
+            y /= (y @ ones)[:, None]
+            y[np.arange(len(y)), word[i]] -= 1
             gh[i] += y @ self.to_word[c, :-1].T
             self.to_word[c] -= step(h1[i].T @ y, s_word[c])
+        h = h1[:, :-1]
         g = (gh * (1 - h * h)).astype(np.float32)
         for k, o in enumerate(_OFFSETS):
             near = ids[at + o]
@@ -348,8 +363,8 @@ def score(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc
     """(key, n_words, sum_logprob, mean_logprob) of each row of ``docs``, whole texts.
 
     Null, empty and wordless texts have 0 words, sum 0 and a null mean, which
-    is a word's. Repeated rows get equal scores; columns named alike are no
-    matter; a null key is kept; an empty table gives an empty table;
+    is a word's. Repeated rows get equal scores, up to rounding; columns named
+    alike are no matter; a null key is kept; an empty table gives an empty table;
     other columns aren't read.
     """
     docs = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
