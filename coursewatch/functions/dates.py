@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The academic window and the share of confidence that parts of a date earn.
 WINDOW_BACK, WINDOW_AHEAD = 60, 300
 BASE, EXPLICIT_YEAR, WEEKDAY, CHANGED, SEVERAL, TIMED, ZONED, CAP = 0.85, 0.05, 0.05, -0.1, -0.1, 0.05, 0.05, 0.98
-RELATIVE, REVIEW_UNDER = 0.7, 0.6
+RELATIVE, REVIEW_UNDER, EXACT = 0.7, 0.6, 0.98
 
 
 def infer_year(month: Column, day: Column, read: Column) -> Column:
@@ -53,6 +53,15 @@ def exclusive_end(last: Column) -> Column:
     return F.date_add(last, 1)
 
 
+def api_bounds(start: Column, end: Column, all_day: Column) -> Column:
+    """Struct (start, end) as calendars take them: days with an exclusive end, times as they are; nulls without a start."""
+    last = F.coalesce(end, start)
+    return F.struct(
+        F.when(all_day, written_day(start).cast("string")).otherwise(start).alias("start"),
+        F.when(start.isNull(), None).when(all_day, exclusive_end(written_day(last)).cast("string")).otherwise(last).alias("end"),
+    )
+
+
 def inclusive_end(start: Column, exclusive: Column) -> Column:
     return F.greatest(start, F.date_sub(exclusive, 1))
 
@@ -80,3 +89,48 @@ def posted_day(text: Column) -> Column:
         F.try_to_date(F.concat_ws("-", two(at(n, 3)), at(n, 1), at(n, 2)), "y-M-d"),
         named(at(dm, 1), at(dm, 2), at(dm, 3)),
     )
+
+
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2}(:\d{2})?)?$"
+
+
+def moment(text: Column, zone: Column) -> Column:
+    """Instant of an ISO time with Z or an offset, or in ``zone`` without; null if it isn't one."""
+    fine = F.regexp_replace(text, "Z$", "+00:00").rlike(ISO_TIME)
+    stated = text.rlike(r"(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$")
+    at = F.try_to_timestamp(F.when(fine, text))
+    return F.when(stated, at).otherwise(F.to_utc_timestamp(at, zone))
+
+
+def exact(start: Column, end: Column, all_day: Column, zone: Column) -> Column:
+    """Like a parsed phrase, from a source's own times: rendered in the course's zone, ends never before starts.
+
+    A date alone, or a time of an item that lasts all day, gives days as
+    written; what is no time makes the item one to look at.
+    """
+    whole = F.coalesce(all_day, F.lit(False)) | ((F.length(start) == 10) & ~F.contains(start, F.lit("T")))
+    first, last = written_day(start), written_day(F.coalesce(F.nullif(end, F.lit("")), start))
+    at, until = moment(start, zone), F.when(F.coalesce(end, F.lit("")) == "", moment(start, zone)).otherwise(moment(end, zone))
+    fine = F.when(whole, first.isNotNull() & last.isNotNull()).otherwise(at.isNotNull() & until.isNotNull())
+    told = lambda day, time: F.when(fine, F.when(whole, day.cast("string")).otherwise(iso_local(time, zone)))
+    return F.struct(
+        told(first, at).alias("start"),
+        told(last, F.greatest(at, until)).alias("end"),
+        (whole | ~fine).alias("all_day"),
+        F.when(fine, EXACT).otherwise(0.0).alias("confidence"),
+        (~fine).alias("needs_review"),
+        F.when(fine, "").otherwise(F.concat(F.lit("unparseable machine timestamp '"), start, F.lit("'"))).alias("reason"),
+        F.lit(None).cast("string").alias("superseded"),
+        F.when(fine, F.array(F.when(whole, "exact date from the source system").otherwise("exact timestamp from the source system"))).otherwise(F.array().cast("array<string>")).alias("assumptions"),
+    )
+
+
+def read_day(iso: Column) -> Column:
+    """The day that an ISO time writes."""
+    return written_day(iso)
+
+
+def shown(event: Column) -> Column:
+    """An event's days or time as change notes show them."""
+    days = F.when(F.coalesce(event["end"], event["start"]) == event["start"], event["start"]).otherwise(F.concat_ws("..", event["start"], event["end"]))
+    return F.when(event["start"].isNull(), "(no date)").when(event["all_day"], days).otherwise(event["start"])

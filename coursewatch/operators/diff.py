@@ -48,7 +48,8 @@ def guarded(prev: DataFrame, cur: DataFrame, reads: DataFrame) -> DataFrame:
     state = F.when(F.col("status").isNull(), "not_read").when(F.col("status") != "ok", "unreadable").when(nothing & (F.col("n_prev") > 0), "unreadable")
     courses = courses.select("course_id", state.alias("state"))
     found = changes(prev, cur).join(courses, "course_id", "left").filter("state is null").select("course_id", "key", "type", "before", "after")
-    stopped = courses.filter("state is not null").join(found, F.lit(False), "left").select(courses["course_id"], F.lit(None).cast("string").alias("key"), F.col("state").alias("type"), "before", "after")
+    none = {c: F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("key", "before", "after")}
+    stopped = courses.filter("state is not null").select("course_id", none["key"], F.col("state").alias("type"), none["before"], none["after"])
     return found.unionByName(stopped)
 
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVENT = "struct<start:string,end:string,all_day:boolean,date_text:string,confidence:double,needs_review:boolean,review_reason:string,superseded:string,detail:string,sources:array<string>,assumptions:array<string>>"
+from ..functions import date_text
+from ..functions import dates as D
+from ..functions import text as T
+
+EVENT = "struct<start:string,end:string,all_day:boolean,date_text:string,confidence:double,needs_review:boolean,review_reason:string,superseded:string,detail:string,sources:array<string>,assumptions:array<string>,carry:string>"
+"""``carry`` is what the caller wants to keep of the mention that stays; empty if the mentions have no such column."""
 FIELDS = [f.split(":")[0] for f in EVENT.removeprefix("struct<").removesuffix(">").split(",")]
 
 
@@ -55,6 +60,8 @@ def fold(mentions: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     order is data; a group is the mentions of one item, as many as there are
     sources that list it.
     """
+    if "carry" not in mentions.columns:
+        mentions = mentions.withColumn("carry", F.lit(""))
     packed = F.sort_array(F.collect_list(F.struct(*order, F.struct(*FIELDS).cast(EVENT).alias("e"))))
     grouped = mentions.groupBy(*by).agg(packed.alias("m")).withColumn("m", F.transform("m", lambda x: x["e"]))
     merged = F.aggregate(F.slice("m", 2, F.size("m")), F.get("m", F.lit(0)).cast(EVENT), lambda a, b: merge_two(a, b).cast(EVENT))
@@ -90,3 +97,58 @@ def match_titles(mentions: DataFrame, titles: DataFrame, score: Column, threshol
     top = scored.groupBy("course_id", "mention_id").agg(F.max("score").alias("top"))
     best = scored.join(top, ["course_id", "mention_id"]).filter("score = top")
     return best.groupBy("course_id", "mention_id", "score").agg(F.min("title").alias("title"), F.count_distinct("title").alias("n_best")).withColumn("needs_review", F.col("n_best") > 1)
+
+
+BELIEF = "course_id string, key string, title string, kind string, start string, end string, all_day boolean, date_text string, confidence double, needs_review boolean, review_reason string, superseded string, detail string, sources array<string>, assumptions array<string>, read_at string"
+"""Columns of a resolved event, as beliefs hold it."""
+DETAIL_CHARS = 500
+
+
+def mentions_of(items: DataFrame) -> DataFrame:
+    """Items with their place to mentions with dates: BELIEF's columns, ``ord`` and ``pos``.
+
+    items: course_id, ord (of the reading), pos, title, date_text, kind, url,
+    source_url, posted_at, detail, start, end, all_day, review_reason, read_at,
+    timezone. Untitled items go. A start makes an item exact; else its text is
+    read. An item with a review_reason goes to review whatever its date.
+    """
+    df = items.withColumn("title", T.clean_text(F.col("title"))).filter("title <> ''").withColumn("date_text", T.clean_text(F.coalesce("date_text", F.lit(""))))
+    df = df.withColumns({"__seen": D.read_day(F.col("read_at")), "__posted": D.written_day(F.col("posted_at")), "__said": F.when(F.coalesce("start", F.lit("")) == "", F.col("date_text"))})
+    df = date_text.parse(df, "__said", "__seen", "timezone", "__posted")
+    p = F.when(F.coalesce("start", F.lit("")) != "", D.exact(F.col("start"), F.col("end"), F.col("all_day"), F.col("timezone"))).otherwise(F.col("parsed"))
+    df = df.withColumn("__p", p)
+    forced = F.coalesce("review_reason", F.lit("")) != ""
+    own = F.when(F.col("__p.reason") != "", F.concat(F.lit(" ("), F.col("__p.reason"), F.lit(")"))).otherwise("")
+    return df.select(
+        "course_id",
+        T.item_key(F.col("course_id"), F.col("title")).alias("key"),
+        "title",
+        F.coalesce("kind", F.lit("assignment")).alias("kind"),
+        F.col("__p.start").alias("start"),
+        F.col("__p.end").alias("end"),
+        F.col("__p.all_day").alias("all_day"),
+        "date_text",
+        F.col("__p.confidence").alias("confidence"),
+        (forced | F.col("__p.needs_review")).alias("needs_review"),
+        F.when(forced, F.concat("review_reason", own)).otherwise(F.col("__p.reason")).alias("review_reason"),
+        F.col("__p.superseded").alias("superseded"),
+        F.substring(T.clean_text(F.coalesce("detail", F.lit(""))), 1, DETAIL_CHARS).alias("detail"),
+        F.array(F.coalesce(F.nullif("url", F.lit("")), "source_url", F.lit(""))).alias("sources"),
+        F.col("__p.assumptions").alias("assumptions"),
+        "read_at",
+        "ord",
+        "pos",
+    )
+
+
+def resolve(items: DataFrame) -> DataFrame:
+    """One event for each course and title, BELIEF's columns; those with needs_review are for a person and never believed.
+
+    Mentions of one item merge in order of reading and place; title and kind
+    are those of the mention that stays.
+    """
+    m = mentions_of(items)
+    folded = fold(m.withColumn("carry", F.to_json(F.struct("title", "kind", "read_at"))), ["course_id", "key"], ["ord", "pos"])
+    told = F.from_json(F.col("event.carry"), "title string, kind string, read_at string")
+    out = folded.withColumn("t", told).select("course_id", "key", "t.title", "t.kind", "t.read_at", *[F.col(f"event.{c}").alias(c) for c in FIELDS if c != "carry"])
+    return out.select(*[f.split()[0] for f in BELIEF.split(", ")])

@@ -29,10 +29,20 @@ def color(kind: Column) -> Column:
     return F.when(kind == "class", CLASS_COLOR).otherwise(OTHER_COLOR)
 
 
-def description(sources: Column, assumptions: Column, confidence: Column, key: Column) -> Column:
-    lines = lambda xs, lead: F.array_join(F.transform(xs, lambda x: F.concat(F.lit(lead), x)), "\n")
-    parts = F.array(lines(sources, "Source: "), lines(assumptions, "Assumption: "), F.concat(F.lit("Confidence: "), F.format_string("%.2f", confidence)), F.concat(F.lit("key: "), key))
-    return F.array_join(F.filter(parts, lambda x: x != ""), "\n")
+def description(event: Column, course: Column, key: Column) -> Column:
+    """What an event's text says of where it comes from, a line each; its last line finds it again if the ledger is lost."""
+    say = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    lines = F.concat(
+        F.array(say("Course: ", course), say("Kind: ", event["kind"]), say('As written: "', event["date_text"], '"')),
+        F.transform(event["sources"], lambda x: say("Source: ", x, " (read ", event["read_at"], ")")),
+        F.array_compact(F.array(
+            F.when(F.size(event["assumptions"]) > 0, say("Assumptions: ", F.array_join(event["assumptions"], "; "))),
+            say("Confidence: ", F.format_string("%.2f", event["confidence"])),
+            F.when(event["detail"] != "", say("Notes: ", event["detail"])),
+            say("key: ", key),
+        )),
+    )
+    return F.array_join(lines, "\n")
 
 
 def block_reason(today: Column) -> Column:
@@ -74,6 +84,16 @@ def apply_to_ledger(ledger: DataFrame, ops: DataFrame, results: DataFrame) -> Da
     return kept.join(done.filter("op <> 'delete'").select("key", "new_id"), "key", "full_outer").select("key", F.coalesce("new_id", "event_id").alias("event_id"))
 
 
+def write_ledger(ledger: DataFrame, ops: DataFrame, results: DataFrame, written_at: Column) -> DataFrame:
+    """apply_to_ledger() for a ledger that also says what was written and when: key, event_id, summary, start, end, written_at."""
+    kept = apply_to_ledger(ledger, ops, results)
+    ok = results.filter("status = 'ok' and op <> 'delete'").select("key", "op")
+    fresh = ops.join(ok, ["key", "op"]).select("key", F.struct("summary", "start", "end", written_at.alias("written_at")).alias("_new"))
+    old = ledger.select("key", F.struct("summary", "start", "end", "written_at").alias("_old"))
+    both = kept.join(fresh, "key", "left").join(old, "key", "left").withColumn("_it", F.coalesce("_new", "_old"))
+    return both.select("key", "event_id", "_it.summary", "_it.start", "_it.end", "_it.written_at")
+
+
 def held_keys(ops: DataFrame, results: DataFrame) -> DataFrame:
     """Keys whose operation was blocked, failed or not reported, and the keys those would have replaced."""
     ok = results.filter("status = 'ok'").select("key", "op").distinct()
@@ -104,6 +124,23 @@ def merge_review(bucket: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def review_bucket(bucket: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """merge_review() of whole buckets: what is seen brings its course, title, reason, candidate and sources along.
+
+    bucket: nightly.REVIEW; seen: events to review.
+    """
+    merged = merge_review(bucket, seen, now)
+    new = seen.select("key", F.struct("course_id", "title", F.col("review_reason").alias("reason"), F.col("start").alias("candidate"), "sources").alias("_new"))
+    old = bucket.select("key", F.struct("course_id", "title", "reason", "candidate", "sources").alias("_old"), "resolution", "resolved_at")
+    both = merged.join(new, "key", "left").join(old, "key", "left").withColumn("_it", F.coalesce("_new", "_old"))
+    kept = lambda c: F.when(F.col("resolved"), F.col(c)).alias(c)
+    return both.select("key", "_it.course_id", "_it.title", "date_text", "_it.reason", "_it.candidate", "_it.sources", "first_seen", "last_seen", "resolved", kept("resolution"), kept("resolved_at"), "reopened_at")
+
+
+def open_review(bucket: DataFrame) -> DataFrame:
+    return bucket.filter("not coalesce(resolved, false)")
+
+
 def resolve_review(bucket: DataFrame, keys: DataFrame) -> DataFrame:
     done = keys.select("key").withColumn("_done", F.lit(True))
     return bucket.join(done, "key", "left").withColumn("resolved", F.col("resolved") | F.coalesce("_done", F.lit(False))).drop("_done")
@@ -115,14 +152,23 @@ def insert_if_absent(known: DataFrame, rows: DataFrame, order: list[str]) -> Dat
     return rows.join(known.select("kind", "key").distinct(), ["kind", "key"], "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+ID_BLOCK = 10_000
+
+
 def create_events(ops: DataFrame, calendar: DataFrame, next_id: int) -> DataFrame:
-    """The fake calendar's answer to approved operations: (key, op, event_id, status).
+    """A calendar's answer to approved operations: (key, op, event_id, status).
 
-    New events get consecutive ids in op order; updates and deletions of an
-    unknown event fail. Op order is one order over the plan of one run.
+    New events get consecutive ids in order of op_ord, a whole number; updates
+    and deletions of an unknown event fail. Ids are numbered within blocks of
+    op_ord and shifted by the counts of earlier blocks, so that no task holds
+    all operations.
     """
-    n = F.row_number().over(Window.orderBy("op_ord"))
-    made = ops.filter("op = 'create'").select("key", "op", F.concat(F.lit("evt-"), (n + next_id - 1).cast("string")).alias("event_id"), F.lit("ok").alias("status"))
+    made = ops.filter("op = 'create'").withColumn("_block", F.floor(F.col("op_ord") / ID_BLOCK))
+    blocks = made.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = blocks.select("_block", before.alias("_before"))  # a row for ID_BLOCK operations
+    n = F.row_number().over(Window.partitionBy("_block").orderBy("op_ord")) + F.col("_before")
+    ids = made.join(shift, "_block").select("key", "op", F.concat(F.lit("evt-"), (n + next_id - 1).cast("string")).alias("event_id"), F.lit("ok").alias("status"))
     known = calendar.select("event_id", F.lit(True).alias("known"))
     changed = ops.filter("op <> 'create'").join(known, "event_id", "left").select("key", "op", "event_id", F.when(F.col("known"), "ok").otherwise("failed").alias("status"))
-    return made.unionByName(changed)
+    return ids.unionByName(changed)

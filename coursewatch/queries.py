@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import date_text, dates as D, text as T
 from .operators import diff, resolve
-from .plans import checkin, ledger, reports, slots
+from .plans import checkin, ledger, nightly, reports, slots
+from .plans.state import Store
 from .scratch import Scratch
 from .sources import html_items, ical, mail, rest_json
 
@@ -461,19 +462,26 @@ FROM x LEFT JOIN led a ON a.key = x.key LEFT JOIN led b ON b.key = x.before_key
 
 
 def changed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Tonight's changes with rewordings told apart, and a ledger that has the even orders."""
-    prev, cur = nights(spark, sf_dir)
+    """Tonight's changes with rewordings told apart, and a ledger that has the even orders. One outer join, written once, labels all."""
     scratch = Scratch(spark)
     on = ["course_id", "key"]
-    removed, added = prev.join(cur, on, "left_anti"), cur.join(prev, on, "left_anti")
-    paired, _ = scratch.write(diff.assign(diff.reword_pairs(removed, added), scratch), "reworded")
-    moved = diff.changes(prev, cur).filter("type = 'moved'").select("course_id", "key", F.col("key").alias("before_key"), "type", F.col("after.start").alias("start"))
-    new = added.join(paired.select("course_id", F.col("added").alias("key")), on, "left_anti").select("course_id", "key", F.col("key").alias("before_key"), F.lit("added").alias("type"), "start")
-    gone = removed.join(paired.select("course_id", F.col("removed").alias("key")), on, "left_anti").select("course_id", "key", F.col("key").alias("before_key"), F.lit("removed").alias("type"), "start")
-    renamed = added.join(paired.withColumnRenamed("added", "key"), on).select("course_id", "key", F.col("removed").alias("before_key"), F.lit("reworded").alias("type"), "start")
+    rows, _ = scratch.write(diff.changes(*nights(spark, sf_dir)), "labelled")
+    side = lambda name, kind: rows.filter(F.col("type") == kind).select(*on, f"{name}.*")
+    paired, _ = scratch.write(diff.assign(diff.reword_pairs(side("before", "missing"), side("after", "added")), scratch), "reworded")
+    gone = paired.select("course_id", F.col("removed").alias("key"), F.lit(True).alias("_gone"))
+    new = paired.select("course_id", F.col("added").alias("key"), F.col("removed").alias("_old"))
+    told = rows.join(gone, on, "left").join(new, on, "left").filter("_gone is null")
+    kind = F.when(F.col("_old").isNotNull(), "reworded").when(F.col("type") == "missing", "removed").otherwise(F.col("type"))
+    changes = told.select(*on, F.coalesce("_old", "key").alias("before_key"), kind.alias("type"), F.coalesce("after.start", "before.start").alias("start"))
     o = observed(spark, sf_dir).filter("k % 2 = 0")
     ledger_ = o.select(F.concat_ws("::", "course_id", _title()).alias("key"), F.concat(F.lit("evt-"), F.col("k").cast("string")).alias("event_id"))
-    return moved.unionByName(new).unionByName(gone).unionByName(renamed), ledger_
+    return changes, ledger_
+
+
+def planned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The plan of tonight's changes, written once, and the ledger it was made with."""
+    changes, known = changed(spark, sf_dir)
+    return Scratch(spark).write(ledger.build_plan(changes, known), "ops")[0], known
 
 
 @query(f"WITH {CHANGED} SELECT course_id, key, type, op, event_id, replaces_key FROM ops")
@@ -487,7 +495,7 @@ WHEN CAST(start AS DATE) < DATE '1998-01-01' - 120 THEN 'too far past' WHEN CAST
 
 
 def _gated(spark, sf_dir):
-    ops = ledger.build_plan(*changed(spark, sf_dir))
+    ops, _ = planned(spark, sf_dir)
     prev, _ = nights(spark, sf_dir)
     n = prev.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_belief"))
     ops = ops.join(n, "course_id", "left").withColumns({"course_state": F.when(F.col("course_id") == "c7", "unreadable"), "has_change": F.lit(True), "needs_review": F.lit(False), "confidence": F.lit(0.9), "confirmed": F.lit(True), "start_day": F.to_date("start")})
@@ -522,8 +530,7 @@ def _results(ops: DataFrame) -> DataFrame:
 gone AS (SELECT key FROM done WHERE op = 'delete' UNION SELECT replaces_key FROM done WHERE replaces_key IS NOT NULL), kept AS (SELECT * FROM led ANTI JOIN gone USING (key))
 SELECT coalesce(d.key, k.key) AS key, coalesce(d.event_id, k.event_id) AS event_id FROM kept k FULL JOIN (SELECT * FROM done WHERE op <> 'delete') d ON d.key = k.key""")
 def commit_ledger(spark, sf_dir):
-    changes, old = changed(spark, sf_dir)
-    ops = ledger.build_plan(changes, old)
+    ops, old = planned(spark, sf_dir)
     return ledger.apply_to_ledger(old, ops, _results(ops))
 
 
@@ -531,7 +538,7 @@ def commit_ledger(spark, sf_dir):
 SELECT key, title, CAST(start AS VARCHAR) AS start FROM cur WHERE key NOT IN (SELECT key FROM held) UNION ALL SELECT key, title, CAST(start AS VARCHAR) FROM prev WHERE key IN (SELECT key FROM held)""")
 def commit_belief(spark, sf_dir):
     """Operations whose key has a length divisible by 9 failed; their items, and those they replace, stay as they were."""
-    ops = ledger.build_plan(*changed(spark, sf_dir)).withColumn("block_reason", F.lit(""))
+    ops = planned(spark, sf_dir)[0].withColumn("block_reason", F.lit(""))
     prev, cur = nights(spark, sf_dir)
     held, _ = Scratch(spark).write(ledger.held_keys(ops, _results(ops)), "held")
     return ledger.commit_belief(prev, cur, held).select("key", "title", "start")
@@ -569,9 +576,17 @@ def op_summary(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.summary(kind, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.col("o_orderpriority")).alias("summary"), ledger.color(kind).alias("color"))
 
 
-@query("SELECT s_suppkey, 'Source: ' || s_name || chr(10) || 'Assumption: balance' || chr(10) || 'Confidence: 0.85' || chr(10) || 'key: ' || s_suppkey AS description FROM supplier")
+@query("""SELECT s_suppkey, 'Course: c' || s_nationkey || chr(10) || 'Kind: exam' || chr(10) || 'As written: "due ' || s_suppkey || '"' || chr(10) || 'Source: ' || s_name || ' (read 2024-01-01)' || chr(10) || 'Source: mail (read 2024-01-01)' || chr(10)
+|| CASE WHEN s_suppkey % 2 = 0 THEN 'Assumptions: balance; year' || chr(10) ELSE '' END || 'Confidence: 0.85' || chr(10) || CASE WHEN s_suppkey % 3 = 0 THEN 'Notes: bring paper' || chr(10) ELSE '' END || 'key: ' || s_suppkey AS description FROM supplier""")
 def op_description(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", ledger.description(F.array("s_name"), F.array(F.lit("balance")), F.lit(0.85), F.col("s_suppkey").cast("string")).alias("description"))
+    """What a calendar event says of itself; every second supplier has assumptions, every third a note."""
+    k = F.col("s_suppkey")
+    event = F.struct(
+        F.lit("exam").alias("kind"), F.concat(F.lit("due "), k.cast("string")).alias("date_text"), F.array(F.col("s_name"), F.lit("mail")).alias("sources"), F.lit("2024-01-01").alias("read_at"),
+        F.when(k % 2 == 0, F.array(F.lit("balance"), F.lit("year"))).otherwise(F.array().cast("array<string>")).alias("assumptions"), F.lit(0.85).alias("confidence"), F.when(k % 3 == 0, "bring paper").otherwise("").alias("detail"),
+    )
+    course = F.concat(F.lit("c"), F.col("s_nationkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", ledger.description(event, course, k.cast("string")).alias("description"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n, o_orderstatus AS s FROM orders) SELECT k AS key, CASE s WHEN 'O' THEN 'create' WHEN 'F' THEN 'update' ELSE 'delete' END AS op,
@@ -584,6 +599,133 @@ def calendar_apply(spark, sf_dir):
     return ledger.create_events(ops, spark.range(50).select(F.concat(F.lit("evt-"), F.col("id").cast("string")).alias("event_id")), 1000)
 
 
+# --- whole nights ------------------------------------------------------------------
+
+
+def night_readings(spark, sf_dir, tonight: bool) -> tuple[DataFrame, DataFrame]:
+    """Readings of 40 courses and their items: the orders, with exact days, as both nights() show them.
+
+    Tonight c7's read fails, c8 isn't read, c9's page is empty of items; c10 is
+    only told of by mail, of its moved and new orders.
+    """
+    prev, cur = nights(spark, sf_dir)
+    at = F.lit("2024-05-02T23:00:00-04:00" if tonight else "2024-05-01T23:00:00-04:00")
+    course = prev.select("course_id").distinct()
+    mail = F.lit(tonight) & (F.col("course_id") == "c10")
+    readings = course.filter(F.lit(not tonight) | (F.col("course_id") != "c8")).select(
+        "course_id", F.lit(1).alias("ord"), F.lit("u").alias("source_url"), at.alias("read_at"), F.when(F.lit(tonight) & (F.col("course_id") == "c7"), "error").otherwise("ok").alias("status"),
+        F.lit("down").alias("error"), F.lit(NY).alias("timezone"), mail.alias("partial"),
+    )
+    shown = (cur if tonight else prev).select("course_id", F.lit(1).alias("ord"), F.xxhash64("key").alias("pos"), "title", F.col("start").alias("date_text"), F.lit("assignment").alias("kind"), F.lit("").alias("url"), F.lit(None).cast("string").alias("posted_at"), F.lit("").alias("detail"), "start", F.lit(None).cast("string").alias("end"), F.lit(True).alias("all_day"), F.lit(None).cast("string").alias("review_reason"))
+    if tonight:
+        shown = shown.filter("course_id not in ('c7', 'c8', 'c9')")
+    none = F.lit(None).cast("string")
+    return readings, shown.withColumns({"read_at": none, "timezone": none, "source_url": none})
+
+
+def _first_night(spark, sf_dir, scratch: Scratch):
+    readings, items = night_readings(spark, sf_dir, False)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    run = nightly.plan(readings, items, readings.select("course_id", F.col("course_id").alias("name")), empty(resolve.BELIEF), empty(nightly.MISSING), empty(nightly.LEDGER), F.lit("1998-01-01").cast("date"), scratch)
+    return scratch.write(run.belief, "belief")[0], scratch.write(run.ops, "first-ops")[0]
+
+
+NIGHT = f"""{NIGHTS}, nx AS (SELECT course_id, key, k, type, before_start, after_start FROM ch WHERE type <> 'same' AND course_id NOT IN ('c7', 'c8', 'c9') AND NOT (course_id = 'c10' AND type = 'missing')
+  AND NOT (course_id <> 'c10' AND k % 20 = 2)),
+night AS (SELECT course_id, key, CASE type WHEN 'missing' THEN 'pending_removal' ELSE type END AS type,
+  CASE type WHEN 'moved' THEN before_start || ' -> ' || after_start || CASE WHEN course_id = 'c10' THEN ' (from a partial source)' ELSE '' END
+  WHEN 'added' THEN after_start || CASE WHEN course_id = 'c10' THEN ' (from a partial source)' ELSE '' END ELSE 'missing since 2024-05-02 (1/2); removed if still absent on a later day' END AS note FROM nx
+UNION ALL SELECT c, c || '::' || t || ' revised', 'reworded', chr(39) || t || chr(39) || ' -> ' || chr(39) || t || ' revised' || chr(39) || ' (similarity ' || printf('%.2f', greatest(2 / 3, 2 * length(t) / (2 * length(t) + 8))) || ')' FROM o WHERE k % 20 = 2 AND c NOT IN ('c7', 'c8', 'c9', 'c10'))"""
+
+
+def _second_night(spark, sf_dir):
+    scratch = Scratch(spark)
+    belief, first_ops = _first_night(spark, sf_dir, scratch)
+    known = first_ops.select("key", F.concat(F.lit("evt-"), F.col("key")).alias("event_id"), "summary", "start", "end", F.lit("t").alias("written_at"))
+    readings, items = night_readings(spark, sf_dir, True)
+    names = belief.select("course_id", F.col("course_id").alias("name")).distinct()
+    return nightly.plan(readings, items, names, belief, spark.createDataFrame([], nightly.MISSING), known, F.lit("1998-01-01").cast("date"), scratch), belief
+
+
+@query(f"WITH {NIGHT} SELECT course_id, key, type, note FROM night")
+def night_changes(spark, sf_dir):
+    """Two nights of readings, resolved and diffed: what changed and what is missing once."""
+    run, _ = _second_night(spark, sf_dir)
+    return run.changes.unionByName(run.pending).select("course_id", "key", "type", "note")
+
+
+@query(f"""WITH {NIGHT}, p AS (SELECT course_id, key, type, CASE type WHEN 'added' THEN 'create' ELSE 'update' END AS op, CASE type WHEN 'reworded' THEN left(key, length(key) - 8) WHEN 'moved' THEN key END AS own FROM night WHERE type <> 'pending_removal'),
+s AS (SELECT p.*, c.start FROM p JOIN cur c USING (course_id, key))
+SELECT key, op, CASE WHEN own IS NOT NULL THEN 'evt-' || own END AS event_id, CAST(start AS VARCHAR) AS start, CAST(start + 1 AS VARCHAR) AS "end", 'Due: ' || regexp_replace(key, '^[^:]*::', '') || ' (' || course_id || ')' AS summary,
+CASE WHEN start < DATE '1998-01-01' - 120 THEN 'too far past' WHEN start > DATE '1998-01-01' + 400 THEN 'too far ahead' ELSE '' END AS block_reason FROM s""")
+def night_plan(spark, sf_dir):
+    """The calendar operations of the second night, through the gate."""
+    run, _ = _second_night(spark, sf_dir)
+    return run.ops.select("key", "op", "event_id", "start", "end", "summary", "block_reason")
+
+
+@query(f"""WITH {NIGHT}, gone AS (SELECT left(key, length(key) - 8) AS key FROM night WHERE type = 'reworded')
+SELECT coalesce(c.course_id, p.course_id) AS course_id, coalesce(c.key, p.key) AS key, CAST(coalesce(CASE WHEN coalesce(c.course_id, p.course_id) NOT IN ('c7', 'c8', 'c9') THEN c.start END, p.start) AS VARCHAR) AS start
+FROM prev p FULL JOIN cur c ON p.course_id = c.course_id AND p.key = c.key WHERE coalesce(p.key, '') NOT IN (SELECT key FROM gone) AND (p.key IS NOT NULL OR c.course_id NOT IN ('c7', 'c8', 'c9'))""")
+def night_belief(spark, sf_dir):
+    """The belief that the second night proposes: missing items stay until they are confirmed, unread courses stay as they were."""
+    run, _ = _second_night(spark, sf_dir)
+    return run.belief.select("course_id", "key", "start")
+
+
+@query("""SELECT * FROM (VALUES ('c7', 'unreadable'), ('c8', 'not_read'), ('c9', 'unreadable')) AS t(course_id, state)""")
+def night_courses(spark, sf_dir):
+    run, _ = _second_night(spark, sf_dir)
+    return run.courses.filter("state is not null").select("course_id", "state")
+
+
+WINDOW = "BETWEEN DATE '1998-01-01' - 120 AND DATE '1998-01-01' + 400"
+
+
+@query(f"""WITH {NIGHTS}, p1 AS (SELECT * FROM prev WHERE start {WINDOW}), b AS (SELECT coalesce(p.course_id, c.course_id) AS course_id, coalesce(p.key, c.key) AS key, coalesce(p.k, c.k) AS k, p.start AS was, c.start AS now
+  FROM p1 p FULL JOIN (SELECT * FROM cur WHERE course_id NOT IN ('c7', 'c8', 'c9')) c ON p.course_id = c.course_id AND p.key = c.key),
+t AS (SELECT b.*, course_id NOT IN ('c7', 'c8', 'c9', 'c10') AS whole, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'missing' WHEN was <> now THEN 'moved' ELSE 'same' END AS type FROM b),
+r AS (SELECT n.key, o.key AS old FROM t n JOIN t o ON n.k = o.k AND n.course_id = o.course_id WHERE n.whole AND n.type = 'added' AND o.type = 'missing'),
+ops AS (SELECT key, now FROM t WHERE type IN ('added', 'moved')), bad AS (SELECT key FROM ops WHERE NOT (now {WINDOW}) OR length(key) % 9 = 0),
+held AS (SELECT key FROM bad UNION SELECT old FROM r WHERE key IN (SELECT key FROM bad)),
+prop AS (SELECT key FROM t WHERE NOT (whole AND type = 'missing' AND key IN (SELECT old FROM r))), bel AS (SELECT key FROM prop EXCEPT SELECT key FROM held UNION SELECT key FROM p1 WHERE key IN (SELECT key FROM held)),
+led AS (SELECT key FROM p1 EXCEPT SELECT old FROM r WHERE key NOT IN (SELECT key FROM bad) UNION SELECT key FROM ops WHERE key NOT IN (SELECT key FROM bad))
+SELECT 'belief' AS tab, count(*)::BIGINT AS n FROM bel UNION ALL SELECT 'ledger', count(*)::BIGINT FROM led UNION ALL SELECT 'missing', count(*)::BIGINT FROM t WHERE whole AND type = 'missing' AND key NOT IN (SELECT old FROM r) UNION ALL SELECT 'again', 0::BIGINT""")
+def commit_replay(spark, sf_dir):
+    """Both nights with a store: planned, reported and committed, the second one twice; rows of each state table.
+
+    What the gate blocks isn't believed, so that it is proposed again. Of the
+    second night's operations those with a key length divisible by 9 fail.
+    Committing again changes nothing.
+    """
+    store = Store(spark, Scratch(spark).path("store"))
+    day = F.lit("1998-01-01").cast("date")
+    for tonight, stamp in ((False, "night-1"), (True, "night-2")):
+        readings, items = night_readings(spark, sf_dir, tonight)
+        run = nightly.plan_run(spark, store, readings, items, nights(spark, sf_dir)[0].select("course_id", F.col("course_id").alias("name")).distinct(), stamp, day)
+        ops = store.archived(run, "ops").filter("block_reason = ''")
+        failed = F.lit(tonight) & (F.length("key") % 9 == 0)
+        nightly.record(spark, store, run, ops.select("key", "op", F.coalesce("event_id", F.concat(F.lit("evt-"), F.col("key"))).alias("event_id"), F.when(failed, "failed").otherwise("ok").alias("status"), F.lit(1).cast("long").alias("seq")))
+        nightly.commit_run(spark, store, run)
+    again = nightly.commit_run(spark, store, run)
+    counts = [store.read(n, s).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("tab"), "n") for n, s in (("belief", resolve.BELIEF), ("ledger", nightly.LEDGER), ("missing", nightly.MISSING))]
+    return counts[0].union(counts[1]).union(counts[2]).union(spark.range(1).select(F.lit("again").alias("tab"), F.lit(int(again)).cast("long").alias("n")))
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) WHEN 3 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE strftime(timezone('{NY}', ts AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S') || '-05:00' END AS start,
+CASE event_id % 4 WHEN 0 THEN CAST(CAST(ts AS DATE) + 1 AS VARCHAR) WHEN 3 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE strftime(timezone('{NY}', ts AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S') || '-05:00' END AS "end",
+event_id % 4 IN (0, 3) AS all_day, CASE event_id % 4 WHEN 3 THEN 0.0 ELSE 0.98 END::DOUBLE AS confidence, event_id % 4 = 3 AS needs_review FROM events""")
+def exact_items(spark, sf_dir):
+    """Items with their source's own times: days, instants with Z that end before they start, times without a zone, and what is no time."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    k, plain = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    day, next_ = F.date_format("ts", "yyyy-MM-dd"), F.date_format(F.date_add(F.to_date("ts"), 1), "yyyy-MM-dd")
+    start = F.when(k == 0, day).when(k == 1, F.concat(plain, F.lit("Z"))).when(k == 2, plain).otherwise("soon")
+    end = F.when(k == 0, next_).when(k == 1, F.concat(day, F.lit("T00:00:00Z")))
+    x = D.exact(start, end, k == 0, F.lit(NY))
+    return e.select("event_id", *[x[c].alias(c) for c in ("start", "end", "all_day", "confidence", "needs_review")])
+
+
 # --- reports -----------------------------------------------------------------------------
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's own.
 
-    Only where neither is set (a single machine, as in tests) a temporary one is made.
+    Only where neither is set on a single machine, as in tests, a temporary one
+    is made: other machines couldn't read it.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         where = own.get()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coursewatch-"))
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return where.rstrip("/")
