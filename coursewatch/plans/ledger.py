@@ -155,6 +155,33 @@ def insert_if_absent(known: DataFrame, rows: DataFrame, order: list[str]) -> Dat
 ID_BLOCK = 10_000
 
 
+KIND = r"^[a-z][a-z0-9_-]{0,31}$"
+
+
+def track_has(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (kind, key) with whether each is known."""
+    return asked.join(known.select("kind", "key").distinct().withColumn("known", F.lit(True)), ["kind", "key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def track_remove(known: DataFrame, gone: DataFrame) -> DataFrame:
+    return known.join(gone.select("kind", "key").distinct(), ["kind", "key"], "left_anti")
+
+
+def track_kinds(known: DataFrame) -> DataFrame:
+    return known.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bad_kinds(rows: DataFrame) -> DataFrame:
+    """Rows whose kind isn't a lower-case name of up to 32 letters, digits, - and _."""
+    return rows.filter(~F.coalesce(F.col("kind").rlike(KIND), F.lit(False)))
+
+
+def upsert_courses(courses: DataFrame, given: DataFrame, fields: tuple[str, ...] = ("name", "platform", "url", "timezone", "kind")) -> DataFrame:
+    """Courses by id: a given field replaces, a null one leaves what was there; new ids are added."""
+    c, g = courses.alias("c"), given.alias("g")
+    return c.join(g, "id", "full_outer").select("id", *[F.coalesce(f"g.{f}", f"c.{f}").alias(f) for f in fields])
+
+
 def create_events(ops: DataFrame, calendar: DataFrame, next_id: int) -> DataFrame:
     """A calendar's answer to approved operations: (key, op, event_id, status).
 

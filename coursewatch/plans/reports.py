@@ -88,3 +88,88 @@ def weak(latest: DataFrame, under: int = 2) -> DataFrame:
 def valid_scores(scores: DataFrame) -> DataFrame:
     """Fails on a score outside 0..3."""
     return scores.withColumn("score", F.when(F.assert_true(F.col("score").between(0, 3), "score must be 0..3").isNull(), F.col("score")))
+
+
+# --- whole reports, a row a line -----------------------------------------------------
+
+
+def weekday_time(iso: Column, all_day: Column) -> Column:
+    """'Wed Oct 14, 2026', with the time and offset of what isn't all day; 'no date' for null."""
+    local = F.try_to_timestamp(F.substring(iso, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    offset = F.regexp_extract(iso, r"([+-]\d{2}:\d{2})$", 1)
+    timed = F.concat(F.date_format(local, "EEE MMM dd, yyyy h:mm a"), F.when(offset != "", F.concat(F.lit(" ("), offset, F.lit(")"))).otherwise(""))
+    return F.when(iso.isNull(), "no date").when(all_day, F.date_format(F.to_date(F.substring(iso, 1, 10)), "EEE MMM dd, yyyy")).otherwise(F.coalesce(timed, iso))
+
+
+def digest(belief: DataFrame, changes: DataFrame, missing: DataFrame, review: DataFrame, names: DataFrame, today: Column, weeks: int = 1) -> DataFrame:
+    """(section, ord, line): what is due, what changed, which courses move most, what is missing once, what a person must decide.
+
+    belief: resolved events; changes: (run_id, as_of, course_id, type, title,
+    note, source) of committed runs; missing: removal counters with title;
+    review: open rows of the bucket; names: (course_id, name).
+    """
+    called = lambda df: df.join(names.select("course_id", "name"), "course_id", "left").withColumn("_c", F.coalesce("name", "course_id"))
+    rows = lambda df, section, ord_, line: df.select(F.lit(section).alias("section"), ord_.cast("string").alias("ord"), line.alias("line"))
+    due = called(upcoming(belief.withColumn("start_day", F.to_date(F.substring("start", 1, 10))), today, weeks))
+    clock = F.when(F.col("all_day"), "").otherwise(F.date_format(F.try_to_timestamp(F.substring("start", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")), " h:mm a"))
+    out = rows(due, "1 due", F.concat_ws(" ", "start", "title"), F.concat(F.date_format("start_day", "EEE MMM dd"), F.lit(": "), F.col("title"), F.lit(" — "), F.col("_c"), clock))
+    seen = called(recent(changes.withColumn("start_day", F.to_date(F.substring("as_of", 1, 10))), today, weeks))
+    source = F.when(F.col("source").isNotNull(), F.concat(F.lit(" (source: "), F.col("source"), F.lit(")"))).otherwise("")
+    out = out.unionByName(rows(seen, "2 changed", F.concat_ws(" ", "run_id", "_c", "title"), F.concat(F.col("start_day").cast("string"), F.lit(": "), F.upper("type"), F.lit(" — "), F.col("_c"), F.lit(": "), F.col("title"), F.lit(" — "), F.col("note"), source)))
+    moved = called(volatility(changes))
+    rank = F.concat(F.lpad((F.lit(999_999_999) - F.col("n_moved")).cast("string"), 9, "0"), F.lpad((F.lit(999_999_999) - F.col("n_changes")).cast("string"), 9, "0"), F.col("course_id"))
+    out = out.unionByName(rows(moved, "3 volatility", rank, F.concat(F.col("_c"), F.lit(": "), F.col("n_moved").cast("string"), F.lit(" deadline move(s), "), F.col("n_changes").cast("string"), F.lit(" change(s) total"))))
+    lost = called(missing)
+    out = out.unionByName(rows(lost, "4 pending removals", F.concat_ws(" ", "_c", "title"), F.concat(F.col("_c"), F.lit(": "), F.col("title"), F.lit(" — missing since "), F.col("first_missing").cast("string"), F.lit(" ("), F.col("count").cast("string"), F.lit("/2)"))))
+    open_ = called(review)
+    return out.unionByName(rows(open_, "5 needs your decision", F.concat_ws(" ", "_c", "title"), F.concat(F.col("_c"), F.lit(": "), F.col("title"), F.lit(' — "'), F.col("date_text"), F.lit('" — '), F.col("reason"))))
+
+
+def receipts(belief: DataFrame, known: DataFrame, missing: DataFrame, changes: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, ord, line) for every believed item: where its date comes from and how it came about.
+
+    known: the ledger (key, event_id, written_at); changes: committed ones
+    (as_of, key, before_key, type, before, after, note), before and after being
+    events. Ask for one item by filtering on what search() finds.
+    """
+    say = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    e = belief.join(names.select("course_id", "name"), "course_id", "left").join(known.select("key", "event_id", "written_at"), "key", "left").join(missing.select("key", "first_missing", "count"), "key", "left")
+    until = F.when(F.col("end").isNotNull() & (F.col("end") != F.col("start")), say(" to ", weekday_time(F.col("end"), F.col("all_day")))).otherwise("")
+    parts = F.concat(
+        F.array(say(F.col("title"), " — ", F.coalesce("name", "course_id")), say("Now: ", weekday_time(F.col("start"), F.col("all_day")), until), say('As written: "', F.col("date_text"), '"')),
+        F.array_compact(F.array(
+            F.when(F.size("sources") > 0, say("Sources: ", F.array_join("sources", ", "))),
+            say("Last read: ", F.coalesce(F.nullif("read_at", F.lit("")), F.lit("unknown")), "; confidence ", F.format_string("%.2f", "confidence")),
+        )),
+        F.transform("assumptions", lambda a: say("Assumed: ", a)),
+        F.array_compact(F.array(
+            say("Calendar event: ", F.coalesce("event_id", F.lit("none yet")), F.when(F.col("written_at").isNotNull(), say(" (written ", F.substring("written_at", 1, 16), ")")).otherwise(""), "; key ", F.col("key")),
+            F.when(F.col("count").isNotNull(), say("Pending removal: missing since ", F.col("first_missing").cast("string"), " (", F.col("count").cast("string"), "/2 reads)")),
+        )),
+    )
+    told = e.select("key", F.posexplode(parts).alias("pos", "line")).select("key", F.format_string("0 %04d", "pos").alias("ord"), "line")
+    at = lambda side: weekday_time(F.col(f"{side}.start"), F.col(f"{side}.all_day"))
+    day = F.substring("as_of", 1, 10)
+    source = F.coalesce(F.get(F.coalesce("after.sources", "before.sources"), F.lit(0)), F.lit(""))
+    from_ = F.when(source != "", say(" (source: ", source, ")")).otherwise("")
+    line = (
+        F.when(F.col("type") == "added", say(day, ": first seen, ", at("after"), ', page said "', F.col("after.date_text"), '"', from_))
+        .when(F.col("type") == "moved", say(day, ": moved from ", at("before"), " to ", at("after"), '; page changed from "', F.col("before.date_text"), '" to "', F.col("after.date_text"), '"', from_))
+        .when(F.col("type") == "reworded", say(day, ': title reworded to "', F.col("after.title"), '" (same date)', from_))
+        .when(F.col("type") == "removed", say(day, ": confirmed removed after two successful reads"))
+        .otherwise(say(day, ": ", F.col("type"), " — ", F.col("note")))
+    )
+    named = changes.select(F.array_distinct(F.array("key", F.coalesce("before_key", "key"))).alias("keys"), F.concat_ws(" ", F.lit("1"), "as_of", "type").alias("ord"), line.alias("line"))
+    history = named.select(F.explode("keys").alias("key"), "ord", "line").join(belief.select("key"), "key", "left_semi")
+    return told.unionByName(history)
+
+
+def status(belief: DataFrame, review: DataFrame, missing: DataFrame, known: DataFrame) -> DataFrame:
+    """(course_id, n_items, n_written, n_missing, n_review) of each course that has anything."""
+    count = lambda df, name: df.groupBy("course_id").agg(F.count(F.lit(1)).alias(name))
+    written = belief.join(known.select("key").distinct(), "key", "left_semi")
+    parts = [count(belief, "n_items"), count(written, "n_written"), count(missing, "n_missing"), count(review.filter("not coalesce(resolved, false)"), "n_review")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "course_id", "full_outer")
+    return out.na.fill(0)

@@ -977,3 +977,130 @@ def mail_items(spark, sf_dir):
     raw = F.concat(F.lit("Subject: Re: [X] news\r\nFrom: p@x.test\r\nDate: "), F.date_format("d", "dd MMM yyyy"), F.lit(" 10:00:00 +0000\r\nContent-Type: text/plain\r\n\r\nHello all.\n\n"), name, F.lit(" is moved from Oct 14 to Oct 16. See you.\r\n")).cast("binary")
     mails = o.withColumn("p", mail.parsed(raw)).select("course_id", F.col("o_orderkey").alias("mail_id"), "p.subject", "p.sender", "p.sent", "p.body", "p.message_id")
     return mail.items(mails, o.select("course_id", name.alias("title"))).select(F.col("mail_id").alias("o_orderkey"), "title", "kind", "posted_at")
+
+
+# --- whole plans and reports ---------------------------------------------------------------
+
+PEOPLE = """p AS (SELECT c_custkey AS k, c_custkey % 11 <> 0 AS on_, c_custkey % 7 <> 0 AS sched, c_custkey % 3 = 0 AS inn, c_custkey % 2 = 0 AS late, c_custkey % 13 <> 0 AS has FROM customer),
+c AS (SELECT k, 'c' || i AS c FROM p, range(1, 3) r(i) WHERE has), m AS (
+SELECT k, 'missed:2024-01-10:' || c AS key, 'missed_checkin' AS kind, c AS "to" FROM p JOIN c USING (k) WHERE on_ AND sched AND NOT inn AND late AND NOT (k % 5 = 0 AND c = 'c1')
+UNION ALL SELECT k, 'remind:2024-01-10', 'owner_reminder', 'owner' FROM p WHERE on_ AND sched AND NOT inn AND NOT late
+UNION ALL SELECT k, 'clear:2024-01-10:c1', 'all_clear', 'c1' FROM p WHERE on_ AND sched AND inn AND has AND k % 5 = 0
+UNION ALL SELECT k, 'say:2024-01-10:c1:x', 'owner_message', 'c1' FROM p WHERE on_ AND k % 4 = 0
+UNION ALL SELECT k, 'share:2024-W02:c2', 'schedule_share', 'c2' FROM p WHERE on_ AND has AND k % 9 = 0)"""
+
+
+def _checkin_plan(spark, sf_dir):
+    """Customers as people at a quarter to eleven on Wednesday, January 10: every third has checked in, every fifth's first contact was alerted, every sixth's has had two messages."""
+    k = F.col("c_custkey")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    c, day = table(spark, sf_dir, "customer"), F.lit("2024-01-10").cast("date")
+    people = c.select(
+        k.alias("person"), (k % 11 != 0).alias("enabled"), F.col("c_name").alias("owner_name"), at("2024-01-10 22:45:00").alias("now"), F.lit(NY).alias("timezone"), F.lit(True).alias("checkin_enabled"), F.lit("21:00").alias("due"),
+        F.when(k % 2 == 0, 90).otherwise(120).alias("grace"), F.when(k % 7 == 0, F.array(F.lit("mon"))).otherwise(F.array(*map(F.lit, checkin.DAYS))).alias("days"), F.lit("23:00").alias("quiet_start"), F.lit("07:00").alias("quiet_end"),
+        (k % 9 == 0).alias("share_enabled"), F.lit("wed").alias("share_day"), F.lit("18:00").alias("share_time"), F.array(F.lit("c2"), F.lit("c9")).alias("share_contacts"), F.lit(2).alias("cap"), F.lit(True).alias("include_location"),
+    )
+    contacts = c.filter(k % 13 != 0).select(k.alias("person"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).select("person", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("contact"), F.concat(F.lit("Name "), F.col("pos").cast("string")).alias("name"), F.lit("a@x.test").alias("address"), "pos")
+    checkins = c.select(k.alias("person"), F.when(k % 3 == 0, day).otherwise(F.date_sub(day, 2)).alias("day"), at("2024-01-10 20:10:00").alias("at"), F.lit("fine").alias("note"), F.lit("home").alias("place"))
+    row = lambda df, key, kind, status: df.select(k.alias("person"), F.lit(key).alias("key"), F.lit(kind).alias("kind"), F.lit("c1").alias("to"), F.lit(status).alias("status"), day.alias("day"))
+    sent = row(c.filter(k % 5 == 0), "missed:2024-01-10:c1", "missed", "ok").union(row(c.filter(k % 6 == 0), "say:2024-01-10:c1:a", "say", "ok")).union(row(c.filter(k % 6 == 0), "say:2024-01-10:c1:b", "say", "ok")).union(row(c, "say:2024-01-10:c1:x", "say", "failed"))
+    outbox = c.filter(k % 4 == 0).select(k.alias("person"), F.lit("say:2024-01-10:c1:x").alias("key"), F.lit("c1").alias("to"), F.lit("s").alias("subject"), F.lit("b").alias("body"))
+    plans = c.filter(k % 10 == 1).select(k.alias("person"), day.alias("day"), F.lit("a game").alias("note"))
+    places = c.filter(k % 10 == 2).select(k.alias("person"), F.lit("library").alias("place"), at("2024-01-10 21:45:00").alias("seen_at"))
+    agenda = c.select(k.alias("person"), F.date_add(day, (k % 12).cast("int")).alias("day"), F.lit("Essay").alias("title"), F.lit("Arts").alias("course"), F.lit("exam").alias("kind"))
+    return checkin.plan(people, contacts, checkins, sent, outbox, plans, places, agenda)
+
+
+@query(f"""WITH {PEOPLE}, u AS (SELECT c_custkey AS k, 'c1' AS "to", CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 6 = 0 THEN 2 ELSE 0 END AS n FROM customer)
+SELECT k AS person, key, kind, m."to", CASE WHEN coalesce(n, 0) >= 2 AND kind <> 'all_clear' THEN 'daily cap reached for ' || m."to" END AS blocked FROM m LEFT JOIN u USING (k, "to")""")
+def checkin_plan(spark, sf_dir):
+    return _checkin_plan(spark, sf_dir)[0].select("person", "key", "kind", "to", "blocked")
+
+
+@query(f"""WITH {PEOPLE} SELECT k AS person, 'check-ins are off' AS note FROM p WHERE NOT on_ UNION ALL SELECT k, 'no contacts; nothing can be sent' FROM p WHERE on_ AND NOT has
+UNION ALL SELECT k, 'checked in today at 20:10' FROM p WHERE on_ AND sched AND inn UNION ALL SELECT k, 'check-in missed at 22:30 but there is nobody to tell' FROM p WHERE on_ AND sched AND NOT inn AND late AND NOT has
+UNION ALL SELECT k, 'no check-in scheduled on wed' FROM p WHERE on_ AND NOT sched UNION ALL SELECT k, 'schedule share: unknown contact c' || i FROM p, (VALUES (2), (9)) r(i) WHERE on_ AND k % 9 = 0 AND (i = 9 OR NOT has)""")
+def checkin_notes(spark, sf_dir):
+    return _checkin_plan(spark, sf_dir)[1]
+
+
+@query(f"""WITH {PEOPLE}, d AS (SELECT k, DATE '2024-01-10' + CAST(k % 12 AS INT) AS d FROM p) SELECT k AS person, c_name || chr(39) || 's exams and deadlines, Jan 10 to Jan 17:' || chr(10) || chr(10) ||
+CASE WHEN k % 12 <= 7 THEN '- ' || strftime(d, '%a %b %d') || ': Essay (Arts, exam)' ELSE '- nothing due this week' END || chr(10) || chr(10) || 'Dates come from the course pages; what they leave open isn' || chr(39) || 't listed.' AS body FROM m JOIN d USING (k) JOIN customer ON c_custkey = k WHERE kind = 'schedule_share'""")
+def checkin_share_text(spark, sf_dir):
+    return _checkin_plan(spark, sf_dir)[0].filter("kind = 'schedule_share'").select("person", "body")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' new' ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'u2' ELSE 'u1' END AS url FROM customer UNION ALL SELECT -n_nationkey - 1, n_name, 'u3' FROM nation""")
+def course_upsert(spark, sf_dir):
+    """Customers as courses; every third is renamed, every second moves, nations are new."""
+    c, k, none = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.lit(None).cast("string")
+    courses = c.select(k.alias("id"), F.col("c_name").alias("name"), F.lit("u1").alias("url"))
+    given = c.select(k.alias("id"), F.when(k % 3 == 0, F.concat("c_name", F.lit(" new"))).alias("name"), F.when(k % 2 == 0, "u2").alias("url"))
+    new = table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("u3").alias("url"))
+    return ledger.upsert_courses(courses, given.unionByName(new), ("name", "url"))
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type AS kind, user_id AS key FROM events WHERE event_id % 2 = 0), a AS (SELECT DISTINCT event_type AS kind, user_id AS key FROM events)
+SELECT kind, key, (k.key IS NOT NULL) AS known FROM a LEFT JOIN k USING (kind, key)""")
+def track_has(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("key"), "event_id")
+    return ledger.track_has(e.filter("event_id % 2 = 0"), e.select("kind", "key").distinct())
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type AS kind, user_id AS key FROM events) SELECT kind, CAST(count(*) AS BIGINT) AS n FROM k WHERE key % 4 <> 1 GROUP BY kind""")
+def track_remove(spark, sf_dir):
+    """What is left of each kind when every fourth user's entries are taken out."""
+    k = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("key")).distinct()
+    return ledger.track_kinds(ledger.track_remove(k, k.filter("key % 4 = 1")))
+
+
+@query("""WITH b AS (SELECT o_custkey AS course_id, o_orderkey AS key FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT o_custkey AS course_id, o_orderkey % 5 = 0 AS done FROM orders WHERE o_orderkey % 3 = 0),
+m AS (SELECT o_custkey AS course_id FROM orders WHERE o_orderkey % 7 = 0), x AS (SELECT course_id, count(*) AS n_items, count(*) FILTER (key % 2 = 0) AS n_written, 0 AS n_missing, 0 AS n_review FROM b GROUP BY 1
+UNION ALL SELECT course_id, 0, 0, count(*), 0 FROM m GROUP BY 1 UNION ALL SELECT course_id, 0, 0, 0, count(*) FROM r WHERE NOT done GROUP BY 1)
+SELECT course_id, sum(n_items)::BIGINT AS n_items, sum(n_written)::BIGINT AS n_written, sum(n_missing)::BIGINT AS n_missing, sum(n_review)::BIGINT AS n_review FROM x GROUP BY 1""")
+def status_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("key"), "o_orderstatus")
+    known = o.filter("key % 2 = 0").select("key")
+    return reports.status(o.filter("o_orderstatus <> 'P'"), o.filter("key % 3 = 0").withColumn("resolved", F.col("key") % 5 == 0), o.filter("key % 7 = 0"), known)
+
+
+def _reported(spark, sf_dir):
+    """Tonight's belief of the orders with the changes of two nights, as reports read them."""
+    prev, cur = nights(spark, sf_dir)
+    day = lambda c: F.struct(F.col(f"{c}.start").alias("start"), F.col(f"{c}.all_day").alias("all_day"), F.col(f"{c}.title").alias("title"), F.concat(F.lit("on "), F.col(f"{c}.start")).alias("date_text"), F.array(F.lit("page")).alias("sources"))
+    c = diff.changes(prev, cur)
+    changes = c.select(F.lit("r2").alias("run_id"), F.lit("1998-01-05T23:00:00-05:00").alias("as_of"), "course_id", "key", F.col("key").alias("before_key"), F.when(F.col("type") == "missing", "removed").otherwise(F.col("type")).alias("type"), F.coalesce("after.title", "before.title").alias("title"), day("before").alias("before"), day("after").alias("after"), F.lit("n").alias("note"), F.lit("page").alias("source"))
+    belief = cur.select("course_id", "key", "title", "start", "end", "all_day", F.concat(F.lit("on "), F.col("start")).alias("date_text"), F.array(F.lit("page")).alias("sources"), F.lit("r").alias("read_at"), F.lit(0.9).alias("confidence"), F.array(F.lit("a guess")).alias("assumptions"))
+    names = cur.select("course_id", F.concat(F.lit("Course "), F.col("course_id")).alias("name")).distinct()
+    return belief, changes, names
+
+
+@query(f"""WITH {NIGHTS}, t AS (SELECT course_id, key, type, coalesce(after_start, before_start) AS s, regexp_replace(key, '^[^:]*::', '') AS title FROM ch WHERE type <> 'same'),
+v AS (SELECT course_id, count(*) FILTER (type = 'moved') AS a, count(*) FILTER (type <> 'added') AS n FROM t GROUP BY 1)
+SELECT '1 due' AS section, strftime(start, '%a %b %d') || ': ' || title || ' — Course ' || course_id AS line FROM cur WHERE start BETWEEN DATE '1998-01-07' AND DATE '1998-01-14'
+UNION ALL SELECT '2 changed', '1998-01-05: ' || upper(CASE type WHEN 'missing' THEN 'removed' ELSE type END) || ' — Course ' || course_id || ': ' || title || ' — n (source: page)' FROM t
+UNION ALL SELECT '3 volatility', 'Course ' || course_id || ': ' || a || ' deadline move(s), ' || n || ' change(s) total' FROM v WHERE n > 0
+UNION ALL SELECT '4 pending removals', 'Course ' || course_id || ': ' || title || ' — missing since 1998-01-02 (1/2)' FROM prev WHERE k % 40 = 0
+UNION ALL SELECT '5 needs your decision', 'Course ' || course_id || ': ' || title || ' — "TBD" — date is TBD/TBA' FROM prev WHERE k % 50 = 1""")
+def digest_lines(spark, sf_dir):
+    """The weekly digest of all courses, a row a line."""
+    belief, changes, names = _reported(spark, sf_dir)
+    o, title = observed(spark, sf_dir), _title().alias("title")
+    missing = o.filter("k % 40 = 0").select("course_id", title, F.lit("1998-01-02").alias("first_missing"), F.lit(1).alias("count"))
+    review = o.filter("k % 50 = 1").select("course_id", title, F.lit("TBD").alias("date_text"), F.lit("date is TBD/TBA").alias("reason"))
+    return reports.digest(belief, changes, missing, review, names, F.lit("1998-01-07").cast("date")).select("section", "line")
+
+
+@query(f"""WITH {NIGHTS}, c AS (SELECT *, strftime(start, '%a %b %d, %Y') AS w FROM cur), f AS (SELECT strftime(CAST(x AS DATE), '%a %b %d, %Y') AS w, x FROM (SELECT DISTINCT before_start AS x FROM ch UNION SELECT DISTINCT after_start FROM ch) WHERE x IS NOT NULL)
+SELECT key, title || ' — Course ' || course_id AS line FROM c UNION ALL SELECT key, 'Now: ' || w FROM c UNION ALL SELECT key, 'As written: "on ' || start || '"' FROM c UNION ALL SELECT key, 'Sources: page' FROM c
+UNION ALL SELECT key, 'Last read: r; confidence 0.90' FROM c UNION ALL SELECT key, 'Assumed: a guess' FROM c UNION ALL SELECT key, 'Calendar event: ' || CASE WHEN k % 2 = 0 THEN 'e (written 1998-01-05T23:00)' ELSE 'none yet' END || '; key ' || key FROM c
+UNION ALL SELECT key, '1998-01-05: first seen, ' || a.w || ', page said "on ' || after_start || '" (source: page)' FROM ch JOIN f a ON a.x = after_start WHERE type = 'added'
+UNION ALL SELECT key, '1998-01-05: moved from ' || b.w || ' to ' || a.w || '; page changed from "on ' || before_start || '" to "on ' || after_start || '" (source: page)' FROM ch JOIN f a ON a.x = after_start JOIN f b ON b.x = before_start WHERE type = 'moved'""")
+def receipt_lines(spark, sf_dir):
+    """Where each believed date comes from, a row a line."""
+    belief, changes, names = _reported(spark, sf_dir)
+    o = observed(spark, sf_dir).filter("k % 2 = 0")
+    key = F.concat_ws("::", "course_id", F.concat(_title(), F.when(F.col("k") % 20 == 2, " revised").otherwise("")))
+    known = o.select(key.alias("key"), F.lit("e").alias("event_id"), F.lit("1998-01-05T23:00:00-05:00").alias("written_at"))
+    missing = spark.createDataFrame([], "key string, first_missing date, count int")
+    return reports.receipts(belief, known, missing, changes, names).select("key", "line")
