@@ -634,3 +634,27 @@ def test_pipeline_stages(spark, documents):
     assert not hit & after
     repeated = docs.union(docs)
     assert Counter(r.doc_id for r in P.deduplicate(spark, repeated, SF).collect()).most_common(1)[0][1] == 1
+
+
+def test_pipeline_stages_on_hard_rows(spark, hard, empty):
+    """Nulls, empties, long texts, repeats and columns of the operators' own names: each stage keeps rows whole and returns the columns it got."""
+    import corpus_pipeline as P
+
+    docs = hard.withColumns({c: F.lit("mine") for c in ("_id", "_hash", "__bad", "probability", "weight")})
+    given = Counter(tuple(r) for r in docs.collect())
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "mixing":
+            assert {"topic", "n_tokens", "probability", "weight"} <= set(out.columns) and all(0 < r.probability <= 1 for r in rows)
+        else:
+            assert out.columns == docs.columns and not Counter(tuple(r) for r in rows) - given, name
+        of = Counter(r.doc_id for r in rows)
+        assert of[5] in ((0, 1) if name == "near-duplicates" else (0, 2)), name
+        if name == "language":
+            assert not {1, 2, 3, 8} & set(of)
+        if name == "near-duplicates":
+            assert of[1] == 1 and of[2] == of[3] == 0 and of[None] == 1 and of[7] == 1
+        if name == "decontamination":
+            assert Counter(tuple(r) for r in rows) == given
+        assert stage(spark, empty, SF).count() == 0, name
