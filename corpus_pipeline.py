@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages: language, toxicity, near-duplicates, benchmark passages, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one
-gets it as written and reread Parquet.
+gets it as written and reread Parquet. docs needs doc_id, text, source and lang;
+other columns stay as they are, whatever their names. An empty table gives an
+empty table in every stage.
 """
 
 from __future__ import annotations
@@ -22,21 +24,31 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told without doubt; null, letterless and ambiguous texts go."""
+    """Documents whose language is told without doubt; null, letterless and ambiguous texts and ties go. Repeated rows stay or go together."""
     ship(spark)
     model = langid.fit(docs.filter(crc("doc_id", 4) != 2))
-    return langid.identify(docs, model).filter(~F.col("langid.rejected")).select(*docs.columns)
+    told = docs.withColumn("__langid", langid.predict_column(docs, model, F.col("text")))
+    return told.filter(~F.col("__langid.rejected")).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores under TOXIC."""
+    """Documents that the toxicity model scores under TOXIC.
+
+    Null and empty texts have the score of no words and stay where that is
+    under it; rows without an id are scored like others; repeated rows stay or
+    go together.
+    """
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc("doc_id", 5) != 0)
-    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
+    told = docs.withColumn("__toxicity", toxicity.score_column(docs, model, F.col("text")))
+    return told.filter(F.col("__toxicity") < TOXIC).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group, once if it is repeated; rows without an id stay."""
+    """The document of the smallest doc_id of each group, once if it is repeated; rows without an id stay.
+
+    Null, empty and wordless texts are one group.
+    """
     ship(spark)
     scratch = Scratch(spark)
     found, _ = scratch.write(simhash.near_duplicates(docs, scratch).filter("doc_id is not null"), "groups")
@@ -50,13 +62,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts and rows without an id or text stay; repeated rows stay or go together."""
     ship(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target shares of sources, languages and topics, and each document's weight."""
+    """A sample with the target shares of sources, languages and topics, and each document's weight.
+
+    Null sources and languages are values of their own, null and empty texts
+    count one token; rows of one id and cell stay or go together. topic,
+    n_tokens, probability and weight are added, or replaced where docs has them.
+    """
     ship(spark)
     return mixing.mix(docs, Scratch(spark))
 
