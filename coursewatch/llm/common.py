@@ -42,7 +42,7 @@ def bounded_sample(df: DataFrame, group: str, key: Column, n: int, seed: int) ->
     return df.filter(unit_hash(seed, key) < share)
 
 
-HOT_ROWS = 10_000
+HOT_ROWS = 1000
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
