@@ -109,7 +109,7 @@ def test_nights(spark):
     assert [(o.op, o.event_id, o.block_reason) for o in later.ops.collect()] == [("delete", "e-x::lab", "")]
     assert later.missing.count() == 0 and "Lab" not in {b.title for b in later.belief.collect()}
 
-    for bad in ([reading("x", 7, "error")], [reading("x", 7, "empty")], []):
+    for bad in ([reading("x", 7, "error")], []):
         run = night(spark, bad, [], belief, counters, known)
         assert run.changes.count() == 0 and run.ops.count() == 0 and run.belief.count() == 3 and run.missing.count() == 1
         assert run.courses.filter("course_id = 'x'").first().state == ("unreadable" if bad else "not_read")
