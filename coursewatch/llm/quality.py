@@ -84,16 +84,23 @@ def ellipsis_lines(found: Column) -> Column:
     return F.size(F.filter(found, lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*\z"))).cast("long")
 
 
-def top_pair(found: Column) -> Column:
-    """How often the most frequent pair of adjacent words occurs. ``found`` must be cheap to read."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(found) - 1), lambda i: F.xxhash64(F.slice(found, i, 2))))
+def pair_over_fifth(found: Column) -> Column:
+    """Whether one pair of adjacent words is over a fifth of the words. ``found`` must be cheap to read.
+
+    A pair that occurs c times leaves at most m - c + 1 different ones of m, so
+    that most texts are settled by counting those; only others are sorted.
+    """
+    n = F.size(found)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(found, i - 1), F.get(found, i)))
     start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, h: Column) -> Column:
         run = F.when(h == s["last"], s["run"] + 1).otherwise(F.lit(1))
         return F.struct(h.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.when(F.size(found) > 1, F.aggregate(pairs, start, step, lambda s: s["best"])).otherwise(F.lit(0)).cast("long")
+    exact = lambda ps: 5 * F.aggregate(F.array_sort(ps), start, step, lambda s: s["best"]) > n
+    settled = lambda ps: 5 * (F.size(ps) - F.size(F.array_distinct(ps)) + 1) <= n
+    return F.when(n > 1, let(pairs, lambda ps: F.when(settled(ps), F.lit(False)).otherwise(exact(ps)))).otherwise(F.lit(False))
 
 
 def features(text: Column) -> Column:
@@ -126,7 +133,7 @@ RULES = (
     Rule("few_letters", lambda f: 2 * f("n_letter_words") < f("n_words")),
     Rule("bullets", lambda f: 10 * f("n_bullet_lines") > 9 * f("n_lines")),
     Rule("ellipses", lambda f: 10 * f("n_ellipsis_lines") > 5 * f("n_lines")),
-    Rule("top_pair", lambda f: 5 * f("n_top_pair") > f("n_words")),
+    Rule("top_pair", lambda f: f("pair_over_fifth")),
 )
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -143,7 +150,7 @@ def measure(text: Column, known: Column | None = None) -> Callable[[str], Column
         "n_letter_words": lambda: letter_words(text),
         "n_bullet_lines": lambda: bullet_lines(lines(text)),
         "n_ellipsis_lines": lambda: ellipsis_lines(lines(text)),
-        "n_top_pair": lambda: let(words(text), top_pair),
+        "pair_over_fifth": lambda: let(words(text), pair_over_fifth),
     }
     here = {*REPORTED, "n_lines"} if known is not None else set()
     return lambda name: known[name] if name in here else own[name]()
