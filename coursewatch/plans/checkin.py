@@ -180,3 +180,21 @@ def recipient(key: Column) -> Column:
     """Whom a message key names."""
     parts = F.split(key, ":")
     return F.when(parts[0] == "remind", "owner").otherwise(F.coalesce(F.get(parts, F.lit(2)), F.lit("")))
+
+
+def log_checkins(checkins: DataFrame, new: DataFrame) -> DataFrame:
+    """Check-ins (person, day, at, note, place) after new ones: the last of a day stays."""
+    all_ = checkins.unionByName(new)
+    return all_.groupBy("person", "day").agg(F.max(F.struct("at", "note", "place")).alias("x")).select("person", "day", "x.*")
+
+
+def log_plans(plans: DataFrame, new: DataFrame) -> DataFrame:
+    """Plans (person, day, note), each once."""
+    return plans.unionByName(new).distinct()
+
+
+def log_sent(sent: DataFrame, reports: DataFrame) -> DataFrame:
+    """sent (person, key, kind, to, status, day) after reports (person, key, status, at): the last report of a key stands."""
+    last = reports.groupBy("person", "key").agg(F.max(F.struct("at", "status")).alias("x"))
+    new = last.select("person", "key", F.split("key", ":")[0].alias("kind"), recipient(F.col("key")).alias("to"), "x.status", F.to_date("x.at").alias("day"))
+    return sent.join(new.select("person", "key"), ["person", "key"], "left_anti").select(*new.columns).unionByName(new)

@@ -90,6 +90,11 @@ def valid_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(F.assert_true(F.col("score").between(0, 3), "score must be 0..3").isNull(), F.col("score")))
 
 
+def mastery_summary(latest: DataFrame) -> DataFrame:
+    """(course_id, concepts, weak, solid) of latest scores."""
+    return latest.groupBy("course_id").agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("score") < 2).alias("weak"), F.count_if(F.col("score") >= 2).alias("solid"))
+
+
 # --- whole reports, a row a line -----------------------------------------------------
 
 

@@ -940,7 +940,7 @@ def html_items_rendered(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
     parts = (
         F.lit('<html><body><nav><li>Oct 1</li></nav><h2>Assignments</h2><ul><li class="assignment"><span class="generated">Generated Sep 5</span><a class="title" href="/a?id='), key, F.lit('&sid=zz9"><i class="session">s77</i> Homework '), key,
-        F.lit('</a><p>note<span class="due"><em class="timestamp">read 2021-05-05</em>'), F.col("day"), F.lit("</span></li></ul><footer>Generated 2020-01-01</footer></body></html>"),
+        F.lit('</a><p>note<span class="due"><em class="generated">read 2021-05-05</em>'), F.col("day"), F.lit("</span></li></ul><footer>Generated 2020-01-01</footer></body></html>"),
     )
     found = o.withColumn("r", html_items.items_of(F.concat(*parts))).select("o_orderkey", F.lit("https://x.test/p").alias("source_url"), F.explode("r.items").alias("i")).select("o_orderkey", "source_url", "i.*")
     return html_items.finish(found).select("o_orderkey", "title", "date_text", "url", "kind")
@@ -1104,3 +1104,42 @@ def receipt_lines(spark, sf_dir):
     known = o.select(key.alias("key"), F.lit("e").alias("event_id"), F.lit("1998-01-05T23:00:00-05:00").alias("written_at"))
     missing = spark.createDataFrame([], "key string, first_missing date, count int")
     return reports.receipts(belief, known, missing, changes, names).select("key", "line")
+
+
+@query(f"""WITH {CHANGED}, n AS (SELECT course_id, count(*) AS n_belief FROM prev GROUP BY 1), g AS (SELECT ops.*, n_belief, count(*) FILTER (op = 'delete') OVER (PARTITION BY course_id) AS n_del FROM ops LEFT JOIN n USING (course_id)),
+b AS (SELECT op, {GATE_SQL} AS why FROM g) SELECT op, count(*) FILTER (why = '')::BIGINT AS n_approved, count(*) FILTER (why <> '')::BIGINT AS n_blocked FROM b GROUP BY 1""")
+def ops_by_type(spark, sf_dir):
+    return nightly.ops_by_type(_gated(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT user_id AS course_id, event_type, arg_max(event_id % 4, (ts, event_id)) AS score FROM events GROUP BY ALL)
+SELECT course_id, count(*)::BIGINT AS concepts, count(*) FILTER (score < 2)::BIGINT AS weak, count(*) FILTER (score >= 2)::BIGINT AS solid FROM l GROUP BY 1""")
+def mastery_summary(spark, sf_dir):
+    return reports.mastery_summary(_mastery(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS key, o_orderstatus AS date_text FROM orders WHERE NOT (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)""")
+def review_open(spark, sf_dir):
+    """What is left to decide when every fifth item is resolved and every third was before."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("date_text"), (F.col("o_orderkey") % 3 == 0).alias("resolved"))
+    return ledger.open_review(ledger.resolve_review(o, o.filter("key % 5 = 0"))).select("key", "date_text")
+
+
+@query("""WITH l AS (SELECT user_id AS person, CAST(ts AS DATE) AS day, arg_max(event_type, (ts, event_type)) AS note FROM events GROUP BY ALL) SELECT person, CAST(day AS VARCHAR) AS day, note FROM l""")
+def checkin_log(spark, sf_dir):
+    """Events as check-ins, half of them logged later; the last of a day stays."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("person"), F.to_date("ts").alias("day"), F.col("ts").alias("at"), F.col("event_type").alias("note"), F.lit("").alias("place"), "event_id")
+    side = lambda k: e.filter(F.col("event_id") % 2 == k).drop("event_id")
+    return checkin.log_checkins(side(0), side(1)).select("person", F.col("day").cast("string").alias("day"), "note")
+
+
+@query("""WITH k AS (SELECT user_id AS person, 'say:' || CAST(ts AS DATE) || ':' || event_type || ':x' AS key, event_type AS "to", max((ts, event_id % 2)) AS x FROM events GROUP BY ALL)
+SELECT person, key, 'say' AS kind, "to", CASE WHEN x[2] = 0 THEN 'ok' ELSE 'failed' END AS status FROM k""")
+def checkin_sent_log(spark, sf_dir):
+    """Events as reports of sent messages; of several reports of a key the last stands."""
+    e = table(spark, sf_dir, "events")
+    key = F.concat_ws(":", F.lit("say"), F.to_date("ts").cast("string"), "event_type", F.lit("x"))
+    r = e.select(F.col("user_id").alias("person"), key.alias("key"), F.struct("ts", (F.col("event_id") % 2).alias("odd")).alias("at"))
+    last = r.groupBy("person", "key").agg(F.max("at").alias("a")).select("person", "key", F.when(F.col("a.odd") == 0, "ok").otherwise("failed").alias("status"), F.col("a.ts").alias("at"))
+    sent = last.filter("person % 2 = 0").select("person", "key", F.lit("say").alias("kind"), F.lit("nobody").alias("to"), F.lit("old").alias("status"), F.to_date("at").alias("day"))
+    return checkin.log_sent(sent, last).select("person", "key", "kind", "to", "status")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import dates as D
 from ..functions import text as T
@@ -86,3 +91,42 @@ def items(feeds: DataFrame) -> DataFrame:
         "url", F.when(exact, start).alias("start"), F.when(exact, end).alias("end"), F.when(exact, all_day).alias("all_day"), "detail",
         F.when(recurs, "recurring event").alias("review_reason"),
     )
+
+
+TIMEOUT_S = 30
+
+
+@dataclass
+class Feed(InputPartition):
+    course: str
+    url: str
+
+
+class FeedReader(DataSourceReader):
+    """One partition a feed; a feed that can't be had gives a row with an error. Option feeds: JSON of course ids and urls."""
+
+    def __init__(self, options):
+        self.feeds = json.loads(options["feeds"])
+
+    def partitions(self):
+        return [Feed(c, u) for c, u in sorted(self.feeds.items())]
+
+    def read(self, partition: Feed):
+        try:
+            request = urllib.request.Request(partition.url, headers={"User-Agent": "coursewatch"})
+            with urllib.request.urlopen(request, timeout=TIMEOUT_S) as answer:
+                yield partition.course, partition.url, answer.read().decode("utf-8", "replace"), None
+        except Exception as e:  # noqa: BLE001 - the reading has failed, the others go on
+            yield partition.course, partition.url, None, str(e)
+
+
+class FeedSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "course_feed"
+
+    def schema(self):
+        return "course_id string, source_url string, text string, error string"
+
+    def reader(self, schema):
+        return FeedReader(self.options)

@@ -121,6 +121,33 @@ def test_nights(spark):
     assert any(r.line.startswith("MOVED — Course X: Lab — 2026-10-20 -> 2026-10-22") for r in lines)
 
 
+def test_a_crash_between_writing_and_committing(spark, tmp_path):
+    """Reported operations of a run that wasn't committed reach the ledger before the next plan, so nothing is created twice."""
+    from coursewatch.plans.state import Store
+
+    store, day = Store(spark, str(tmp_path)), F.lit(dt.date(2026, 9, 6))
+    names = spark.createDataFrame([("x", "X")], "course_id string, name string")
+    frames = lambda *items: (
+        spark.createDataFrame([reading("x", 5)], "course_id string, ord int, source_url string, read_at string, status string, error string, timezone string, partial boolean"),
+        spark.createDataFrame(list(items), "course_id string, ord int, pos int, title string, date_text string, start string, url string, review_reason string").withColumns({"kind": F.lit("exam"), "posted_at": F.lit(None).cast("string"), "detail": F.lit(""), "end": F.lit(None).cast("string"), "all_day": F.lit(None).cast("boolean"), "read_at": F.lit(""), "timezone": F.lit(""), "source_url": F.lit("")}),
+    )
+    some = (item("x", 0, "Quiz", "Oct 14"), item("x", 1, "Lab", "Oct 20"), item("x", 2, "Talk", "TBD"))
+    first = nightly.plan_run(spark, store, *frames(*some), names, "n", day)
+    one = [("x::quiz", "create", "e1", "ok", 1)]
+    nightly.record(spark, store, first, spark.createDataFrame(one, nightly.RESULTS))
+    nightly.record(spark, store, first, spark.createDataFrame(one, nightly.RESULTS))  # reported twice
+    second = nightly.plan_run(spark, store, *frames(*some), names, "n", day)
+    assert (first, second) == ("n", "n-2") and store.is_committed(first) and not store.is_committed(second)
+    assert [(r.key, r.event_id, r.summary) for r in store.read("ledger", nightly.LEDGER).collect()] == [("x::quiz", "e1", "Exam: Quiz (X)")]
+    assert {(o.key, o.op) for o in store.archived(second, "ops").collect()} == {("x::lab", "create")}  # not believed yet, proposed again
+    assert [r.title for r in ledger.open_review(store.read("review", nightly.REVIEW)).collect()] == ["Talk"]
+    assert nightly.commit_run(spark, store, second, spark.createDataFrame([("x::lab", "create", "e2", "ok", 1)], nightly.RESULTS))
+    assert not nightly.commit_run(spark, store, second)
+    assert {r.key for r in store.read("belief", resolve.BELIEF).collect()} == {"x::quiz", "x::lab"}
+    assert {(c.run_id, c.key) for c in nightly.committed_changes(spark, store).collect()} == {("n", "x::quiz"), ("n", "x::lab"), ("n-2", "x::lab")}
+    assert store.latest_run() == "n-2"
+
+
 def test_forced_review_and_disagreement(spark):
     run = night(spark, [reading("x", 5), reading("x", 5, ord_=2)], [item("x", 0, "Quiz", "Oct 14"), item("x", 0, "Quiz", "Oct 15", ord_=2), item("x", 1, "Lab", "Oct 20", review="look here"), item("x", 2, "Bad", "", "soonish")])
     why = {r.title: r.review_reason for r in run.review.collect()}
