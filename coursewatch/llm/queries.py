@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm_score, mixing, quality, simhash, token_count, toxicity, warc
+from . import chat, decontaminate, langid, lm_score, mixing, quality, simhash, spelling, token_count, toxicity, warc
 from .common import Scratch, table
 from .sql import ORACLE  # noqa: F401 - registered beside queries()
 
@@ -69,5 +69,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc("doc_id", 4) == 2).alias("held_out"), "langid.lang_pred", "langid.score", "langid.margin", "langid.rejected")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage=199), scratch)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_quality, op8_decontamination, op9_chat, op10_langid)}
+    found = (op1_toxicity, op2_lm_score, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_quality, op8_decontamination, op9_chat, op10_langid, op13_spelling)
+    return {f.__name__: f for f in found}

@@ -51,5 +51,23 @@ m AS (SELECT conv_id, turn, role, parent_turn, coalesce(depth, 0) AS depth, '<|'
   CASE WHEN conv_id IS NULL OR turn IS NULL THEN rid ELSE 0 END AS own FROM b JOIN y USING (rid) LEFT JOIN t USING (rid) LEFT JOIN d USING (rid))
 SELECT conv_id, 0::BIGINT AS part, min(turn) AS first_turn, count(*)::BIGINT AS n_messages, count(parent_turn)::BIGINT AS n_replies, max(depth)::BIGINT AS depth,
   string_agg(chat, '' ORDER BY turn, role, chat) AS text FROM m GROUP BY conv_id, own
+""",
+    "op13_spelling": """
+WITH k AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+c AS (SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM r WHERE length(w) > 5 GROUP BY ALL),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INT) + 1]))) AS h FROM c, k),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+s AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY word HAVING length(word) > 5 AND sum(n) > 4),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM s, unnest(range(1, length(word) + 1)) AS u(i)),
+e AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b USING (i, x) WHERE a.word <> b.word
+  UNION SELECT v.word, s.word, s.n FROM v JOIN s ON s.word = v.x UNION SELECT s.word, v.word, v.n FROM v JOIN s ON s.word = v.x),
+f AS (SELECT word, count(*) AS n_near, max(n) AS m FROM e GROUP BY word),
+g AS (SELECT e.word, min(e.near) AS near FROM e JOIN f ON f.word = e.word AND f.m = e.n GROUP BY e.word),
+o AS (SELECT s.word, CASE WHEN m >= 5 * s.n THEN near END AS form, s.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * s.n THEN m END AS form_n FROM s LEFT JOIN f USING (word) LEFT JOIN g USING (word)),
+p AS (WITH RECURSIVE q AS (SELECT word, word AS root FROM o UNION ALL SELECT q.word, o.form FROM q JOIN o ON o.word = q.root WHERE o.form IS NOT NULL)
+  SELECT q.word, root FROM q JOIN o ON o.word = q.root WHERE o.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM o JOIN p USING (word)
 """,
 }
