@@ -28,10 +28,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         before = stats
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, least_path = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "least")
-        large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = _with_least(both.filter("v > u"), least, scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         large, large_path = scratch.write(large, "large")
         least, own_path = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        linked = _with_least(large, least).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = _with_least(large, least, scratch).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after, after_path = scratch.write(linked.union(least.select("u", F.col("m").alias("v"))).distinct(), "star")
         for p in (least_path, large_path, own_path, path):
             scratch.drop(p)
@@ -41,6 +41,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, scratch: Scratch) -> DataFrame:
     most = least.agg(F.max("n")).first()[0] or 0
-    return join_hot(edges, least, "u") if most > HOT_ROWS else edges.join(least.drop("n"), "u")
+    return join_hot(edges, least, "u", scratch) if most > HOT_ROWS else edges.join(least.drop("n"), "u")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm_score, mixing, quality, simhash, spelling, token_count, toxicity, warc
+from . import alignment, chat, decontaminate, langid, lm_score, minhash, mixing, quality, simhash, spelling, token_count, toxicity, warc
 from .common import Scratch, table
 from .sql import ORACLE  # noqa: F401 - registered beside queries()
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def crc(key: str, of: int):
@@ -69,11 +70,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc("doc_id", 4) == 2).alias("held_out"), "langid.lang_pred", "langid.score", "langid.margin", "langid.rejected")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    words = alignment.prepare(*(str(public_tokenizers.path(name)) for name in (TOKENIZER, PIECES)))
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), words, Scratch(spark))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage=199), scratch)
 
 
 def queries() -> dict:
-    found = (op1_toxicity, op2_lm_score, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_quality, op8_decontamination, op9_chat, op10_langid, op13_spelling)
+    found = (op1_toxicity, op2_lm_score, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_quality, op8_decontamination, op9_chat, op10_langid, op11_alignment, op12_minhash, op13_spelling)
     return {f.__name__: f for f in found}

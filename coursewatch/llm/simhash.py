@@ -176,4 +176,4 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     edges = sorted_.mapInArrow(_links, "a long, b long")
     found = components(edges, scratch)
     classes, _ = scratch.write(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n"), "classes")
-    return join_hot(printed, classes, "fp").select(F.col("key").alias(key), "text_hash", "fp", "component")
+    return join_hot(printed, classes, "fp", scratch).select(F.col("key").alias(key), "text_hash", "fp", "component")

@@ -51,6 +51,16 @@ m AS (SELECT conv_id, turn, role, parent_turn, coalesce(depth, 0) AS depth, '<|'
   CASE WHEN conv_id IS NULL OR turn IS NULL THEN rid ELSE 0 END AS own FROM b JOIN y USING (rid) LEFT JOIN t USING (rid) LEFT JOIN d USING (rid))
 SELECT conv_id, 0::BIGINT AS part, min(turn) AS first_turn, count(*)::BIGINT AS n_messages, count(parent_turn)::BIGINT AS n_replies, max(depth)::BIGINT AS depth,
   string_agg(chat, '' ORDER BY turn, role, chat) AS text FROM m GROUP BY conv_id, own
+""",
+    "op12_minhash": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 2, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS a, b.rid AS b, a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.rid < b.rid GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (WITH RECURSIVE q AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT q.u, e.v FROM q JOIN e ON e.u = q.v) SELECT u AS doc_id, min(v) AS component_id FROM q GROUP BY u)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (rid) JOIN r USING (doc_id)
 """,
     "op13_spelling": """
 WITH k AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
