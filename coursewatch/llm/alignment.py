@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ SENT_PAIRS = 4_000_000
 HELD = 400_000
 """Distinct segments that a task counts before it passes them on."""
 SPACES = " \t\n\r\x0b\x0c"
-NEVER_AFTER = "᠎​⁠﻿"
+NEVER_AFTER = "\u180e\u200b\u2060\ufeff"
 """Beside white space, characters that some tables class as such: no cut after them."""
-PIECE_SPACE = "▁"
+PIECE_SPACE = "\u2581"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -211,8 +212,8 @@ SEGMENT = "segment string, n long, n_a long, n_b long, n_groups long, groups str
 def _told(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments with the sums over links whose pairs were sent, and the other links."""
     for b in batches:
-        links = b.column("links").combine_chunks() if isinstance(b.column("links"), pa.ChunkedArray) else b.column("links")
-        flat, ends = links.flatten().to_numpy(), np.cumsum([len(x) for x in links])
+        links = b.column("links")
+        flat, ends = links.flatten().to_numpy(), np.cumsum(links.value_lengths().to_numpy())
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         at = np.minimum(np.searchsorted(pairs, flat), max(0, len(pairs) - 1))
         here = pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
@@ -235,9 +236,8 @@ def most(df: DataFrame, count: str, limit: int) -> int:
     return (1 << 62) if least is None else least
 
 
-def segments_of(docs: DataFrame, words, scratch: Scratch, text: str = "text") -> tuple[DataFrame, str]:
-    """Each distinct segment with its number of occurrences and its alignment."""
-    shared = words
+def segments_of(docs: DataFrame, shared: Broadcast, scratch: Scratch, text: str = "text") -> tuple[DataFrame, str]:
+    """Each distinct segment with its number of occurrences and its alignment. ``shared``: the sent Vocabularies."""
     counted = docs.select(text).mapInArrow(lambda batches: _counted(batches, shared.value), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     aligned, path = scratch.write(counted.mapInArrow(lambda batches: _aligned(batches, shared.value), SEGMENT), "segments")
     return aligned, path
