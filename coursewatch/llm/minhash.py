@@ -41,6 +41,7 @@ BLOCK = 1024
 VERIFY_DOCUMENTS, VERIFY_SHINGLES = 512, 1 << 20
 """Documents and shingles (about) of a block whose full sets are compared in one task. A longer document has a block of its own."""
 CHUNK = 1 << 16
+SLOTS = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(12).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -282,7 +283,11 @@ def true_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFr
     )
     dealt = classed.join(around, ["cluster", "class"]).withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
     dealt = dealt.select("cluster", F.inline(pairs), place(cls, own).alias("own"), "node", "set_id", "key", "text_hash", "n_shingles", "sig")
-    one = texts.join(members.select("key", "text_hash"), ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"])
+    # most texts are in no group: those that can't be are left out where they are read, by a table of at most SLOTS numbers
+    slot = F.pmod("text_hash", F.lit(SLOTS)).alias("slot")
+    slots, _ = scratch.write(members.select(slot).distinct(), "slots")
+    some = texts.join(F.broadcast(slots), F.pmod("text_hash", F.lit(SLOTS)) == F.col("slot"), "left_semi") if slots.count() < SLOTS // 2 else texts
+    one = some.join(members.select("key", "text_hash"), ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"])
     one, _ = scratch.write(one, "texts")
     told = small.select(columns).unionByName(dealt.select(columns)).join(one, ["key", "text_hash"]).drop("key", "text_hash", "set_id")
     return told.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_true, "a long, b long")
