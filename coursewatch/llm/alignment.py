@@ -21,16 +21,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-FREQUENT = 400_000
+FREQUENT = 300_000
 """Segments whose alignments go to all tasks, those of up to LONGEST characters that occur most."""
 LONGEST = 64
-SENT_PAIRS = 4_000_000
+SENT_PAIRS = 2_000_000
 """Id pairs whose counts go to all tasks, those linked most; rarer ones are joined."""
 HELD = 400_000
 """Distinct segments that a task counts before it passes them on."""
@@ -101,7 +102,8 @@ class Vocabularies:
         """(ids of A, ids of B, number of groups, the groups as text, links) of each segment."""
         a, b, bytes_a, bytes_b = (self._ready or self._start())[:4]
         out = []
-        for segment, x, y in zip(segments, a.encode_batch(segments, add_special_tokens=False), b.encode(segments, num_threads=1), strict=True):
+        encode = getattr(a, "encode_batch_fast", a.encode_batch)  # without offsets, where the library has it
+        for segment, x, y in zip(segments, encode(segments, add_special_tokens=False), b.encode(segments, num_threads=1), strict=True):
             ids = x.ids
             if not (b"".join([bytes_a[i] for i in ids]) == segment.encode() == b"".join([bytes_b[i] for i in y])):
                 raise ValueError(f"the tokens of {segment!r} don't spell it")
@@ -236,11 +238,17 @@ def most(df: DataFrame, count: str, limit: int) -> int:
     return (1 << 62) if least is None else least
 
 
+def _written(df: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
+    """A scratch table, compressed more than usual, as these hold many short texts."""
+    path = scratch.path(name)
+    df.write.option("compression", "zstd").parquet(path)
+    return scratch.spark.read.schema(df.schema).parquet(path), path
+
+
 def segments_of(docs: DataFrame, shared: Broadcast, scratch: Scratch, text: str = "text") -> tuple[DataFrame, str]:
     """Each distinct segment with its number of occurrences and its alignment. ``shared``: the sent Vocabularies."""
     counted = docs.select(text).mapInArrow(lambda batches: _counted(batches, shared.value), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned, path = scratch.write(counted.mapInArrow(lambda batches: _aligned(batches, shared.value), SEGMENT), "segments")
-    return aligned, path
+    return _written(counted.mapInArrow(lambda batches: _aligned(batches, shared.value), SEGMENT), scratch, "segments")
 
 
 def pair_counts(segments: DataFrame, scratch: Scratch) -> DataFrame:
@@ -252,16 +260,22 @@ def pair_counts(segments: DataFrame, scratch: Scratch) -> DataFrame:
     return told
 
 
-def weighed(segments: DataFrame, scratch: Scratch) -> DataFrame:
+def weighed(segments: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """Segments with n_best and count_sum: links whose pair is its B id's most frequent one, and the sum of all links' counts."""
     pairs = pair_counts(segments, scratch)
-    sent = pairs.filter(F.col("count") >= most(pairs, "count", SENT_PAIRS)).toPandas().sort_values("pair")
-    shared = segments.sparkSession.sparkContext.broadcast([sent[c].to_numpy(np.int64) for c in ("pair", "count", "best")])
+    sent = pairs.filter(F.col("count") >= most(pairs, "count", SENT_PAIRS)).orderBy("pair").toArrow()
+    shared = segments.sparkSession.sparkContext.broadcast([sent.column(c).to_numpy() for c in ("pair", "count", "best")])
     columns = "id long, segment string, n long, n_a long, n_b long, n_groups long, groups string, n_best long, count_sum long, rest array<long>"
-    told, _ = scratch.write(segments.withColumn("id", F.monotonically_increasing_id()).mapInArrow(lambda batches: _told(batches, *shared.value), columns), "weighed")
-    rest = told.filter(F.size("rest") > 0).select("id", F.explode("rest").alias("pair")).join(pairs, "pair").groupBy("id").agg(F.sum("best").alias("_best"), F.sum("count").alias("_sum"))
-    all_ = told.drop("rest").join(rest, "id", "left") if not told.filter(F.size("rest") > 0).isEmpty() else told.drop("rest").withColumns({"_best": F.lit(0), "_sum": F.lit(0)})
-    return all_.select("segment", "n", "n_a", "n_b", "n_groups", "groups", (F.col("n_best") + F.coalesce("_best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("_sum", F.lit(0))).alias("count_sum"))
+    told, path = _written(segments.withColumn("id", F.monotonically_increasing_id()).mapInArrow(lambda batches: _told(batches, *shared.value), columns), scratch, "weighed")
+    open_ = told.filter(F.size("rest") > 0)
+    if open_.isEmpty():
+        return told.drop("id", "rest"), path
+    rest = open_.select("id", F.explode("rest").alias("pair")).join(pairs, "pair").groupBy("id").agg(F.sum("best").alias("_best"), F.sum("count").alias("_sum"))
+    all_ = told.drop("rest").join(rest, "id", "left")
+    sums = [(F.col("n_best") + F.coalesce("_best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("_sum", F.lit(0))).alias("count_sum")]
+    whole, at = _written(all_.select("segment", "n", "n_a", "n_b", "n_groups", "groups", *sums), scratch, "summed")
+    scratch.drop(path)
+    return whole, at
 
 
 SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
@@ -290,9 +304,11 @@ def frequent(told: DataFrame) -> tuple[Frequent, int]:
     """The segments that go to all tasks, and the least count of those."""
     short = told.filter((F.length("segment") <= LONGEST) & ~F.contains("segment", F.lit("\0")))
     least = most(short, "n", FREQUENT)
-    rows = short.filter(F.col("n") >= least).select("segment", *SUMS, "groups").toPandas()
-    texts = [g.encode() for g in rows["groups"]]
-    return Frequent("\0".join(rows["segment"]), rows[list(SUMS)].to_numpy(np.int64), b"".join(texts), np.cumsum([0, *map(len, texts)])), least
+    rows = short.filter(F.col("n") >= least).select("segment", *SUMS, "groups").toArrow()
+    texts = rows.column("groups").combine_chunks().cast(pa.large_binary())
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    sums = np.stack([rows.column(c).to_numpy() for c in SUMS], 1)
+    return Frequent("\0".join(rows.column("segment").to_pylist()), sums, b"".join(texts.to_pylist()), ends.astype(np.int64)), least
 
 
 def _missed(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Frequent) -> Iterator[pa.RecordBatch]:
@@ -326,7 +342,8 @@ def _composed(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Fre
                     k = rows.get(s)
                     if k is None:
                         r = own[s]
-                        sums[i] += [r[c] for c in SUMS]
+                        sides = [g.split("|") for g in r["groups"].split(";")]
+                        sums[i] += [*(sum(g[x].count(",") + 1 for g in sides) for x in (0, 1)), len(sides), r["n_best"], r["count_sum"]]
                         parts.append(r["groups"].encode())
                     else:
                         hits.append(k)
@@ -349,15 +366,17 @@ def aligned_documents(docs: DataFrame, words: Vocabularies, scratch: Scratch, te
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(words)
     segments, path = segments_of(docs, shared, scratch, text)
-    told, _ = scratch.write(weighed(segments, scratch), "told")
+    told, told_path = weighed(segments, scratch)
     scratch.drop(path)
-    table, _ = frequent(told)
+    table, least = frequent(told)
     known = context.broadcast(table)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("k"))
     missed = texts.select("k", "text").mapInArrow(lambda batches: _missed(batches, shared.value, known.value), "k long, segment string")
     # a segment that wasn't sent is rare or long; rows of equal k from different texts only add to each other's list
-    rest = missed.join(told.drop("n"), "segment").groupBy("k").agg(F.collect_set(F.struct("segment", *SUMS, "groups")).alias("rest"))
-    rest, _ = scratch.write(rest, "rest")
+    others = told.filter((F.col("n") < least) | (F.length("segment") > LONGEST) | F.contains("segment", F.lit("\0"))).select("segment", "groups", "n_best", "count_sum")
+    rest = missed.join(others, "segment").groupBy("k").agg(F.collect_set(F.struct("segment", "groups", "n_best", "count_sum")).alias("rest"))
+    rest, _ = _written(rest, scratch, "rest")
+    scratch.drop(told_path)
     both = texts.join(rest, "k", "left").select("key", "text", "rest")
     kind = docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     out = both.mapInArrow(lambda batches: _composed(batches, shared.value, known.value), f"key {kind}, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
