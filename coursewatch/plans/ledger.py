@@ -76,22 +76,17 @@ def last_results(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id", "key", "op").agg(best).select("run_id", "key", "op", "r.*")
 
 
-def apply_to_ledger(ledger: DataFrame, ops: DataFrame, results: DataFrame) -> DataFrame:
-    """(key, event_id) after the reported results: ok upserts, ok deletions, and what an ok operation replaces goes."""
-    done = ops.select("key", "op", "replaces_key").join(results.filter("status = 'ok'").select("key", "op", F.col("event_id").alias("new_id")), ["key", "op"])
-    gone = done.filter("op = 'delete'").select("key").union(done.filter("replaces_key is not null").select(F.col("replaces_key").alias("key"))).distinct()
-    kept = ledger.select("key", "event_id").join(gone, "key", "left_anti")
-    return kept.join(done.filter("op <> 'delete'").select("key", "new_id"), "key", "full_outer").select("key", F.coalesce("new_id", "event_id").alias("event_id"))
+def ledger_delta(ops: DataFrame, results: DataFrame, written_at: Column) -> DataFrame:
+    """What reported results change in the ledger: (key, put, event_id, summary, start, end, written_at).
 
-
-def write_ledger(ledger: DataFrame, ops: DataFrame, results: DataFrame, written_at: Column) -> DataFrame:
-    """apply_to_ledger() for a ledger that also says what was written and when: key, event_id, summary, start, end, written_at."""
-    kept = apply_to_ledger(ledger, ops, results)
-    ok = results.filter("status = 'ok' and op <> 'delete'").select("key", "op")
-    fresh = ops.join(ok, ["key", "op"]).select("key", F.struct("summary", "start", "end", written_at.alias("written_at")).alias("_new"))
-    old = ledger.select("key", F.struct("summary", "start", "end", "written_at").alias("_old"))
-    both = kept.join(fresh, "key", "left").join(old, "key", "left").withColumn("_it", F.coalesce("_new", "_old"))
-    return both.select("key", "event_id", "_it.summary", "_it.start", "_it.end", "_it.written_at")
+    Operations that are ok put their event, with what was written and when;
+    deletions that are ok, and what an ok operation replaces, drop their key.
+    """
+    done = ops.join(results.filter("status = 'ok'").select("key", "op", F.col("event_id").alias("_id")), ["key", "op"])
+    puts = done.filter("op <> 'delete'").select("key", F.lit(True).alias("put"), F.col("_id").alias("event_id"), "summary", "start", "end", written_at.alias("written_at"))
+    gone = done.filter("op = 'delete'").select("key").union(done.filter("replaces_key is not null").select(F.col("replaces_key").alias("key"))).distinct().join(puts.select("key"), "key", "left_anti")
+    none = F.lit(None).cast("string")
+    return puts.unionByName(gone.select("key", F.lit(False).alias("put"), *[none.alias(c) for c in ("event_id", "summary", "start", "end", "written_at")]))
 
 
 def held_keys(ops: DataFrame, results: DataFrame) -> DataFrame:
@@ -101,9 +96,21 @@ def held_keys(ops: DataFrame, results: DataFrame) -> DataFrame:
     return bad.select("key").union(bad.filter("replaces_key is not null").select(F.col("replaces_key").alias("key"))).distinct()
 
 
-def commit_belief(old: DataFrame, new: DataFrame, held: DataFrame) -> DataFrame:
-    """The next belief: new, but held keys keep their old row, or stay out if they had none."""
-    return new.join(held, "key", "left_anti").unionByName(old.join(held, "key", "left_semi").select(*new.columns))
+def belief_delta(told: DataFrame) -> DataFrame:
+    """What a night changes in the belief: course_id, key, put, and the item's fields.
+
+    told: (course_id, key, type, before, after, is_partial) for every item.
+    Items that are new, moved or reworded, and what a full reading shows anew of
+    others, are put; what was removed or replaced is dropped. All else stays.
+    """
+    seen = (F.col("type") == "same") & ~F.coalesce("is_partial", F.lit(False)) & ~F.col("before").eqNullSafe(F.col("after"))
+    put = F.col("type").isin("added", "moved", "reworded") | seen
+    return told.filter(put | F.col("type").isin("removed", "replaced")).select("course_id", "key", put.alias("put"), "after.*")
+
+
+def unheld(delta: DataFrame, held: DataFrame) -> DataFrame:
+    """A belief's delta without held keys, which keep their old row, or stay out if they had none."""
+    return delta.join(held, "key", "left_anti")
 
 
 def merge_review(bucket: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
@@ -142,8 +149,11 @@ def open_review(bucket: DataFrame) -> DataFrame:
 
 
 def resolve_review(bucket: DataFrame, keys: DataFrame) -> DataFrame:
-    done = keys.select("key").withColumn("_done", F.lit(True))
-    return bucket.join(done, "key", "left").withColumn("resolved", F.col("resolved") | F.coalesce("_done", F.lit(False))).drop("_done")
+    """The bucket after a person's decisions (key, note, at): resolved, with what was said and when; unknown keys say nothing."""
+    done = keys.groupBy("key").agg(F.max(F.struct("at", "note")).alias("_done"))
+    both = bucket.join(done, "key", "left")
+    now = F.col("_done").isNotNull()
+    return both.withColumns({"resolved": F.coalesce("resolved", F.lit(False)) | now, "resolution": F.when(now, F.col("_done.note")).otherwise(F.col("resolution")), "resolved_at": F.when(now, F.col("_done.at")).otherwise(F.col("resolved_at"))}).drop("_done")
 
 
 def insert_if_absent(known: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
@@ -152,9 +162,6 @@ def insert_if_absent(known: DataFrame, rows: DataFrame, order: list[str]) -> Dat
     return rows.join(known.select("kind", "key").distinct(), ["kind", "key"], "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-ID_BLOCK = 10_000
-
-
 KIND = r"^[a-z][a-z0-9_-]{0,31}$"
 
 
@@ -182,6 +189,9 @@ def upsert_courses(courses: DataFrame, given: DataFrame, fields: tuple[str, ...]
     return c.join(g, "id", "full_outer").select("id", *[F.coalesce(f"g.{f}", f"c.{f}").alias(f) for f in fields])
 
 
+ID_BLOCK = 10_000
+
+
 def create_events(ops: DataFrame, calendar: DataFrame, next_id: int) -> DataFrame:
     """A calendar's answer to approved operations: (key, op, event_id, status).
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import date_text, dates as D, text as T
 from .operators import diff, resolve
 from .plans import checkin, ledger, nightly, reports, slots
-from .plans.state import Store
+from .plans.state import KEYS, Store, merged
 from .scratch import Scratch
 from .sources import html_items, ical, mail, rest_json
 
@@ -461,8 +461,8 @@ CASE WHEN type = 'removed' THEN a.event_id ELSE coalesce(a.event_id, b.event_id)
 FROM x LEFT JOIN led a ON a.key = x.key LEFT JOIN led b ON b.key = x.before_key WHERE type <> 'removed' OR a.event_id IS NOT NULL)"""
 
 
-def changed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Tonight's changes with rewordings told apart, and a ledger that has the even orders. One outer join, written once, labels all."""
+def told(spark, sf_dir) -> DataFrame:
+    """Tonight's items labelled, rewordings told apart: before, after, and the key that a new wording had. One outer join, written once, labels all."""
     scratch = Scratch(spark)
     on = ["course_id", "key"]
     rows, _ = scratch.write(diff.changes(*nights(spark, sf_dir)), "labelled")
@@ -470,9 +470,13 @@ def changed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     paired, _ = scratch.write(diff.assign(diff.reword_pairs(side("before", "missing"), side("after", "added")), scratch), "reworded")
     gone = paired.select("course_id", F.col("removed").alias("key"), F.lit(True).alias("_gone"))
     new = paired.select("course_id", F.col("added").alias("key"), F.col("removed").alias("_old"))
-    told = rows.join(gone, on, "left").join(new, on, "left").filter("_gone is null")
-    kind = F.when(F.col("_old").isNotNull(), "reworded").when(F.col("type") == "missing", "removed").otherwise(F.col("type"))
-    changes = told.select(*on, F.coalesce("_old", "key").alias("before_key"), kind.alias("type"), F.coalesce("after.start", "before.start").alias("start"))
+    kind = F.when(F.col("_gone"), "replaced").when(F.col("_old").isNotNull(), "reworded").when(F.col("type") == "missing", "removed").otherwise(F.col("type"))
+    return rows.join(gone, on, "left").join(new, on, "left").select(*on, F.coalesce("_old", "key").alias("before_key"), kind.alias("type"), "before", "after", F.lit(False).alias("is_partial"))
+
+
+def changed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Tonight's changes, and a ledger that has the even orders."""
+    changes = told(spark, sf_dir).filter("type <> 'replaced'").select("course_id", "key", "before_key", "type", F.coalesce("after.start", "before.start").alias("start"))
     o = observed(spark, sf_dir).filter("k % 2 = 0")
     ledger_ = o.select(F.concat_ws("::", "course_id", _title()).alias("key"), F.concat(F.lit("evt-"), F.col("k").cast("string")).alias("event_id"))
     return changes, ledger_
@@ -531,7 +535,9 @@ gone AS (SELECT key FROM done WHERE op = 'delete' UNION SELECT replaces_key FROM
 SELECT coalesce(d.key, k.key) AS key, coalesce(d.event_id, k.event_id) AS event_id FROM kept k FULL JOIN (SELECT * FROM done WHERE op <> 'delete') d ON d.key = k.key""")
 def commit_ledger(spark, sf_dir):
     ops, old = planned(spark, sf_dir)
-    return ledger.apply_to_ledger(old, ops, _results(ops))
+    none = F.lit(None).cast("string")
+    delta = ledger.ledger_delta(ops.withColumns({"summary": none, "end": none}), _results(ops), none)
+    return merged(old.withColumns({c: none for c in ("summary", "start", "end", "written_at")}), delta, ["key"]).select("key", "event_id")
 
 
 @query(f"""WITH {CHANGED}, {RESULTS}, bad AS (SELECT ops.* FROM ops JOIN res ON res.key = ops.key AND res.op = ops.op WHERE status <> 'ok'), held AS (SELECT key FROM bad UNION SELECT replaces_key FROM bad WHERE replaces_key IS NOT NULL)
@@ -539,9 +545,11 @@ SELECT key, title, CAST(start AS VARCHAR) AS start FROM cur WHERE key NOT IN (SE
 def commit_belief(spark, sf_dir):
     """Operations whose key has a length divisible by 9 failed; their items, and those they replace, stay as they were."""
     ops = planned(spark, sf_dir)[0].withColumn("block_reason", F.lit(""))
-    prev, cur = nights(spark, sf_dir)
-    held, _ = Scratch(spark).write(ledger.held_keys(ops, _results(ops)), "held")
-    return ledger.commit_belief(prev, cur, held).select("key", "title", "start")
+    prev, _ = nights(spark, sf_dir)
+    scratch = Scratch(spark)
+    held, _ = scratch.write(ledger.held_keys(ops, _results(ops)), "held")
+    delta, _ = scratch.write(ledger.unheld(ledger.belief_delta(told(spark, sf_dir)), held), "delta")
+    return merged(prev, delta, KEYS["belief"]).select("key", "title", "start")
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, event_id FROM e WHERE n = 1""")
@@ -602,18 +610,20 @@ def calendar_apply(spark, sf_dir):
 # --- whole nights ------------------------------------------------------------------
 
 
-def night_readings(spark, sf_dir, tonight: bool) -> tuple[DataFrame, DataFrame]:
+def night_readings(spark, sf_dir, tonight: int) -> tuple[DataFrame, DataFrame]:
     """Readings of 40 courses and their items: the orders, with exact days, as both nights() show them.
 
-    Tonight c7's read fails, c8 isn't read, c9's page is empty of items; c10 is
-    only told of by mail, of its moved and new orders.
+    Tonight (1, and again a day later, 2) c7's read fails, c8 isn't read, c9's
+    page is empty of items; c10 is only told of by mail, of its moved and new
+    orders.
     """
     prev, cur = nights(spark, sf_dir)
-    at = F.lit("2024-05-02T23:00:00-04:00" if tonight else "2024-05-01T23:00:00-04:00")
+    at = F.lit(f"2024-05-0{tonight + 1}T23:00:00-04:00")
     course = prev.select("course_id").distinct()
-    mail = F.lit(tonight) & (F.col("course_id") == "c10")
-    readings = course.filter(F.lit(not tonight) | (F.col("course_id") != "c8")).select(
-        "course_id", F.lit(1).alias("ord"), F.lit("u").alias("source_url"), at.alias("read_at"), F.when(F.lit(tonight) & (F.col("course_id") == "c7"), "error").otherwise("ok").alias("status"),
+    later = F.lit(tonight > 0)
+    mail = later & (F.col("course_id") == "c10")
+    readings = course.filter(~later | (F.col("course_id") != "c8")).select(
+        "course_id", F.lit(1).alias("ord"), F.lit("u").alias("source_url"), at.alias("read_at"), F.when(later & (F.col("course_id") == "c7"), "error").otherwise("ok").alias("status"),
         F.lit("down").alias("error"), F.lit(NY).alias("timezone"), mail.alias("partial"),
     )
     shown = (cur if tonight else prev).select("course_id", F.lit(1).alias("ord"), F.xxhash64("key").alias("pos"), "title", F.col("start").alias("date_text"), F.lit("assignment").alias("kind"), F.lit("").alias("url"), F.lit(None).cast("string").alias("posted_at"), F.lit("").alias("detail"), "start", F.lit(None).cast("string").alias("end"), F.lit(True).alias("all_day"), F.lit(None).cast("string").alias("review_reason"))
@@ -623,11 +633,24 @@ def night_readings(spark, sf_dir, tonight: bool) -> tuple[DataFrame, DataFrame]:
     return readings, shown.withColumns({"read_at": none, "timezone": none, "source_url": none})
 
 
-def _first_night(spark, sf_dir, scratch: Scratch):
-    readings, items = night_readings(spark, sf_dir, False)
-    empty = lambda schema: spark.createDataFrame([], schema)
-    run = nightly.plan(readings, items, readings.select("course_id", F.col("course_id").alias("name")), empty(resolve.BELIEF), empty(nightly.MISSING), empty(nightly.LEDGER), F.lit("1998-01-01").cast("date"), scratch)
-    return scratch.write(run.belief, "belief")[0], scratch.write(run.ops, "first-ops")[0]
+_FIRST: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _first_night(spark, sf_dir):
+    """Belief and operations of the first night, written once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _FIRST:
+        scratch = Scratch(spark)
+        readings, items = night_readings(spark, sf_dir, 0)
+        empty = lambda schema: spark.createDataFrame([], schema)
+        none = empty(resolve.BELIEF)
+        run = nightly.plan(readings, items, _names(readings), none, empty(nightly.MISSING), empty(nightly.LEDGER), today(), scratch)
+        _FIRST[at] = scratch.write(run.belief(none), "belief")[0], scratch.write(run.ops, "first-ops")[0]
+    return _FIRST[at]
+
+
+def _names(readings: DataFrame) -> DataFrame:
+    return readings.select("course_id", F.col("course_id").alias("name")).distinct()
 
 
 NIGHT = f"""{NIGHTS}, nx AS (SELECT course_id, key, k, type, before_start, after_start FROM ch WHERE type <> 'same' AND course_id NOT IN ('c7', 'c8', 'c9') AND NOT (course_id = 'c10' AND type = 'missing')
@@ -638,13 +661,32 @@ night AS (SELECT course_id, key, CASE type WHEN 'missing' THEN 'pending_removal'
 UNION ALL SELECT c, c || '::' || t || ' revised', 'reworded', chr(39) || t || chr(39) || ' -> ' || chr(39) || t || ' revised' || chr(39) || ' (similarity ' || printf('%.2f', greatest(2 / 3, 2 * length(t) / (2 * length(t) + 8))) || ')' FROM o WHERE k % 20 = 2 AND c NOT IN ('c7', 'c8', 'c9', 'c10'))"""
 
 
+def today() -> Column:
+    return F.lit("1998-01-01").cast("date")
+
+
+def _known(ops: DataFrame) -> DataFrame:
+    return ops.select("key", F.concat(F.lit("evt-"), F.col("key")).alias("event_id"), "summary", "start", "end", F.lit("t").alias("written_at"))
+
+
 def _second_night(spark, sf_dir):
+    belief, first_ops = _first_night(spark, sf_dir)
+    readings, items = night_readings(spark, sf_dir, 1)
+    none = spark.createDataFrame([], nightly.MISSING)
+    return nightly.plan(readings, items, _names(belief), belief, none, _known(first_ops), today(), Scratch(spark)), belief
+
+
+@query(f"""WITH {NIGHTS} SELECT course_id, key, 'removed' AS type, 'absent on 2 successful reads (2024-05-02 .. 2024-05-03); confirmed' AS note, 'delete' AS op, 'evt-' || key AS event_id, '' AS block_reason
+FROM ch WHERE type = 'missing' AND k % 20 = 0 AND course_id NOT IN ('c7', 'c8', 'c9', 'c10')""")
+def night_removals(spark, sf_dir):
+    """A third night that shows what the second one did: what was missing once is removed, nothing else changes."""
+    second, believed = _second_night(spark, sf_dir)
     scratch = Scratch(spark)
-    belief, first_ops = _first_night(spark, sf_dir, scratch)
-    known = first_ops.select("key", F.concat(F.lit("evt-"), F.col("key")).alias("event_id"), "summary", "start", "end", F.lit("t").alias("written_at"))
-    readings, items = night_readings(spark, sf_dir, True)
-    names = belief.select("course_id", F.col("course_id").alias("name")).distinct()
-    return nightly.plan(readings, items, names, belief, spark.createDataFrame([], nightly.MISSING), known, F.lit("1998-01-01").cast("date"), scratch), belief
+    belief, _ = scratch.write(second.belief(believed), "belief")
+    missing, _ = scratch.write(second.missing(spark.createDataFrame([], nightly.MISSING)), "missing")
+    readings, items = night_readings(spark, sf_dir, 2)
+    third = nightly.plan(readings, items, _names(belief), belief, missing, _known(_first_night(spark, sf_dir)[1]), today(), scratch)
+    return third.changes.select("course_id", "key", "type", "note").join(third.ops.select("key", "op", "event_id", "block_reason"), "key", "left")
 
 
 @query(f"WITH {NIGHT} SELECT course_id, key, type, note FROM night")
@@ -669,8 +711,8 @@ SELECT coalesce(c.course_id, p.course_id) AS course_id, coalesce(c.key, p.key) A
 FROM prev p FULL JOIN cur c ON p.course_id = c.course_id AND p.key = c.key WHERE coalesce(p.key, '') NOT IN (SELECT key FROM gone) AND (p.key IS NOT NULL OR c.course_id NOT IN ('c7', 'c8', 'c9'))""")
 def night_belief(spark, sf_dir):
     """The belief that the second night proposes: missing items stay until they are confirmed, unread courses stay as they were."""
-    run, _ = _second_night(spark, sf_dir)
-    return run.belief.select("course_id", "key", "start")
+    run, believed = _second_night(spark, sf_dir)
+    return run.belief(believed).select("course_id", "key", "start")
 
 
 @query("""SELECT * FROM (VALUES ('c7', 'unreadable'), ('c8', 'not_read'), ('c9', 'unreadable')) AS t(course_id, state)""")
@@ -680,13 +722,13 @@ def night_courses(spark, sf_dir):
 
 
 WINDOW = "BETWEEN DATE '1998-01-01' - 120 AND DATE '1998-01-01' + 400"
-
-
-@query(f"""WITH {NIGHTS}, p1 AS (SELECT * FROM prev WHERE start {WINDOW}), b AS (SELECT coalesce(p.course_id, c.course_id) AS course_id, coalesce(p.key, c.key) AS key, coalesce(p.k, c.k) AS k, p.start AS was, c.start AS now
+REPLAY = f"""{NIGHTS}, p1 AS (SELECT * FROM prev WHERE start {WINDOW}), b AS (SELECT coalesce(p.course_id, c.course_id) AS course_id, coalesce(p.key, c.key) AS key, coalesce(p.k, c.k) AS k, p.start AS was, c.start AS now
   FROM p1 p FULL JOIN (SELECT * FROM cur WHERE course_id NOT IN ('c7', 'c8', 'c9')) c ON p.course_id = c.course_id AND p.key = c.key),
 t AS (SELECT b.*, course_id NOT IN ('c7', 'c8', 'c9', 'c10') AS whole, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'missing' WHEN was <> now THEN 'moved' ELSE 'same' END AS type FROM b),
-r AS (SELECT n.key, o.key AS old FROM t n JOIN t o ON n.k = o.k AND n.course_id = o.course_id WHERE n.whole AND n.type = 'added' AND o.type = 'missing'),
-ops AS (SELECT key, now FROM t WHERE type IN ('added', 'moved')), bad AS (SELECT key FROM ops WHERE NOT (now {WINDOW}) OR length(key) % 9 = 0),
+r AS (SELECT n.key, o.key AS old FROM t n JOIN t o ON n.k = o.k AND n.course_id = o.course_id WHERE n.whole AND n.type = 'added' AND o.type = 'missing')"""
+
+
+@query(f"""WITH {REPLAY}, ops AS (SELECT key, now FROM t WHERE type IN ('added', 'moved')), bad AS (SELECT key FROM ops WHERE NOT (now {WINDOW}) OR length(key) % 9 = 0),
 held AS (SELECT key FROM bad UNION SELECT old FROM r WHERE key IN (SELECT key FROM bad)),
 prop AS (SELECT key FROM t WHERE NOT (whole AND type = 'missing' AND key IN (SELECT old FROM r))), bel AS (SELECT key FROM prop EXCEPT SELECT key FROM held UNION SELECT key FROM p1 WHERE key IN (SELECT key FROM held)),
 led AS (SELECT key FROM p1 EXCEPT SELECT old FROM r WHERE key NOT IN (SELECT key FROM bad) UNION SELECT key FROM ops WHERE key NOT IN (SELECT key FROM bad))
@@ -699,19 +741,80 @@ def commit_replay(spark, sf_dir):
     Committing again changes nothing.
     """
     store = Store(spark, Scratch(spark).path("store"))
-    day = F.lit("1998-01-01").cast("date")
-    for tonight, stamp in ((False, "night-1"), (True, "night-2")):
+    for tonight in (0, 1):
         readings, items = night_readings(spark, sf_dir, tonight)
-        run = nightly.plan_run(spark, store, readings, items, nights(spark, sf_dir)[0].select("course_id", F.col("course_id").alias("name")).distinct(), stamp, day)
-        ops = store.archived(run, "ops").filter("block_reason = ''")
-        failed = F.lit(tonight) & (F.length("key") % 9 == 0)
-        nightly.record(spark, store, run, ops.select("key", "op", F.coalesce("event_id", F.concat(F.lit("evt-"), F.col("key"))).alias("event_id"), F.when(failed, "failed").otherwise("ok").alias("status"), F.lit(1).cast("long").alias("seq")))
+        run = nightly.plan_run(spark, store, readings, items, _names(nights(spark, sf_dir)[0]), f"night-{tonight}", today())
+        _report(spark, store, run, F.lit(tonight == 1) & (F.length("key") % 9 == 0))
         nightly.commit_run(spark, store, run)
     again = nightly.commit_run(spark, store, run)
     counts = [store.read(n, s).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("tab"), "n") for n, s in (("belief", resolve.BELIEF), ("ledger", nightly.LEDGER), ("missing", nightly.MISSING))]
     return counts[0].union(counts[1]).union(counts[2]).union(spark.range(1).select(F.lit("again").alias("tab"), F.lit(int(again)).cast("long").alias("n")))
 
 
+def _report(spark, store: Store, run: str, failed: Column, prefix: str = "evt-") -> None:
+    """Report every operation of a run that the gate let through."""
+    ops = store.archived(run, "ops").filter("block_reason = ''")
+    nightly.record(spark, store, run, ops.select("key", "op", F.coalesce("event_id", F.concat(F.lit(prefix), F.col("key"))).alias("event_id"), F.when(failed, "failed").otherwise("ok").alias("status"), F.lit(1).cast("long").alias("seq")))
+
+
+@query(f"""WITH {NIGHTS}, p1 AS (SELECT key, k, c.start FROM prev c WHERE start {WINDOW}), a AS (SELECT * FROM p1 WHERE k % 3 <> 0), b AS (SELECT * FROM p1 WHERE k % 3 = 0 OR k % 5 = 0)
+SELECT key, CASE WHEN k % 3 = 0 OR k % 5 = 0 THEN 'b-' ELSE 'a-' END || key AS event_id, (k % 3 <> 0 AND k % 5 = 0) AS conflict FROM p1""")
+def night_recovery(spark, sf_dir):
+    """Run A and run B are planned from one state; A's report (of orders not divisible by 3) is late, B is committed with what it reported (of orders divisible by 3 or 5); the next plan commits A.
+
+    The ledger then has A's events where B wrote none; what both wrote keeps
+    B's event and is listed as A's conflict.
+    """
+    store, names = Store(spark, Scratch(spark).path("store")), _names(nights(spark, sf_dir)[0])
+    first = night_readings(spark, sf_dir, 0)
+    a, b = (nightly.plan_run(spark, store, *first, names, stamp, today()) for stamp in ("a", "b"))
+    k = observed(spark, sf_dir).select(F.concat_ws("::", "course_id", _title()).alias("key"), "k")
+    for run, wrote in ((a, "k % 3 <> 0"), (b, "k % 3 = 0 or k % 5 = 0")):
+        ops = store.archived(run, "ops").filter("block_reason = ''").join(k.filter(wrote).select("key"), "key", "left_semi")
+        nightly.record(spark, store, run, ops.select("key", "op", F.concat(F.lit(f"{run}-"), F.col("key")).alias("event_id"), F.lit("ok").alias("status"), F.lit(1).cast("long").alias("seq")))
+        if run == b:
+            nightly.commit_run(spark, store, run)
+    nightly.plan_run(spark, store, *night_readings(spark, sf_dir, 1), names, "c", today())
+    lost = nightly.conflicts(store, a).filter("tab = 'ledger'").select("key", F.lit(True).alias("conflict"))
+    return store.read("ledger", nightly.LEDGER).select("key", "event_id").join(lost, "key", "left").na.fill(False)
+
+
+@query(f"""WITH {REPLAY}, talk AS (SELECT DISTINCT course_id FROM prev), x AS (SELECT t.course_id, regexp_replace(t.key, '^[^:]*::', '') AS title, r.old, t.type, CAST(was AS VARCHAR) AS was, CAST(now AS VARCHAR) AS now, now AS day,
+  CASE WHEN t.course_id = 'c10' THEN ' (from a partial source)' ELSE '' END AS part FROM t LEFT JOIN r ON r.key = t.key WHERE t.type IN ('added', 'moved')),
+c AS (SELECT *, CASE WHEN old IS NOT NULL THEN 'reworded' ELSE type END AS kind FROM x),
+m AS (SELECT course_id, regexp_replace(key, '^[^:]*::', '') AS title FROM t WHERE whole AND type = 'missing' AND key NOT IN (SELECT old FROM r)),
+p AS (SELECT *, CASE kind WHEN 'added' THEN 'create' ELSE 'update' END AS op, CASE WHEN day < DATE '1998-01-01' - 120 THEN 'too far past' WHEN day > DATE '1998-01-01' + 400 THEN 'too far ahead' ELSE '' END AS why FROM c),
+v AS (SELECT course_id FROM talk WHERE CAST(course_id[2:] AS INT) % 2 = 1 AND course_id NOT IN ('c7', 'c9')),
+n AS (SELECT (SELECT count(*) FROM c) AS c, (SELECT count(*) FROM m) AS m, (SELECT count(*) FROM v) AS v, (SELECT count(*) FROM p WHERE why <> '') AS b)
+SELECT '0 totals' AS section, c || ' changes, ' || m || ' pending removals, 2 courses unreadable, 2 sources failed, 1 courses not read, ' || v || ' items to review' AS line FROM n
+UNION ALL SELECT '1 changes', upper(kind) || ' — ' || course_id || ': ' || title || ' — ' || CASE kind WHEN 'added' THEN now || part WHEN 'moved' THEN was || ' -> ' || now || part
+  ELSE chr(39) || left(title, length(title) - 8) || chr(39) || ' -> ' || chr(39) || title || chr(39) || ' (similarity ' || printf('%.2f', greatest(2 / 3, 2 * (length(title) - 8) / (2 * length(title) - 8))) || ')' END || ' (source: u)' FROM c
+UNION ALL SELECT '2 pending removals', course_id || ': ' || title || ' — missing since 2024-05-02 (1/2); removed if still absent on a later day' FROM m
+UNION ALL SELECT '3 unreadable', course_id || ': ' || CASE course_id WHEN 'c7' THEN 'read status ' || chr(39) || 'error' || chr(39) || ': down; belief unchanged' ELSE 'no dated items read but ' || (SELECT count(*) FROM p1 WHERE p1.course_id = talk.course_id) || ' believed; taken as an empty read, belief unchanged' END FROM talk WHERE course_id IN ('c7', 'c9')
+UNION ALL SELECT * FROM (VALUES ('4 failed sources', 'c1: http://b failed (timed out); the course' || chr(39) || 's other sources were used'), ('4 failed sources', 'c2: a source failed (empty); the course' || chr(39) || 's other sources were used'), ('5 not read', 'c8'))
+UNION ALL SELECT '6 needs review', course_id || ': Talk — "TBD" — ' || 'date is TBD/TBA' FROM v
+UNION ALL SELECT '7 blocked', op || ' Due: ' || title || ' (' || course_id || ') — ' || why FROM p WHERE why <> ''
+UNION ALL SELECT '8 approved', op || ' ' || count(*) FROM p WHERE why = '' GROUP BY op
+UNION ALL SELECT '9 notes', unnest([b || ' operation(s) blocked', m || ' item(s) missing once; no deletion until confirmed on a later day', '2 course(s) unreadable; their beliefs were left untouched', v || ' item(s) need review and were not written']) FROM n""")
+def night_summary_lines(spark, sf_dir):
+    """The second night's summary: talks without a date to review, which a person has settled in the even courses, and second sources of two courses that failed."""
+    store, names = Store(spark, Scratch(spark).path("store")), _names(nights(spark, sf_dir)[0])
+    for tonight in (0, 1):
+        readings, items = night_readings(spark, sf_dir, tonight)
+        none = F.lit(None).cast("string")
+        talks = readings.filter("course_id not in ('c7', 'c9')").select("course_id", "ord", F.lit(0).cast("long").alias("pos"), F.lit("Talk").alias("title"), F.lit("TBD").alias("date_text"), F.lit("assignment").alias("kind"), *[none.alias(c) for c in items.columns if c not in ("course_id", "ord", "pos", "title", "date_text", "kind", "all_day")], F.lit(False).alias("all_day"))
+        if tonight:
+            second = readings.filter("course_id in ('c1', 'c2')").withColumns({"ord": F.lit(2), "source_url": F.when(F.col("course_id") == "c1", "http://b"), "status": F.when(F.col("course_id") == "c1", "error").otherwise("empty"), "error": F.when(F.col("course_id") == "c1", "timed out")})
+            readings = readings.unionByName(second)
+        run = nightly.plan_run(spark, store, readings, items.unionByName(talks), names, f"night-{tonight}", today())
+        if not tonight:
+            _report(spark, store, run, F.lit(False))
+            nightly.commit_run(spark, store, run)
+            even = store.archived(run, "review").filter("cast(substring(course_id, 2) as int) % 2 = 0")
+            nightly.resolve_items(store, even.select("key", F.lit("no talk this year").alias("note"), F.lit("2024-05-02").alias("at")))
+    return store.archived(run, "summary").select("section", "line")
+
+
 @query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) WHEN 3 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE strftime(timezone('{NY}', ts AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S') || '-05:00' END AS start,
 CASE event_id % 4 WHEN 0 THEN CAST(CAST(ts AS DATE) + 1 AS VARCHAR) WHEN 3 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE strftime(timezone('{NY}', ts AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S') || '-05:00' END AS "end",
 event_id % 4 IN (0, 3) AS all_day, CASE event_id % 4 WHEN 3 THEN 0.0 ELSE 0.98 END::DOUBLE AS confidence, event_id % 4 = 3 AS needs_review FROM events""")
@@ -1121,8 +1224,8 @@ def mastery_summary(spark, sf_dir):
 @query("""SELECT o_orderkey AS key, o_orderstatus AS date_text FROM orders WHERE NOT (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)""")
 def review_open(spark, sf_dir):
     """What is left to decide when every fifth item is resolved and every third was before."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("date_text"), (F.col("o_orderkey") % 3 == 0).alias("resolved"))
-    return ledger.open_review(ledger.resolve_review(o, o.filter("key % 5 = 0"))).select("key", "date_text")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("date_text"), (F.col("o_orderkey") % 3 == 0).alias("resolved"), F.lit(None).cast("string").alias("resolution"), F.lit(None).cast("string").alias("resolved_at"))
+    return ledger.open_review(ledger.resolve_review(o, o.filter("key % 5 = 0").select("key", F.lit("settled").alias("note"), F.lit("2024-01-02").alias("at")))).select("key", "date_text")
 
 
 @query("""WITH l AS (SELECT user_id AS person, CAST(ts AS DATE) AS day, arg_max(event_type, (ts, event_type)) AS note FROM events GROUP BY ALL) SELECT person, CAST(day AS VARCHAR) AS day, note FROM l""")

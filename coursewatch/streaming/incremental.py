@@ -1,4 +1,4 @@
-"""Streaming forms: readings as they arrive, removal counters and check-in deadlines as keyed state."""
+"""Streaming forms: readings as they arrive, removal counters as keyed state."""
 
 from __future__ import annotations
 

@@ -84,10 +84,11 @@ def test_nights(spark):
     """Two sources merge, mail moves, a vanished item is removed on the second day, a vague date keeps the old event, noise changes nothing."""
     first = night(spark, [reading("x", 5)], [item("x", 0, "Essay 1 draft", "Oct 14"), item("x", 1, "Quiz", "Oct 16 at 11:59 PM"), item("x", 2, "Lab", "Oct 20"), item("x", 3, "Talk", "TBD"), item("x", 4, "Quiz", "2026-10-16", "2026-10-17T03:59:00Z")])
     assert {(c.type, c.title) for c in first.changes.collect()} == {("added", t) for t in ("Essay 1 draft", "Quiz", "Lab")}
-    quiz = first.belief.filter("title = 'Quiz'").first()
+    quiz = first.belief(spark.createDataFrame([], resolve.BELIEF)).filter("title = 'Quiz'").first()
     assert (quiz.start, quiz.all_day, len(quiz.sources), quiz.confidence) == ("2026-10-16T23:59:00-04:00", False, 1, 0.98)
     assert [r.title for r in first.review.collect()] == ["Talk"]
-    belief, _ = Scratch(spark).write(first.belief, "b")
+    belief, _ = Scratch(spark).write(first.belief(spark.createDataFrame([], resolve.BELIEF)), "b")
+    none = spark.createDataFrame([], nightly.MISSING)
     known = belief.select("key", F.concat(F.lit("e-"), F.col("key")).alias("event_id"), *[F.lit("").alias(c) for c in ("summary", "start", "end", "written_at")])
 
     same = night(spark, [reading("x", 6)], [item("x", 9, "Quiz", "due  Oct 16, 11:59 PM"), item("x", 2, "Lab", "Oct 20"), item("x", 0, " Essay 1  draft", "Oct 14 ")], belief, None, known)
@@ -98,39 +99,43 @@ def test_nights(spark):
     ops = {(o.op, o.block_reason, o.replaces_key) for o in second.ops.collect()}
     assert ops == {("update", "", "x::essay 1 draft"), ("update", "", None)}
     assert any("calendar keeps 2026-10-16T23:59:00-04:00" in r.review_reason for r in second.review.collect())
-    assert {b.title for b in second.belief.collect()} == {"Essay 1: first draft", "Quiz", "Lab"}
+    assert {b.title for b in second.belief(belief).collect()} == {"Essay 1: first draft", "Quiz", "Lab"}
 
     gone = night(spark, [reading("x", 6)], [item("x", 1, "Quiz", "Oct 16 at 11:59 PM"), item("x", 0, "Essay 1 draft", "Oct 14")], belief, None, known)
     assert [p.title for p in gone.pending.collect()] == ["Lab"] and gone.ops.count() == 0
-    counters, _ = Scratch(spark).write(gone.missing, "m")
+    counters, _ = Scratch(spark).write(gone.missing(none), "m")
     again = night(spark, [reading("x", 6)], [item("x", 1, "Quiz", "Oct 16 at 11:59 PM"), item("x", 0, "Essay 1 draft", "Oct 14")], belief, counters, known)
-    assert again.changes.count() == 0 and again.missing.first()["count"] == 1  # the same day doesn't count twice
+    assert again.changes.count() == 0 and again.missing(counters).first()["count"] == 1  # the same day doesn't count twice
     later = night(spark, [reading("x", 7)], [item("x", 1, "Quiz", "Oct 16 at 11:59 PM"), item("x", 0, "Essay 1 draft", "Oct 14")], belief, counters, known)
     assert [(o.op, o.event_id, o.block_reason) for o in later.ops.collect()] == [("delete", "e-x::lab", "")]
-    assert later.missing.count() == 0 and "Lab" not in {b.title for b in later.belief.collect()}
+    assert later.missing(counters).count() == 0 and "Lab" not in {b.title for b in later.belief(belief).collect()}
 
     for bad in ([reading("x", 7, "error")], []):
         run = night(spark, bad, [], belief, counters, known)
-        assert run.changes.count() == 0 and run.ops.count() == 0 and run.belief.count() == 3 and run.missing.count() == 1
+        assert run.changes.count() == 0 and run.ops.count() == 0 and run.belief(belief).count() == 3 and run.missing(counters).count() == 1
         assert run.courses.filter("course_id = 'x'").first().state == ("unreadable" if bad else "not_read")
     mail = night(spark, [reading("x", 7, "error"), reading("x", 7, partial=True, ord_=2)], [item("x", 0, "Lab", "now Oct 23", ord_=2)], belief, None, known)
     assert [(c.type, c.note) for c in mail.changes.collect()] == [("moved", "2026-10-20 -> 2026-10-23 (from a partial source)")]
-    assert "other sources were used" in mail.courses.filter("course_id = 'x'").first().note
+    assert [f.note for f in mail.failures.collect()] == ["u failed (down); the course's other sources were used"]
     assert {n.note for n in nightly.notes(gone).collect()} == {"1 item(s) missing once; no deletion until confirmed on a later day"}
     lines = nightly.night_summary(second, spark.createDataFrame([("x", "Course X")], "course_id string, name string")).collect()
     assert any(r.line.startswith("MOVED — Course X: Lab — 2026-10-20 -> 2026-10-22") for r in lines)
 
 
+def night_frames(spark, *items):
+    return (
+        spark.createDataFrame([reading("x", 5)], "course_id string, ord int, source_url string, read_at string, status string, error string, timezone string, partial boolean"),
+        spark.createDataFrame(list(items), "course_id string, ord int, pos int, title string, date_text string, start string, url string, review_reason string").withColumns({"kind": F.lit("exam"), "posted_at": F.lit(None).cast("string"), "detail": F.lit(""), "end": F.lit(None).cast("string"), "all_day": F.lit(None).cast("boolean"), "read_at": F.lit(""), "timezone": F.lit(""), "source_url": F.lit("")}),
+    )
+
+
 def test_a_crash_between_writing_and_committing(spark, tmp_path):
     """Reported operations of a run that wasn't committed reach the ledger before the next plan, so nothing is created twice."""
     from coursewatch.plans.state import Store
 
     store, day = Store(spark, str(tmp_path)), F.lit(dt.date(2026, 9, 6))
     names = spark.createDataFrame([("x", "X")], "course_id string, name string")
-    frames = lambda *items: (
-        spark.createDataFrame([reading("x", 5)], "course_id string, ord int, source_url string, read_at string, status string, error string, timezone string, partial boolean"),
-        spark.createDataFrame(list(items), "course_id string, ord int, pos int, title string, date_text string, start string, url string, review_reason string").withColumns({"kind": F.lit("exam"), "posted_at": F.lit(None).cast("string"), "detail": F.lit(""), "end": F.lit(None).cast("string"), "all_day": F.lit(None).cast("boolean"), "read_at": F.lit(""), "timezone": F.lit(""), "source_url": F.lit("")}),
-    )
+    frames = lambda *items: night_frames(spark, *items)
     some = (item("x", 0, "Quiz", "Oct 14"), item("x", 1, "Lab", "Oct 20"), item("x", 2, "Talk", "TBD"))
     first = nightly.plan_run(spark, store, *frames(*some), names, "n", day)
     one = [("x::quiz", "create", "e1", "ok", 1)]
@@ -148,6 +153,77 @@ def test_a_crash_between_writing_and_committing(spark, tmp_path):
     assert store.latest_run() == "n-2"
 
 
+def test_late_reports_are_rebased(spark, tmp_path):
+    """A and B are planned from one state, B is committed, A's report comes late: the next plan takes A over key by key, and nothing is refused."""
+    from coursewatch.plans.state import Store
+
+    store, day, names = Store(spark, str(tmp_path)), F.lit(dt.date(2026, 9, 6)), spark.createDataFrame([("x", "X")], "course_id string, name string")
+    some = [("x::quiz", "create", "{0}1", "ok", 1), ("x::lab", "create", "{0}2", "ok", 1)]
+    results = lambda run, rows: spark.createDataFrame([(k, o, e.format(run), *r) for k, o, e, *r in rows], nightly.RESULTS)
+    frames = night_frames(spark, item("x", 0, "Quiz", "Oct 14"), item("x", 1, "Lab", "Oct 20"), item("x", 2, "Talk", "TBD"))
+    a, b = (nightly.plan_run(spark, store, *frames, names, run, day) for run in ("a", "b"))
+    nightly.record(spark, store, a, results("a", some))
+    nightly.resolve_items(store, spark.createDataFrame([("x::talk", "no talk", "2026-09-07")], "key string, note string, at string"))
+    assert nightly.commit_run(spark, store, b, results("b", some[1:]))
+    c = nightly.plan_run(spark, store, *frames, names, "c", day)
+    assert store.is_committed(a) and {(r.key, r.event_id) for r in store.read("ledger", nightly.LEDGER).collect()} == {("x::quiz", "a1"), ("x::lab", "b2")}
+    assert {(r.tab, r.key, r.by) for r in nightly.conflicts(store, a).collect()} == {("belief", "x::lab", "b"), ("ledger", "x::lab", "b")}
+    assert store.archived(c, "ops").count() == 0 and store.meta(c)["recovered"] == [a]
+    lines = {(r.section, r.line) for r in store.archived(c, "summary").collect()}
+    assert ("10 recovery", "run a had been interrupted; committed with its 2 reported results") in lines
+    assert not any(s == "6 needs review" for s, _ in lines)  # the talk is settled
+    talk = store.read("review", nightly.REVIEW).first()
+    assert (talk.resolved, talk.resolution, talk.resolved_at) == (True, "no talk", "2026-09-07")
+    again = nightly.plan_run(spark, store, *night_frames(spark, item("x", 2, "Talk", "date TBA")), names, "d", day)
+    assert [r.title for r in store.archived(again, "review").collect()] == ["Talk"]  # other words, asked again
+
+
+def test_buckets_versions_and_vacuum(spark, tmp_path):
+    from coursewatch.plans.state import Store, merged
+
+    store = Store(spark, str(tmp_path), courses=4, keys=2)
+    rows = lambda n, put=True, start="s": spark.createDataFrame([(f"c{i % 6}", f"c{i % 6}::{i}", put, start) for i in n], "course_id string, key string, put boolean, start string")
+    schema, current = "course_id string, key string, start string", lambda **at: sorted((r.key, r.start) for r in store.read("belief", schema, **at).collect())
+    assert store.commit("r1", {"belief": rows(range(200))}, 0, "2026-09-01") and not store.commit("r1", {"belief": rows([1])}, 0)
+    first = store.manifest()["tables"]["belief"]
+    assert store.commit("r2", {"belief": rows([0, 6], start="t")}, 1, "2026-09-02")
+    second = store.manifest()["tables"]["belief"]
+    moved = {b for b in first if first[b] != second[b]}
+    assert moved and moved <= {str(b) for b in store.buckets_of(["c0"], [4, 2])}  # only what the commit touches is written
+    assert store.commit("r3", {"belief": rows([7], put=False)}, 2) and len(current()) == 199 and len(current(version=1)) == 200
+    assert dict(current())["c0::6"] == "t" and dict(current(version=1))["c0::6"] == "s"
+    assert {r.course_id for r in store.read("belief", schema, courses=["c1"]).filter("course_id = 'c1'").collect()} == {"c1"}
+    assert store.read("belief", schema, courses=["c1"]).count() < 199
+    assert store.commit("late", {"belief": rows([6, 8], start="u")}, 1) and dict(current())["c0::6"] == "t" and dict(current())["c2::8"] == "u"
+    assert [(r.key, r.by) for r in store.archived("late", "conflicts").collect()] == [("c0::6", "r2")]
+    whole = merged(spark.createDataFrame([("c", "k", "s")], schema), rows([], True).unionByName(rows([1])), ["course_id", "key"])
+    assert whole.count() == 2
+    kept = current()
+    assert store.vacuum(keep=1, older_than_s=0) > 0 and current() == kept and store.versions() == [4]
+    assert store.vacuum(keep=1, older_than_s=0) == 0
+    store.reset(keep=("belief",))
+    assert current() == kept and store.manifest()["runs"] == []
+    assert store.commit("r1", {"belief": rows([1], start="v")}, 5)  # runs from before count no more
+
+
+def test_two_writers_both_commit(spark, tmp_path, monkeypatch):
+    """A commit that finds another version published meanwhile starts again from that one."""
+    from coursewatch.plans.state import Store
+
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    row = lambda k: spark.createDataFrame([(k, True, "e")], "key string, put boolean, event_id string")
+    publish, raced = Store._publish, []
+
+    def late(self, manifest):
+        if self is store and not raced:
+            raced.append(other.commit("other", {"ledger": row("b")}, 0))
+        publish(self, manifest)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    assert store.commit("mine", {"ledger": row("a")}, 0) and raced == [True]
+    assert {r.key for r in store.read("ledger", "key string, event_id string").collect()} == {"a", "b"}
+
+
 def test_forced_review_and_disagreement(spark):
     run = night(spark, [reading("x", 5), reading("x", 5, ord_=2)], [item("x", 0, "Quiz", "Oct 14"), item("x", 0, "Quiz", "Oct 15", ord_=2), item("x", 1, "Lab", "Oct 20", review="look here"), item("x", 2, "Bad", "", "soonish")])
     why = {r.title: r.review_reason for r in run.review.collect()}
