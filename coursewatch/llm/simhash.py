@@ -7,8 +7,10 @@ postings are kept for triples of positions instead: 20 of the 56 triples
 suffice for every set of 4 shared positions to contain one (the Turan system
 T(8, 4, 3)). Fingerprints that meet in a posting are tallied on all 8
 positions, pairs under the guaranteed minimum of 4 are left out, the rest are
-verified by their differing bits. Large postings are cut into blocks that are
-compared pair by pair of blocks, each within one bounded task, and a block
+verified by their differing bits. A posting of very many fingerprints is cut by
+a fourth position: those that share 4 share one of the other 5, so they meet in
+one of its 5 x 256 parts. Parts that are still large are cut into blocks that
+are compared pair by pair of blocks, each within one bounded task, and a block
 pair returns a spanning forest of its links rather than the links.
 """
 
@@ -165,9 +167,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     posting = F.explode(F.array(*[sum((byte(p) * F.lit(1 << 8 * k) for k, p in enumerate(t)), F.lit(n << 24).cast("long")) for n, t in enumerate(TRIPLES)]))
     entries = nodes.filter("node is not null").select(posting.alias("key"), "fp", "node")
     # only postings of more than a block are looked up: at most a BLOCK-th of the entries
-    large, _ = scratch.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large-postings")
+    sizes = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    large, _ = scratch.write(sizes(entries), "large-postings")
+    met = entries.join(large, "key", "left_anti").withColumns({"blocks": F.lit(1), "own": F.lit(0)})
+    # the other 5 positions of a large posting's triple, each with its byte
+    others = F.get(F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in t]) for t in TRIPLES]), F.shiftright("key", 24).cast("int"))
+    bytes_ = F.array(*[byte(p) for p in range(8)])
+    parts = entries.join(large, "key", "left_semi").withColumn("bytes", bytes_).select("key", "fp", "node", "bytes", F.explode(others).alias("p")).select(F.xxhash64("key", "p", F.get("bytes", F.col("p"))).alias("key"), "fp", "node")
+    parts, _ = scratch.write(parts, "parts")
+    heavy, _ = scratch.write(sizes(parts), "large-parts")
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    met = entries.join(large, "key", "left").select("key", "fp", "node", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(1), "fp"), blocks).cast("int").alias("own"))
+    cut = parts.join(heavy, "key", "left").select("key", "fp", "node", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(1), "fp"), blocks).cast("int").alias("own"))
+    met = met.select("key", "fp", "node", "blocks", "own").unionByName(cut)
     # a row of block x goes to the pairs of blocks (x, x), (x, y) and (y, x)
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = met.select("key", "fp", "node", "own", pairs).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "fp", "node")
