@@ -75,7 +75,10 @@ def member(data: bytes) -> bytes:
     """One gzip member that says in an extra field LX how long it is, packed and unpacked."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     packed = packer.compress(data) + packer.flush()
-    extra = b"LX" + struct.pack("<HII", 8, 10 + 2 + 12 + len(packed) + 8, len(data) & 0xFFFFFFFF)
+    size = 10 + 2 + 12 + len(packed) + 8
+    if size >> 32:  # longer than the field can say: a member without it, found by inflating
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"LX" + struct.pack("<HII", 8, size, len(data) & 0xFFFFFFFF)
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -114,6 +117,8 @@ class Records:
         first = self.file.read(1024)
         if not first:
             return None
+        if first[:2] != b"\x1f\x8b" or len(first) < 18:
+            raise ValueError("no gzip member")
         if first[3] & 4 and first[12:14] == b"LX":
             skip = struct.unpack("<I", first[16:20])[0]
         self.tail, self.skip = first, skip
@@ -294,8 +299,10 @@ class WarcWriter(DataSourceWriter):
         self._clear(*open_fs(self.path))
 
     def _clear(self, store, where):
-        if store.get_file_info(f"{where}/_temporary").type != fs.FileType.NotFound:
-            store.delete_dir(f"{where}/_temporary")
+        """Only this writer's own folder: others may be writing beside it."""
+        own = f"{where}/_temporary/{self.job}"
+        if store.get_file_info(own).type != fs.FileType.NotFound:
+            store.delete_dir(own)
 
 
 class WarcSource(DataSource):
