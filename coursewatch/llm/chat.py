@@ -130,38 +130,51 @@ def messages(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def parts(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turn, part, n_rows) for the turns of conversations of more than PART_MESSAGES messages.
+PREFIX = 4
+"""Characters of a message by which the messages of one turn are first sorted."""
 
-    Messages are counted by turn and the counts summed up in two levels, so
-    that no task holds a whole conversation. A turn that has itself more than
-    that many messages gets several part numbers, n_rows tells how many.
+
+def places(said: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, chat, ..., n equal ones) with ``place``, how many messages of the conversation stand before them.
+
+    The order is turn, role, chat, depth, whether it replies. Counts are summed up
+    over blocks of turns, turns of a block, beginnings of a turn's messages, and
+    messages of one beginning, so that no task sorts a conversation, nor a turn
+    but for messages that differ and begin alike.
     """
-    long_ = formatted.filter("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_MESSAGES).select("conv_id")
-    turns = formatted.join(long_, "conv_id", "left_semi").filter("turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    # a turn takes the room of the rows it is dealt into
-    turns = turns.withColumn("rows", F.ceil(F.col("n") / PART_MESSAGES)).withColumn("room", F.when(F.col("rows") > 1, F.col("rows") * PART_MESSAGES).otherwise(F.col("n")))
-    blocks = turns.groupBy("conv_id", "block").agg(F.sum("room").alias("total")).select("conv_id", "block", F.coalesce(F.sum("total").over(before("conv_id").orderBy("block")), F.lit(0)).alias("earlier"))
-    room = F.coalesce(F.sum("room").over(before("conv_id", "block").orderBy("turn")), F.lit(0))
-    return turns.withColumn("near", room).join(blocks, ["conv_id", "block"]).select("conv_id", "turn", F.floor((F.col("earlier") + F.col("near")) / PART_MESSAGES).alias("part"), F.col("rows").alias("n_rows"))
+    earlier = lambda total, by, order: F.coalesce(F.sum(total).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = said.withColumns({"block": F.floor(F.col("turn") / BLOCK_TURNS), "start": F.concat_ws("\n", "role", F.substring("chat", F.length("role") + 6, F.lit(PREFIX)))})
+    levels = [(["conv_id"], ["block"]), (["conv_id", "block"], ["turn"]), (["conv_id", "block", "turn"], ["role", "start"])]
+    place = earlier("n", ["conv_id", "block", "turn", "role", "start"], ["chat", "depth", "replies"])
+    out = said.withColumn("place", place)
+    for by, order in levels:
+        sums = said.groupBy(*by, *order).agg(F.sum("n").alias("_n"))
+        out = out.join(sums.withColumn("_before", earlier("_n", by, order)).drop("_n"), [*by, *order]).withColumn("place", F.col("place") + F.col("_before")).drop("_before")
+    return out.drop("block", "start")
 
 
 def conversations(formatted: DataFrame) -> DataFrame:
     """Conversations as text, messages in reply order: conv_id, part, first_turn, n_messages, n_replies, depth, text.
 
     ``formatted`` is what messages() gives. A conversation is one row, part 0,
-    unless it has more than PART_MESSAGES messages; the texts of its parts, put
-    together by part, are the conversation. Messages of one turn stand by role and
-    text. A row without conv_id or turn is a conversation of its own. Repeated
-    rows count.
+    unless it has more than PART_MESSAGES messages: then each part has that
+    many, the last one what is left, and the texts of its parts, put together by
+    part, are the conversation. Messages of one turn stand by role and text. A
+    row without conv_id or turn is a conversation of its own. Repeated rows
+    count; equal messages of a turn are counted before anything is sorted, so
+    that any number of them fills no task.
     """
-    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    dealt = formatted.filter(whole).join(parts(formatted), ["conv_id", "turn"], "left")
-    part = F.coalesce(F.col("part") + F.when(F.col("n_rows") > 1, F.pmod(F.xxhash64("role", "chat"), F.col("n_rows"))).otherwise(0), F.lit(0))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "chat")))
-    told = lambda: (F.count(F.lit(1)).alias("n_messages"), F.count("parent_turn").alias("n_replies"), F.max("depth").alias("depth"))
-    grouped = dealt.groupBy("conv_id", part.alias("part")).agg(turns.alias("m"), F.min("turn").alias("first_turn"), *told())
-    text = F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("text")
-    alone = formatted.filter(~whole).select("conv_id", F.lit(0).cast("long").alias("part"), F.col("turn").alias("first_turn"), F.lit(1).cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_replies"), "depth", F.col("chat").alias("text"))
+    whole = formatted.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    alike = whole.groupBy("conv_id", "turn", "role", "chat", "depth", F.col("parent_turn").isNotNull().cast("long").alias("replies")).agg(F.count(F.lit(1)).alias("n"))
+    long_ = whole.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > PART_MESSAGES).select("conv_id")
+    short = alike.join(long_, "conv_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    size = F.lit(PART_MESSAGES)
+    placed = places(alike.join(long_, "conv_id", "left_semi")).withColumn("part", F.explode(F.sequence(F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("n") - 1) / size))))
+    here = F.least(F.col("place") + F.col("n"), (F.col("part") + 1) * size) - F.greatest("place", F.col("part") * size)
+    dealt = short.unionByName(placed.withColumn("n", here).drop("place"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "chat", "n")))
+    told = (F.sum("n").alias("n_messages"), F.sum(F.col("n") * F.col("replies")).alias("n_replies"), F.max("depth").alias("depth"))
+    grouped = dealt.groupBy("conv_id", "part").agg(turns.alias("m"), F.min("turn").alias("first_turn"), *told)
+    text = F.array_join(F.transform("m", lambda x: F.repeat(x["chat"], x["n"].cast("int"))), "").alias("text")
+    alone = formatted.filter(F.col("conv_id").isNull() | F.col("turn").isNull()).select("conv_id", F.lit(0).cast("long").alias("part"), F.col("turn").alias("first_turn"), F.lit(1).cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_replies"), "depth", F.col("chat").alias("text"))
     return grouped.select("conv_id", F.col("part").cast("long").alias("part"), "first_turn", "n_messages", "n_replies", "depth", text).unionByName(alone)

@@ -241,6 +241,19 @@ def test_dense_postings_are_cut_into_blocks(spark, monkeypatch):
     assert got == smallest(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
 
 
+def test_large_postings_are_cut_by_a_fourth_byte(spark, monkeypatch):
+    """Fingerprints that share three bytes and differ in up to 4 bits of any others are found, whichever fourth byte they share."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    base = [int.from_bytes(bytes([1, 2, 3, *rng.integers(0, 256, 5)]), "big") for _ in range(60)]
+    near = [f ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for f in base for _ in range(2)]
+    fps = {i: f - (1 << 64) * (f >> 63) for i, f in enumerate(base + near)}
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda df, **_: df.withColumn("fp", F.col("text").cast("long")))
+    docs = spark.createDataFrame([(i, str(f)) for i, f in fps.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(docs, Scratch(spark)).collect()}
+    assert got == smallest(fps, [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= 4])
+
+
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
     from coursewatch.llm import common, components as module
 
@@ -596,13 +609,11 @@ def test_chat_generated_quotes_and_parts(spark, monkeypatch):
     want = loops_over_messages(rows)
     assert sorted((tuple(r[c] for c in ("conv_id", "turn", "parent_turn", "n_quoted", "n_linked", "depth", "body")) for r in formatted.collect()), key=key) == sorted(want, key=key)
     assert sum(w[2] is not None for w in want) > 20
-    told = [r for r in chat.conversations(formatted).collect() if r.conv_id == 0]
-    assert len(told) > 5 and sum(r.n_messages for r in told) == 70
-    texts = [r.text for r in sorted(told, key=lambda r: r.part)]
-    chats = lambda of: [f"<|{r[2]}|>\n{w[6]}\n" for r, w in zip(rows, want) if r[0] == 0 and of(r[1])]
-    assert "".join(texts).startswith("".join(chats(lambda t: t < 12))) and "".join(texts).endswith("".join(chats(lambda t: t > 12)))
-    assert Counter("".join(texts)) == Counter("".join(chats(lambda t: True)))
-    assert all(sorted(r.first_turn for r in told) == [r.first_turn for r in sorted(told, key=lambda r: r.part)] for _ in "x")
+    told = sorted((r for r in chat.conversations(formatted).collect() if r.conv_id == 0), key=lambda r: r.part)
+    assert [r.n_messages for r in told] == [8] * 8 + [6] and [r.part for r in told] == list(range(9))
+    chats = sorted((r[1], r[2], f"<|{r[2]}|>\n{w[6]}\n") for r, w in zip(rows, want) if r[0] == 0)
+    assert [r.text for r in told] == ["".join(c[2] for c in chats[k : k + 8]) for k in range(0, 70, 8)]  # by turn, role and text across parts too
+    assert [r.first_turn for r in told] == [chats[k][0] for k in range(0, 70, 8)]
     con = __import__("duckdb").connect()
     pdf = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841 - read by DuckDB
     sql = con.execute(queries.ORACLE["op9_chat"].replace("FROM conversations", "FROM pdf")).fetchall()
@@ -611,6 +622,33 @@ def test_chat_generated_quotes_and_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in again) == sorted(sql)
 
 
+def test_very_many_equal_messages(spark):
+    """5000 equal rows of one turn are parts of 512 messages each, in order with what stands beside them."""
+    rows = [(1, 3, "user", "same")] * 5000 + [(1, 3, "user", "aaa"), (1, 3, "bot", "zzz"), (1, 2, "user", "early"), (1, 4, "user", "late")] + [(2, None, "user", "same")] * 3
+    told = chat.conversations(chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Scratch(spark))).collect()
+    one = sorted((r for r in told if r.conv_id == 1), key=lambda r: r.part)
+    assert [r.n_messages for r in one] == [512] * 9 + [5004 - 9 * 512] and len(told) == len(one) + 3
+    assert "".join(r.text for r in one) == "<|user|>\nearly\n<|bot|>\nzzz\n<|user|>\naaa\n" + "<|user|>\nsame\n" * 5000 + "<|user|>\nlate\n"
+
+
+def test_two_writers_on_one_archive(spark, tmp_path):
+    """A writer that commits leaves the files of another, and its folder, alone."""
+    warc.register(spark)
+    path, rows = str(tmp_path / "w"), [type("Row", (), dict(record_id=f"urn:page:{i}", record_type="response", target_uri=None, record_date=None, refers_to=None, payload_digest=None, payload_bytes=None, payload=b"x%d" % i)) for i in range(4)]
+    first, second = (warc.WarcWriter({"path": path}, overwrite=False) for _ in "ab")
+    a, b = first.write(rows[:2]), second.write(rows[2:])
+    first.commit([a])
+    second.commit([b])
+    third = warc.WarcWriter({"path": path}, overwrite=False)
+    third.write(rows)
+    third.abort([])
+    assert {r.record_id for r in spark.read.format("warc").load(path).collect()} == {f"urn:page:{i}" for i in range(4)}
+    for broken in (b"\x1f", b"\x1f\x8b\x08", b"no gzip at all, but longer than a head"):
+        (tmp_path / "bad.warc.gz").write_bytes(broken)
+        with open(tmp_path / "bad.warc.gz", "rb") as f, pytest.raises(ValueError, match="no gzip member"):
+            warc.Records(f, True).headers()
+
+
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline as P
 
