@@ -28,6 +28,16 @@ def weekday_conflict(stated: Column, day: Column) -> Column:
     return stated.isNotNull() & (F.weekday(day) != stated)
 
 
+DEFAULT_ZONE = "America/New_York"
+
+
+def known_zone(zone: Column, default: Column | None = None) -> Column:
+    """The zone if Spark knows it, else ``default``, else DEFAULT_ZONE: an unknown name must not stop a job."""
+    known = lambda z: F.try_make_timestamp(F.lit(2000), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), z).isNotNull()
+    other = F.lit(DEFAULT_ZONE) if default is None else F.when(known(default), default).otherwise(DEFAULT_ZONE)
+    return F.when(known(zone), zone).otherwise(other)
+
+
 def instant(day: Column, clock: Column, zone: Column) -> Column:
     """Instant of a wall clock 'HH:mm' on a day in a zone."""
     part = lambda k: F.split(clock, ":")[k].cast("int")

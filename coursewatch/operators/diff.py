@@ -34,6 +34,12 @@ def changes(prev: DataFrame, cur: DataFrame) -> DataFrame:
     return sides(prev, cur).withColumn("type", label()).filter("type <> 'same'")
 
 
+def course_state(status: Column, n_read: Column, n_believed: Column, partial: Column) -> Column:
+    """not_read, unreadable, or null where a reading may change something. A full reading that is ok but has no item of a course with some is unreadable."""
+    empty = (F.coalesce(n_read, F.lit(0)) == 0) & (F.coalesce(n_believed, F.lit(0)) > 0) & ~F.coalesce(partial, F.lit(False))
+    return F.when(status.isNull() | (status == "not_read"), "not_read").when((status != "ok") | empty, "unreadable")
+
+
 def guarded(prev: DataFrame, cur: DataFrame, reads: DataFrame) -> DataFrame:
     """changes() with what a bad read must not do.
 
@@ -44,31 +50,27 @@ def guarded(prev: DataFrame, cur: DataFrame, reads: DataFrame) -> DataFrame:
     believed = prev.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_prev"))
     observed = cur.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_cur"))
     courses = believed.join(observed, "course_id", "full_outer").join(reads, "course_id", "full_outer")
-    nothing = F.coalesce("n_cur", F.lit(0)) == 0
-    state = F.when(F.col("status").isNull(), "not_read").when(F.col("status") != "ok", "unreadable").when(nothing & (F.col("n_prev") > 0), "unreadable")
-    courses = courses.select("course_id", state.alias("state"))
+    courses = courses.select("course_id", course_state(F.col("status"), F.col("n_cur"), F.col("n_prev"), F.lit(False)).alias("state"))
     found = changes(prev, cur).join(courses, "course_id", "left").filter("state is null").select("course_id", "key", "type", "before", "after")
     none = {c: F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("key", "before", "after")}
     stopped = courses.filter("state is not null").select("course_id", none["key"], F.col("state").alias("type"), none["before"], none["after"])
     return found.unionByName(stopped)
 
 
-def partial_upsert(prev: DataFrame, cur: DataFrame) -> DataFrame:
-    """The belief after a partial read: its items are added or overwrite a moved one; silence says nothing."""
-    both = sides(prev, cur)
-    kept = F.when(F.col("before").isNotNull() & (F.col("after").isNull() | same_schedule(F.col("before"), F.col("after"))), F.col("before")).otherwise(F.col("after"))
-    return both.select("course_id", "key", kept.alias("item")).select("course_id", "key", "item.*")
-
-
-def reword_pairs(removed: DataFrame, added: DataFrame, score=T.similarity) -> DataFrame:
+def reword_pairs(removed: DataFrame, added: DataFrame, score=T.similarity_from) -> DataFrame:
     """(course_id, removed, added, sim) of equal schedule and similar title.
 
     A hash join on course and schedule, null-safe, before any title is compared.
+    Letters and words of each title are counted once, before the join; pairs
+    whose counts rule the threshold out go before Python sees a title.
     """
-    r, a = removed.alias("r"), added.alias("a")
+    ready = lambda df: df.withColumn("_s", T.slug(F.col("title"))).withColumns({"_letters": T.letters(F.col("_s")), "_words": T.words(F.col("_s"))})
+    r, a = ready(removed).alias("r"), ready(added).alias("a")
     on = (F.col("r.course_id") == F.col("a.course_id")) & F.col("r.start").eqNullSafe(F.col("a.start")) & F.col("r.end").eqNullSafe(F.col("a.end")) & F.col("r.all_day").eqNullSafe(F.col("a.all_day"))
-    paired = r.join(a, on).select(F.col("r.course_id").alias("course_id"), F.col("r.key").alias("removed"), F.col("a.key").alias("added"), T.slug(F.col("r.title")).alias("_x"), T.slug(F.col("a.title")).alias("_y"))
-    return paired.withColumn("sim", score(F.col("_x"), F.col("_y"))).filter(F.col("sim") >= REWORD_THRESHOLD).drop("_x", "_y")
+    x, y = (F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("_s", "_letters", "_words")]) for side in "ra")
+    paired = r.join(a, on).filter(F.greatest(T.ratio_bound(x, y), T.shared_words(x, y)) >= REWORD_THRESHOLD)
+    scored = paired.select(F.col("r.course_id").alias("course_id"), F.col("r.key").alias("removed"), F.col("a.key").alias("added"), score(x, y, REWORD_THRESHOLD).alias("sim"))
+    return scored.filter(F.col("sim") >= REWORD_THRESHOLD)
 
 
 def assign(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,25 +113,3 @@ def removals(seen: DataFrame, days: DataFrame, confirmations: int = CONFIRMATION
     gaps = present.withColumn("next", F.coalesce(F.lead("n").over(by_key), F.lit(last + 1))).filter(F.col("next") - F.col("n") > confirmations)
     first, done = numbered.select(F.col("n").alias("f"), F.col("day").alias("first_missing")), numbered.select(F.col("n").alias("d"), F.col("day").alias("confirmed_on"))
     return gaps.join(first, F.col("f") == F.col("n") + 1).join(done, F.col("d") == F.col("n") + confirmations).select("key", "first_missing", "confirmed_on")
-
-
-def next_missing(missing: DataFrame, removed: DataFrame, present: DataFrame, review: DataFrame, day: Column) -> DataFrame:
-    """The removal counters after one successful read.
-
-    missing: (course_id, key, count, first_missing, last_counted); removed and
-    present: (course_id, key) absent and seen; review: keys whose date can't be
-    read now, which freeze. A counter goes up once a day at most; ``confirmed``
-    tells which are done and leave the table.
-    """
-    on = ["course_id", "key"]
-    kept = missing.join(present.select(*on), on, "left_anti")
-    frozen = review.select(*on).withColumn("frozen", F.lit(True))
-    joined = kept.join(removed.select(*on).withColumn("absent", F.lit(True)), on, "full_outer").join(frozen, on, "left")
-    counts = F.col("absent") & F.col("frozen").isNull() & (F.col("last_counted").isNull() | (F.col("last_counted") < day))
-    out = joined.filter(F.col("count").isNotNull() | F.col("frozen").isNull()).select(
-        *on,
-        (F.coalesce("count", F.lit(0)) + F.when(counts, 1).otherwise(0)).alias("count"),
-        F.coalesce("first_missing", day).alias("first_missing"),
-        F.when(counts, day).otherwise(F.col("last_counted")).alias("last_counted"),
-    )
-    return out.withColumn("confirmed", F.col("count") >= CONFIRMATIONS)

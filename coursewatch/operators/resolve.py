@@ -2,70 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import date_text
 from ..functions import dates as D
 from ..functions import text as T
+from ..scratch import Scratch
 
 EVENT = "struct<start:string,end:string,all_day:boolean,date_text:string,confidence:double,needs_review:boolean,review_reason:string,superseded:string,detail:string,sources:array<string>,assumptions:array<string>,carry:string>"
 """``carry`` is what the caller wants to keep of the mention that stays; empty if the mentions have no such column."""
-FIELDS = [f.split(":")[0] for f in EVENT.removeprefix("struct<").removesuffix(">").split(",")]
-
-
-def _with(event: Column, **new: Column) -> Column:
-    return F.struct(*[new.get(f, event[f]).alias(f) for f in FIELDS])
-
-
-def _day(event: Column) -> Column:
-    return F.substring(F.coalesce(event["start"], F.lit("")), 1, 10)
-
-
-def merge_two(a: Column, b: Column) -> Column:
-    """The first mention so far, and the next one."""
-    sources = F.array_distinct(F.concat(a["sources"], b["sources"]))
-    detail = lambda keep, other: F.when(keep["detail"] == "", other["detail"]).otherwise(keep["detail"])
-
-    def keeps(keep: Column, other: Column, note: Column) -> Column:
-        return _with(keep, sources=sources, detail=detail(keep, other), assumptions=F.array_distinct(F.concat(keep["assumptions"], F.array(note))))
-
-    also = lambda o: F.concat(F.lit("also listed as '"), o["date_text"], F.lit("'"))
-    replaces = lambda o: F.concat(F.lit("supersedes '"), o["date_text"], F.lit("' still shown at "), F.coalesce(F.get(o["sources"], F.lit(0)), F.lit("")))
-    names = lambda new, old: new["superseded"].isNotNull() & (new["superseded"] == _day(old))
-    disagree = _with(
-        a,
-        sources=sources,
-        needs_review=F.lit(True),
-        review_reason=F.concat(F.lit("sources disagree: '"), a["date_text"], F.lit("' vs '"), b["date_text"], F.lit("'")),
-        assumptions=F.concat(a["assumptions"], b["assumptions"]),
-    )
-    a_kept, b_kept = keeps(a, b, also(b)), keeps(b, a, also(a))
-    return (
-        F.when(a["needs_review"] & ~b["needs_review"], b_kept)
-        .when(b["needs_review"] | a["needs_review"], a_kept)
-        .when((_day(a) != _day(b)) & names(a, b), keeps(a, b, replaces(b)))
-        .when((_day(a) != _day(b)) & names(b, a), keeps(b, a, replaces(a)))
-        .when(_day(a) != _day(b), disagree)
-        .when(a["all_day"] & ~b["all_day"], b_kept)
-        .when((a["all_day"] == b["all_day"]) & (b["confidence"] > a["confidence"]), b_kept)
-        .otherwise(a_kept)
-    )
+TYPES = dict(f.split(":") for f in EVENT.removeprefix("struct<").removesuffix(">").split(","))
+FIELDS = list(TYPES)
+
+
+def _day(event: dict) -> str:
+    return (event["start"] or "")[:10]
+
+
+def _noted(event: dict, other: dict, sources: dict, note: str | None) -> dict:
+    """The mention that stays, with the sources of both and the other one's detail where it has none."""
+    event["sources"] = sources
+    if event["detail"] == "":
+        event["detail"] = other["detail"]
+    if not isinstance(event["assumptions"], dict):
+        event["assumptions"] = dict.fromkeys(event["assumptions"])
+    event["assumptions"][note] = None
+    return event
+
+
+def merge_two(a: dict, b: dict) -> dict:
+    """The event so far, which may be changed, and the next mention to the event after it. sources is a dict, for its order."""
+    first_b = next(iter(b["sources"]), None)
+    first_a = next(iter(a["sources"]), None)
+    a["sources"].update(b["sources"])
+    sources = a["sources"]
+    say = lambda *parts: None if None in parts else "".join(parts)
+    keep_a = lambda note=None: _noted(a, b, sources, note or say("also listed as '", b["date_text"], "'"))
+    keep_b = lambda note=None: _noted(b, a, sources, note or say("also listed as '", a["date_text"], "'"))
+    if a["needs_review"] and not b["needs_review"]:
+        return keep_b()
+    if a["needs_review"] or b["needs_review"]:
+        return keep_a()
+    if _day(a) != _day(b):
+        replaces = lambda old, source: say("supersedes '", old["date_text"], "' still shown at ", source or "")
+        if a["superseded"] is not None and a["superseded"] == _day(b):
+            return keep_a(replaces(b, first_b))
+        if b["superseded"] is not None and b["superseded"] == _day(a):
+            return keep_b(replaces(a, first_a))
+        reason = say("sources disagree: '", a["date_text"], "' vs '", b["date_text"], "'")
+        return a | {"needs_review": True, "review_reason": reason, "assumptions": [*a["assumptions"], *b["assumptions"]]}
+    if a["all_day"] is True and b["all_day"] is False:
+        return keep_b()
+    surer = a["confidence"] is not None and b["confidence"] is not None and b["confidence"] > a["confidence"]
+    return keep_b() if surer and a["all_day"] is not None and a["all_day"] == b["all_day"] else keep_a()
+
+
+_HELD = 4096
+
+
+def _folded(batches: Iterator[pa.RecordBatch], by: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Mentions that arrive sorted to events: one running event is held, however many mentions it has."""
+    done: list[tuple] = []
+    key, n, event = None, 0, None
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array([d[0][k] for d in done], schema.field(k).type) for k in range(len(by))]
+        lists = [d[2] | {"sources": list(d[2]["sources"]), "assumptions": list(d[2]["assumptions"])} for d in done]
+        batch = pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64()), pa.array(lists, schema.field("event").type)], schema=schema)
+        done.clear()
+        return batch
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+        for row in zip(*columns, strict=True):
+            mention = dict(zip(FIELDS, row[len(by) :], strict=True))
+            mention["sources"] = dict.fromkeys(mention["sources"] or ())
+            mention["assumptions"] = mention["assumptions"] or []
+            if n and row[: len(by)] == key:
+                event, n = merge_two(event, mention), n + 1
+                continue
+            if n:
+                done.append((key, n, event))
+                if len(done) >= _HELD:
+                    yield out()
+            key, n, event = row[: len(by)], 1, mention
+    if n:
+        done.append((key, n, event))
+    yield out()
 
 
 def fold(mentions: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """One event for each ``by``, mentions merged in ``order``.
+    """One event for each ``by``, mentions merged in ``order``: by, n_mentions, event.
 
     mentions carry the columns of EVENT. The merge isn't associative, so the
-    order is data; a group is the mentions of one item, as many as there are
-    sources that list it.
+    order is data and an item's mentions can't be dealt out; they are sorted,
+    which spills, and pass by one running event, so that an item may have any
+    number of them. Sources and assumptions are kept distinct as they come.
     """
     if "carry" not in mentions.columns:
         mentions = mentions.withColumn("carry", F.lit(""))
-    packed = F.sort_array(F.collect_list(F.struct(*order, F.struct(*FIELDS).cast(EVENT).alias("e"))))
-    grouped = mentions.groupBy(*by).agg(packed.alias("m")).withColumn("m", F.transform("m", lambda x: x["e"]))
-    merged = F.aggregate(F.slice("m", 2, F.size("m")), F.get("m", F.lit(0)).cast(EVENT), lambda a, b: merge_two(a, b).cast(EVENT))
-    return grouped.select(*by, F.size("m").cast("long").alias("n_mentions"), merged.alias("event"))
+    ready = mentions.select(*by, F.struct(*order).alias("_order"), *[F.col(f).cast(t).alias(f) for f, t in TYPES.items()])
+    rows = ready.repartition(*by).sortWithinPartitions(*by, "_order").drop("_order")
+    out = T_.StructType([*(ready.schema[c] for c in by), T_.StructField("n_mentions", T_.LongType()), T_.StructField("event", T_._parse_datatype_string(EVENT))])
+    arrow = to_arrow_schema(out)
+    return rows.mapInArrow(lambda batches: _folded(batches, by, arrow), out)
 
 
 def merge_readings(readings: DataFrame) -> DataFrame:
@@ -94,9 +140,14 @@ def match_titles(mentions: DataFrame, titles: DataFrame, score: Column, threshol
     score is an expression over both. Ties are counted, not guessed.
     """
     scored = mentions.join(titles, "course_id").withColumn("score", score).filter(F.col("score") >= threshold)
-    top = scored.groupBy("course_id", "mention_id").agg(F.max("score").alias("top"))
-    best = scored.join(top, ["course_id", "mention_id"]).filter("score = top")
-    return best.groupBy("course_id", "mention_id", "score").agg(F.min("title").alias("title"), F.count_distinct("title").alias("n_best")).withColumn("needs_review", F.col("n_best") > 1)
+    best = best_titles(scored, ["course_id", "mention_id"])
+    return best.select("course_id", "mention_id", "score", F.array_min("best").alias("title"), F.size("best").cast("long").alias("n_best"), (F.size("best") > 1).alias("needs_review"))
+
+
+def best_titles(scored: DataFrame, by: list[str]) -> DataFrame:
+    """by, score and ``best``, the titles of the highest score in order: several if they are as good. scored: by, title, score."""
+    top = scored.groupBy(*by).agg(F.max("score").alias("score"))
+    return scored.join(top, [*by, "score"]).groupBy(*by, "score").agg(F.array_sort(F.collect_set("title")).alias("best"))
 
 
 BELIEF = "course_id string, key string, title string, kind string, start string, end string, all_day boolean, date_text string, confidence double, needs_review boolean, review_reason string, superseded string, detail string, sources array<string>, assumptions array<string>, read_at string"
@@ -104,19 +155,25 @@ BELIEF = "course_id string, key string, title string, kind string, start string,
 DETAIL_CHARS = 500
 
 
-def mentions_of(items: DataFrame) -> DataFrame:
+def mentions_of(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Items with their place to mentions with dates: BELIEF's columns, ``ord`` and ``pos``.
 
     items: course_id, ord (of the reading), pos, title, date_text, kind, url,
     source_url, posted_at, detail, start, end, all_day, review_reason, read_at,
     timezone. Untitled items go. A start makes an item exact; else its text is
-    read. An item with a review_reason goes to review whatever its date.
+    read. An item with a review_reason goes to review whatever its date. With
+    ``scratch`` items are written first, and where all of them are exact the
+    date language is left out of the plan, which it would make many times as long.
     """
     df = items.withColumn("title", T.clean_text(F.col("title"))).filter("title <> ''").withColumn("date_text", T.clean_text(F.coalesce("date_text", F.lit(""))))
     df = df.withColumns({"__seen": D.read_day(F.col("read_at")), "__posted": D.written_day(F.col("posted_at")), "__said": F.when(F.coalesce("start", F.lit("")) == "", F.col("date_text"))})
-    df = date_text.parse(df, "__said", "__seen", "timezone", "__posted")
-    p = F.when(F.coalesce("start", F.lit("")) != "", D.exact(F.col("start"), F.col("end"), F.col("all_day"), F.col("timezone"))).otherwise(F.col("parsed"))
-    df = df.withColumn("__p", p)
+    exact = D.exact(F.col("start"), F.col("end"), F.col("all_day"), F.col("timezone"))
+    if scratch is not None:
+        df, _ = scratch.write(df, "said")
+    if scratch is not None and df.filter("__said is not null").isEmpty():
+        df = df.withColumn("__p", exact)
+    else:
+        df = date_text.parse(df, "__said", "__seen", "timezone", "__posted").withColumn("__p", F.when(F.coalesce("start", F.lit("")) != "", exact).otherwise(F.col("parsed")))
     forced = F.coalesce("review_reason", F.lit("")) != ""
     own = F.when(F.col("__p.reason") != "", F.concat(F.lit(" ("), F.col("__p.reason"), F.lit(")"))).otherwise("")
     return df.select(
@@ -141,13 +198,13 @@ def mentions_of(items: DataFrame) -> DataFrame:
     )
 
 
-def resolve(items: DataFrame) -> DataFrame:
+def resolve(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One event for each course and title, BELIEF's columns; those with needs_review are for a person and never believed.
 
     Mentions of one item merge in order of reading and place; title and kind
     are those of the mention that stays.
     """
-    m = mentions_of(items)
+    m = mentions_of(items, scratch)
     folded = fold(m.withColumn("carry", F.to_json(F.struct("title", "kind", "read_at"))), ["course_id", "key"], ["ord", "pos"])
     told = F.from_json(F.col("event.carry"), "title string, kind string, read_at string")
     out = folded.withColumn("t", told).select("course_id", "key", "t.title", "t.kind", "t.read_at", *[F.col(f"event.{c}").alias(c) for c in FIELDS if c != "carry"])

@@ -113,7 +113,10 @@ def diff_guarded(spark, sf_dir):
 @query(f"""WITH {NIGHTS} SELECT coalesce(c.course_id, p.course_id) AS course_id, coalesce(c.key, p.key) AS key, CAST(coalesce(c.start, p.start) AS VARCHAR) AS start
 FROM prev p FULL JOIN cur c ON p.course_id = c.course_id AND p.key = c.key""")
 def diff_partial_upsert(spark, sf_dir):
-    return diff.partial_upsert(*nights(spark, sf_dir)).select("course_id", "key", "start")
+    """What a partial reading changes: its new and moved items; silence and equal items say nothing."""
+    prev, cur = nights(spark, sf_dir)
+    told = diff.sides(prev, cur).withColumn("type", F.when(F.col("after").isNull(), "kept").otherwise(diff.label())).withColumn("is_partial", F.lit(True))
+    return merged(prev, ledger.belief_delta(told), KEYS["belief"]).select("course_id", "key", "start")
 
 
 REWORDS = f"""WITH {NIGHTS}, r AS (SELECT p.* FROM prev p ANTI JOIN cur c ON p.key = c.key), a AS (SELECT c.* FROM cur c ANTI JOIN prev p ON p.key = c.key),
@@ -129,7 +132,7 @@ def _reword_sides(spark, sf_dir):
 
 @query(REWORDS + " SELECT course_id, removed, added, round(sim, 6) AS sim FROM s WHERE sim >= 0.55")
 def reword_pairs_jaccard(spark, sf_dir):
-    pairs = diff.reword_pairs(*_reword_sides(spark, sf_dir), score=T.jaccard)
+    pairs = diff.reword_pairs(*_reword_sides(spark, sf_dir), score=lambda x, y, _: T.shared_words(x, y))
     return pairs.select("course_id", "removed", "added", F.round("sim", 6).alias("sim"))
 
 

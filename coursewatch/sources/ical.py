@@ -50,9 +50,9 @@ def clean_summary(c: Column) -> Column:
 
 
 def zone(written: Column, default: Column) -> Column:
-    """TZID if it looks like a zone, else the course's."""
+    """TZID if it names a known zone of a region, else the course's."""
     tzid = F.regexp_extract(written, r'TZID="?([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)"?', 1)
-    return F.when(tzid.rlike("^[A-Z][A-Za-z_]+/[A-Z]"), tzid).otherwise(default)
+    return F.when(tzid.rlike("^[A-Z][A-Za-z_]+/[A-Z]"), D.known_zone(tzid, default)).otherwise(default)
 
 
 def moment(body: Column, name: str, tz: Column) -> Column:
@@ -74,6 +74,7 @@ def items(feeds: DataFrame) -> DataFrame:
     without a start gets 'TBD'.
     """
     tz = F.col("timezone")
+    feeds = feeds.withColumn("timezone", D.known_zone(tz))
     ev = feeds.filter(status(F.col("text")) == "ok").select("course_id", "source_url", "timezone", F.posexplode(components(F.col("text"))).alias("pos", "b"))
     b = F.col("b")
     ev = ev.withColumns({"title": clean_summary(F.coalesce(prop(b, "SUMMARY"), F.lit(""))), "s": moment(b, "DTSTART", tz), "e": moment(b, "DTEND", tz), "due": moment(b, "DUE", tz), "rrule": prop(b, "RRULE"), "url": F.coalesce(prop(b, "URL"), "source_url"), "detail": F.substring(T.clean_ascii(unescape(prop(b, "DESCRIPTION"))), 1, 500)})

@@ -43,22 +43,6 @@ def test_greedy_equals_one_pass(spark):
     assert {(r.removed, r.added) for r in diff.assign(df, Scratch(spark)).collect()} == want
 
 
-def test_counter_freezes_and_counts_once_a_day(spark):
-    day = lambda d: F.lit(f"2026-09-0{d}").cast("date")
-    empty = spark.createDataFrame([], "course_id string, key string, count int, first_missing date, last_counted date")
-    k = spark.createDataFrame([("c", "x")], "course_id string, key string")
-    none = k.filter("false")
-    one = diff.next_missing(empty, k, none, none, day(1))
-    assert one.first()["count"] == 1
-    again = diff.next_missing(one.drop("confirmed"), k, none, none, day(1))
-    assert again.first()["count"] == 1
-    frozen = diff.next_missing(one.drop("confirmed"), k, none, k, day(2))
-    assert frozen.first()["count"] == 1
-    two = diff.next_missing(one.drop("confirmed"), k, none, none, day(2))
-    assert two.first()["confirmed"]
-    assert diff.next_missing(one.drop("confirmed"), none, k, none, day(2)).count() == 0
-
-
 def mention(pos, start, **more):
     base = {"start": start, "end": start, "all_day": True, "date_text": start, "confidence": 0.85, "needs_review": False, "review_reason": "", "superseded": None, "detail": "", "sources": [f"s{pos}"], "assumptions": []}
     return ("k", pos, *(base | more).values())
@@ -77,6 +61,44 @@ def test_fold(spark):
     assert not fold(spark, mention(1, "2026-10-14"), mention(2, "2026-10-14T10:00:00-04:00", all_day=False))["all_day"]
 
 
+def test_fold_of_very_many_mentions(spark):
+    """A key with nearly all rows, over several Arrow batches, by the same rules as a loop; null keys are a key; an empty table gives none."""
+    def loop(rows):
+        event = None
+        for r in rows:
+            m = dict(zip(resolve.FIELDS[:-1], r, strict=True))
+            m |= {"sources": dict.fromkeys(m["sources"]), "assumptions": list(m["assumptions"])}
+            event = m if event is None else resolve.merge_two(event, m)
+        return event | {"sources": list(event["sources"]), "assumptions": list(event["assumptions"])}
+
+    many = [(("big", pos) if pos % 50 else (None, pos)) + mention(pos, f"2026-10-{14 + pos % 2 * (pos > 24_000)}", confidence=0.5 + pos % 7 / 20, sources=[f"s{pos % 9}"])[2:] for pos in range(25_000)]
+    schema = "key string, pos int, start string, end string, all_day boolean, date_text string, confidence double, needs_review boolean, review_reason string, superseded string, detail string, sources array<string>, assumptions array<string>"
+    found = {r.key: r for r in resolve.fold(spark.createDataFrame(many, schema).repartition(7), ["key"], ["pos"]).collect()}
+    for key in ("big", None):
+        rows = [m[2:] for m in many if m[0] == key]
+        want, got = loop(rows), found[key].event.asDict()
+        assert found[key].n_mentions == len(rows) and {k: got[k] for k in want} == want
+    assert resolve.fold(spark.createDataFrame([], schema), ["key"], ["pos"]).count() == 0
+
+
+def test_rewording_bounds_lose_nothing(spark):
+    words = "quiz essay final lab report draft one two three on the of".split()
+    titles = [" ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 5)) for i in range(40)] + ["", "!!", "a"]
+    side = lambda name: spark.createDataFrame([("c", f"{name}{i}", t, "2026-10-01", "2026-10-01", True) for i, t in enumerate(titles)], ITEM)
+    got = {(r.removed, r.added): r.sim for r in diff.reword_pairs(side("r"), side("a")).collect()}
+    pairs = spark.createDataFrame([(f"r{i}", f"a{j}", x, y) for i, x in enumerate(titles) for j, y in enumerate(titles)], "r string, a string, x string, y string")
+    slow = {(p.r, p.a): p.s for p in pairs.select("r", "a", T.similarity(T.slug(F.col("x")), T.slug(F.col("y"))).alias("s")).collect() if p.s >= diff.REWORD_THRESHOLD}
+    assert got == slow and len(got) > 100
+
+
+def test_unknown_zones(spark):
+    """A zone that isn't one falls back to the course's, and that to the default; other feeds are read all the same."""
+    event = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:Quiz\nDTSTART;TZID={0}:20261014T100000\nEND:VEVENT\nEND:VCALENDAR"
+    rows = [("a", "America/Chicago", event.format("America/Nowhere")), ("b", "Mars/Base", event.format("Europe/Berlin")), ("c", None, event.format("Eastern Time")), ("d", "Mars/Base", event.format("Mars/Base"))]
+    feed = spark.createDataFrame([(c, "u", z, t) for c, z, t in rows], "course_id string, source_url string, timezone string, text string")
+    assert {r.course_id: r.start for r in ical.items(feed).collect()} == {"a": "2026-10-14T10:00:00-05:00", "b": "2026-10-14T04:00:00-04:00", "c": "2026-10-14T10:00:00-04:00", "d": "2026-10-14T10:00:00-04:00"}
+
+
 def test_gate_of_too_many_deletions(spark):
     rows = [("c", "delete", None, True, False, 0.9, "e", True, 5, datetime.date(2026, 9, 1))] * 3 + [("d", "delete", None, True, False, 0.9, "e", True, 7, datetime.date(2026, 9, 1))] * 3
     df = spark.createDataFrame(rows, "course_id string, op string, course_state string, has_change boolean, needs_review boolean, confidence double, event_id string, confirmed boolean, n_belief int, start_day date")
