@@ -6,7 +6,9 @@ either vocabulary holds the two characters side by side. So the tokens of a
 text are those of its segments. Distinct segments are counted, tokenised and
 aligned once; how often two ids are linked in the corpus follows from their
 counts. The alignments of frequent segments, a bounded table, go to all tasks;
-those of rarer ones are joined back by segment; then texts are composed.
+those of rarer ones are joined back by segment. What is shuffled of a text is
+not the text but the numbers of its segments, the frequent ones by rank, and
+equal texts count once; then texts are composed.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 
-FREQUENT = 300_000
+FREQUENT = 500_000
 """Segments whose alignments go to all tasks, those of up to LONGEST characters that occur most."""
 LONGEST = 64
-SENT_PAIRS = 2_000_000
+SENT_PAIRS = 1_000_000
 """Id pairs whose counts go to all tasks, those linked most; rarer ones are joined."""
 HELD = 400_000
 """Distinct segments that a task counts before it passes them on."""
@@ -219,7 +221,7 @@ def _told(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, counts: np.ndarr
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         at = np.minimum(np.searchsorted(pairs, flat), max(0, len(pairs) - 1))
         here = pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
-        add = lambda v: np.add.reduceat(np.where(here, v[at], 0), starts) if len(pairs) else np.zeros(len(starts), np.int64)
+        add = lambda v: np.add.reduceat(np.where(here, v[at], 0).astype(np.int64), starts) if len(pairs) else np.zeros(len(starts), np.int64)
         rest = [flat[s:e][~here[s:e]].tolist() if not here[s:e].all() else [] for s, e in zip(starts, ends, strict=True)]
         keep = [b.column(c) for c in ("id", "segment", "n", "n_a", "n_b", "n_groups", "groups")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(add(best).astype(np.int64)), pa.array(add(counts).astype(np.int64)), pa.array(rest, pa.list_(pa.int64()))], ["id", "segment", "n", "n_a", "n_b", "n_groups", "groups", "n_best", "count_sum", "rest"])
@@ -264,7 +266,7 @@ def weighed(segments: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """Segments with n_best and count_sum: links whose pair is its B id's most frequent one, and the sum of all links' counts."""
     pairs = pair_counts(segments, scratch)
     sent = pairs.filter(F.col("count") >= most(pairs, "count", SENT_PAIRS)).orderBy("pair").toArrow()
-    shared = segments.sparkSession.sparkContext.broadcast([sent.column(c).to_numpy() for c in ("pair", "count", "best")])
+    shared = segments.sparkSession.sparkContext.broadcast([sent.column(c).to_numpy().astype(kind) for c, kind in (("pair", np.int64), ("count", np.int64), ("best", np.int8))])
     columns = "id long, segment string, n long, n_a long, n_b long, n_groups long, groups string, n_best long, count_sum long, rest array<long>"
     told, path = _written(segments.withColumn("id", F.monotonically_increasing_id()).mapInArrow(lambda batches: _told(batches, *shared.value), columns), scratch, "weighed")
     open_ = told.filter(F.size("rest") > 0)
@@ -283,10 +285,10 @@ SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 @dataclass
 class Frequent:
-    """Alignments of frequent segments: sums by row, and the groups as one text with the ends of each."""
+    """Alignments of frequent segments, the most frequent first: sums by row, and the groups as one text with the ends of each."""
 
     segments: str
-    sums: np.ndarray
+    sums: list[np.ndarray]
     groups: bytes
     ends: np.ndarray
     _ready: dict | None = field(default=None, compare=False)
@@ -304,54 +306,89 @@ def frequent(told: DataFrame) -> tuple[Frequent, int]:
     """The segments that go to all tasks, and the least count of those."""
     short = told.filter((F.length("segment") <= LONGEST) & ~F.contains("segment", F.lit("\0")))
     least = most(short, "n", FREQUENT)
-    rows = short.filter(F.col("n") >= least).select("segment", *SUMS, "groups").toArrow()
+    rows = short.filter(F.col("n") >= least).select("segment", "n", *SUMS, "groups").toArrow()
+    rows = rows.take(np.argsort(-rows.column("n").to_numpy(), kind="stable"))
     texts = rows.column("groups").combine_chunks().cast(pa.large_binary())
     ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
-    sums = np.stack([rows.column(c).to_numpy() for c in SUMS], 1)
+    # LONGEST characters have at most 4 bytes, and so tokens and links, each
+    sums = [rows.column(c).to_numpy().astype(np.int64 if c == "count_sum" else np.int16) for c in SUMS]
     return Frequent("\0".join(rows.column("segment").to_pylist()), sums, b"".join(texts.to_pylist()), ends.astype(np.int64)), least
 
 
+def to_code(numbers: np.ndarray) -> bytes:
+    """Whole numbers under 2^35 as bytes of 7 bits, low ones first, all but a number's last with the high bit set."""
+    n = numbers.astype(np.uint64)
+    sizes = 1 + sum((n >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - sizes
+    for k in range(5):
+        here = sizes > k
+        out[starts[here] + k] = ((n[here] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(sizes[here] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def from_code(code: bytes) -> np.ndarray:
+    raw = np.frombuffer(code, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts) if len(ends) else np.zeros(0, np.int64)
+
+
+def _numbered(segments: list[str], rows: dict[str, int]) -> tuple[list[int], list[str]]:
+    """Numbers of a text's segments, and its segments without a row: row r is 2 r, the i-th of the others 2 i + 1."""
+    other: dict[str, int] = {}
+    return [2 * r if (r := rows.get(s)) is not None else 2 * other.setdefault(s, len(other)) + 1 for s in segments], list(other)
+
+
 def _missed(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Frequent) -> Iterator[pa.RecordBatch]:
+    """(k, l, text) to the text's segments that ``known`` lacks, numbered."""
     rows = known.rows()
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
-            keys, found = [], []
-            for key, text in zip(whole.column(0).slice(at, 256).to_pylist(), whole.column(1).slice(at, 256), strict=True):
-                if words.fits(t := text.as_py()):
-                    other = [s for s in set(words.cut(t)) if s not in rows]
+            b = whole.slice(at, 256)
+            from_, numbers, found = [], [], []
+            for i in range(b.num_rows):
+                if words.fits(t := b.column(2)[i].as_py()):
+                    other = _numbered(words.cut(t), rows)[1]
+                    from_ += [i] * len(other)
+                    numbers += range(len(other))
                     found += other
-                    keys += [key] * len(other)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["k", "segment"])
+            keys = [b.column(c).take(pa.array(from_, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers, pa.int32()), pa.array(found, pa.string())], ["k", "l", "i", "segment"])
+
+
+def _coded(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Frequent) -> Iterator[pa.RecordBatch]:
+    """(k, l, text) to (k, l, code) of texts that have tokens."""
+    rows = known.rows()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            codes = [to_code(np.array(_numbered(words.cut(t), rows)[0], np.int64)) if words.fits(t := x.as_py()) else None for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], ["k", "l", "code"])
 
 
-def _composed(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Frequent) -> Iterator[pa.RecordBatch]:
-    """(key, text, rest) to the key, the sums and the groups' digest; ``rest`` has the alignments that ``known`` lacks."""
-    rows, ends, texts = known.rows(), known.ends.tolist(), known.groups
+def _composed(batches: Iterator[pa.RecordBatch], known: Frequent) -> Iterator[pa.RecordBatch]:
+    """(k, l, n, code, rest) to the sums and the groups' digest; ``rest`` has the alignments that ``known`` lacks."""
+    ends, texts, sums_of = known.ends.tolist(), known.groups, known.sums
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             b = whole.slice(at, 256)
             sums, digests = np.zeros((b.num_rows, len(SUMS)), np.int64), []
             for i in range(b.num_rows):
-                text = b.column(1)[i].as_py()
-                if not words.fits(text):
-                    digests.append("")
-                    continue
-                own = {r["segment"]: r for r in b.column(2)[i].as_py() or ()}
-                hits, parts = [], []
-                for s in words.cut(text):
-                    k = rows.get(s)
-                    if k is None:
-                        r = own[s]
-                        sides = [g.split("|") for g in r["groups"].split(";")]
-                        sums[i] += [*(sum(g[x].count(",") + 1 for g in sides) for x in (0, 1)), len(sides), r["n_best"], r["count_sum"]]
-                        parts.append(r["groups"].encode())
-                    else:
-                        hits.append(k)
-                        parts.append(texts[ends[k] : ends[k + 1]])
-                if hits:
-                    sums[i] += known.sums[hits].sum(0)
+                numbers = from_code(b.column(3)[i].as_py())
+                hits = numbers[numbers % 2 == 0] >> 1
+                sums[i] = [v[hits].sum(dtype=np.int64) for v in sums_of]
+                own = {}
+                for r in b.column(4)[i].as_py() or ():
+                    sides = [g.split("|") for g in r["groups"].split(";")]
+                    own[2 * r["i"] + 1] = r["groups"].encode(), [*(sum(g[x].count(",") + 1 for g in sides) for x in (0, 1)), len(sides), r["n_best"], r["count_sum"]]
+                for x, n in zip(*np.unique(numbers[numbers % 2 == 1], return_counts=True), strict=True):
+                    sums[i] += int(n) * np.array(own[int(x)][1])
+                parts = [own[x][0] if x % 2 else texts[ends[x >> 1] : ends[(x >> 1) + 1]] for x in numbers.tolist()]
                 digests.append(hashlib.sha256(b";".join(parts)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(sums[:, k]) for k in range(len(SUMS))], pa.array(digests, pa.string())], ["key", *SUMS, "groups_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(sums[:, k]) for k in range(len(SUMS))], pa.array(digests, pa.string())], ["k", "l", "n", *SUMS, "groups_sha256"])
 
 
 def aligned_documents(docs: DataFrame, words: Vocabularies, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -370,15 +407,19 @@ def aligned_documents(docs: DataFrame, words: Vocabularies, scratch: Scratch, te
     scratch.drop(path)
     table, least = frequent(told)
     known = context.broadcast(table)
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("k"))
-    missed = texts.select("k", "text").mapInArrow(lambda batches: _missed(batches, shared.value, known.value), "k long, segment string")
-    # a segment that wasn't sent is rare or long; rows of equal k from different texts only add to each other's list
+    by = ["k", "l"]  # a text's name, 128 bits
+    names = [F.xxhash64(text).alias("k"), F.xxhash64(F.lit(11), text).alias("l")]
+    texts = docs.select(*names, F.col(text).alias("text"))
+    missed = texts.mapInArrow(lambda batches: _missed(batches, shared.value, known.value), "k long, l long, i int, segment string")
     others = told.filter((F.col("n") < least) | (F.length("segment") > LONGEST) | F.contains("segment", F.lit("\0"))).select("segment", "groups", "n_best", "count_sum")
-    rest = missed.join(others, "segment").groupBy("k").agg(F.collect_set(F.struct("segment", "groups", "n_best", "count_sum")).alias("rest"))
-    rest, _ = _written(rest, scratch, "rest")
+    # a segment that wasn't sent is rare or long: no key of this join is a large share of its rows
+    rest = missed.join(others, "segment").groupBy(*by).agg(F.collect_set(F.struct("i", "groups", "n_best", "count_sum")).alias("rest"))
+    coded = texts.mapInArrow(lambda batches: _coded(batches, shared.value, known.value), "k long, l long, code binary").filter("code is not null")
+    once = coded.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first("code").alias("code"))
+    both = once.join(rest, by, "left").select(*by, "n", "code", "rest")
+    found, _ = scratch.write(both.mapInArrow(lambda batches: _composed(batches, known.value), "k long, l long, n long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string"), "composed")
     scratch.drop(told_path)
-    both = texts.join(rest, "k", "left").select("key", "text", "rest")
-    kind = docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
-    out = both.mapInArrow(lambda batches: _composed(batches, shared.value, known.value), f"key {kind}, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
-    links = (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links")  # a group of p and q tokens has p + q - 1 links
-    return out.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", links, "n_best", "count_sum", "groups_sha256")
+    out = join_hot(docs.select(F.col(key).alias("key"), *names), found, by, scratch, how="left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    links = F.coalesce(F.col("n_a") + F.col("n_b") - F.col("n_groups"), F.lit(0)).alias("n_links")  # a group of p and q tokens has p + q - 1 links
+    return out.select(F.col("key").alias(key), zero("n_a"), zero("n_b"), zero("n_groups"), links, zero("n_best"), zero("count_sum"), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))

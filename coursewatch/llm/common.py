@@ -48,7 +48,7 @@ SENT_ROWS = 100_000
 SALTS = 64
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str | list[str], scratch: Scratch, how: str = "inner") -> DataFrame:
     """``big`` with ``small``, which has one row a key, and in ``n`` how many rows of ``big`` have it; ``n`` is left out.
 
     Keys with over HOT_ROWS rows are joined apart, so that none fills a task:
@@ -56,12 +56,13 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, scratch: Scratch, how:
     while they are SENT_ROWS at most. Beyond that each is copied SALTS times
     and big's rows are dealt by key and salt.
     """
+    key = [key] if isinstance(key, str) else key
     hot, _ = scratch.write(small.filter(F.col("n") > HOT_ROWS).drop("n"), "hot-keys")
     cold = small.filter(F.col("n") <= HOT_ROWS).drop("n")
     if hot.count() <= SENT_ROWS:
         hot = F.broadcast(hot)
-        return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key, how))
+        return big.join(hot, key).unionByName(big.join(hot.select(*key), key, "left_anti").join(cold, key, how))
     salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copies = hot.withColumns({"__salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), "__hot": F.lit(True)})
-    both = salted.join(copies, [key, "__salt"], "left")
+    both = salted.join(copies, [*key, "__salt"], "left")
     return both.filter("__hot").drop("__salt", "__hot").unionByName(both.filter("__hot is null").select(*big.columns).join(cold, key, how))

@@ -130,6 +130,12 @@ def test_cuts_keep_tokens(words):
     assert (";", "\r") in words.unsafe and "▁" in words.odd
 
 
+def test_codes_round_trip():
+    rng = np.random.default_rng(4)
+    for numbers in ([], [0], [127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**34], rng.integers(0, 1 << 20, 5000)):
+        assert alignment.from_code(alignment.to_code(np.array(numbers, np.int64))).tolist() == list(numbers)
+
+
 def test_alignment_on_hard_rows(spark, hard, empty, words):
     rows = alignment.aligned_documents(hard, words, Scratch(spark)).collect()
     expected = Counter(zip([r[0] for r in HARD], brute_alignment([r[1] for r in HARD]), strict=True))
