@@ -116,7 +116,7 @@ def test_nights(spark):
         assert run.courses.filter("course_id = 'x'").first().state == ("unreadable" if bad else "not_read")
     mail = night(spark, [reading("x", 7, "error"), reading("x", 7, partial=True, ord_=2)], [item("x", 0, "Lab", "now Oct 23", ord_=2)], belief, None, known)
     assert [(c.type, c.note) for c in mail.changes.collect()] == [("moved", "2026-10-20 -> 2026-10-23 (from a partial source)")]
-    assert [f.note for f in mail.failures.collect()] == ["u failed (down); the course's other sources were used"]
+    assert [f.note for f in mail.failures.collect()] == ["page-1 failed (down); the course's other sources were used"]
     assert {n.note for n in nightly.notes(gone).collect()} == {"1 item(s) missing once; no deletion until confirmed on a later day"}
     lines = nightly.night_summary(second, spark.createDataFrame([("x", "Course X")], "course_id string, name string")).collect()
     assert any(r.line.startswith("MOVED — Course X: Lab — 2026-10-20 -> 2026-10-22") for r in lines)
