@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, join_hot
 
-FREQUENT = 500_000
+FREQUENT = 350_000
 """Segments whose alignments go to all tasks, those of up to LONGEST characters that occur most."""
 LONGEST = 64
 SENT_PAIRS = 1_000_000
@@ -336,10 +337,20 @@ def from_code(code: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts) if len(ends) else np.zeros(0, np.int64)
 
 
-def _numbered(segments: list[str], rows: dict[str, int]) -> tuple[list[int], list[str]]:
-    """Numbers of a text's segments, and its segments without a row: row r is 2 r, the i-th of the others 2 i + 1."""
-    other: dict[str, int] = {}
-    return [2 * r if (r := rows.get(s)) is not None else 2 * other.setdefault(s, len(other)) + 1 for s in segments], list(other)
+def _others(segments: list[str], rows: dict[str, int]) -> dict[str, int]:
+    """A text's segments without a row, numbered in order of place."""
+    return {s: i for i, s in enumerate(dict.fromkeys(filterfalse(rows.__contains__, segments)))}
+
+
+def _numbered(segments: list[str], rows: dict[str, int]) -> np.ndarray:
+    """Numbers of a text's segments: row r is 2 r, the i-th of the others 2 i + 1."""
+    other = _others(segments, rows)
+    found = np.fromiter((-1 if r is None else r for r in map(rows.get, segments)), np.int64, len(segments))
+    numbers = 2 * found
+    if other:
+        gone = np.flatnonzero(found < 0)
+        numbers[gone] = [2 * other[segments[k]] + 1 for k in gone.tolist()]
+    return numbers
 
 
 def _missed(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Frequent) -> Iterator[pa.RecordBatch]:
@@ -351,7 +362,7 @@ def _missed(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Frequ
             from_, numbers, found = [], [], []
             for i in range(b.num_rows):
                 if words.fits(t := b.column(2)[i].as_py()):
-                    other = _numbered(words.cut(t), rows)[1]
+                    other = _others(words.cut(t), rows)
                     from_ += [i] * len(other)
                     numbers += range(len(other))
                     found += other
@@ -365,7 +376,7 @@ def _coded(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Freque
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             b = whole.slice(at, 256)
-            codes = [to_code(np.array(_numbered(words.cut(t), rows)[0], np.int64)) if words.fits(t := x.as_py()) else None for x in b.column(2)]
+            codes = [to_code(_numbered(words.cut(t), rows)) if words.fits(t := x.as_py()) else None for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], ["k", "l", "code"])
 
 
