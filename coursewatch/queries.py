@@ -19,6 +19,7 @@ from .plans import checkin, ledger, nightly, reports, slots
 from .plans.state import KEYS, Store, merged
 from .scratch import Scratch
 from .sources import html_items, ical, mail, rest_json
+from .streaming import deadlines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -985,6 +986,27 @@ def checkin_action(spark, sf_dir):
     return _at(spark, sf_dir).select("event_id", checkin.action(F.col("minute"), checkin.minutes(F.lit("21:30")), F.lit(90), F.col("event_type") == "signup", scheduled).alias("action"))
 
 
+@query("""WITH e AS (SELECT user_id AS person, ts - INTERVAL 5 HOUR AS t FROM events), f AS (SELECT person, CAST(t AS DATE) AS day, min(t) AS t FROM e GROUP BY ALL),
+d AS (SELECT person, CAST(x AS DATE) AS day FROM (SELECT DISTINCT person FROM e), generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-02-03', INTERVAL 1 DAY) g(x)),
+m AS (SELECT person, day, t, day + INTERVAL 1290 MINUTE AS due, day + INTERVAL 1380 MINUTE AS late FROM d LEFT JOIN f USING (person, day)),
+s AS (SELECT person, day, 'remind' AS stage, due AS t FROM m WHERE coalesce(t > due, true) UNION ALL SELECT person, day, 'missed', late FROM m WHERE coalesce(t > late, true) UNION ALL SELECT person, day, 'all_clear', t FROM m WHERE t > late)
+SELECT person, CAST(day AS VARCHAR) AS day, stage, strftime(t + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS "at" FROM s""")
+def checkin_deadlines(spark, sf_dir):
+    """Events as a stream of check-ins of people in New York who are asked at 21:30 every day with 90 minutes' grace: timers of keyed state say when somebody must be reminded, was missed, or is back."""
+    e = table(spark, sf_dir, "events")
+    none = lambda kind: F.lit(None).cast(kind)
+    at = lambda text: F.lit(text).cast("timestamp")
+    row = lambda df, when, kind: df.select(F.col("person").cast("bigint").alias("person"), when.alias("at"), F.lit(kind).alias("kind"), none("string").alias("due"), none("int").alias("grace"), none("array<string>").alias("days"), none("string").alias("timezone"))
+    people = e.select(F.col("user_id").alias("person")).distinct()
+    asked = row(people, at("2023-12-31 12:00:00"), "settings").withColumns({"due": F.lit("21:30"), "grace": F.lit(90), "days": F.array(*map(F.lit, checkin.DAYS)), "timezone": F.lit(NY)})
+    came = row(e.select(F.col("user_id").alias("person"), "ts"), F.col("ts").cast("timestamp"), "checkin")
+    clock = row(people.limit(1), at("2024-02-04 12:00:00"), "clock")
+    scratch = Scratch(spark)
+    _, path = scratch.write(asked.unionByName(came).unionByName(clock), "events")
+    found = deadlines.over_files(spark, path, scratch)
+    return found.select("person", F.col("day").cast("string").alias("day"), "stage", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 SENT = """sent AS (SELECT 'missed:' || CAST(ts AS DATE) || ':' || user_id || ':' || event_id AS key, CASE event_type WHEN 'click' THEN 'missed' WHEN 'error' THEN 'clear' ELSE 'share' END AS kind, CAST(user_id AS VARCHAR) AS "to", CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CAST(ts AS DATE) AS day FROM events)"""
 
 

@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans import checkin
+from ..scratch import Scratch
 
 EVENT = "person bigint, at timestamp, kind string, due string, grace int, days array<string>, timezone string"
 """kind is settings (with the fields after it), checkin, or clock, which only moves the time on."""
@@ -117,7 +118,7 @@ def _utc(at: datetime) -> datetime:
 
 
 def _ms(at: datetime) -> int:
-    return round(at.timestamp() * 1000)
+    return (at - datetime(1970, 1, 1, tzinfo=ZoneInfo("UTC"))) // timedelta(milliseconds=1)
 
 
 def _moment(person: int, at: int, stage: str, day: str) -> Row:
@@ -136,6 +137,18 @@ def moments(events: DataFrame, late: str = "0 seconds") -> DataFrame:
     return events.withWatermark("at", late).groupBy("person").transformWithState(Deadlines(), MOMENT, "Append", "EventTime")
 
 
+def over_files(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """MOMENT of the events in the files at ``path``, run to the end once: for replays, and for questions about the past."""
+    out, name = scratch.path("moments"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        moments(spark.readStream.schema(EVENT).parquet(path)).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path("timers")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return spark.read.schema(MOMENT).parquet(out)
+
+
 def planned(found: DataFrame, people: DataFrame, contacts: DataFrame, checkins: DataFrame, sent: DataFrame, plans: DataFrame, places: DataFrame, zone: Column | None = None) -> DataFrame:
     """The planner's messages at each of the moments ``found``: (person, stage, at) and checkin.MESSAGE, ``blocked``.
 

@@ -159,6 +159,42 @@ def test_streamed_counter_equals_batch(spark, tmp_path):
     assert streamed == batch
 
 
+def test_deadline_timers_and_the_planner(spark, tmp_path):
+    """Silence reminds at due and alerts at the end of grace, once each, whatever order rows come in; the planner says it; who comes back is cleared."""
+    from coursewatch.plans import checkin
+    from coursewatch.streaming import deadlines
+
+    at, days = datetime.datetime.fromisoformat, list(checkin.DAYS)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", deadlines.ROCKS)
+    settings = [(1, at("2024-01-01T00:00"), "settings", "21:30", 90, days, "UTC"), (2, at("2024-01-01T00:00"), "settings", "21:30", 90, ["wed"], "America/New_York")]
+    row = lambda person, when, kind="checkin": (person, at(when), kind, None, None, None, None)
+    batches = [
+        [*settings, row(1, "2024-01-01T20:00"), row(1, "2024-01-02T22:00")],
+        [row(1, "2024-01-03T23:10"), row(1, "2024-01-04T21:30"), row(0, "2024-01-04T03:00", "clock")],
+        [row(1, "2024-01-04T09:00"), row(0, "2024-01-05T12:00", "clock")],
+    ]
+    said, sent = [], []
+    person = {"person": 0, "enabled": True, "owner_name": "Ann", "now": None, "timezone": "UTC", "checkin_enabled": True, "due": "21:30", "grace": 90, "days": days, "quiet_start": "00:00", "quiet_end": "00:00", "share_enabled": False, "share_day": "sun", "share_time": "18:00", "share_contacts": [], "cap": 5, "include_location": False}
+    people = spark.createDataFrame([tuple((person | {"person": p, "timezone": z}).values()) for p, z in ((1, "UTC"), (2, "America/New_York"))], checkin.PERSON)
+    contacts = spark.createDataFrame([(p, "mum", "Mum", "m@x.test", 0) for p in (1, 2)], "person bigint, contact string, name string, address string, pos int")
+    seen = spark.createDataFrame([(1, at(r[1].date().isoformat()).date(), r[1], None, None) for b in batches for r in b if r[2] == "checkin"], "person bigint, day date, at timestamp_ntz, note string, place string")
+
+    def send(df, n):
+        log = spark.createDataFrame(sent, "person bigint, key string, kind string, to string, status string, day date")
+        empty = lambda names: spark.createDataFrame([], names)
+        said.extend((r.person, r.stage, str(r.at)) for r in df.collect())
+        for m in deadlines.planned(df, people, contacts, seen, log, empty("person bigint, day date, note string"), empty("person bigint, place string, seen_at timestamp_ntz")).collect():
+            sent.append((m.person, m.key, m.key.split(":")[0], m.to, "ok", m.at.date()))
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, deadlines.EVENT).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+        stream = spark.readStream.schema(deadlines.EVENT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        deadlines.each_moment(stream, send, str(tmp_path / "cp")).awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(said) == sorted([(1, "remind", "2024-01-02 21:30:00"), (1, "remind", "2024-01-03 21:30:00"), (1, "missed", "2024-01-03 23:00:00"), (1, "all_clear", "2024-01-03 23:10:00"), (2, "remind", "2024-01-04 02:30:00"), (2, "missed", "2024-01-04 04:00:00")])
+    assert sorted(m[:2] for m in sent) == sorted([(1, "remind:2024-01-02"), (1, "remind:2024-01-03"), (1, "missed:2024-01-03:mum"), (2, "remind:2024-01-03"), (2, "missed:2024-01-03:mum")])
+
+
 def test_reports(spark):
     import uuid
 
