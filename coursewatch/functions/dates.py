@@ -33,7 +33,8 @@ DEFAULT_ZONE = "America/New_York"
 
 def known_zone(zone: Column, default: Column | None = None) -> Column:
     """The zone if Spark knows it, else ``default``, else DEFAULT_ZONE: an unknown name must not stop a job."""
-    known = lambda z: F.try_make_timestamp(F.lit(2000), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), z).isNotNull()
+    # a time written with the zone can be read only if there is such a zone; other ways of asking fail
+    known = lambda z: z.rlike(r"^[A-Za-z+-][A-Za-z0-9_+:/-]*$") & F.concat(F.lit("2000-01-01 00:00:00 "), z).try_cast("timestamp").isNotNull()
     other = F.lit(DEFAULT_ZONE) if default is None else F.when(known(default), default).otherwise(DEFAULT_ZONE)
     return F.when(known(zone), zone).otherwise(other)
 

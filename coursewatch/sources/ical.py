@@ -94,6 +94,29 @@ def items(feeds: DataFrame) -> DataFrame:
     )
 
 
+NIGHT_ITEM = ("course_id", "ord", "pos", "title", "date_text", "kind", "url", "source_url", "posted_at", "detail", "start", "end", "all_day", "review_reason", "read_at", "timezone")
+"""Columns of items as a night takes them."""
+
+
+def for_a_night(items_: DataFrame, ord_: int) -> DataFrame:
+    """Items of a source as a night takes them: reading number ``ord_`` of each course, columns that the source lacks null."""
+    have = items_.withColumn("ord", F.lit(ord_))
+    return have.select(*[F.col(c) if c in have.columns else F.lit(None).cast("boolean" if c == "all_day" else "string").alias(c) for c in NIGHT_ITEM])
+
+
+def readings(feeds: DataFrame, ord_: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Readings and items of what feeds gave, for a night: (course_id, source_url, timezone, text, error, read_at), a row a feed.
+
+    A feed that couldn't be had, or is no calendar, is an error with its reason;
+    one without text is empty. Each course has one feed here; give further ones
+    another ``ord_``.
+    """
+    had = F.when(F.col("error").isNotNull(), "error").otherwise(status(F.col("text")))
+    why = F.coalesce("error", F.when(had == "error", "not a calendar"))
+    told = feeds.select("course_id", F.lit(ord_).alias("ord"), "source_url", "read_at", had.alias("status"), why.alias("error"), D.known_zone(F.col("timezone")).alias("timezone"), F.lit(False).alias("partial"))
+    return told, for_a_night(items(feeds.filter(F.col("error").isNull())), ord_)
+
+
 TIMEOUT_S = 30
 
 
