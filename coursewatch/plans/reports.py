@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,43 @@ def snapshot_json(belief: DataFrame) -> DataFrame:
     return belief.filter("start is not null").groupBy("course_id").agg(F.to_json(F.struct(F.first("course_id").alias("id"), F.sort_array(F.collect_list(item)).alias("items"))).alias("body"))
 
 
+EPISODES = "2f1c1d7e6d3a4d249e3f7c1b1a7b0a11"
+"""Fixed value: the namespace of episode ids."""
+PART_ITEMS = 500
+"""Items of a course that one snapshot episode holds; a course with more has several, numbered."""
+
+
+def episodes(changes: DataFrame, belief: DataFrame, names: DataFrame, run_id: str, as_of: str, group: str = "courses") -> DataFrame:
+    """A run's episodes for a temporal graph: key, uuid, name, body, source, reference_time, group_id.
+
+    One for each change, a sentence, and for each course its dated items as JSON
+    in order of start and title, PART_ITEMS an episode, so that no course is
+    collected whole. The ids follow from run and key: sending again is the same.
+    """
+    day = F.lit(as_of[:10])
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    named = lambda df: df.join(names.select("course_id", F.col("name").alias("_name")), "course_id", "left").withColumn("_name", F.coalesce("_name", "course_id"))
+    at = lambda side: when(F.col(f"{side}.start"), F.col(f"{side}.end"), F.col(f"{side}.all_day"))
+    reworded = F.col("type") == "reworded"
+    body = episode_body(F.col("_name"), F.coalesce("after.kind", "before.kind"), F.col("type"), F.col("title"), F.when(reworded, F.col("before.title")).otherwise(at("before")), at("after"), day)
+    source = F.get(F.coalesce("after.sources", "before.sources"), F.lit(0))
+    told = named(changes).select(F.col("key"), F.col("type").alias("_kind"), say(F.col("type"), ": ", F.col("title"), " (", F.col("course_id"), ")").alias("name"), say(body, F.when(F.coalesce(source, F.lit("")) != "", say(" Source: ", source, ".")).otherwise("")).alias("body"), F.lit("text").alias("source"))
+    dated = named(belief.filter("start is not null"))
+    # items of a course are numbered by month of start first, then within it: no window holds a course
+    month = F.substring("start", 1, 7)
+    sizes = dated.groupBy("course_id", month.alias("_month")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("course_id").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("course_id", "_month").orderBy("start", "title", "key")) - 1
+    placed = dated.withColumn("_month", month).join(before, ["course_id", "_month"]).withColumn("_place", place).withColumn("_part", F.floor(F.col("_place") / PART_ITEMS))
+    item = F.struct("title", "kind", "start", "end", "all_day", F.get("sources", F.lit(0)).alias("source"))
+    parts = placed.groupBy("course_id", "_name", "_part").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    number = F.when(F.col("_part") > 0, say(" (", (F.col("_part") + 1).cast("string"), ")")).otherwise("")
+    text = F.to_json(F.struct(F.struct(F.col("course_id").alias("id"), F.col("_name").alias("name")).alias("course"), day.alias("observed_on"), "items"))
+    whole = parts.select(say(F.col("course_id"), F.when(F.col("_part") > 0, say("#", F.col("_part").cast("string"))).otherwise("")).alias("key"), F.lit("snapshot").alias("_kind"), say("snapshot: ", F.col("_name"), " on ", day, number).alias("name"), text.alias("body"), F.lit("json").alias("source"))
+    id_ = uuid5(EPISODES, F.concat_ws("|", F.lit(run_id), "_kind", "key"))
+    return told.unionByName(whole).select("key", id_.alias("uuid"), "name", "body", "source", F.lit(as_of).alias("reference_time"), F.lit(group).alias("group_id"))
+
+
 def content_hash(c: Column) -> Column:
     return F.substring(F.sha1(c), 1, 12)
 

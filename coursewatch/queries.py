@@ -719,6 +719,20 @@ def night_belief(spark, sf_dir):
     return run.belief(believed).select("course_id", "key", "start")
 
 
+@query(f"""WITH {NIGHT}, c AS (SELECT n.*, regexp_replace(n.key, '^[^:]*::', '') AS title FROM night n WHERE type <> 'pending_removal'), e AS (SELECT c.*, CAST(p.start AS VARCHAR) AS old, CAST(q.start AS VARCHAR) AS new FROM c LEFT JOIN prev p ON p.key = c.key LEFT JOIN cur q ON q.key = c.key)
+SELECT key, type || ': ' || title || ' (' || course_id || ')' AS name, CASE type WHEN 'moved' THEN 'In ' || course_id || ' the assignment ' || chr(39) || title || chr(39) || ' moved from ' || old || ' to ' || new || ', seen on 2024-05-02.'
+  WHEN 'added' THEN 'In ' || course_id || ' a new assignment ' || chr(39) || title || chr(39) || ' is scheduled for ' || new || ', first seen on 2024-05-02.'
+  ELSE 'In ' || course_id || ' ' || chr(39) || left(title, length(title) - 8) || chr(39) || ' is now titled ' || chr(39) || title || chr(39) || ', seen on 2024-05-02.' END || ' Source: u.' AS body FROM e
+UNION ALL SELECT course_id || CASE WHEN i > 0 THEN '#' || i ELSE '' END, 'snapshot: ' || course_id || ' on 2024-05-02' || CASE WHEN i > 0 THEN ' (' || (i + 1) || ')' ELSE '' END, CAST(least(500, n - 500 * i) AS VARCHAR)
+FROM (SELECT course_id, count(*) AS n FROM prev GROUP BY 1), unnest(range(0, (n - 1) // 500 + 1)) AS u(i)""")
+def run_episodes(spark, sf_dir):
+    """Episodes of the second night's changes and of what was believed before it; of a snapshot's JSON its number of items."""
+    run, believed = _second_night(spark, sf_dir)
+    found = reports.episodes(run.changes, believed, _names(believed), "night-2", "2024-05-02T23:00:00-04:00")
+    n = F.size(F.from_json("body", "items array<struct<title:string>>")["items"]).cast("string")
+    return found.select("key", "name", F.when(F.col("source") == "json", n).otherwise(F.col("body")).alias("body"))
+
+
 @query("""SELECT * FROM (VALUES ('c7', 'unreadable'), ('c8', 'not_read'), ('c9', 'unreadable')) AS t(course_id, state)""")
 def night_courses(spark, sf_dir):
     run, _ = _second_night(spark, sf_dir)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coursewatch.plans.state import Store
-from coursewatch.sources import ical, polling, rest_json, store_table
+from coursewatch.plans import nightly
+from coursewatch.sources import ical, polling, rest_json, sink, store_table
 
 FEED = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:{0}\nDTSTART;VALUE=DATE:20261014\nEND:VEVENT\nEND:VCALENDAR"
 
@@ -115,3 +116,33 @@ def test_store_as_a_table(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM course_belief b JOIN course_changes c ON b.key = c.key WHERE c.run_id = 'r1'").first()[0] == 2
     with pytest.raises(Exception, match="has no table"):
         store_table.load(spark, str(tmp_path), "nothing")
+
+
+def test_sink_sends_each_row_once(spark, tmp_path):
+    """Failed rows are sent again, done ones aren't, whatever the job's attempt; answers are what a night records."""
+    got, down = [], {"k3"}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            row = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append((row["key"], self.headers["Idempotency-Key"]))
+            self.send_response(503 if row["key"] in down else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"event_id": "e-" + row["key"]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, results = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "results")
+    ops = spark.createDataFrame([(f"k{i}", "create", None, f"Quiz {i}") for i in range(9)], "key string, op string, event_id string, summary string")
+    first = {(r.key, r.status): r.event_id for r in sink.send(ops, url, results, parts=3).collect()}
+    assert first == {(f"k{i}", "ok"): f"e-k{i}" for i in range(9) if i != 3} | {("k3", "failed"): None}
+    assert sorted(k for k, _ in got) == sorted(f"k{i}" for i in range(9)) and ("k1", "create:k1") in got
+    got.clear()
+    down.clear()
+    second = sink.send(ops, url, results, parts=3)
+    assert got == [("k3", "create:k3")] and {r.status for r in second.collect()} == {"ok"} and second.count() == 9
+    assert set(second.columns) == {f.split()[0] for f in nightly.RESULTS.split(", ")}
+    server.shutdown()
