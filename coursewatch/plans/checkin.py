@@ -39,29 +39,34 @@ def said_key(day: Column, contact: Column, body: Column) -> Column:
     return F.concat_ws(":", F.lit("say"), day.cast("string"), contact, F.substring(F.sha1(body), 1, 10))
 
 
-def gated(messages: DataFrame, sent: DataFrame, today: Column, cap: int = 2) -> DataFrame:
-    """Messages not sent yet, with blocked set where the contact's daily cap is reached.
+def gated(messages: DataFrame, sent: DataFrame, people: DataFrame) -> DataFrame:
+    """Messages not sent yet, with ``blocked`` set where the contact's daily cap is reached.
 
-    messages: (key, kind, to); sent: (key, kind, to, status, day). All-clears
-    and the owner are exempt and all-clears don't count; messages approved in
-    the same plan don't count either.
+    messages: (person, key, kind, to, ...); sent: (person, key, kind, to,
+    status, day); people: (person, today, cap), a null cap counts as 2.
+    All-clears and the owner are exempt and all-clears don't count; messages
+    approved in the same plan don't count either.
     """
-    fresh = messages.join(sent.filter("status = 'ok'").select("key").distinct(), "key", "left_anti")
-    used = sent.filter((F.col("status") == "ok") & (F.col("day") == today) & (F.col("kind") != "clear")).groupBy("to").agg(F.count(F.lit(1)).alias("n"))
-    over = (F.coalesce("n", F.lit(0)) >= cap) & (F.col("kind") != "clear") & (F.col("to") != "owner")
-    return fresh.join(used, "to", "left").withColumn("blocked", F.when(over, F.concat(F.lit("daily cap reached for "), F.col("to")))).drop("n")
+    fresh = messages.join(sent.filter("status = 'ok'").select("person", "key").distinct(), ["person", "key"], "left_anti")
+    today = people.select("person", F.col("today").alias("day"))
+    used = sent.filter("status = 'ok' and kind <> 'clear'").join(today, ["person", "day"], "left_semi").groupBy("person", "to").agg(F.count(F.lit(1)).alias("_n"))
+    over = (F.coalesce("_n", F.lit(0)) >= F.coalesce("cap", F.lit(2))) & ~F.col("kind").isin("clear", "all_clear") & (F.col("to") != "owner")
+    both = fresh.join(used, ["person", "to"], "left").join(people.select("person", "cap"), "person")
+    return both.select(*messages.columns, F.when(over, F.concat(F.lit("daily cap reached for "), F.col("to"))).alias("blocked"))
 
 
-def all_clears(contacts: DataFrame, sent: DataFrame, day: Column) -> DataFrame:
-    """Contacts that were alerted today, and only they."""
-    alerted = sent.filter((F.col("status") == "ok") & (F.col("kind") == "missed") & (F.col("day") == day)).select(F.col("to").alias("contact")).distinct()
-    return contacts.join(alerted, "contact", "left_semi").withColumn("key", message_key("clear", day, F.col("contact")))
+def all_clears(contacts: DataFrame, sent: DataFrame) -> DataFrame:
+    """Contacts (person, today, to, ...) that were alerted today, and only they, with the key of their all-clear."""
+    alerted = sent.filter("status = 'ok'").select("person", F.col("key").alias("_alert")).distinct()
+    asked = contacts.withColumn("_alert", message_key("missed", F.col("today"), F.col("to")))
+    return asked.join(alerted, ["person", "_alert"], "left_semi").drop("_alert").withColumn("key", message_key("clear", F.col("today"), F.col("to")))
 
 
-def last_checkin(checkins: DataFrame, until: Column) -> DataFrame:
-    """The latest check-in of each person on or before a day: (person, day, at)."""
-    best = F.max(F.struct("day", "at"))
-    return checkins.filter(F.col("day") <= until).groupBy("person").agg(best.alias("b")).select("person", "b.day", "b.at")
+def last_checkin(checkins: DataFrame, until: DataFrame) -> DataFrame:
+    """The latest check-in (person, day, at, ...) of each person on or before a day. until: (person, until)."""
+    rest = [c for c in checkins.columns if c not in ("person", "day", "at")]
+    best = F.max(F.struct("day", "at", *rest))
+    return checkins.join(until, "person").filter("day <= until").groupBy("person").agg(best.alias("b")).select("person", "b.*")
 
 
 # --- the whole plan ---------------------------------------------------------------
@@ -109,7 +114,7 @@ def plan(people: DataFrame, contacts: DataFrame, checkins: DataFrame, sent: Data
     on = on.withColumns({"_due": due, "_late": due + F.make_dt_interval(mins=F.col("grace"))})
     to = contacts.select("person", F.col("contact").alias("to"), F.col("name").alias("to_name"), F.col("address").alias("to_address"))
 
-    before = checkins.join(on.select("person", "today"), "person").filter("day < today").groupBy("person").agg(F.max(F.struct("day", "at", "note", "place")).alias("_before"))
+    before = last_checkin(checkins, on.select("person", F.date_sub("today", 1).alias("until"))).select("person", F.struct("day", "at", "note", "place").alias("_before"))
     late = on.filter("_do = 'missed'").join(to, "person").join(before, "person", "left").join(places, "person", "left")
     last = F.when(F.col("_before").isNull(), "no earlier check-in on record").otherwise(_say("last check-in ", F.date_format("_before.at", "EEE MMM dd, h:mm a"), F.when(F.coalesce("_before.note", F.lit("")) != "", _say(' ("', F.col("_before.note"), '")')).otherwise("")))
     where = (
@@ -130,10 +135,9 @@ def plan(people: DataFrame, contacts: DataFrame, checkins: DataFrame, sent: Data
         _say("check-in due ", F.date_format("_due", "HH:mm"), ", not yet received", F.when(F.col("_plans").isNotNull(), _say("; plans tonight: ", F.array_join("_plans", ", "))).otherwise("")).alias("reason"),
     )
 
-    alerted = sent.filter("status = 'ok'").select("person", F.col("key").alias("_alert"))
-    back = on.filter("_do = 'all_clear'").join(to, "person").withColumn("_alert", message_key("missed", F.col("today"), F.col("to"))).join(alerted.distinct(), ["person", "_alert"], "left_semi")
+    back = all_clears(on.filter("_do = 'all_clear'").join(to, "person"), sent)
     said = F.when(F.coalesce("_in.note", F.lit("")) != "", _say(' and said: "', F.col("_in.note"), '"')).otherwise("")
-    clear = back.select("person", message_key("clear", F.col("today"), F.col("to")).alias("key"), F.lit("all_clear").alias("kind"), "to", "to_name", "to_address", _say("All clear: ", F.col("who"), " checked in").alias("subject"), _say("Hi ", F.col("to_name"), ",\n\nall clear: ", F.col("who"), " checked in at ", _clock(F.col("_in.at")), said, ".").alias("body"), F.lit("owner checked in after an alert went out").alias("reason"))
+    clear = back.select("person", "key", F.lit("all_clear").alias("kind"), "to", "to_name", "to_address", _say("All clear: ", F.col("who"), " checked in").alias("subject"), _say("Hi ", F.col("to_name"), ",\n\nall clear: ", F.col("who"), " checked in at ", _clock(F.col("_in.at")), said, ".").alias("body"), F.lit("owner checked in after an alert went out").alias("reason"))
 
     asked = outbox.join(on.select("person"), "person", "left_semi").join(to, ["person", "to"], "left")
     own = asked.select("person", "key", F.lit("owner_message").alias("kind"), "to", F.coalesce("to_name", "to").alias("to_name"), F.coalesce("to_address", F.lit("")).alias("to_address"), "subject", "body", F.lit("owner asked for it").alias("reason"))
@@ -150,11 +154,7 @@ def plan(people: DataFrame, contacts: DataFrame, checkins: DataFrame, sent: Data
     share = shared.filter("_known").select("person", share_key(F.col("today"), F.col("to")).alias("key"), F.lit("schedule_share").alias("kind"), "to", "to_name", "to_address", _say(who, "'s week: exams and deadlines").alias("subject"), body.alias("body"), F.lit("weekly schedule share is on for this contact").alias("reason"))
 
     messages = missed.unionByName(ask).unionByName(clear).unionByName(own).unionByName(share)
-    fresh = messages.join(sent.filter("status = 'ok'").select("person", "key").distinct(), ["person", "key"], "left_anti")
-    used = sent.filter("status = 'ok' and kind <> 'clear'").join(on.select("person", F.col("today").alias("day")), ["person", "day"], "left_semi").groupBy("person", "to").agg(F.count(F.lit(1)).alias("_n"))
-    capped = fresh.join(used, ["person", "to"], "left").join(on.select("person", "cap"), "person")
-    over = (F.coalesce("_n", F.lit(0)) >= F.coalesce("cap", F.lit(2))) & (F.col("to") != "owner") & (F.col("kind") != "all_clear")
-    messages = capped.select(*MESSAGE, F.when(over, _say("daily cap reached for ", F.col("to"))).alias("blocked"))
+    messages = gated(messages.select(*MESSAGE), sent, on)
 
     none = F.coalesce(F.size("_named"), F.lit(0)) == 0
     note = lambda df, text: df.select("person", (text if isinstance(text, Column) else F.lit(text)).alias("note"))
@@ -171,6 +171,12 @@ def plan(people: DataFrame, contacts: DataFrame, checkins: DataFrame, sent: Data
     return messages, notes
 
 
+def log_outbox(outbox: DataFrame, asked: DataFrame) -> DataFrame:
+    """The outbox (person, key, to, subject, body) after what a person asked for (person, day, to, subject, body): the same words to the same contact on one day are one message."""
+    new = asked.select("person", said_key(F.col("day"), F.col("to"), F.col("body")).alias("key"), "to", "subject", "body")
+    return outbox.unionByName(new).dropDuplicates(["person", "key"])
+
+
 def after_sending(outbox: DataFrame, sent: DataFrame) -> DataFrame:
     """What is left in the outbox: messages that weren't sent."""
     return outbox.join(sent.filter("status = 'ok'").select("person", "key").distinct(), ["person", "key"], "left_anti")

@@ -1021,27 +1021,28 @@ def checkin_deadlines(spark, sf_dir):
     return found.select("person", F.col("day").cast("string").alias("day"), "stage", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-SENT = """sent AS (SELECT 'missed:' || CAST(ts AS DATE) || ':' || user_id || ':' || event_id AS key, CASE event_type WHEN 'click' THEN 'missed' WHEN 'error' THEN 'clear' ELSE 'share' END AS kind, CAST(user_id AS VARCHAR) AS "to", CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CAST(ts AS DATE) AS day FROM events)"""
+SENT = """sent AS (SELECT CASE event_type WHEN 'click' THEN 'missed' WHEN 'error' THEN 'clear' ELSE 'share' END || ':' || CAST(ts AS DATE) || ':' || user_id AS key, CASE event_type WHEN 'click' THEN 'missed' WHEN 'error' THEN 'clear' ELSE 'share' END AS kind, CAST(user_id AS VARCHAR) AS "to", CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CAST(ts AS DATE) AS day FROM events)"""
 
 
 def _sent(spark, sf_dir):
     e = _at(spark, sf_dir)
     kind = F.when(F.col("event_type") == "click", "missed").when(F.col("event_type") == "error", "clear").otherwise("share")
-    return e.select(F.concat_ws(":", F.lit("missed"), F.col("day").cast("string"), F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("key"), kind.alias("kind"), F.col("user_id").cast("string").alias("to"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("ok").alias("status"), "day")
+    return e.select(F.lit(0).alias("person"), F.concat_ws(":", kind, F.col("day").cast("string"), F.col("user_id").cast("string")).alias("key"), kind.alias("kind"), F.col("user_id").cast("string").alias("to"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("ok").alias("status"), "day")
 
 
-@query(f"""WITH {SENT}, c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS contact FROM events) SELECT contact, 'clear:2024-01-10:' || contact AS key FROM c WHERE contact IN (SELECT "to" FROM sent WHERE status = 'ok' AND kind = 'missed' AND day = DATE '2024-01-10')""")
+@query(f"""WITH {SENT}, c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS contact FROM events) SELECT contact, 'clear:2024-01-10:' || contact AS key FROM c WHERE 'missed:2024-01-10:' || contact IN (SELECT key FROM sent WHERE status = 'ok')""")
 def checkin_allclear(spark, sf_dir):
-    contacts = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("contact")).distinct()
-    return checkin.all_clears(contacts, _sent(spark, sf_dir), F.lit("2024-01-10").cast("date"))
+    contacts = table(spark, sf_dir, "events").select(F.lit(0).alias("person"), F.lit("2024-01-10").cast("date").alias("today"), F.col("user_id").cast("string").alias("to")).distinct()
+    return checkin.all_clears(contacts, _sent(spark, sf_dir)).select(F.col("to").alias("contact"), "key")
 
 
 @query(f"""WITH {SENT}, m AS (SELECT DISTINCT 'share:2024-W02:' || user_id AS key, 'share' AS kind, CAST(user_id AS VARCHAR) AS "to" FROM events), u AS (SELECT "to", count(*) AS n FROM sent WHERE status = 'ok' AND kind <> 'clear' AND day = DATE '2024-01-10' GROUP BY 1)
 SELECT m.key, m.kind, m."to", CASE WHEN coalesce(n, 0) >= 2 THEN 'daily cap reached for ' || m."to" END AS blocked FROM m LEFT JOIN u ON u."to" = m."to" """)
 def daily_cap(spark, sf_dir):
     u = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("to")).distinct()
-    messages = u.select(F.concat(F.lit("share:2024-W02:"), F.col("to")).alias("key"), F.lit("share").alias("kind"), "to")
-    return checkin.gated(messages, _sent(spark, sf_dir), F.lit("2024-01-10").cast("date"))
+    messages = u.select(F.lit(0).alias("person"), F.concat(F.lit("share:2024-W02:"), F.col("to")).alias("key"), F.lit("share").alias("kind"), "to")
+    person = spark.range(1).select(F.lit(0).alias("person"), F.lit("2024-01-10").cast("date").alias("today"), F.lit(2).alias("cap"))
+    return checkin.gated(messages, _sent(spark, sf_dir), person).drop("person")
 
 
 @query("SELECT o_orderkey, 'share:' || isoyear(o_orderdate) || '-W' || lpad(CAST(week(o_orderdate) AS VARCHAR), 2, '0') || ':' || o_custkey AS key FROM orders")
@@ -1058,7 +1059,8 @@ def quiet_hours(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id AS person, CAST(ts AS DATE) AS day, event_id AS "at" FROM events WHERE event_type = 'signup' AND CAST(ts AS DATE) <= DATE '2024-01-15') SELECT person, CAST(max(day) AS VARCHAR) AS day, arg_max("at", (day, "at")) AS "at" FROM e GROUP BY 1""")
 def last_checkin_before(spark, sf_dir):
     c = _at(spark, sf_dir).filter("event_type = 'signup'").select(F.col("user_id").alias("person"), "day", F.col("event_id").alias("at"))
-    return checkin.last_checkin(c, F.lit("2024-01-15").cast("date")).select("person", F.col("day").cast("string").alias("day"), "at")
+    until = c.select("person").distinct().withColumn("until", F.lit("2024-01-15").cast("date"))
+    return checkin.last_checkin(c, until).select("person", F.col("day").cast("string").alias("day"), "at")
 
 
 # --- sources ------------------------------------------------------------------------------------

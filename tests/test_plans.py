@@ -267,6 +267,16 @@ def test_planner_texts(spark):
     assert checkin.after_sending(asked, done).count() == 0 and checkin.after_sending(asked, sent).count() == 1
 
 
+def test_outbox(spark):
+    """What is asked for twice is one message; what was sent goes."""
+    asked = spark.createDataFrame([(1, dt.date(2024, 1, 10), "mum", "hi", "all fine")] * 2 + [(1, dt.date(2024, 1, 10), "mum", "hi", "other words"), (2, dt.date(2024, 1, 10), "mum", "hi", "all fine")], "person bigint, day date, to string, subject string, body string")
+    box = checkin.log_outbox(spark.createDataFrame([], "person bigint, key string, to string, subject string, body string"), asked)
+    keys = [(r.person, r.key) for r in box.collect()]
+    assert len(keys) == 3 and all(k.startswith("say:2024-01-10:mum:") for _, k in keys)
+    assert checkin.log_outbox(box, asked).count() == 3
+    assert checkin.after_sending(box, spark.createDataFrame([(*keys[0], "ok")], "person bigint, key string, status string")).count() == 2
+
+
 def test_tracking(spark):
     rows = spark.createDataFrame([("jobs", "a"), ("Jobs", "b"), (None, "c"), ("x" * 33, "d")], "kind string, key string")
     assert {r.key for r in ledger.bad_kinds(rows).collect()} == {"b", "c", "d"}
