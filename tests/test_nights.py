@@ -110,14 +110,22 @@ def test_run_ids():
     assert next_run_id("x", {"x", "x-2"}) == "x-3" and next_run_id("y", {"x"}) == "y"
 
 
-def test_html_tolerates_bad_markup():
-    page = "<nav><li>Oct 1</li></nav><h2>Syllabus</h2><table><tr><th>Date</th><th>Oct 9</th></tr><tr><td>Midterm</td><td class=date>Oct 14</tr></table></div><p>end"
-    status, found = html_items.find_items(page)
-    assert status == "ok"
-    assert [(i["title"], i["date_text"], i["section"]) for i in found] == [("Midterm", "Oct 14", "syllabus")]
-    assert html_items.find_items("") == ("empty", []) and html_items.find_items("<p>x</p>") == ("empty", [])
-    deep = "<div>" * 5000 + "Quiz due Oct 14 with enough text" + "</div>" * 5000
-    assert html_items.find_items(deep)[0] == "ok"
+def test_html_tolerates_bad_markup(spark):
+    pages = [
+        "<nav><li>Oct 1</li></nav><h2>Syllabus</h2><table><tr><th>Date</th><th>Oct 9</th></tr><tr><td>Midterm</td><td class=date>Oct 14</tr></table></div><p>end",
+        "",
+        "<p>x</p>",
+        "<div>" * 5000 + "Quiz due Oct 14 with enough text" + "</div>" * 5000,
+        None,
+        '<h3>News</h3><div class="announcement"><a href="/n?a=1">Exam room</a> Posted: Sep 3, 2026 <p>The quiz is on Oct 16 in room 2.</p></div><li>Essay due: Oct 20</li><li>nothing here</li>',
+        '<ul class="card-list"><li class="item">Outer Oct 1 <div class="item"><b>Inner</b> Oct 2</div></li></ul> and more text here',
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    got = {r.k: (r.r["status"], [(i["title"], i["date_text"], i["section"], i["url"], i["posted_at"], i["detail"]) for i in r.r["items"]]) for r in df.select("k", html_items.items_of(F.col("html")).alias("r")).collect()}
+    assert got[0] == ("ok", [("Midterm", "Oct 14", "syllabus", "", None, "")])
+    assert got[1] == got[2] == got[4] == ("empty", []) and got[3] == ("ok", [])
+    assert got[5] == ("ok", [("Exam room", "The quiz is on Oct 16 in room 2.", "announcements", "/n?a=1", "Sep 3, 2026", "The quiz is on Oct 16 in room 2."), ("Essay", "Essay due: Oct 20", "announcements", "", None, "")])
+    assert got[6] == ("ok", [("Inner", "Oct 2", "", "", None, "")])
 
 
 def test_ical(spark):
