@@ -58,6 +58,34 @@ def test_langid(spark, hard, empty):
     assert {r.langid.lang_pred for r in langid.identify(hard, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_langid_query_equals_plain_zstandard(spark, documents):
+    """Each text by each language's dictionary, in frames of 2048 characters, straight through the library: the smallest wins, narrow margins are rejected."""
+    import zlib
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.filter(queries.crc("doc_id", 4) != 2))
+    packers = []
+    for data in model.dictionaries.values():
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=5)
+        packers.append(zstandard.ZstdCompressor(level=5, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    for r in queries.op10_langid(spark, SF).collect():
+        text = documents.text[documents.doc_id == r.doc_id].iloc[0]
+        words = [w for w in re.split(r"[\W\d_]+", text.lower()) if w] if text else []
+        if not any(map(str.isalpha, words)):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        line = f" {' '.join(words)} "
+        sizes = [sum(len(p.compress(line[i : i + 2048].encode())) for i in range(0, len(line), 2048)) for p in packers]
+        order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
+        margin = sizes[order[1]] - sizes[order[0]]
+        assert (r.lang_pred, r.margin) == (list(model.dictionaries)[order[0]], margin)
+        assert r.rejected == (margin < max(langid.MIN_MARGIN_BYTES, langid.MIN_MARGIN * sizes[order[0]]))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_langid_held_out(spark):
     got = queries.op10_langid(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "lang"]])
     held = got[got.held_out]
