@@ -325,13 +325,13 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def base32_sha1(payload):
-    """Bare upper-case base32 SHA-1 of a binary column, in built-in functions: 20 bits at a time."""
+def base32_sha1(sha1):
+    """Bare upper-case base32 of a SHA-1 in hexadecimal digits, in built-in functions: 20 bits at a time."""
     from pyspark.sql import functions as F
 
     alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    part = lambda h, k: F.conv(F.substring(h, 5 * k + 1, 5), 16, 10).cast("int")
-    return F.concat(*[F.substring(alphabet, (F.shiftright(part(F.sha1(payload), k), s).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(8) for s in (15, 10, 5, 0)])
+    part = lambda k: F.conv(F.substring(sha1, 5 * k + 1, 5), 16, 10).cast("int")
+    return F.concat(*[F.substring(alphabet, (F.shiftright(part(k), s).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(8) for s in (15, 10, 5, 0)])
 
 
 def archive(pages, path: str, compression: str = "gzip") -> None:
@@ -346,12 +346,13 @@ def archive(pages, path: str, compression: str = "gzip") -> None:
 
     register(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digests = pages.select("page_id", base32_sha1(payload).alias("payload_digest"))
-    firsts = digests.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("payload_digest", "first")
-    again = digests.join(firsts, "payload_digest").filter("first < page_id").distinct()
+    # the digest is a column of its own before anything is made of it: in an expression it would be computed again for each use
+    digests = pages.select("page_id", F.sha1(payload).alias("sha1"))
+    firsts = digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "first")
+    again = digests.join(firsts, "sha1").filter("first < page_id").distinct()
     # joined by page and digest: a payload that very many pages have is dealt over as many tasks as its pages are
-    rows = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    joined = rows.filter("page_id is not null").join(again, ["page_id", "payload_digest"], "left")
+    rows = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    joined = rows.filter("page_id is not null").join(again, ["page_id", "sha1"], "left")
     joined = joined.unionByName(rows.filter("page_id is null").withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
     uri = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     revisit = F.col("first").isNotNull()
@@ -361,7 +362,7 @@ def archive(pages, path: str, compression: str = "gzip") -> None:
         "target_uri",
         F.lit(DATE).alias("record_date"),
         F.when(revisit, uri(F.col("first"))).alias("refers_to"),
-        "payload_digest",
+        base32_sha1(F.col("sha1")).alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"),
     )
