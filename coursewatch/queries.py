@@ -18,7 +18,7 @@ from .operators import diff, resolve
 from .plans import checkin, ledger, nightly, reports, slots
 from .plans.state import KEYS, Store, merged
 from .scratch import Scratch
-from .sources import html_items, ical, mail, rest_json
+from .sources import html_items, ical, mail, pages, rest_json
 from .streaming import deadlines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1090,6 +1090,48 @@ def html_items_rendered(spark, sf_dir):
     return html_items.finish(found).select("o_orderkey", "title", "date_text", "url", "kind")
 
 
+@query(f"""SELECT o_orderkey, 'Homework ' || o_orderkey AS title, CAST({DAY} AS VARCHAR) AS date_text, 'https://x.test/a?id=' || o_orderkey AS url, 'assignment' AS kind FROM orders
+UNION ALL SELECT o_orderkey, 'Quiz ' || o_orderkey, CAST({DAY} + 7 AS VARCHAR), '', 'exam' FROM orders""")
+def page_blocks_sql(spark, sf_dir):
+    """A page for each order, read by the table function in SQL: a card with a date around two items isn't one itself."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    key, day = F.col("o_orderkey").cast("string"), lambda n: F.date_add("day", n).cast("string")
+    html = F.concat(
+        F.lit('<h2>Assignments</h2><div class="card">Week of '), day(0), F.lit('<ul><li><a class="title" href="/a?id='), key, F.lit('&sid=z1">Homework '), key, F.lit('</a><span class="due">'), day(0),
+        F.lit("</span></li><li><b>Quiz "), key, F.lit('</b> <span class="when">'), day(7), F.lit("</span></li></ul></div>"),
+    )
+    pages.register(spark)
+    blocks = spark.sql("SELECT p.o_orderkey, 'https://x.test/p' AS source_url, b.* FROM {saved} AS p, LATERAL page_blocks(p.html) AS b", saved=o.select("o_orderkey", html.alias("html")))
+    return pages.items(blocks, "o_orderkey").select("o_orderkey", "title", "date_text", "url", "kind")
+
+
+@query(f"SELECT o_orderkey, 'Order ' || o_orderkey AS subject, 'c' || o_custkey || '@x.test' AS sender, CAST({DAY} AS VARCHAR) AS sent, o_orderstatus AS plain FROM orders")
+def mail_parts_sql(spark, sf_dir):
+    """A message for each order, with a marked-up body beside the plain one, taken apart by the table function in SQL."""
+    o = table(spark, sf_dir, "orders").withColumn("key", F.col("o_orderkey").cast("string"))
+    lines = (
+        F.concat(F.lit("Subject: Order "), F.col("key")), F.concat(F.lit("From: c"), F.col("o_custkey").cast("string"), F.lit("@x.test")), F.concat(F.lit("Date: "), F.date_format("o_orderdate", "EEE, dd MMM yyyy"), F.lit(" 12:00:00 +0000")),
+        F.lit('MIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary="b1"\r\n\r\n--b1\r\nContent-Type: text/html\r\n\r\n<p>no</p>\r\n--b1\r\nContent-Type: text/plain\r\n'), F.col("o_orderstatus"), F.lit("--b1--\r\n"),
+    )
+    pages.register(spark)
+    return spark.sql("SELECT m.o_orderkey, p.subject, p.sender, p.sent, p.plain FROM {mails} AS m, LATERAL mail_parts(m.raw) AS p", mails=o.select("o_orderkey", F.encode(F.concat_ws("\r\n", *lines), "UTF-8").alias("raw")))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN 'ok' ELSE 'empty' END AS status, CASE WHEN s_nationkey < 12 THEN 'Lab ' || s_suppkey END AS title, CASE WHEN s_nationkey < 12 THEN '2024-02-' || lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0') END AS date_text,
+CASE WHEN s_nationkey < 12 THEN 'https://x.test/s?id=' || s_suppkey END AS url FROM supplier""")
+def course_pages(spark, sf_dir):
+    """Suppliers as courses; those of nations under 12 have their page saved in a file, the others have none and read as empty."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    key = F.col("s_suppkey").cast("string")
+    day = F.concat(F.lit("2024-02-"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 2, "0"))
+    html = F.concat(F.lit('<h2>Labs and dates</h2><ul><li class="assignment"><a class="title" href="/s?id='), key, F.lit('">Lab '), key, F.lit('</a><span class="due">'), day, F.lit("</span></li></ul>"))
+    root = Scratch(spark).path("pages")
+    s.filter("s_nationkey < 12").select(key.alias("course"), html.alias("value")).repartition("course").write.partitionBy("course").text(root)
+    courses = s.select(key.alias("course_id"), F.lit("https://x.test/home").alias("source_url"), F.lit(NY).alias("timezone"), F.lit("2024-02-01T12:00:00Z").alias("read_at"))
+    told, items = pages.readings(pages.load(courses, root, named=r"/course=([^/]+)/"))
+    return told.join(items.select("course_id", "title", "date_text", "url"), "course_id", "left").select(F.col("course_id").cast("long").alias("s_suppkey"), "status", "title", "date_text", "url")
+
+
 @query("""SELECT event_id AS title_id, 'assignment' AS kind, 'due ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date_text FROM events WHERE event_type <> 'error'
 UNION ALL SELECT CAST(json_extract(props, '$.k') AS BIGINT), 'other', '2024-02-01 to 2024-02-01' FROM events WHERE event_type = 'error'""")
 def rest_json_items(spark, sf_dir):
