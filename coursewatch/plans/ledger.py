@@ -45,15 +45,18 @@ def description(event: Column, course: Column, key: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def block_reason(today: Column) -> Column:
-    """Why an operation must not run, the first reason that holds; '' if none.
+def gate(ops: DataFrame, today: Column) -> DataFrame:
+    """``ops`` with ``block_reason``: why an operation must not run, the first reason that holds; '' if none.
 
-    Columns: op, course_state, has_change, needs_review, confidence, event_id,
-    confirmed, n_belief, start_day, and course_id for the count of deletions.
+    Columns: course_id, op, course_state, has_change, needs_review, confidence,
+    event_id, confirmed, n_belief, start_day. Deletions are counted apart, and
+    only the counts of courses with too many are joined back, so that no task
+    holds a course's operations.
     """
-    deletes = F.count_if(F.col("op") == "delete").over(Window.partitionBy("course_id"))
     delete = F.col("op") == "delete"
-    return (
+    many = ops.filter(delete).groupBy(F.col("course_id").alias("_course")).agg(F.count(F.lit(1)).alias("_deletes")).filter(F.col("_deletes") > MAX_DELETES)
+    counted = ops.join(many, F.col("course_id").eqNullSafe(F.col("_course")), "left")
+    reason = (
         F.when(~F.col("op").isin("create", "update", "delete"), "unknown op")
         .when(F.col("course_state") == "unreadable", "course unreadable")
         .when(~F.col("has_change"), "no matching change")
@@ -61,13 +64,14 @@ def block_reason(today: Column) -> Column:
         .when(F.col("confidence") < MIN_CONFIDENCE, "low confidence")
         .when(F.col("op").isin("update", "delete") & F.col("event_id").isNull(), "no event id")
         .when(delete & ~F.col("confirmed"), "unconfirmed removal")
-        .when(delete & (deletes > MAX_DELETES) & (2 * deletes >= F.greatest(F.col("n_belief"), F.lit(1))), "mass deletion")
+        .when(delete & (2 * F.col("_deletes") >= F.greatest(F.col("n_belief"), F.lit(1))), "mass deletion")
         .when(delete, "")
         .when(F.col("start_day").isNull(), "no start date")
         .when(F.col("start_day") < F.date_sub(today, PAST_DAYS), "too far past")
         .when(F.col("start_day") > F.date_add(today, FUTURE_DAYS), "too far ahead")
         .otherwise("")
     )
+    return counted.withColumn("block_reason", reason).drop("_course", "_deletes")
 
 
 def last_results(results: DataFrame) -> DataFrame:

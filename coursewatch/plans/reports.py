@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def upcoming(belief: DataFrame, today: Column, weeks: int = 7) -> DataFrame:
     return belief.filter(F.col("start_day").between(today, F.date_add(today, 7 * weeks)))
@@ -167,6 +169,37 @@ def digest(belief: DataFrame, changes: DataFrame, missing: DataFrame, review: Da
     return out.unionByName(rows(open_, "5 needs your decision", F.concat_ws(" ", "_c", "title"), F.concat(F.col("_c"), F.lit(": "), F.col("title"), F.lit(' — "'), F.col("date_text"), F.lit('" — '), F.col("reason"))))
 
 
+def headed(told: DataFrame, today: Column, scratch: Scratch, weeks: int = 1) -> DataFrame:
+    """digest() with a title, a heading and count for each section and each day that something is due, what moves most, and a line where a section has none.
+
+    Read in the order of (section, ord, line). Sections on removals and
+    decisions stand only where they have lines.
+    """
+    told, _ = scratch.write(told, "digest")
+    say = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    row = lambda df, section, ord_, line: df.select(section.alias("section"), ord_.alias("ord"), line.alias("line"))
+    day = lambda n: F.date_add(today, 7 * n).cast("string")
+    section, n = F.col("section"), F.col("n")
+    known = [("1 due", "nothing is due in this time"), ("2 changed", "nothing has changed"), ("3 volatility", "no date has moved"), ("4 pending removals", None), ("5 needs your decision", None)]
+    counts = told.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    sections = told.sparkSession.createDataFrame(known, "section string, nothing string").join(counts, "section", "left").na.fill(0, ["n"]).filter("n > 0 or nothing is not null")
+    count = say(": ", n.cast("string"))
+    heading = (
+        F.when(section == "1 due", say("Due until ", day(weeks), count))
+        .when(section == "2 changed", say("Changed since ", day(-weeks), count))
+        .when(section == "3 volatility", "Dates that moved this term")
+        .when(section == "4 pending removals", say("Missing, not yet removed", count))
+        .otherwise(say("To decide", count))
+    )
+    due = told.filter(section == "1 due").groupBy(F.substring("ord", 1, 10).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    # what moves most has the lowest rank; a rank of all nines has not moved
+    most = told.filter((section == "3 volatility") & (F.substring("ord", 1, 9) < "999999999")).agg(F.min(F.struct("ord", "line"))["line"].alias("line")).filter("line is not null")
+    out = told.unionByName(row(told.sparkSession.range(1), F.lit("0 digest"), F.lit(""), say("Week of ", today.cast("string"))))
+    out = out.unionByName(row(sections, section, F.lit(""), heading)).unionByName(row(sections.filter("n = 0"), section, F.lit(" "), F.col("nothing")))
+    out = out.unionByName(row(due, F.lit("1 due"), F.col("day"), say(F.date_format(F.to_date("day"), "EEE MMM dd"), count)))
+    return out.unionByName(row(most, F.lit("3 volatility"), F.lit("~"), say("moves most: ", F.col("line"))))
+
+
 def receipts(belief: DataFrame, known: DataFrame, missing: DataFrame, changes: DataFrame, names: DataFrame) -> DataFrame:
     """(key, ord, line) for every believed item: where its date comes from and how it came about.
 

@@ -507,7 +507,7 @@ def _gated(spark, sf_dir):
     prev, _ = nights(spark, sf_dir)
     n = prev.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_belief"))
     ops = ops.join(n, "course_id", "left").withColumns({"course_state": F.when(F.col("course_id") == "c7", "unreadable"), "has_change": F.lit(True), "needs_review": F.lit(False), "confidence": F.lit(0.9), "confirmed": F.lit(True), "start_day": F.to_date("start")})
-    return ops.withColumn("block_reason", ledger.block_reason(F.lit("1998-01-01").cast("date")))
+    return ledger.gate(ops, F.lit("1998-01-01").cast("date"))
 
 
 @query(f"""WITH {CHANGED}, n AS (SELECT course_id, count(*) AS n_belief FROM prev GROUP BY 1), g AS (SELECT ops.*, n_belief, count(*) FILTER (op = 'delete') OVER (PARTITION BY course_id) AS n_del FROM ops LEFT JOIN n USING (course_id))
@@ -524,7 +524,7 @@ def gate_mass_delete(spark, sf_dir):
     n = o.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_belief"))
     true = F.lit(True)
     rows = o.join(n, "course_id").withColumns({"course_state": F.lit("ok"), "has_change": true, "needs_review": ~true, "confidence": F.lit(0.9), "event_id": F.lit("e"), "confirmed": true, "start_day": F.lit("1998-01-01").cast("date")})
-    return rows.select("k", ledger.block_reason(F.lit("1998-01-01").cast("date")).alias("block_reason"))
+    return ledger.gate(rows, F.lit("1998-01-01").cast("date")).select("k", "block_reason")
 
 
 RESULTS = "res AS (SELECT key, op, CASE WHEN length(key) % 9 = 0 THEN 'failed' ELSE 'ok' END AS status, coalesce(event_id, 'new-' || key) AS event_id FROM ops)"
@@ -1108,7 +1108,8 @@ def page_blocks_sql(spark, sf_dir):
 @query(f"SELECT o_orderkey, 'Order ' || o_orderkey AS subject, 'c' || o_custkey || '@x.test' AS sender, CAST({DAY} AS VARCHAR) AS sent, o_orderstatus AS plain FROM orders")
 def mail_parts_sql(spark, sf_dir):
     """A message for each order, with a marked-up body beside the plain one, taken apart by the table function in SQL."""
-    o = table(spark, sf_dir, "orders").withColumn("key", F.col("o_orderkey").cast("string"))
+    # a message takes milliseconds, so few files are dealt over all cores
+    o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).withColumn("key", F.col("o_orderkey").cast("string"))
     lines = (
         F.concat(F.lit("Subject: Order "), F.col("key")), F.concat(F.lit("From: c"), F.col("o_custkey").cast("string"), F.lit("@x.test")), F.concat(F.lit("Date: "), F.date_format("o_orderdate", "EEE, dd MMM yyyy"), F.lit(" 12:00:00 +0000")),
         F.lit('MIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary="b1"\r\n\r\n--b1\r\nContent-Type: text/html\r\n\r\n<p>no</p>\r\n--b1\r\nContent-Type: text/plain\r\n'), F.col("o_orderstatus"), F.lit("--b1--\r\n"),
@@ -1261,20 +1262,39 @@ def _reported(spark, sf_dir):
     return belief, changes, names
 
 
-@query(f"""WITH {NIGHTS}, t AS (SELECT course_id, key, type, coalesce(after_start, before_start) AS s, regexp_replace(key, '^[^:]*::', '') AS title FROM ch WHERE type <> 'same'),
+DIGEST = f"""WITH {NIGHTS}, t AS (SELECT course_id, key, type, coalesce(after_start, before_start) AS s, regexp_replace(key, '^[^:]*::', '') AS title FROM ch WHERE type <> 'same'),
 v AS (SELECT course_id, count(*) FILTER (type = 'moved') AS a, count(*) FILTER (type <> 'added') AS n FROM t GROUP BY 1)
 SELECT '1 due' AS section, strftime(start, '%a %b %d') || ': ' || title || ' — Course ' || course_id AS line FROM cur WHERE start BETWEEN DATE '1998-01-07' AND DATE '1998-01-14'
 UNION ALL SELECT '2 changed', '1998-01-05: ' || upper(CASE type WHEN 'missing' THEN 'removed' ELSE type END) || ' — Course ' || course_id || ': ' || title || ' — n (source: page)' FROM t
 UNION ALL SELECT '3 volatility', 'Course ' || course_id || ': ' || a || ' deadline move(s), ' || n || ' change(s) total' FROM v WHERE n > 0
 UNION ALL SELECT '4 pending removals', 'Course ' || course_id || ': ' || title || ' — missing since 1998-01-02 (1/2)' FROM prev WHERE k % 40 = 0
-UNION ALL SELECT '5 needs your decision', 'Course ' || course_id || ': ' || title || ' — "TBD" — date is TBD/TBA' FROM prev WHERE k % 50 = 1""")
+UNION ALL SELECT '5 needs your decision', 'Course ' || course_id || ': ' || title || ' — "TBD" — date is TBD/TBA' FROM prev WHERE k % 50 = 1"""
+
+
+@query(DIGEST)
 def digest_lines(spark, sf_dir):
     """The weekly digest of all courses, a row a line."""
+    return _digest(spark, sf_dir).select("section", "line")
+
+
+@query(f"""WITH d AS ({DIGEST}), v AS (SELECT *, TRY_CAST(regexp_extract(line, ': (\\d+) deadline', 1) AS INT) AS a, TRY_CAST(regexp_extract(line, ', (\\d+) change', 1) AS INT) AS n, regexp_extract(line, '^Course ([^:]+):', 1) AS c FROM d WHERE section = '3 volatility')
+SELECT * FROM d UNION ALL SELECT '0 digest', 'Week of 1998-01-07'
+UNION ALL SELECT s, h || CASE WHEN s = '3 volatility' THEN '' ELSE ': ' || (SELECT count(*) FROM d WHERE section = s) END FROM (VALUES ('1 due', 'Due until 1998-01-14'), ('2 changed', 'Changed since 1997-12-31'), ('3 volatility', 'Dates that moved this term'), ('4 pending removals', 'Missing, not yet removed'), ('5 needs your decision', 'To decide')) AS x(s, h)
+WHERE s < '4' OR s IN (SELECT section FROM d)
+UNION ALL SELECT s, t FROM (VALUES ('1 due', 'nothing is due in this time'), ('2 changed', 'nothing has changed'), ('3 volatility', 'no date has moved')) AS x(s, t) WHERE s NOT IN (SELECT section FROM d)
+UNION ALL SELECT section, left(line, 10) || ': ' || count(*) FROM d WHERE section = '1 due' GROUP BY 1, left(line, 10)
+UNION ALL SELECT section, 'moves most: ' || line FROM (SELECT * FROM v WHERE a > 0 ORDER BY a DESC, n DESC, c LIMIT 1)""")
+def digest_report(spark, sf_dir):
+    """The digest with what stands above and between its lines."""
+    return reports.headed(_digest(spark, sf_dir), F.lit("1998-01-07").cast("date"), Scratch(spark)).select("section", "line")
+
+
+def _digest(spark, sf_dir):
     belief, changes, names = _reported(spark, sf_dir)
     o, title = observed(spark, sf_dir), _title().alias("title")
     missing = o.filter("k % 40 = 0").select("course_id", title, F.lit("1998-01-02").alias("first_missing"), F.lit(1).alias("count"))
     review = o.filter("k % 50 = 1").select("course_id", title, F.lit("TBD").alias("date_text"), F.lit("date is TBD/TBA").alias("reason"))
-    return reports.digest(belief, changes, missing, review, names, F.lit("1998-01-07").cast("date")).select("section", "line")
+    return reports.digest(belief, changes, missing, review, names, F.lit("1998-01-07").cast("date"))
 
 
 @query(f"""WITH {NIGHTS}, c AS (SELECT *, strftime(start, '%a %b %d, %Y') AS w FROM cur), f AS (SELECT strftime(CAST(x AS DATE), '%a %b %d, %Y') AS w, x FROM (SELECT DISTINCT before_start AS x FROM ch UNION SELECT DISTINCT after_start FROM ch) WHERE x IS NOT NULL)

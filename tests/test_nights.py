@@ -102,10 +102,27 @@ def test_unknown_zones(spark):
 def test_gate_of_too_many_deletions(spark):
     rows = [("c", "delete", None, True, False, 0.9, "e", True, 5, datetime.date(2026, 9, 1))] * 3 + [("d", "delete", None, True, False, 0.9, "e", True, 7, datetime.date(2026, 9, 1))] * 3
     df = spark.createDataFrame(rows, "course_id string, op string, course_state string, has_change boolean, needs_review boolean, confidence double, event_id string, confirmed boolean, n_belief int, start_day date")
-    got = {(r[0], r[1]) for r in df.select("course_id", ledger.block_reason(F.lit("2026-09-05").cast("date"))).collect()}
+    got = {(r[0], r[1]) for r in ledger.gate(df, F.lit("2026-09-05").cast("date")).select("course_id", "block_reason").collect()}
     assert got == {("c", "mass deletion"), ("d", "")}
 
 
+def test_gate_counts_deletions_of_a_missing_course(spark):
+    rows = [(None, op, None, True, False, 0.9, "e", True, 4, datetime.date(2026, 9, 9)) for op in ("delete", "delete", "delete", "update")] + [("c", "delete", None, True, False, 0.9, "e", True, 1, datetime.date(2026, 9, 9))]
+    df = spark.createDataFrame(rows, "course_id string, op string, course_state string, has_change boolean, needs_review boolean, confidence double, event_id string, confirmed boolean, n_belief int, start_day date")
+    got = sorted((r.course_id or "", r.op, r.block_reason) for r in ledger.gate(df, F.lit("2026-09-05").cast("date")).collect())
+    assert got == [("", "delete", "mass deletion")] * 3 + [("", "update", ""), ("c", "delete", "")]
+    assert ledger.gate(df.limit(0), F.lit("2026-09-05").cast("date")).columns == [*df.columns, "block_reason"]
+
+
+def test_digest_of_nothing_and_of_one_day(spark):
+    today, line = F.lit("2026-10-01").cast("date"), "section string, ord string, line string"
+    lines = lambda rows: [(r.section[0], r.line) for r in reports.headed(spark.createDataFrame(rows, line), today, Scratch(spark)).orderBy("section", "ord", "line").collect()]
+    none = [("2", "Changed since 2026-09-24: 0"), ("2", "nothing has changed"), ("3", "Dates that moved this term")]
+    assert lines([]) == [("0", "Week of 2026-10-01"), ("1", "Due until 2026-10-08: 0"), ("1", "nothing is due in this time"), *none, ("3", "no date has moved")]
+    rows = [("1 due", "2026-10-02T10:00:00-04:00 Quiz", "q"), ("1 due", "2026-10-02 Essay", "e"), ("1 due", "2026-10-03 Lab", "l"), ("3 volatility", "999999999999999997c", "c: 0"), ("3 volatility", "999999998999999997d", "d: 1"), ("5 needs your decision", "c x", "x")]
+    assert lines(rows) == [("0", "Week of 2026-10-01"), ("1", "Due until 2026-10-08: 3"), ("1", "Fri Oct 02: 2"), ("1", "e"), ("1", "q"), ("1", "Sat Oct 03: 1"), ("1", "l"), *none, ("3", "d: 1"), ("3", "c: 0"), ("3", "moves most: d: 1"), ("5", "To decide: 1"), ("5", "x")]
+
+
 def test_run_ids():
     assert next_run_id("x", {"x", "x-2"}) == "x-3" and next_run_id("y", {"x"}) == "y"
 
