@@ -38,6 +38,8 @@ SENT_PAIRS = 1_000_000
 """Id pairs whose counts go to all tasks, those linked most; rarer ones are joined."""
 HELD = 400_000
 """Distinct segments that a task counts before it passes them on."""
+COMPOSED = 1 << 19
+"""Bytes of numbered segments that are composed at once."""
 SPACES = " \t\n\r\x0b\x0c"
 NEVER_AFTER = "\u180e\u200b\u2060\ufeff"
 """Beside white space, characters that some tables class as such: no cut after them."""
@@ -286,7 +288,7 @@ SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 @dataclass
 class Frequent:
-    """Alignments of frequent segments, the most frequent first: sums by row, and the groups as one text with the ends of each."""
+    """Alignments of frequent segments, the most frequent first: sums by row, and the groups, a separator after each, as one text with the ends of each."""
 
     segments: str
     sums: list[np.ndarray]
@@ -302,6 +304,9 @@ class Frequent:
             self._ready = {s: i for i, s in enumerate(self.segments.split("\0"))} if len(self.ends) > 1 else {}
         return self._ready
 
+    def texts(self) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.groups)])
+
 
 def frequent(told: DataFrame) -> tuple[Frequent, int]:
     """The segments that go to all tasks, and the least count of those."""
@@ -310,10 +315,10 @@ def frequent(told: DataFrame) -> tuple[Frequent, int]:
     rows = short.filter(F.col("n") >= least).select("segment", "n", *SUMS, "groups").toArrow()
     rows = rows.take(np.argsort(-rows.column("n").to_numpy(), kind="stable"))
     texts = rows.column("groups").combine_chunks().cast(pa.large_binary())
-    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(1 + pc.binary_length(texts).to_numpy(zero_copy_only=False))])
     # LONGEST characters have at most 4 bytes, and so tokens and links, each
     sums = [rows.column(c).to_numpy().astype(np.int64 if c == "count_sum" else np.int16) for c in SUMS]
-    return Frequent("\0".join(rows.column("segment").to_pylist()), sums, b"".join(texts.to_pylist()), ends.astype(np.int64)), least
+    return Frequent("\0".join(rows.column("segment").to_pylist()), sums, b"".join(t + b";" for t in texts.to_pylist()), ends.astype(np.int64)), least
 
 
 def to_code(numbers: np.ndarray) -> bytes:
@@ -380,26 +385,54 @@ def _coded(batches: Iterator[pa.RecordBatch], words: Vocabularies, known: Freque
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], ["k", "l", "code"])
 
 
+def _portions(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows of about COMPOSED bytes together, or of one row."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // COMPOSED)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True))
+
+
+def _own(rest: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
+    """Where each text's alignments start in the order of their numbers, the sums of each in this order, and the groups."""
+    starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    number, groups_, best, count = rest.flatten().flatten()
+    order = np.empty(len(number), np.int64)
+    order[np.repeat(starts[:-1], np.diff(starts)) + number.to_numpy()] = np.arange(len(number))
+    groups_ = groups_.take(pa.array(order))
+    occur = lambda texts, x: pc.count_substring(texts, x).to_numpy().astype(np.int64)
+    n = occur(groups_, ";") + 1
+    commas, of_a = occur(groups_, ","), occur(pc.replace_substring_regex(groups_, r"\|[^;]*", ""), ",")
+    return starts, [n + of_a, n + commas - of_a, n, best.to_numpy()[order], count.to_numpy()[order]], pc.binary_join_element_wise(groups_, "", ";").cast(pa.large_binary())
+
+
 def _composed(batches: Iterator[pa.RecordBatch], known: Frequent) -> Iterator[pa.RecordBatch]:
-    """(k, l, n, code, rest) to the sums and the groups' digest; ``rest`` has the alignments that ``known`` lacks."""
-    ends, texts, sums_of = known.ends.tolist(), known.groups, known.sums
+    """(k, l, n, code, rest) to the sums and the groups' digest; ``rest`` has the alignments that ``known`` lacks.
+
+    Many texts are composed at once: their segments' sums are looked up
+    together, and the groups are laid end to end in one buffer.
+    """
+    frequent_ = known.texts()
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            b = whole.slice(at, 256)
-            sums, digests = np.zeros((b.num_rows, len(SUMS)), np.int64), []
-            for i in range(b.num_rows):
-                numbers = from_code(b.column(3)[i].as_py())
-                hits = numbers[numbers % 2 == 0] >> 1
-                sums[i] = [v[hits].sum(dtype=np.int64) for v in sums_of]
-                own = {}
-                for r in b.column(4)[i].as_py() or ():
-                    sides = [g.split("|") for g in r["groups"].split(";")]
-                    own[2 * r["i"] + 1] = r["groups"].encode(), [*(sum(g[x].count(",") + 1 for g in sides) for x in (0, 1)), len(sides), r["n_best"], r["count_sum"]]
-                for x, n in zip(*np.unique(numbers[numbers % 2 == 1], return_counts=True), strict=True):
-                    sums[i] += int(n) * np.array(own[int(x)][1])
-                parts = [own[x][0] if x % 2 else texts[ends[x >> 1] : ends[(x >> 1) + 1]] for x in numbers.tolist()]
-                digests.append(hashlib.sha256(b";".join(parts)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(sums[:, k]) for k in range(len(SUMS))], pa.array(digests, pa.string())], ["k", "l", "n", *SUMS, "groups_sha256"])
+        for start, end in _portions(pc.binary_length(whole.column(3)).to_numpy(zero_copy_only=False)) if whole.num_rows else ():
+            b = whole.slice(start, end - start)
+            code = b"".join(b.column(3).to_pylist())
+            bytes_ = np.cumsum(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False))
+            first = np.concatenate([[0], np.cumsum(np.frombuffer(code, np.uint8) < 128)[bytes_ - 1]])
+            numbers = from_code(code)
+            starts, sums_of, own = _own(b.column(4))
+            row, other = numbers >> 1, np.flatnonzero(numbers & 1)
+            hit = np.flatnonzero(numbers & 1 == 0)
+            row[other] += np.repeat(starts[:-1], np.diff(first))[other]
+            sums = []
+            for here, there in zip(known.sums, sums_of, strict=True):
+                values = np.empty(len(row), np.int64)
+                values[hit], values[other] = here[row[hit]], there[row[other]]
+                sums.append(pa.array(np.add.reduceat(values, first[:-1])))
+            row[other] += len(frequent_)
+            laid = pa.concat_arrays([frequent_, own]).take(pa.array(row))
+            ends = np.frombuffer(laid.buffers()[1], np.int64)[first].tolist()
+            text = memoryview(laid.buffers()[2])
+            digests = [hashlib.sha256(text[x : y - 1]).hexdigest() for x, y in zip(ends, ends[1:], strict=False)]  # without the last separator
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *sums, pa.array(digests, pa.string())], ["k", "l", "n", *SUMS, "groups_sha256"])
 
 
 def aligned_documents(docs: DataFrame, words: Vocabularies, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:

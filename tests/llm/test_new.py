@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ import helpers
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import CLASH, DOCS, HARD, SF
@@ -136,6 +138,43 @@ def test_codes_round_trip():
         assert alignment.from_code(alignment.to_code(np.array(numbers, np.int64))).tolist() == list(numbers)
 
 
+def test_texts_are_composed_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    few = [f"{i}|{i},{2 * i + 1};{i},7|3" for i in range(1000)]
+    ends = np.cumsum([0, *[len(g) + 1 for g in few]]).astype(np.int64)
+    sums = [np.full(1000, 3, np.int16), np.full(1000, 3, np.int16), np.full(1000, 2, np.int16), np.arange(1000, dtype=np.int16), np.arange(1000) << 40]
+    known = alignment.Frequent("", sums, "".join(g + ";" for g in few).encode(), ends)
+    texts = []
+    for k in range(400):
+        own = [{"i": i, "groups": f"{k}|{i},5;8,{k},9|1", "n_best": i, "count_sum": (k + i) << 40} for i in rng.permutation(k % 60).tolist()]
+        numbers = [2 * int(x) for x in rng.integers(0, 1000, 400)] + [2 * r["i"] + 1 for r in own for _ in range(2)]
+        texts.append((k, -k, 1, rng.permutation(numbers).tolist(), own or None))
+    row = pa.struct([("i", pa.int32()), ("groups", pa.string()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+    columns = [pa.array([t[c] for t in texts], pa.int64()) for c in range(3)]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([alignment.to_code(np.array(t[3])) for t in texts]), pa.array([t[4] for t in texts], pa.list_(row))], ["k", "l", "n", "code", "rest"])
+
+    def alone(numbers, own):
+        mine = {r["i"]: (r["groups"], (4, 3, 2, r["n_best"], r["count_sum"])) for r in own or ()}
+        found = [mine[x >> 1] if x % 2 else (few[x >> 1], tuple(int(v[x >> 1]) for v in sums)) for x in numbers]
+        return (*map(sum, zip(*[f[1] for f in found], strict=True)), hashlib.sha256(";".join(f[0] for f in found).encode()).hexdigest())
+
+    expected = [(*t[:3], *alone(*t[3:])) for t in texts]
+    for most in (1, 5000, 1 << 19):
+        monkeypatch.setattr(alignment, "COMPOSED", most)
+        got = [tuple(r.values()) for b in alignment._composed(iter([batch.slice(0, 0), batch.slice(0, 7), batch.slice(7)]), known) for r in b.to_pylist()]
+        assert got == expected
+    # segments aren't gone through one by one in Python
+    seconds = []
+    for work in (lambda: list(alignment._composed(iter([batch]), known)), lambda: [alone(alignment.from_code(c.as_py()).tolist(), o.as_py()) for c, o in zip(batch.column(3), batch.column(4), strict=True)]):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            times.append(time.process_time() - began)
+        seconds.append(min(times))
+    assert seconds[0] < 0.25 * seconds[1], seconds
+
+
 def test_alignment_on_hard_rows(spark, hard, empty, words):
     rows = alignment.aligned_documents(hard, words, Scratch(spark)).collect()
     expected = Counter(zip([r[0] for r in HARD], brute_alignment([r[1] for r in HARD]), strict=True))
