@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursewatch.llm import decontaminate, langid, mixing, simhash, toxicity
-from coursewatch.llm.common import Scratch, table
+from coursewatch.llm.common import SENT_ROWS, Scratch, table
 from coursewatch.llm.queries import crc
 from coursewatch.ship import ship
 
@@ -47,18 +47,22 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group, once if it is repeated; rows without an id stay.
 
-    Null, empty and wordless texts are one group.
+    Null, empty and wordless texts are one group. Texts are shuffled once and
+    not sorted: what goes and what is repeated is left out by one join whose
+    other side holds ids and hashes only.
     """
     ship(spark)
     scratch = Scratch(spark)
     found, _ = scratch.write(simhash.near_duplicates(docs, scratch).filter("doc_id is not null"), "groups")
     id_, hash_ = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
     here = lambda marks: (docs["doc_id"] == marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_hash"])
-    gone = found.filter("component < doc_id").select(id_, hash_).distinct()
-    kept = docs.join(gone, here(gone), "left_anti")
-    repeated = found.filter("component = doc_id").groupBy(id_, hash_).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    once = kept.join(repeated, here(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, here(repeated), "left_anti").union(once)
+    repeated, _ = scratch.write(found.filter("component = doc_id").groupBy(id_, hash_).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    out = found.filter("component < doc_id").select(id_, hash_).distinct().union(repeated)
+    kept = docs.join(out.hint("shuffle_hash"), here(out), "left_anti")
+    if not (n := repeated.count()):
+        return kept
+    once = docs.join(F.broadcast(repeated) if n <= SENT_ROWS else repeated, here(repeated), "left_semi")
+    return kept.union(once.dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

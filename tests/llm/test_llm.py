@@ -724,3 +724,20 @@ def test_pipeline_stages_on_hard_rows(spark, hard, empty):
         if name == "decontamination":
             assert Counter(tuple(r) for r in rows) == given
         assert stage(spark, empty, SF).count() == 0, name
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_deduplicating_shuffles_texts_once_and_sorts_none(spark, copies):
+    import corpus_pipeline as P
+
+    few = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    docs, _ = Scratch(spark).write(few if copies == 1 else few.union(few.limit(20)), "docs")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = P.deduplicate(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    joins = re.findall(r"\w+Join .*LeftAnti", plan)
+    assert len(joins) == 1 and joins[0].startswith("ShuffledHashJoin") and "SortMergeJoin" not in plan, plan
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, xxhash64\(text#\d+, 42\)", plan)) == 1, plan
