@@ -9,8 +9,10 @@ say is the planner's business, who has the logs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from datetime import date, datetime, timedelta
+from dataclasses import dataclass, field
+from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -24,105 +26,136 @@ EVENT = "person bigint, at timestamp, kind string, due string, grace int, days a
 """kind is settings (with the fields after it), checkin, or clock, which only moves the time on."""
 MOMENT = "person bigint, at timestamp, stage string, day date"
 KEPT_DAYS = 2
+CLOCK = "clock"
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+@dataclass
+class Kept:
+    """One person's state: settings, what comes next (at, day, stage), the first check-in of each recent day, days missed with their end of grace, timers."""
+
+    due: str | None = None
+    grace: int | None = None
+    days: list[str] = field(default_factory=list)
+    timezone: str | None = None
+    next: tuple[int, str, str] | None = None
+    first: dict[str, int] = field(default_factory=dict)
+    missed: dict[str, int] = field(default_factory=dict)
+    timers: set[int] = field(default_factory=set)
+
+    SCHEMA = "due string, grace int, days array<string>, timezone string, next_at bigint, next_day string, next_stage string, first_days array<string>, first_at array<bigint>, missed_days array<string>, missed_at array<bigint>, timers array<bigint>"
+
+    @classmethod
+    def of(cls, row: tuple | None) -> Kept:
+        if row is None:
+            return cls()
+        due, grace, days, zone, at, day, stage, first_days, first_at, missed_days, missed_at, timers = row
+        lasting = dict(zip(first_days, first_at, strict=True)), dict(zip(missed_days, missed_at, strict=True))
+        return cls(due, grace, list(days), zone, None if at is None else (at, day, stage), *lasting, set(timers))
+
+    def row(self) -> tuple:
+        return (self.due, self.grace, self.days, self.timezone, *(self.next or (None, None, None)), list(self.first), list(self.first.values()), list(self.missed), list(self.missed.values()), sorted(self.timers))
+
+    def day(self, ms: int) -> date:
+        return datetime.fromtimestamp(ms / 1000, tz=ZoneInfo(self.timezone)).date()
+
+    def next_due(self, after: int) -> None:
+        """The next time a check-in is due after ``after``; none if no day is asked for."""
+        asked, zone, today = {d[:3].lower() for d in self.days}, ZoneInfo(self.timezone), self.day(after)
+        hour, minute = map(int, self.due.split(":"))
+        for k in range(9):
+            day = today + timedelta(days=k)
+            due = _ms(datetime(day.year, day.month, day.day, hour, minute, tzinfo=zone))
+            if due > after and checkin.DAYS[day.weekday()] in asked:
+                self.next = (due, day.isoformat(), "remind")
+                return
+        self.next = None
 
 
 class Deadlines(StatefulProcessor):
     """One person: remind at due, missed at due + grace, all_clear at a check-in after that; each once a day.
 
     State keeps the first check-in of each recent day, the next due time or end
-    of grace, and the days that were missed. Moments leave only once the
-    watermark has passed them, whatever order rows come in and however far the
-    watermark moves at once, so a check-in that was under way is known by then.
+    of grace, and the days that were missed, as one value that is read and
+    written once a call: each access is a message between two processes.
+    Moments leave only once the watermark has passed them, whatever order rows
+    come in and however far the watermark moves at once, so a check-in that was
+    under way is known by then.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settings = handle.getValueState("settings", "due string, grace int, days array<string>, timezone string")
-        self.next = handle.getValueState("next", "at bigint, day string, stage string")
-        self.first = handle.getMapState("first", "day string", "at bigint")
-        self.missed = handle.getMapState("missed", "day string", "late bigint")
+        self.kept = handle.getValueState("kept", Kept.SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r["at"], r["kind"] != "settings")):
-            at = _ms(_utc(r["at"]))
-            if r["kind"] == "settings":
-                self.settings.update((r["due"], r["grace"], r["days"], r["timezone"]))
-                self._next_due(at)
-            elif r["kind"] == "checkin" and self.settings.exists():
-                day = (self._day(at).isoformat(),)
-                if not self.first.containsKey(day) or self.first.getValue(day)[0] > at:
-                    self.first.updateValue(day, (at,))
-        self._arm()
+        mine = Kept.of(self.kept.get())
+        for _, when, told in sorted(rows, key=lambda r: (r[1], r[2] is None or r[2] == CLOCK)):
+            at = _ms(_utc(when))
+            if told == CLOCK:
+                continue
+            if told is not None:
+                said = json.loads(told)
+                mine.due, mine.grace, mine.days, mine.timezone = said.get("due"), said.get("grace"), said.get("days") or [], said.get("timezone")
+                mine.next_due(at)
+            elif mine.timezone is not None:
+                day = mine.day(at).isoformat()
+                mine.first[day] = min(at, mine.first.get(day, at))
+        self._arm(mine)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        while self.next.exists() and self.next.get()[0] <= now:
-            at, day, stage = self.next.get()
-            checked = self.first.getValue((day,))[0] if self.first.containsKey((day,)) else None
+        now, mine = timerValues.getCurrentWatermarkInMs(), Kept.of(self.kept.get())
+        mine.timers.discard(expiredTimerInfo.getExpiryTimeInMs())  # a timer that fired is gone
+        while mine.next is not None and mine.next[0] <= now:
+            at, day, stage = mine.next
+            checked = mine.first.get(day)
             silent = checked is None or checked > at
             if silent:
                 yield _moment(key[0], at, stage, day)
             if silent and stage == "remind":
-                self.next.update((at + self.settings.get()[1] * 60_000, day, "missed"))
+                mine.next = (at + mine.grace * 60_000, day, "missed")
             else:
                 if silent:
-                    self.missed.updateValue((day,), (at,))
-                self._next_due(at)
-        for (day,), (late,) in list(self.missed.iterator()):
-            back = self.first.getValue((day,))[0] if self.first.containsKey((day,)) else None
+                    mine.missed[day] = at
+                mine.next_due(at)
+        for day, late in list(mine.missed.items()):
+            back = mine.first.get(day)
             if back is not None and late < back <= now:
                 yield _moment(key[0], back, "all_clear", day)
-                self.missed.removeKey((day,))
-        old = (self._day(now) - timedelta(days=KEPT_DAYS)).isoformat()
-        for state in (self.first, self.missed):
-            for (day,) in [k for k in state.keys() if k[0] < old]:
-                state.removeKey((day,))
-        self._arm()
+                del mine.missed[day]
+        old = (mine.day(now) - timedelta(days=KEPT_DAYS)).isoformat()
+        for days in (mine.first, mine.missed):
+            for day in [d for d in days if d < old]:
+                del days[day]
+        self._arm(mine)
 
     def close(self) -> None:
         pass
 
-    def _zone(self) -> ZoneInfo:
-        return ZoneInfo(self.settings.get()[3])
-
-    def _day(self, ms: int) -> date:
-        return datetime.fromtimestamp(ms / 1000, tz=self._zone()).date()
-
-    def _next_due(self, after: int) -> None:
-        """The next time a check-in is due after ``after``; none if no day is asked for."""
-        clock, _, days, _ = self.settings.get()
-        asked = {d[:3].lower() for d in days or ()}
-        hour, minute = map(int, clock.split(":"))
-        for k in range(9):
-            day = self._day(after) + timedelta(days=k)
-            due = _ms(datetime(day.year, day.month, day.day, hour, minute, tzinfo=self._zone()))
-            if due > after and checkin.DAYS[day.weekday()] in asked:
-                return self.next.update((due, day.isoformat(), "remind"))
-        self.next.clear()
-
-    def _arm(self) -> None:
-        """One timer: for what comes next, or for the check-in after a missed one."""
-        wanted = [self.next.get()[0]] if self.next.exists() else []
-        wanted += [self.first.getValue(k)[0] for k, (late,) in self.missed.iterator() if self.first.containsKey(k) and self.first.getValue(k)[0] > late]
-        here = set(self.handle.listTimers())
-        for t in here - set(wanted):
+    def _arm(self, mine: Kept) -> None:
+        """A timer for what comes next, and one for the check-in after a missed one; then the state is written."""
+        wanted = {mine.next[0]} if mine.next is not None else set()
+        wanted |= {mine.first[day] for day, late in mine.missed.items() if mine.first.get(day, late) > late}
+        for t in mine.timers - wanted:
             self.handle.deleteTimer(t)
-        for t in set(wanted) - here:
+        for t in wanted - mine.timers:
             self.handle.registerTimer(t)
+        mine.timers = wanted
+        if mine.timezone is not None:
+            self.kept.update(mine.row())
 
 
 def _utc(at: datetime) -> datetime:
     """Naive times of rows are in the session's zone, which is UTC."""
-    return at.replace(tzinfo=ZoneInfo("UTC")) if at.tzinfo is None else at.astimezone(ZoneInfo("UTC"))
+    return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
 
 
 def _ms(at: datetime) -> int:
-    return (at - datetime(1970, 1, 1, tzinfo=ZoneInfo("UTC"))) // timedelta(milliseconds=1)
+    return (at - EPOCH) // timedelta(milliseconds=1)
 
 
 def _moment(person: int, at: int, stage: str, day: str) -> Row:
-    return Row(person=person, at=datetime.fromtimestamp(at / 1000, tz=ZoneInfo("UTC")).replace(tzinfo=None), stage=stage, day=date.fromisoformat(day))
+    return Row(person=person, at=datetime.fromtimestamp(at / 1000, tz=UTC).replace(tzinfo=None), stage=stage, day=date.fromisoformat(day))
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -134,7 +167,10 @@ def moments(events: DataFrame, late: str = "0 seconds") -> DataFrame:
     Rows of kind clock may have any person; they only move the watermark. The
     session needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass`` = ROCKS).
     """
-    return events.withWatermark("at", late).groupBy("person").transformWithState(Deadlines(), MOMENT, "Append", "EventTime")
+    # each cell that reaches Python costs microseconds, so a row has three: what is said is null for a check-in, else settings as JSON, else the clock
+    settings = F.when(F.col("kind") == "settings", F.to_json(F.struct("due", "grace", "days", "timezone")))
+    told = events.select("person", "at", F.coalesce(settings, F.when(~F.coalesce(F.col("kind") == "checkin", F.lit(False)), CLOCK)).alias("told"))
+    return told.withWatermark("at", late).groupBy("person").transformWithState(Deadlines(), MOMENT, "Append", "EventTime")
 
 
 def over_files(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:

@@ -220,6 +220,54 @@ def test_deadline_timers_and_the_planner(spark, tmp_path):
     assert sorted(m[:2] for m in sent) == sorted([(1, "remind:2024-01-02"), (1, "remind:2024-01-03"), (1, "missed:2024-01-03:mum"), (2, "remind:2024-01-03"), (2, "missed:2024-01-03:mum")])
 
 
+def test_deadline_state_is_read_and_written_once_a_call():
+    """However many check-ins a call brings and however many days pass, state is one read and one write."""
+    import json
+
+    from coursewatch.plans import checkin
+    from coursewatch.streaming import deadlines
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.value, self.timers = 0, None, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+    class Now:
+        def __init__(self, at):
+            self.at = deadlines._ms(deadlines._utc(at))
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        def getExpiryTimeInMs(self):
+            return min(handle.timers)
+
+    handle, one = Handle(), deadlines.Deadlines()
+    one.init(handle)
+    at, day = datetime.datetime(2024, 1, 1), datetime.timedelta(days=1)
+    settings = json.dumps({"due": "21:30", "grace": 90, "days": list(checkin.DAYS), "timezone": "UTC"})
+    list(one.handleInputRows((1,), iter([(1, at, settings), *((1, at + day * k + datetime.timedelta(hours=9 + h), None) for k in range(0, 30, 2) for h in range(5))]), None))
+    assert handle.calls == 2 and len(handle.timers) == 1
+    said = list(one.handleExpiredTimer((1,), Now(at + day * 30), Now(at)))
+    assert handle.calls == 4 and sorted(r["stage"] for r in said) == ["missed"] * 15 + ["remind"] * 15
+
+
 def test_reports(spark):
     import uuid
 
