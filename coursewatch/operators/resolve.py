@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -16,7 +18,7 @@ from ..functions import text as T
 from ..scratch import Scratch
 
 EVENT = "struct<start:string,end:string,all_day:boolean,date_text:string,confidence:double,needs_review:boolean,review_reason:string,superseded:string,detail:string,sources:array<string>,assumptions:array<string>,carry:string>"
-"""``carry`` is what the caller wants to keep of the mention that stays; empty if the mentions have no such column."""
+"""``carry`` is what the caller wants to keep of the mention that stays, of any type; empty if the mentions have no such column."""
 TYPES = dict(f.split(":") for f in EVENT.removeprefix("struct<").removesuffix(">").split(","))
 FIELDS = list(TYPES)
 
@@ -66,6 +68,32 @@ def merge_two(a: dict, b: dict) -> dict:
 _HELD = 4096
 
 
+def _alone(batch: pa.RecordBatch, n_by: int, last: tuple | None) -> pa.BooleanArray:
+    """Mentions that are their item's only one and need nothing done; the batch's last one may go on in the next batch. last: the key before the batch."""
+    size = batch.num_rows
+    if size < 2:
+        return pa.array([False] * size, pa.bool_())
+    same = None
+    for c in range(n_by):
+        a, b = batch.column(c).slice(0, size - 1), batch.column(c).slice(1)
+        one = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        same = one if same is None else pc.and_(same, one)
+    first = tuple(batch.column(c)[0].as_py() for c in range(n_by)) != last
+    begins = pa.concat_arrays([pa.array([first], pa.bool_()), pc.invert(same)])
+    ends = pa.concat_arrays([pc.invert(same), pa.array([False], pa.bool_())])
+    sources, assumptions = (batch.column(n_by + FIELDS.index(f)) for f in ("sources", "assumptions"))
+    plain = pc.and_(pc.fill_null(pc.less_equal(pc.list_value_length(sources), 1), False), pc.is_valid(assumptions))
+    return pc.and_(pc.and_(begins, ends), plain)
+
+
+def _as_they_are(batch: pa.RecordBatch, n_by: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Single mentions to events without a Python value for any of them."""
+    kind = schema.field("event").type
+    event = pa.StructArray.from_arrays([batch.column(n_by + k).cast(kind.field(k).type) for k in range(len(FIELDS))], fields=list(kind))
+    keys = [batch.column(k).cast(schema.field(k).type) for k in range(n_by)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(np.ones(batch.num_rows, np.int64)), event], schema=schema)
+
+
 def _folded(batches: Iterator[pa.RecordBatch], by: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Mentions that arrive sorted to events: one running event is held, however many mentions it has."""
     done: list[tuple] = []
@@ -79,6 +107,10 @@ def _folded(batches: Iterator[pa.RecordBatch], by: list[str], schema: pa.Schema)
         return batch
 
     for batch in batches:
+        alone = _alone(batch, len(by), key if n else None)
+        if pc.any(alone).as_py():
+            yield _as_they_are(batch.filter(alone), len(by), schema)
+            batch = batch.filter(pc.invert(alone))
         columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
         for row in zip(*columns, strict=True):
             mention = dict(zip(FIELDS, row[len(by) :], strict=True))
@@ -107,9 +139,10 @@ def fold(mentions: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """
     if "carry" not in mentions.columns:
         mentions = mentions.withColumn("carry", F.lit(""))
-    ready = mentions.select(*by, F.struct(*order).alias("_order"), *[F.col(f).cast(t).alias(f) for f, t in TYPES.items()])
+    ready = mentions.select(*by, F.struct(*order).alias("_order"), *[F.col(f) if f == "carry" else F.col(f).cast(t).alias(f) for f, t in TYPES.items()])
     rows = ready.repartition(*by).sortWithinPartitions(*by, "_order").drop("_order")
-    out = T_.StructType([*(ready.schema[c] for c in by), T_.StructField("n_mentions", T_.LongType()), T_.StructField("event", T_._parse_datatype_string(EVENT))])
+    event = T_.StructType([T_.StructField(f.name, ready.schema["carry"].dataType if f.name == "carry" else f.dataType) for f in T_._parse_datatype_string(EVENT)])
+    out = T_.StructType([*(ready.schema[c] for c in by), T_.StructField("n_mentions", T_.LongType()), T_.StructField("event", event)])
     arrow = to_arrow_schema(out)
     return rows.mapInArrow(lambda batches: _folded(batches, by, arrow), out)
 
@@ -162,16 +195,19 @@ def mentions_of(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     source_url, posted_at, detail, start, end, all_day, review_reason, read_at,
     timezone. Untitled items go. A start makes an item exact; else its text is
     read. An item with a review_reason goes to review whatever its date. With
-    ``scratch`` items are written first, and where all of them are exact the
-    date language is left out of the plan, which it would make many times as long.
+    ``scratch`` items are written first, and exact ones don't pass through the
+    date language, which is left out of the plan where all of them are exact.
     """
     df = items.withColumn("title", T.clean_text(F.col("title"))).filter("title <> ''").withColumn("date_text", T.clean_text(F.coalesce("date_text", F.lit(""))))
     df = df.withColumns({"__seen": D.read_day(F.col("read_at")), "__posted": D.written_day(F.col("posted_at")), "__said": F.when(F.coalesce("start", F.lit("")) == "", F.col("date_text"))})
     exact = D.exact(F.col("start"), F.col("end"), F.col("all_day"), F.col("timezone"))
     if scratch is not None:
         df, _ = scratch.write(df, "said")
-    if scratch is not None and df.filter("__said is not null").isEmpty():
-        df = df.withColumn("__p", exact)
+        told, open_ = df.filter("__said is null").withColumn("__p", exact).drop("__posted"), df.filter("__said is not null")
+        df = told
+        if not open_.isEmpty():
+            read = date_text.parse(open_, "__said", "__seen", "timezone", "__posted").withColumn("__p", F.col("parsed"))
+            df = told.unionByName(read.select(*told.columns))
     else:
         df = date_text.parse(df, "__said", "__seen", "timezone", "__posted").withColumn("__p", F.when(F.coalesce("start", F.lit("")) != "", exact).otherwise(F.col("parsed")))
     forced = F.coalesce("review_reason", F.lit("")) != ""
@@ -205,7 +241,6 @@ def resolve(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     are those of the mention that stays.
     """
     m = mentions_of(items, scratch)
-    folded = fold(m.withColumn("carry", F.to_json(F.struct("title", "kind", "read_at"))), ["course_id", "key"], ["ord", "pos"])
-    told = F.from_json(F.col("event.carry"), "title string, kind string, read_at string")
-    out = folded.withColumn("t", told).select("course_id", "key", "t.title", "t.kind", "t.read_at", *[F.col(f"event.{c}").alias(c) for c in FIELDS if c != "carry"])
+    folded = fold(m.withColumn("carry", F.struct("title", "kind", "read_at")), ["course_id", "key"], ["ord", "pos"])
+    out = folded.select("course_id", "key", *[F.col(f"event.carry.{c}").alias(c) for c in ("title", "kind", "read_at")], *[F.col(f"event.{c}").alias(c) for c in FIELDS if c != "carry"])
     return out.select(*[f.split()[0] for f in BELIEF.split(", ")])

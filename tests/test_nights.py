@@ -43,6 +43,41 @@ def test_greedy_equals_one_pass(spark):
     assert {(r.removed, r.added) for r in diff.assign(df, Scratch(spark)).collect()} == want
 
 
+def test_few_pairs_are_compared_letter_by_letter(monkeypatch):
+    """Ratios of at least the threshold are exact; of random titles, whose letters are the same, none is compared in full."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(4)
+    title = lambda n: " ".join("".join(rnd.choices("0123456789abcdef", k=16)) for _ in range(n))
+    near = lambda s: "".join(rnd.choice("0123456789abcdef") if rnd.random() < 0.3 else c for c in s)
+    x = [title(2) for _ in range(300)] + [title(5) for _ in range(20)] + ["", None, "exam 1", "a" * 64, "b" * 65]
+    y = [near(s) for s in x[:200]] + [title(2) for _ in range(100)] + [near(s) for s in x[300:320]] + ["exam", "exam", "exam 1 revised", "a" * 70, "b" * 65]
+    want = [SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(x, y, strict=True)]
+    got = T.ratios_from(x, y, 0.55)
+    assert all(g == w if w >= 0.55 else g < 0.55 for g, w in zip(got, want, strict=True)) and sum(w >= 0.55 for w in want) > 50
+    monkeypatch.setattr(T, "SequenceMatcher", None)
+    assert not T.ratios_from([title(2) for _ in range(300)], [title(2) for _ in range(300)], 0.55).any()
+
+
+def test_single_mentions_pass_without_python_values(spark, monkeypatch):
+    """Only items with several mentions, or whose sources repeat, are folded; single ones come out as the fold leaves them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = "start string, end string, all_day boolean, date_text string, confidence double, needs_review boolean, review_reason string, superseded string, detail string, sources array<string>, assumptions array<string>, carry string"
+    rows = [(k, *mention(0, f"2026-10-{d:02}", **more)[2:], "") for k, d, more in (("a", 1, {}), ("b", 2, {}), ("b", 3, {}), ("c", 4, {"sources": ["u", "u"]}), ("d", 5, {"sources": None, "assumptions": None}), (None, 6, {}), (None, 6, {}), ("e", 7, {}), ("f", 8, {}))]
+    ins = to_arrow_schema(spark.createDataFrame([], f"key string, {types}").schema)
+    outs = to_arrow_schema(spark.createDataFrame([], f"key string, n_mentions long, event {resolve.EVENT}").schema)
+    cut = lambda *at: [pa.RecordBatch.from_pylist([dict(zip(ins.names, r, strict=True)) for r in rows[a:b]], schema=ins) for a, b in zip((0, *at), (*at, len(rows)), strict=True)]
+    told = lambda *at: sorted(str(sorted(r.items())) for b in resolve._folded(iter(cut(*at)), ["key"], outs) for r in b.to_pylist())
+    alone = resolve._alone
+    fast = [told(), told(2), told(1, 6), told(1, 2, 3, 4, 5, 6, 7, 8)]
+    assert pa.compute.sum(alone(cut()[0], 1, None)).as_py() == 2  # a and e
+    monkeypatch.setattr(resolve, "_alone", lambda batch, n_by, last: pa.array([False] * batch.num_rows, pa.bool_()))
+    assert all(f == told() for f in fast) and len(told()) == 7
+
+
 def mention(pos, start, **more):
     base = {"start": start, "end": start, "all_day": True, "date_text": start, "confidence": 0.85, "needs_review": False, "review_reason": "", "superseded": None, "detail": "", "sources": [f"s{pos}"], "assumptions": []}
     return ("k", pos, *(base | more).values())
