@@ -303,6 +303,25 @@ def test_deadline_state_is_read_and_written_once_a_call():
     assert handle.calls == 4 and sorted(r["stage"] for r in said) == ["missed"] * 15 + ["remind"] * 15
 
 
+def test_plain_mail_needs_no_library(monkeypatch):
+    """What is read without the email library is what that says; anything less plain goes to it."""
+    from itertools import product
+
+    from coursewatch.sources import mail
+
+    heads = ["Subject: Re: [X] news", "Subject: a  b", "Subject: =?utf-8?q?h=C3=A9?=", "From: p.q@x.test", "From: Ann <a@x.test>", "Date: Mon, 02 Jan 2023 10:00:00 +0000", "Date: soon", "Date: 31 Feb 2023 10:00:00 +0000", "To: a@x.test, b@x.test", "X-A: 1\r\n two", "Subject: caf\u00e9", "Message-ID: <a@x.test>", "Subject: x", "Content-Transfer-Encoding: base64"]
+    bodies = ["Content-Type: text/plain{n}{n}Hello.{n}{n}Bye.{n}", "Content-Type: text/html{n}{n}<p>x</p>", "{n}no type{n}", "Content-Type: text/plain; charset=utf-8{n}{n}x", "Content-Type: image/png{n}{n}x", "MIME-Version: 1.0{n}"]
+    multi = 'Content-Type: multipart/alternative; boundary="b1"{n}{n}'
+    bodies += [multi + rest for rest in ("--b1{n}Content-Type: text/html{n}{n}<p>no</p>{n}--b1{n}Content-Type: text/plain{n}{n}O{n}--b1--{n}", "--b1{n}{n}x{n}--b1--", "--b1{n}Content-Type: text/plain{n}{n}{n}--b1--{n}", "--b1{n}Content-Type: text/plain{n}{n}a--b1{n}b{n}--b1--{n}", "pre{n}--b1{n}{n}x{n}--b1--{n}", "--b1{n}{n}x{n}--b12{n}{n}y{n}--b1--{n}post", "--b1{n}Content-Type: text/plain{n}--b1--{n}", "x", "--b1--{n}", "--b1{n}--b1{n}{n}x{n}--b1--{n}", "--b1{n}Content-Type: text/plain{n}Content-Disposition: attachment{n}{n}x{n}--b1{n}{n}y{n}--b1--{n}")]
+    raws = [f"{a}{n}{b}{n}{body.format(n=n)}".encode() for a, b, body, n in product(heads, heads, bodies, ("\n", "\r\n"))]
+    fast = [mail.plainly(r) for r in raws]
+    monkeypatch.setattr(mail, "plainly", lambda raw: None)
+    assert [r for r, f in zip(raws, fast, strict=True) if f is not None and f != mail.opened(r)] == [] and sum(f is not None for f in fast) > 200
+    monkeypatch.undo()
+    monkeypatch.setattr(mail, "BytesParser", None)
+    assert mail.opened(b"Subject: Order 7\r\nFrom: c1@x.test\r\nDate: Mon, 02 Jan 2023 12:00:00 +0000\r\n\r\nF")["error"] is None
+
+
 def test_reports(spark):
     import uuid
 
