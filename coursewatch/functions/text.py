@@ -35,6 +35,8 @@ def clean(s: str | None) -> str:
     """NFKC, plain dashes and quotes, single spaces."""
     if not s:
         return ""
+    if s.isascii():  # which NFKC leaves alone
+        return " ".join(s.split())
     return " ".join(unicodedata.normalize("NFKC", s).translate(_FOLD).split())
 
 

@@ -303,6 +303,24 @@ def test_deadline_state_is_read_and_written_once_a_call():
     assert handle.calls == 4 and sorted(r["stage"] for r in said) == ["missed"] * 15 + ["remind"] * 15
 
 
+def test_plain_markup_needs_no_parser(monkeypatch):
+    """Pages read without the general parser give what it gives; it isn't asked where a page is plain."""
+    import random
+
+    rnd = random.Random(7)
+    bits = ["<ul>", "</ul>", '<li class="item">', "</li>", "due Oct 1", " 2024-05-01 > noon ", "<tr>", "<td>", "</td>", '<th class="date title">', "</tr>", "<br/>", "<br />", "<img src=\"x\">", '<a href="/a?id=1" class="title">', "</a>", "<B>", "</b>", "<h2>Homework</h2>", '<div id="Card" class="row">', "</div>", '<P CLASS="due">', "</p>", "<time datetime=\"2024-05-02\">", "</time>", "<nav>", "</nav>", "\n\u00a0x\u2013y "]
+    odd = ["a &amp; b", "a < b", "<!-- x -->", "<script>if (a<b) '</li>'</script>", "<title>a<b>c</title>", "<p class=due>", "</ p>", "<li", "<a href='x'>", '<a href="/a?copy=1&copy=2&lt=3&sid=4">', '<a href="/a?b&amp;c&d">', '<a href="x"class="due">', "</p x>", "<1>"]
+    pages = ["".join(rnd.choices(bits, k=rnd.randint(1, 40))) for _ in range(1500)]
+    pages += ["".join(rnd.choices(bits + odd, k=rnd.randint(1, 25))) for _ in range(1500)]
+    pages += [f'<li class="item"><a class="title" href="/a?{q}">Homework 1</a> 2024-05-01</li>' for q in ("a&copy=2", "a&lt", "a&sid=4", "b&amp;c", "a&#65;")]
+    got = [html_items.scan(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_items.Scan, "feed", None)
+        assert html_items.scan('<ul><li class="item"><a class="title" href="/a">Homework 1</a> 2024-05-01</li></ul>')[1]
+    monkeypatch.setattr(html_items.Scan, "read", html_items.Scan.feed)
+    assert [p for p, g in zip(pages, got, strict=True) if g != html_items.scan(p)] == [] and sum(bool(g[1]) for g in got) > 500
+
+
 def test_plain_mail_needs_no_library(monkeypatch):
     """What is read without the email library is what that says; anything less plain goes to it."""
     from itertools import product
