@@ -321,6 +321,13 @@ def test_plain_markup_needs_no_parser(monkeypatch):
     assert [p for p, g in zip(pages, got, strict=True) if g != html_items.scan(p)] == [] and sum(bool(g[1]) for g in got) > 500
 
 
+def test_a_page_is_read_once(spark):
+    """A filter on exploded items doesn't read the pages again."""
+    pages = spark.createDataFrame([("<li>Quiz 1 on 2024-05-01</li>",)], "html string")
+    items = pages.select(html_items.items_of(F.col("html")).alias("r")).select(F.explode("r.items").alias("i")).select("i.title")
+    assert items._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_plain_mail_needs_no_library(monkeypatch):
     """What is read without the email library is what that says; anything less plain goes to it."""
     from itertools import product
